@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _local: list[str] = []
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once an application."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="quire-code-")) / "quire.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python workers in batches that stay small even when all of them are long."""
+    """Python workers get the package, and whole texts in batches that stay small even when all of them are long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
 

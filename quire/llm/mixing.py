@@ -5,7 +5,8 @@ weight until none is above (one water level, found from running sums over the so
 document is taken floor(rate) times for certain. The rest of the target is an unequal-probability sample: each document
 draws a uniform number, and documents are ranked by random odds u / (1 - u) over inclusion odds, which are the source's odds
 f / (1 - f) tilted towards shorter texts by (size + 1) ** -TILT. The sample's fixed size is counted in words: the first documents in
-rank order, up to the document whose inclusion would leave the source further from its target.
+rank order go in until one would pass the target. What is lacking then is filled likewise, in the same order, from documents of at
+most that size, a few times over; so one long document at the cut can't keep a small source from its target.
 
 A source may hold a third of all rows: ranks are binned, words summed by (source, bin), and only the one bin that holds the cut is sorted.
 
@@ -15,12 +16,12 @@ Repeated rows are separate documents but share a draw only if doc_id and size ag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, documents, uniform
 
-WEIGHTS, MOST, BINS, TILT = (5, 2, 1), 3, 1024, 0.125
+WEIGHTS, MOST, BINS, TILT, SEED, PASSES = (5, 2, 1), 3, 1024, 0.125, 7, 6
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -40,41 +41,65 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return s.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 7, tilt: float = TILT, bins: int = BINS) -> DataFrame:
-    """docs: doc_id, source, size and what else is to be kept. Adds source_size, target, copies (int), taken (long)."""
-    kept = docs.columns
-    sizes = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sizes = sizes.withColumn("_whole", F.floor(rate + 1e-12).cast("long")).withColumn("_rest", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))
-    f = F.least(F.greatest(F.col("_rest") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(1e-12)), F.lit(1 - 1e-12))
-    sizes = sizes.withColumn("_odds", f / (1 - f))
+def _ranked(docs: DataFrame, plan: DataFrame, seed: int, tilt: float, bins: int) -> DataFrame:
+    """Adds each document's rank, a struct that starts with its bin and in which ties are ordered, to doc_id, source, size and the source's plan."""
     u = uniform("doc_id", "size", seed=seed)
     q = (u / (1 - u)) / (F.col("_odds") * F.pow(F.col("size") + 1, F.lit(-tilt)))
-    d = docs.join(sizes.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    d = d.withColumn("_q", q)
+    d = docs.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # Any rising function of q will do for the bins; this one spreads the ranks evenly.
     even = F.col("_q") * F.col("_odds") / (1 + F.col("_q") * F.col("_odds"))
-    d = d.withColumn("_bin", F.least(F.floor(even * bins), F.lit(bins - 1)).cast("int"))
-    return _cut(d, kept)
-
-
-def _cut(d: DataFrame, kept: list[str]) -> DataFrame:
-    by_bin = d.groupBy("source", "_bin").agg(F.sum("size").alias("_words"), F.first("_rest").alias("_rest"))
-    run = F.sum("_words").over(Window.partitionBy("source").orderBy("_bin"))
-    by_bin = by_bin.withColumn("_upto", run).withColumn("_before", F.col("_upto") - F.col("_words"))
-    cut = by_bin.filter("_before < _rest").groupBy("source").agg(F.max(F.struct("_bin", "_before")).alias("_cut"))
-    cut = cut.select(F.col("source").alias("_source"), F.col("_cut._bin").alias("_cut_bin"), F.col("_cut._before").alias("_start"))
-    d = d.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    mine = F.coalesce(F.col("_bin") == F.col("_cut_bin"), F.lit(False))
-    inside = d.filter(mine)
-    order = Window.partitionBy("source").orderBy("_q", "doc_id", "size")
-    upto = F.col("_start") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    before = upto - F.col("size")
-    inside = inside.withColumn("_more", (F.abs(upto - F.col("_rest")) < F.abs(F.col("_rest") - before)) & (before < F.col("_rest")))
-    outside = d.filter(~mine).withColumn("_more", F.coalesce(F.col("_bin") < F.col("_cut_bin"), F.lit(False)))
-    both = outside.unionByName(inside)
-    copies = F.when(F.col("size") > 0, F.least(F.col("_whole") + F.col("_more").cast("long"), F.lit(MOST))).otherwise(0).cast("int")
-    return both.select(*kept, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    bin_ = F.least(F.floor(even * bins), F.lit(bins - 1)).cast("int")
+    return d.withColumn("_q", q).withColumn("_rank", F.struct(bin_.alias("bin"), F.col("_q").alias("q"), F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("size").alias("s"))).drop("_q")
+
+
+def _sampled() -> Column:
+    """Whether a pass has taken the document into the sample."""
+    hits = ((F.col("size") <= F.col(f"_limit{k}")) & (F.col("_rank") <= F.col(f"_cut{k}")) for k in range(PASSES))
+    return F.coalesce(*(F.when(h, True) for h in hits), F.lit(False))
+
+
+def plan_mix(sizes: DataFrame, scratch: Scratch, seed: int = SEED, tilt: float = TILT, bins: int = BINS) -> DataFrame:
+    """One row a source: source_size, target, whole copies, odds, and for each pass the longest size and where it ends in the rank order."""
+    plan = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = plan.withColumn("_whole", F.floor(rate + 1e-12).cast("long")).withColumn("_gap", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))
+    f = F.least(F.greatest(F.col("_gap") / F.greatest(F.col("source_size"), F.lit(1)), F.lit(1e-12)), F.lit(1 - 1e-12))
+    plan = plan.withColumn("_odds", f / (1 - f))
+    none = F.lit(None).cast("struct<bin:int,q:double,d:bigint,s:bigint>")
+    for k in range(PASSES):
+        plan = plan.withColumn(f"_limit{k}", F.lit(1 << 62) if k == 0 else F.lit(0).cast("long")).withColumn(f"_cut{k}", none)
+    plan = scratch.save(plan.coalesce(1), "targets")
+    for k in range(PASSES):
+        if k:
+            plan = plan.withColumn(f"_limit{k}", F.floor("_gap").cast("long"))
+        plan = scratch.save(_pass(_ranked(sizes, plan, seed, tilt, bins), plan, k, scratch).coalesce(1), f"plan-{k}")
+    return plan
+
+
+def _pass(ranked: DataFrame, plan: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    d = ranked.filter((F.col("size") > 0) & (F.col("size") <= F.col(f"_limit{k}")) & ~_sampled()).select("source", "size", "_rank", "_gap")
+    by_bin = d.groupBy("source", F.col("_rank.bin").alias("_bin")).agg(F.sum("size").alias("_words"), F.first("_gap").alias("_gap"))
+    run = F.sum("_words").over(Window.partitionBy("source").orderBy("_bin"))  # at most BINS rows a source
+    by_bin = by_bin.withColumn("_before", run - F.col("_words")).filter("_before < _gap")
+    last = by_bin.groupBy("source").agg(F.max(F.struct("_bin", "_before")).alias("_at"))
+    last = scratch.save(last.select(F.col("source").alias("_source"), F.col("_at._bin").alias("_cut_bin"), F.col("_at._before").alias("_start")).coalesce(1), f"bins-{k}")
+    inside = d.join(last, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_rank.bin") == F.col("_cut_bin")))
+    order = Window.partitionBy("source").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_upto", F.col("_start") + F.sum("size").over(order)).filter("_upto <= _gap")
+    cut = inside.groupBy("source").agg(F.max("_rank").alias("_last"), F.max("_upto").alias("_upto"))
+    both = plan.join(last, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    both = both.join(cut.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
+    below = F.struct(F.col("_cut_bin").alias("bin"), F.lit(-1.0).alias("q"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("s"))
+    found = F.when(F.col("_cut_bin").isNotNull(), F.coalesce("_last", below))
+    names = [c for c in plan.columns if c not in (f"_cut{k}", "_gap")]
+    return both.select(*names, found.alias(f"_cut{k}"), (F.col("_gap") - F.coalesce("_upto", "_start", F.lit(0))).alias("_gap"))
+
+
+def mix(docs: DataFrame, plan: DataFrame, seed: int = SEED, tilt: float = TILT, bins: int = BINS) -> DataFrame:
+    """docs: doc_id, source, size and what else is to be kept. Adds source_size, target, copies (int), taken (long)."""
+    d = _ranked(docs, plan, seed, tilt, bins)
+    copies = F.when(F.col("size") > 0, F.least(F.col("_whole") + _sampled().cast("long"), F.lit(MOST))).otherwise(0).cast("int")
+    return d.select(*docs.columns, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -83,5 +108,17 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def op9(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    sizes = Scratch(spark, "mix").save(sized(docs), "sizes")  # the words are counted once; a few bytes a document
-    return mix(sizes).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    scratch = Scratch(spark, "mix")
+    sizes = scratch.save(sized(docs), "sizes")  # the words are counted once; a few bytes a document
+    return mix(sizes, plan_mix(sizes, scratch)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents as often as the mix takes them, with the columns they came with. Texts are not shuffled: the plan has a row a source."""
+    scratch = Scratch(spark, "mix")
+    plan = plan_mix(scratch.save(sized(docs), "sizes"), scratch)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    d = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), "source", size)
+    d = mix(d, plan).filter("copies > 0")
+    return d.select("_row", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select("_row.*")
