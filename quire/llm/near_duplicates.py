@@ -2,13 +2,13 @@
 
 1. Equal word sequences form classes; one document stands for each. Every representative has a set of distinct shingles and SIZE minima, of which one byte each
    is kept as signature, and BANDS band keys of ROWS minima.
-2. In every bucket of a band the members are paired with two hubs (smallest and largest id), not with each other.
-3. Signatures of pairs are compared batch by batch. After each batch, a pair goes if the posterior probability that its similarity
-   reaches the threshold, given the matches so far, is below MISS. Survivors are confirmed on their full shingle sets.
-4. Components of the confirmed links are found by alternating large-star and small-star steps, each written to the shared folder.
-5. Buckets that still hold members of different components are compared in full: their members are dealt to blocks, pairs of blocks meet in a
-   task, and only those pairs of different components that survive step 3's test leave it; they are confirmed likewise. So no bucket is capped and no link
-   that the bands can see is lost; members that are already connected are never paired.
+2. Representatives that share a bucket of some band are candidates. Buckets are chained to families through one member each, by alternating
+   large-star and small-star steps over tables in the shared folder; pairs are never listed.
+3. A family's members, each with signature and shingle set, are dealt to blocks of BLOCK, and every two blocks meet in a task. There, signatures are
+   compared batch by batch, and a pair goes if the posterior probability that its similarity reaches the threshold, given the matches so far,
+   is below MISS. Survivors are confirmed on their full sets at once. Members that links already connect are not compared
+   again, so a block leaves a forest of links, at most one a member.
+4. Components of the links are found by the same steps. No bucket, family or partner is capped.
 
 Nulls: null and empty texts have no shingles and stay alone. A null doc_id takes a stand-in number above all others, made of its text;
 its component_id is null unless a document with an id is in its component. Rows of one doc_id count as one document in links. A text of
@@ -17,11 +17,9 @@ under five words has its whole sequence as its only shingle. Extra columns are i
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +29,7 @@ from .common import Scratch, documents, small_batches
 from .shingles import MinHash, hashes, words
 
 #: At similarity 0.75 a pair shares no band with probability (1 - 0.75**5)**40 = 2e-5; at 0.8 with 1e-7.
-ROWS, BANDS, BATCH, MISS, SEED, BLOCK = 5, 40, 20, 1e-5, 606, 512
+ROWS, BANDS, BATCH, MISS, SEED, BLOCK = 5, 40, 20, 1e-5, 606, 1024
 SIZE = ROWS * BANDS
 NO_ID = 1 << 62
 _made: dict[int, MinHash] = {}
@@ -104,18 +102,6 @@ def _sketches(d: DataFrame) -> DataFrame:
     return d.select(_id().alias("id"), "doc_id", "text").mapInArrow(sketch, "id long, doc_id long, key binary, n_shingles long, sig binary, bands array<long>")
 
 
-def _bayes(least: list[int]):
-    @F.pandas_udf("boolean")
-    def test(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.zeros(len(a), dtype=bool)
-        if len(a):
-            x, y = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(len(v), SIZE) for v in (a, b))
-            out[survivors(x, y, least)] = True
-        return pd.Series(out)
-
-    return test
-
-
 def _sets(d: DataFrame) -> DataFrame:
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,21 +111,6 @@ def _sets(d: DataFrame) -> DataFrame:
     return d.select("id", "text").mapInArrow(shingle_sets, "id long, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, d: DataFrame, scratch: Scratch, step: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    pairs = scratch.save(pairs, f"{step}-pairs")
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = d.select(_id().alias("id"), "text").join(involved, "id", "left_semi").dropDuplicates(["id"])
-    sets = scratch.save(_sets(texts), f"{step}-sets")
-    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(one, "a").join(two, "b")
-    links = joined.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    links = scratch.save(links, f"{step}-links")
-    scratch.drop(f"{step}-sets")
-    return links
-
-
 def components(links: DataFrame, scratch: Scratch, step: str) -> DataFrame:
     """id, component (the smallest id that is reachable) for every id in a link (a, b)."""
     edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{step}-0")
@@ -160,43 +131,50 @@ def components(links: DataFrame, scratch: Scratch, step: str) -> DataFrame:
         state = (now["n"], now["h"])
 
 
-def _unsettled(members: DataFrame, least: list[int]) -> DataFrame:
-    """Pairs (a, b) of different components within the blocks (key, i, j) that survive the sequential test. members: key, i, j, block, id, component, sig."""
+def forest(ids: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: list[int], percent: int) -> Iterator[tuple[int, int]]:
+    """Confirmed links between members at ``left`` and at ``right`` (the same places: each pair once) that connect what no link before has connected."""
+    label = np.arange(len(ids))
+    same = len(left) == len(right) and bool((left == right).all())
+    for a in left.tolist():
+        other = right[(label[right] != label[a]) & ((right > a) if same else True)]
+        if not len(other):
+            continue
+        for c in other[survivors(np.broadcast_to(sig[a], (len(other), SIZE)), sig[other], least)].tolist():
+            if label[c] == label[a]:
+                continue
+            both = len(np.intersect1d(sets[a], sets[c], assume_unique=True))
+            if 100 * both >= percent * (len(sets[a]) + len(sets[c]) - both):
+                label[label == label[c]] = label[a]
+                yield int(ids[a]), int(ids[c])
 
-    def compare(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sig = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint8).reshape(len(rows), SIZE)
-        ids, comp, block = (rows[c].to_numpy() for c in ("id", "component", "block"))
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left = np.flatnonzero(block == i)
-        for at in left.tolist():
-            other = np.flatnonzero((block == j) & (ids > ids[at] if i == j else True) & (comp != comp[at]))
-            if len(other):
-                kept = other[survivors(sig[np.full(len(other), at)], sig[other], least)]
-                if len(kept):
-                    yield np.minimum(ids[at], ids[kept]), np.maximum(ids[at], ids[kept])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pd.DataFrame | None = None
+def _links(members: DataFrame, least: list[int], percent: int) -> DataFrame:
+    """Links (a, b) within the pairs of blocks. members: family, i, j, block, id, sig, shingles."""
 
-        def flush(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
-            for _, group in rows.groupby(["key", "i", "j"], sort=False):
-                if len(group) > 1:
-                    for a, b in compare(group):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(rows) < 2:
+                return
+            block = np.array([r[0] for r in rows])
+            sig = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8).reshape(len(rows), SIZE)
+            left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+            found = list(forest(np.array([r[1] for r in rows]), sig, [r[3] for r in rows], left, right, least, percent))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
         for batch in batches:
-            rows = batch.to_pandas()
-            if held is not None:
-                rows = pd.concat([held, rows], ignore_index=True)
-            last = rows.iloc[-1]
-            open_ = ((rows["key"] == last["key"]) & (rows["i"] == last["i"]) & (rows["j"] == last["j"])).to_numpy()
-            yield from flush(rows[~open_])
-            held = rows[open_].reset_index(drop=True)
-        if held is not None and len(held):
-            yield from flush(held)
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for n, row in enumerate(zip(*columns, strict=True)):
+                if row[:3] != key:
+                    yield from done()
+                    key, rows = row[:3], []
+                rows.append((*row[3:], batch.column(6)[n].values.to_numpy()))
+        yield from done()
 
-    dealt = members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = members.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
+    return dealt.select("family", "i", "j", "block", "id", "sig", "shingles").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -212,30 +190,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) ->
     scratch.drop("sketches")
 
     banded = reps.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).filter("n > 1")
-    members = scratch.save(banded.join(buckets, "key"), "members")
-    starred = members.select("id", F.explode(F.array("low", "high")).alias("hub"), "low", "high")
-    pairs = starred.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    one, two = (reps.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
-    tested = scratch.save(pairs, "starred")
-    alike = tested.join(one, "a").join(two, "b").filter(_bayes(least)("sa", "sb")).select("a", "b")
-    links = _confirmed(alike, d, scratch, "star", percent)
-    found = scratch.save(components(links, scratch, "first"), "found")
-
-    # Buckets that hold more than one component still, beyond what the hubs have settled.
-    crowd = members.filter("n > 2").select("id", "key").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = crowd.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x < y")
-    crowd = crowd.join(open_.select("key", "n"), "key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    crowd = crowd.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int"))
-    crowd = crowd.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    crowd = crowd.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "component")
-    crowd = crowd.join(reps.select("id", "sig"), "id")
-    more = _unsettled(crowd, least).join(tested, ["a", "b"], "left_anti")
-    rest = _confirmed(more, d, scratch, "rest", percent)
-    every = scratch.save(links.unionByName(rest), "links")
-    final = scratch.save(components(every, scratch, "all"), "components")
-    scratch.drop("members", "representatives", "starred")
+    buckets = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
+    chained = banded.join(buckets, "key").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    family = components(chained, scratch, "chain").withColumnRenamed("component", "family")
+    family = scratch.save(family.union(family.select(F.col("family").alias("id"), "family")).distinct(), "families")
+    size = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    texts = d.select(_id().alias("id"), "text").join(family.select("id"), "id", "left_semi")
+    sets = scratch.save(_sets(texts).dropDuplicates(["id"]), "sets")
+    m = sets.join(family, "id").join(size, "family").join(reps.select("id", "sig"), "id")
+    m = m.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
+    links = scratch.save(_links(m, least, percent), "links")
+    final = scratch.save(components(links, scratch, "link"), "components")
+    scratch.drop("representatives", "families", "sets")
 
     out = light.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
