@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents, small_batches
 
-FRAME_IDS, LEVEL, PIECES = 1 << 16, 3, 600_000
+FRAME_IDS, LEVEL, PIECES = 1 << 16, 3, 700_000
 SKIPPABLE, SEEKABLE, WITH_SUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 #: White space other than single spaces and newlines between words, where pieces can't be told apart simply.
@@ -42,6 +42,7 @@ class Encoder:
 
     The byte-level tokenizer never joins what stands before a space that a word follows with what comes after it, nor across a single newline; so
     a piece has the same ids in every text. Pieces that were seen are looked up; new ones are encoded together. Other texts are encoded at once.
+    What is remembered comes in two generations of PIECES at most: a full one becomes the older, and what is used again moves to the younger.
     """
 
     _made: dict[str, Encoder] = {}
@@ -54,8 +55,8 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.newline = self._ids("\n")
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.young: dict[str, dict[str, bytes]] = {"\n": {}, " ": {}}
+        self.old: dict[str, dict[str, bytes]] = {"\n": {}, " ": {}}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,9 +67,21 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _known(self, seen: set[str], glue: str) -> dict[str, bytes]:
+        """A dictionary that holds all of ``seen``, pieces that stand behind ``glue``."""
+        if len(self.young[glue]) > PIECES:
+            self.old[glue], self.young[glue] = self.young[glue], {}
+        young, old, new = self.young[glue], self.old[glue], []
+        for x in seen.difference(young):
+            if x in old:
+                young[x] = old[x]
+            else:
+                new.append(x)
+        if new:
+            self._learn(young, new, glue)
+        return young
+
     def _learn(self, known: dict[str, bytes], new: list[str], glue: str) -> None:
-        if len(known) > PIECES:
-            known.clear()
         ids = np.frombuffer(self._ids("".join(glue + x for x in new)), dtype="<u4")
         starts = np.flatnonzero(self.spaced[ids] if glue == " " else ids == np.frombuffer(self.newline, dtype="<u4")[0])
         if len(starts) != len(new):
@@ -86,13 +99,7 @@ class Encoder:
         firsts, laters = {line[0] for line in lines}, set()
         for line in lines:
             laters.update(line[1:])
-        for known, seen, glue in ((self.first, firsts, "\n"), (self.later, laters, " ")):
-            if new := [x for x in seen if x not in known]:
-                if len(known) + len(new) > PIECES:
-                    known.clear()
-                    new = list(seen)
-                self._learn(known, new, glue)
-        first, later, out = self.first, self.later, []
+        first, later, out = self._known(firsts, "\n"), self._known(laters, " "), []
         for doc in split:
             if doc is None:
                 out.append(b"")
