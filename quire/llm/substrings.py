@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,20 +104,18 @@ def _words(t: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_suffixes(pieces: list[bytes], phase: np.ndarray, windows: np.ndarray, bucket: np.ndarray, order: np.ndarray) -> np.ndarray:
+def repeated_suffixes(data: np.ndarray, sizes: np.ndarray, phase: np.ndarray, windows: np.ndarray, bucket: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For every window of every piece, in turn: whether an equal one comes earlier. The difference-cover sort of one block.
 
-    phase: the anchor's place in the piece. order: rank of (document, place) of each piece's first window in the corpus, so that
+    data: the pieces' bytes on end; sizes: how many each has. phase: the anchor's place in the piece. order: rank of (document, place) of each piece's first window in the corpus, so that
     the order of two equal windows is that of their pieces (they lie equally far from their anchors).
     """
     # Every piece starts where its anchor falls on a multiple of V; a gap of zeros parts it from the one before.
     lead = (-phase) % V
-    sizes = np.array([len(p) for p in pieces], dtype=np.int64)
     room = (lead + sizes + V + 7) // V * V + V
     base = np.concatenate([[0], np.cumsum(room)[:-1]]) + lead
     t = np.zeros(int(room.sum()) + 2 * LENGTH, dtype=np.uint8)
-    for b, p in zip(base.tolist(), pieces, strict=True):
-        t[b : b + len(p)] = np.frombuffer(p, dtype=np.uint8)
+    t[np.repeat(base - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(data))] = data
     word = _words(t)
     # Ranks of the 80 bytes from each cover sample on, doubling 8, 16, 32, 64, then 64 + 16.
     sample = np.flatnonzero(np.isin(np.arange(len(t)) % V, COVER))
@@ -134,7 +133,7 @@ def repeated_suffixes(pieces: list[bytes], phase: np.ndarray, windows: np.ndarra
     r64 = joined(r32, r32, 32)
     r80 = joined(r64, r16, 64)
     # Suffixes.
-    which = np.repeat(np.arange(len(pieces)), windows)
+    which = np.repeat(np.arange(len(sizes)), windows)
     start = np.repeat(base, windows) + np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
     residue = start % V
     near = np.array([min(d for d in range(V) if (r + d) % V in COVER) for r in range(V)])
@@ -190,72 +189,48 @@ def _pieces(df: DataFrame) -> DataFrame:
     """df: id, text_hash, text, shared (hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, pa.binary() if n == "piece" else pa.int64()) for n in ("hash", "id", "text_hash", "place", "windows", "phase", "piece")])
+        names = ("hash", "id", "text_hash", "place", "windows", "phase")
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
+            numbers: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in names]
+            pieces: list[bytes] = []
             for doc, th, text, shared in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 t = _bytes(text)
                 h, at, first, count = anchors(t)
-                raw = t.tobytes()
                 hit = np.flatnonzero(np.isin(h, shared.values.to_numpy()))
-                for k in hit.tolist():
-                    f, c = int(first[k]), int(count[k])
-                    for col, v in zip(out, (int(h[k]), doc, th, f, c, int(at[k]) - f, raw[f : f + c + LENGTH - 1]), strict=True):
-                        col.append(v)
-                if len(out[0]) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-                    out = [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                f, c, raw = first[hit], count[hit], t.tobytes()
+                for col, v in zip(numbers, (h[hit], np.full(len(hit), doc), np.full(len(hit), th), f, c, at[hit] - f), strict=True):
+                    col.append(v)
+                pieces += [raw[a:b] for a, b in zip(f.tolist(), (f + c + LENGTH - 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in numbers), pa.array(pieces, pa.binary())], [*names, "piece"])
 
     return df.mapInArrow(run, PIECE)
 
 
 def _first_pieces(df: DataFrame) -> DataFrame:
-    """Sorted pieces: ``repeated`` is set where the piece before is equal; pieces that are alone in their bucket are left out."""
+    """Sorted pieces: ``repeated`` is set where the piece before is equal; pieces that are seen to be alone in their bucket are left out."""
     schema = T.StructType([*df.schema.fields, T.StructField("repeated", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket: list[dict] = []
-        last: tuple = ()
-        edge = True
-
-        def done(final: bool) -> Iterator[pa.RecordBatch]:
-            # A bucket of one distinct piece needs no further look, unless the partition's edge may hide others.
-            if bucket and (len(bucket) > 1 or edge or final):
-                yield batch_of(bucket, False)
-
-        def batch_of(rows: list[dict], repeated: bool) -> pa.RecordBatch:
-            cols = {n: [r[n] for r in rows] for n in names}
-            cols["repeated"] = [repeated] * len(rows)
-            if repeated:
-                cols["piece"] = [None] * len(rows)
-            return pa.RecordBatch.from_pydict(cols, schema=arrow)
-
-        names = [f.name for f in schema if f.name != "repeated"]
-        arrow = pa.schema([(n, pa.binary() if n == "piece" else pa.int64()) for n in names] + [("repeated", pa.bool_())])
-        twins: list[dict] = []
-        now = None
+        before: pa.Table | None = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["hash"] != now:
-                    yield from done(False)
-                    if bucket:
-                        edge = False
-                    bucket, now, last = [], row["hash"], ()
-                if (row["phase"], row["piece"]) == last:
-                    twins.append(row)
-                else:
-                    last = (row["phase"], row["piece"])
-                    bucket.append(row)
-                if len(bucket) >= 2000:  # a crowded bucket is passed on as it comes; it isn't alone any more
-                    yield batch_of(bucket, False)
-                    bucket, edge = [], True
-                if len(twins) >= 2000:
-                    yield batch_of(twins, True)
-                    twins = []
-        yield from done(True)
-        if twins:
-            yield batch_of(twins, True)
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            both = now if before is None else pa.concat_tables([before, now])
+            same = np.ones(len(both) - 1, dtype=bool)
+            for name in ("hash", "phase", "piece"):
+                column = both[name].combine_chunks()
+                same &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            twin = same if before is not None else np.concatenate([[False], same])
+            h = now["hash"].to_numpy()
+            bucket = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
+            # Inside the batch a bucket is whole; its first and last one may go on beyond, so they are kept.
+            alone = np.bincount(bucket, weights=~twin)[bucket] == 1
+            alone &= (bucket > 0) & (bucket < bucket[-1]) & ~twin
+            piece = pc.if_else(pa.array(twin), pa.scalar(None, pa.binary()), now["piece"].combine_chunks())
+            out = now.set_column(now.column_names.index("piece"), "piece", piece).append_column("repeated", pa.array(twin))
+            yield from out.filter(pa.array(~alone)).combine_chunks().to_batches()
+            before = now.slice(len(now) - 1)
 
     return df.mapInArrow(run, schema)
 
@@ -263,33 +238,39 @@ def _first_pieces(df: DataFrame) -> DataFrame:
 def _sorted_blocks(df: DataFrame) -> DataFrame:
     """Whole buckets are gathered to blocks of about BLOCK_BYTES and go through the difference-cover sort; gives repeated ranges."""
 
-    def block(rows: list[dict]) -> pa.RecordBatch:
-        place = sorted(range(len(rows)), key=lambda i: (rows[i]["id"], rows[i]["text_hash"], rows[i]["place"]))
+    def block(rows: pa.Table) -> pa.RecordBatch:
+        ids, th, place, windows, phase, bucket = (rows[n].to_numpy() for n in ("id", "text_hash", "place", "windows", "phase", "hash"))
         order = np.empty(len(rows), dtype=np.int64)
-        order[place] = np.arange(len(rows))
-        windows = np.array([r["windows"] for r in rows], dtype=np.int64)
-        flag = repeated_suffixes([r["piece"] for r in rows], np.array([r["phase"] for r in rows], dtype=np.int64), windows, np.array([r["hash"] for r in rows], dtype=np.int64), order)
-        out: list[list[int]] = [[], [], [], []]
-        at = 0
-        for r, n in zip(rows, windows.tolist(), strict=True):
-            for s, k in zip(*_runs(flag[at : at + n]), strict=True):
-                for col, v in zip(out, (r["id"], r["text_hash"], r["place"] + int(s), int(k)), strict=True):
-                    col.append(v)
-            at += n
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "text_hash", "place", "windows"])
+        order[np.lexsort((place, th, ids))] = np.arange(len(rows))
+        piece = rows["piece"].combine_chunks()
+        sizes = pc.binary_length(piece).to_numpy().astype(np.int64)
+        data = np.frombuffer(b"".join(piece.to_pylist()), dtype=np.uint8)
+        flag = repeated_suffixes(data, sizes, phase, windows, bucket, order)
+        at = np.concatenate([[0], np.cumsum(windows)])
+        which = np.repeat(np.arange(len(rows)), windows)
+        inner = np.arange(len(flag)) - at[which]
+        begins = np.flatnonzero(flag & ((inner == 0) | ~np.concatenate([[False], flag[:-1]])))
+        last = np.concatenate([which[1:] != which[:-1], [True]]) if len(flag) else flag
+        ends = np.flatnonzero(flag & (last | ~np.concatenate([flag[1:], [False]])))
+        w = which[begins]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[w], th[w], place[w] + inner[begins], ends - begins + 1)], ["id", "text_hash", "place", "windows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if size >= BLOCK_BYTES and row["hash"] != held[-1]["hash"]:
-                    yield block(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["piece"])
-        if held:
-            yield block(held)
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                h = rows["hash"].to_numpy()
+                cut = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
+                if cut:
+                    yield block(rows.slice(0, cut))
+                held = rows.slice(cut).combine_chunks().to_batches()
+                size = sum(b.nbytes for b in held)
+        if sum(b.num_rows for b in held):
+            yield block(pa.Table.from_batches(held).combine_chunks())
 
     return df.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, RANGE)
 
@@ -304,6 +285,9 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> D
     """id, text_hash, place, windows of the repeated windows of distinct texts. docs: id, text_hash, text."""
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    def rows_a_batch(n: int) -> None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
     def tidy(*steps: str) -> None:
         scratch.drop(*steps)
         gc.collect()  # the driver frees shuffle files of plans that nothing holds any more
@@ -317,11 +301,14 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> D
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64)), pa.array(ids[0]), pa.array(ids[1])], ["hash", "id", "text_hash"])
 
     every = scratch.save(docs.select("id", "text_hash", "text").mapInArrow(find, "hash long, id long, text_hash long"), "anchors")
+    rows_a_batch(20_000)  # rows of a few numbers
     shared = _adjacent(every.repartitionByRange(files, "hash", "id", "text_hash").sortWithinPartitions("hash", "id", "text_hash"))
     shared = scratch.save(shared.groupBy("id", "text_hash").agg(F.collect_set("hash").alias("shared")), "shared")
     tidy("anchors")
+    small_batches(spark)
     pieces = scratch.save(_pieces(docs.join(shared, ["id", "text_hash"]).select("id", "text_hash", "text", "shared")), "pieces")
     tidy("shared")
+    rows_a_batch(10_000)  # and pieces of some hundred bytes
     order = ["hash", "phase", "piece", "id", "text_hash", "place"]
     first = scratch.save(_first_pieces(pieces.repartitionByRange(files, *order).sortWithinPartitions(*order)), "first")
     tidy("pieces")
@@ -335,6 +322,7 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> D
     crowd = crowd.select("id", "text_hash", "place").join(heads, ["id", "text_hash", "place"], "left_anti").withColumn("windows", F.lit(1).cast("long"))
     out = scratch.save(whole.unionByName(blocks).unionByName(crowd), "ranges")
     tidy("first")
+    small_batches(spark)
     return out
 
 
