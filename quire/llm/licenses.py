@@ -1,7 +1,7 @@
 """Licence scan: ordered signature rules behind a keyword gate.
 
-A cheap regular expression picks the texts that can hold a licence notice at all. Those are lower-cased and cut into words, and every rule
-whose keyword they contain is searched in the words joined by single spaces. A rule has a label, a priority and a relevance. Detections are put in order of
+A cheap regular expression, made from the keywords of the rules and the base phrases, picks the texts that can hold a licence notice at all. Those are
+lower-cased and cut into words, and every rule whose keyword they contain, from a word's start on, is searched in the words joined by single spaces. A rule has a label, a priority and a relevance. Detections are put in order of
 their start, the longest and highest priority first; one that lies inside an earlier one is suppressed, as is one that overlaps an
 earlier one of higher priority. What survives gives the labels and the score.
 
@@ -11,6 +11,8 @@ have no labels (empty string) and score 0. Equal rows get equal results; extra c
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +23,7 @@ from .common import documents, let
 #: Word separators are ASCII characters other than digits and letters; case matters not, so capitals are word characters here.
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GATE = r"(?i)licen[cs]|spdx|gpl|public domain|creative commons|copyleft"
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
@@ -118,6 +120,22 @@ def signature_rules() -> list[SignatureRule]:
     return out
 
 
+def _any_of(phrases: Iterable[str]) -> str:
+    """A regular expression for the phrases; what several begin with stands in it once. One that begins with another adds nothing."""
+    rest: dict[str, set[str]] = {}
+    for p in phrases:
+        if not p:
+            return ""
+        rest.setdefault(p[0], set()).add(p[1:])
+    parts = [(f"{SEPARATOR}+" if c == " " else re.escape(c)) + _any_of(r) for c, r in sorted(rest.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def gate(rules: list[SignatureRule]) -> str:
+    """What every text holds that a rule or a base phrase can match: a keyword from a word's start on, its words parted by any separators."""
+    return f"(?i)(?:^|{SEPARATOR})" + _any_of({r.keyword for r in rules} | {" ".join(phrase) for _, phrase in BASE})
+
+
 def _intervals(text: Column, rule: Column) -> Column:
     """Start, end and rule of each match. The pieces between matches give the places."""
 
@@ -161,7 +179,7 @@ def _resolved(hits: Column) -> Column:
 def scan(docs: DataFrame, rules: list[SignatureRule] | None = None) -> DataFrame:
     rules = signature_rules() if rules is None else rules
     d = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
-    gated = F.when(F.col("_t").rlike(GATE), F.translate("_t", CAPITALS, SMALL))
+    gated = F.when(F.col("_t").rlike(gate(rules)), F.translate("_t", CAPITALS, SMALL))
     d = d.select("doc_id", F.regexp_count("_t", F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"), F.regexp_extract_all(gated, F.lit(LOWER_WORD), F.lit(0)).alias("_w"))
 
     def places(phrase: tuple[str, ...]) -> Column:
@@ -181,7 +199,7 @@ def scan(docs: DataFrame, rules: list[SignatureRule] | None = None) -> DataFrame
     d = d.select("doc_id", "n_words", "_w", *(v.alias(f"_at_{k}") for k, v in found.items()))
     table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(float(r.relevance)).alias("relevance")) for r in rules))
     joined = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))
-    hits = let(joined, lambda t: F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.contains(t, r["keyword"])), lambda r: _intervals(t, r)))))
+    hits = let(joined, lambda t: F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.contains(t, F.concat(F.lit(" "), r["keyword"]))), lambda r: _intervals(t, r)))))
     d = d.withColumn("_found", F.when(F.col("_w").isNotNull(), let(hits, _resolved)))
     base = F.array_compact(F.array(*(F.when(F.size(f"_at_{k}") > 0, F.lit(k)) for k, _ in BASE)))
     every = F.array_sort(F.flatten(F.array(*(F.col(f"_at_{k}") for k, _ in BASE))))

@@ -376,6 +376,30 @@ def test_licence_scan(spark, docs, none):
     assert len(rules) > 200 and all(re.compile(r.regex) for r in rules)
 
 
+#: Notices without the word licence, or with other separators than one space.
+UNGATED = {
+    1: ("Distributed under Apache-2.0.", "apache-2.0"),
+    2: ("Code: MPL-2.0", "mpl-2.0"),
+    3: ("CC-BY-4.0", "cc-by-4.0"),
+    4: ("released under the MIT", "mit"),
+    5: ("Creative\nCommons Attribution 4.0", "cc-by-4.0"),
+    6: ("given into the public\n  domain", "public-domain"),
+    7: ("\u00e9mit 2.0 submit apache2", ""),
+}
+
+
+def test_the_gate_loses_nothing(spark, docs, rows, monkeypatch):
+    texts = [(k, v[0]) for k, v in UNGATED.items()] + [(100 + k, v[0]) for k, v in CASES.items()]
+    d = spark.createDataFrame(texts, "doc_id long, text string").union(docs.select("doc_id", "text"))
+    got = [tuple(r) for r in licenses.scan(d).collect()]
+    labels = {r[0]: r[6] for r in got[: len(UNGATED)]}
+    assert all(set(filter(None, v[1].split(","))) <= set(labels[k].split(",")) and bool(labels[k]) == bool(v[1]) for k, v in UNGATED.items()), labels
+    monkeypatch.setattr(licenses, "gate", lambda rules: "")
+    every = [tuple(r) for r in licenses.scan(d).collect()]
+    key = lambda r: str(r)
+    assert sorted(got, key=key) == sorted(every, key=key)
+
+
 def test_contained_detections_are_suppressed(spark):
     d = spark.createDataFrame([(1, "released under the apache software license version 2.0 ok")], "doc_id long, text string")
     assert licenses.scan(d).first()["labels"] in ("apache", "apache-2.0", "apache,apache-2.0")
