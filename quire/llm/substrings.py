@@ -364,6 +364,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     copies = scratch.save(keys.select("id", "text_hash").distinct().join(heads, ["id", "text_hash"], "left_anti").withColumn("copy", F.lit(True)), "copies")
     marked = d.join(copies, ["id", "text_hash"], "left")
     distinct = marked.filter("copy IS NULL").filter(F.octet_length("text") >= LENGTH).select("id", "text_hash", "text")
+    again = scratch.save(keys.groupBy("id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
+    if not again.isEmpty():  # rows that are one document go in once; the other texts need no shuffle for that
+        once = distinct.join(again, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"])
+        distinct = distinct.join(again, ["id", "text_hash"], "left_anti").unionByName(once)
     found = repeated_ranges(spark, distinct, scratch)
     ranges = found.groupBy("id", "text_hash").agg(F.collect_list(F.struct("place", "windows")).alias("ranges"))
     final = marked.join(ranges, ["id", "text_hash"], "left").select("doc_id", "text", "ranges", F.coalesce("copy", F.lit(False)).alias("copy"))

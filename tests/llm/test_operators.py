@@ -320,6 +320,18 @@ def test_repeated_substrings(spark, docs, rows, none, monkeypatch):
     assert substrings.op7(spark, docs).count() == len(rows)
 
 
+def test_repeated_rows_keep_their_first_occurrence(spark, docs, rows):
+    nameless = "two rows without an id have this text of more than one hundred bytes, which stands nowhere else in the whole corpus"
+    extra = [(None, nameless, "en", "s1", 1, "c", "c", "c")] * 2
+    every, want = rows + extra, brute_removal(rows + extra)
+    d = docs.union(spark.createDataFrame(extra, docs.schema))
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.op7(spark, d).collect())
+    # Of rows that share doc_id and text brute force sees the second as a repeat; the first one's result holds for each.
+    first = brute_removal([r for i, r in enumerate(every) if r not in every[:i]])
+    assert got == sorted((str(r[0]), *first[(r[0], r[1])]) for r in every)
+    assert first[(None, nameless)][1] == 0 and want[(None, nameless)][1] == len(nameless)
+
+
 def test_difference_cover_sort_finds_equal_windows():
     rng = np.random.default_rng(5)
     assert {(a - b) % substrings.V for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.V))
