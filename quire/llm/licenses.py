@@ -28,13 +28,13 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 
-#: label, keyword, name as it reads in lower-case words, SPDX id in words, versions (as words) if any
+#: label, keyword (which every form of the name holds), name as it reads in lower-case words, SPDX id in words, versions (as words) if any
 FAMILIES = (
     ("mit", "mit", "mit", "mit", ()),
     ("mit-0", "mit", "mit no attribution", "mit 0", ()),
     ("apache", "apache", "apache(?: software)?", "apache", ("1 0", "1 1", "2 0")),
     ("gpl", "general public", "(?:gnu )?general public", "gpl", ("1 0", "2 0", "3 0")),
-    ("lgpl", "lesser general", "(?:gnu )?(?:lesser|library) general public", "lgpl", ("2 0", "2 1", "3 0")),
+    ("lgpl", "general public", "(?:gnu )?(?:lesser|library) general public", "lgpl", ("2 0", "2 1", "3 0")),
     ("agpl", "affero", "(?:gnu )?affero general public", "agpl", ("1 0", "3 0")),
     ("gfdl", "free documentation", "(?:gnu )?free documentation", "gfdl", ("1 1", "1 2", "1 3")),
     ("bsd-2-clause", "bsd", "(?:simplified|2 clause) bsd", "bsd 2 clause", ()),
@@ -64,7 +64,7 @@ FAMILIES = (
     ("ruby", "ruby", "ruby", "ruby", ()),
     ("openssl", "openssl", "openssl(?: ssleay)?", "openssl", ()),
     ("ofl", "open font", "(?:sil )?open font", "ofl", ("1 0", "1 1")),
-    ("odbl", "open database", "open(?: data commons)? (?:open )?database", "odbl", ("1 0",)),
+    ("odbl", "database", "open(?: data commons)? (?:open )?database", "odbl", ("1 0",)),
     ("osl", "open software", "open software", "osl", ("1 0", "2 0", "2 1", "3 0")),
     ("afl", "academic free", "academic free", "afl", ("1 1", "2 0", "2 1", "3 0")),
     ("ms-pl", "microsoft public", "microsoft public", "ms pl", ()),

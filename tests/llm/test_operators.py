@@ -412,6 +412,42 @@ def test_the_gate_loses_nothing(spark, docs, rows, monkeypatch):
     assert sorted(got, key=key) == sorted(every, key=key)
 
 
+def spelled(tree):
+    """The texts a parsed regular expression matches, with what is repeated once or, if it may be, left out."""
+    out = [""]
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            parts = [chr(arg)]
+        elif kind == "IN":
+            parts = [chr(v) if str(o) == "LITERAL" else "x" for o, v in arg]
+        elif kind == "BRANCH":
+            parts = [x for branch in arg[1] for x in spelled(branch)]
+        elif kind == "SUBPATTERN":
+            parts = spelled(arg[3])
+        elif kind == "MAX_REPEAT":
+            parts = spelled(arg[2]) + ([""] if arg[0] == 0 else [])
+        else:
+            assert kind == "ASSERT"
+            parts = [" "]  # the space that has to follow
+        out = [a + b for a in out for b in parts]
+    return out
+
+
+def test_every_form_of_a_rule_holds_its_keyword():
+    rules = licenses.signature_rules()
+    gate = re.compile(licenses.gate(rules))
+    for r in rules:
+        for text in spelled(re._parser.parse(r.regex)):
+            assert re.match(r.regex, text) and " " + r.keyword in text and gate.search(text), (r, text)
+
+
+def test_library_name_of_the_lgpl(spark):
+    texts = [(1, "GNU Library General Public License"), (2, "under the GNU Library General Public License, version 2.0"), (3, "Open Data Commons Database License")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert "lgpl" in got[1].split(",") and "lgpl-2.0" in got[2].split(",") and got[3] == "odbl"
+
+
 def test_contained_detections_are_suppressed(spark):
     d = spark.createDataFrame([(1, "released under the apache software license version 2.0 ok")], "doc_id long, text string")
     assert licenses.scan(d).first()["labels"] in ("apache", "apache-2.0", "apache,apache-2.0")
