@@ -5,8 +5,8 @@ language and tokenizer. It counts only once its marker stands in ``commits``, a
 batch that is sent again, or whose writer died half-way, changes nothing or is simply run again. Totals are sums over the deltas of the
 committed batches. Inserts add counts; deletes take back whatever the ledger holds for a document; revised counts take back and add.
 
-Nulls: null sources, languages and texts (no tokens) are values like others. Documents with a null doc_id can be inserted but not addressed by
-deletes. Repeated rows count each. Batches without rows commit like others.
+Nulls: null sources, languages and texts (no tokens) are values like others. Documents with a null doc_id can be inserted but not addressed:
+deletes and revised counts leave what they have as it is. Repeated rows count each. Batches without rows commit like others.
 """
 
 from __future__ import annotations
@@ -92,7 +92,8 @@ class TokenRollup:
         return self.commit(batch, self._back(ids.select("doc_id")))
 
     def revise(self, batch: str, counts: DataFrame) -> bool:
-        """New counts for documents and tokenizers: the old ones are taken back."""
+        """New counts for documents and tokenizers: the old ones are taken back. Those of null doc_ids, whose old ones can't be, are left out."""
+        counts = counts.filter("doc_id IS NOT NULL")
         return self.commit(batch, self._back(counts.select("doc_id", "tokenizer")).unionByName(self._signed(counts, 1)))
 
     @staticmethod

@@ -135,6 +135,14 @@ def test_rollups_are_idempotent_and_undo(spark, docs, rows, none):
     assert store.insert("empty", rollups.counted_words(none)) and total() == before
 
 
+def test_revised_counts_leave_null_ids_alone(spark):
+    store = rollups.TokenRollup(spark, Scratch(spark, "test").path("store"))
+    schema = "doc_id long, source string, lang string, tokenizer string, tokens long"
+    store.insert("load", spark.createDataFrame([(1, "s", "de", "words", 2), (None, "s", "de", "words", 3)], schema))
+    store.revise("more", spark.createDataFrame([(1, "s", "de", "words", 20), (None, "s", "de", "words", 30)], schema))
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "de", "words", 2, 23)]
+
+
 def test_rollup_with_the_tokenizer(spark, docs, rows):
     got = {r["doc_id"]: r["tokens"] for r in rollups.counted(docs, tokens.default_tokenizer(), "v").collect()}
     assert all(got[r[0]] == len(raw) // 4 for r, raw in zip(rows, whole_ids([r[1] for r in rows]), strict=True))
