@@ -43,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Python workers get the package, and whole texts in batches that stay small even when all of them are long."""
+    """Python workers get the package, and rows in batches that are bounded by their bytes, however long the texts are."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
 
 

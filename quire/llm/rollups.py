@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, documents, small_batches, table
-from .tokens import Encoder, default_tokenizer
+from .tokens import TEXT_BYTES, Encoder, default_tokenizer, gathered
 
 KEY = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
@@ -30,9 +30,9 @@ def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch in batches:
-            n = [len(raw) // 4 for raw in encoder.encode(batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64())], ["doc_id", "source", "lang", "tokens"])
+        for batch in gathered(batches, 3, TEXT_BYTES):
+            _, n = encoder.encode(batch.column(3))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n)], ["doc_id", "source", "lang", "tokens"])
 
     d = documents(docs, "source", "lang").select("doc_id", "source", "lang", "text")
     d = d.mapInArrow(count, "doc_id long, source string, lang string, tokens long")

@@ -9,13 +9,16 @@ A byte goes if a string of LENGTH bytes that covers it also starts earlier in th
    suffix bucket. Pieces are range-sorted by (bucket, bytes, place); a piece equal to its neighbour before is repeated as a whole.
 3. What remains, distinct pieces of buckets that hold several, goes through the difference-cover sort, a few buckets at a time: positions are
    counted from the anchor, so that equal windows agree modulo the period V. The ranks of cover-sample strings are found by doubling; suffixes are
-   sorted by their first 16 bytes, ties by the ranks of the samples that follow, then by the last 16 bytes, and the first of each run of equals stays. Memory is bounded by
-   the block, not by the corpus. Buckets with more than CROWD distinct pieces are dealt out suffix by suffix instead, by all their LENGTH bytes.
+   sorted by their bucket and the ranks of the samples that follow, ties by the first and last 8 bytes, which the samples may leave open, and the first of each run of equals stays.
+   A bucket with more than CROWD pieces would not fit a block: it is refined. Its pieces are cut where the distance from the anchor passes a multiple of REFINE[0], all windows between two
+   cuts share a core of bytes around the anchor, and (anchor, distance, core) is the new bucket. Equal windows have equal cores, so steps 2 and 3 are simply taken again
+   with the refined buckets; those that are still crowded are cut to single windows, whose core is the whole window. Memory is bounded by the block, not by the corpus or a bucket.
 4. The repeated ranges of each document are merged and cut out.
 
 Range sorts split a hot key over partitions: order includes the place. Where a partition begins, the neighbour is unknown, and the row is kept as
 if it were new; step 3 sees it beside its twin. Nulls: a null text is empty; null doc_ids come last, in order of their texts. Rows that share
-doc_id and text are one document (the first occurrence stays in each); rows that share only doc_id are ordered by text hash.
+doc_id and text are one document (the first occurrence stays in each); rows that share only doc_id are ordered by text hash. Texts of under LENGTH
+bytes are kept as they are; very long ones are read in chunks and their pieces sent on in batches of some MB. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ from pyspark.sql import types as T
 
 from .common import Scratch, small_batches
 
-LENGTH, GRAM, CROWD, BLOCK_BYTES, CHUNK = 100, 40, 4000, 1 << 22, 1 << 19
+LENGTH, GRAM, CROWD, BLOCK_BYTES, CHUNK, OUT_BYTES = 100, 40, 4000, 1 << 20, 1 << 15, 1 << 21
+#: Windows are this far apart, seen from the anchor, when they part company as a crowded bucket is refined.
+REFINE = (16, 1)
 #: Differences of these residues cover all residues modulo V.
 V, COVER = 16, (0, 1, 2, 5, 8)
 NULL_ID = (1 << 63) - 1
@@ -42,15 +47,21 @@ NULL_ID = (1 << 63) - 1
 _MULTIPLIERS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1) ** 3) % (1 << 64)) for k in range(8)]
 
 
-def anchors(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of LENGTH bytes with the same anchor: hash, the anchor's place, first window and number of windows."""
+def anchors(t: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of LENGTH bytes with the same anchor: hash, the anchor's place, first window and number of windows.
+
+    t may hold several texts on end, which end at ``ends``; windows lie inside one of them.
+    """
+    ends = np.array([len(t)]) if ends is None else ends
     if len(t) < LENGTH:
         return (np.zeros(0, dtype=np.int64),) * 4
-    parts = [_anchors(t[at : at + CHUNK + LENGTH - 1], at) for at in range(0, len(t) - LENGTH + 1, CHUNK)]
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    parts = [_anchors(t[at : at + CHUNK + LENGTH - 1], at, ends) for at in range(0, len(t) - LENGTH + 1, CHUNK)]
+    h, place, first, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(place)])  # runs that a chunk's end has cut are joined
+    return h[new], place[new], first[new], np.add.reduceat(count, new) if len(new) else count
 
 
-def _anchors(t: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
+def _anchors(t: np.ndarray, at: int, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     h = t.astype(np.uint64) + np.uint64(1)
     n, mult = 1, _MULTIPLIERS[0]
     by = {1: h}
@@ -76,18 +87,38 @@ def _anchors(t: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
     windows = len(t) - LENGTH + 1
     least = np.minimum(least[:windows], least[width - n : width - n + windows])
     place = (least & np.uint64((1 << 20) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    count = np.diff(np.concatenate([first, [windows]]))
-    return h[place[first]].view(np.int64), place[first] + at, first + at, count
-
-
-def _bytes(text: str | None) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8) if text else np.zeros(0, dtype=np.uint8)
+    inside = np.ones(windows, dtype=bool)  # windows that cross no text's end
+    for end in ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + len(t))].tolist():
+        inside[max(0, end - at - LENGTH + 1) : max(0, end - at)] = False
+    kept = np.flatnonzero(inside)
+    place = place[kept]
+    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(place)])
+    return h[place[new]].view(np.int64), place[new] + at, kept[new] + at, np.diff(np.append(new, len(place)))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings on end, and where each begins and the last ends."""
+    if not len(column):
+        return np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    _, offsets, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(offsets, dtype=wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    t = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return t[at[0] : at[-1]], at - at[0]
+
+
+def _binary(t: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Stretches of t as values of their own."""
+    upto = np.cumsum(sizes)
+    total = int(upto[-1]) if len(upto) else 0
+    data = t[np.repeat(first - (upto - sizes), sizes) + np.arange(total)]
+    offsets = np.concatenate([[0], upto]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
     """Dense ranks."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s = key[order]
     new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])]) if len(s) else np.zeros(0, dtype=np.int64)
     out = np.empty(len(key), dtype=np.uint64)
@@ -132,23 +163,30 @@ def repeated_suffixes(data: np.ndarray, sizes: np.ndarray, phase: np.ndarray, wi
     r32 = joined(r16, r16, 16)
     r64 = joined(r32, r32, 32)
     r80 = joined(r64, r16, 64)
-    # Suffixes.
+    # Suffixes. The nearest sample is less than 8 bytes away, and the farthest that ends within LENGTH leaves less than 8 bytes behind it.
     which = np.repeat(np.arange(len(sizes)), windows)
     start = np.repeat(base, windows) + np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
     residue = start % V
     near = np.array([min(d for d in range(V) if (r + d) % V in COVER) for r in range(V)])
     far = np.array([max(d for d in range(LENGTH - 80 + 1) if (r + d) % V in COVER) for r in range(V)])
-    keys = [
-        _ranks(bucket[which].view(np.uint64)), residue.astype(np.uint64), word[start], word[start + 8],
-        r80[slot[start + near[residue]]], r80[slot[start + far[residue]]], word[start + LENGTH - 16], word[start + LENGTH - 8],
-    ]
-    sorted_ = np.lexsort((order[which], *reversed(keys)))
-    same = np.ones(max(0, len(sorted_) - 1), dtype=bool)
+    # Bucket and residue, then the two ranks: each of them is below 2 ** 32, as a block is.
+    lot, one, two = (_ranks(bucket.view(np.uint64))[which] << np.uint64(4)) | residue.astype(np.uint64), r80[slot[start + near[residue]]], r80[slot[start + far[residue]]]
+    lot = _ranks((lot << np.uint64(32)) | one) if len(lot) else lot
+    key = (lot << np.uint64(32)) | two
+    sorted_ = np.argsort(key)
+    s = key[sorted_]
+    twin = s[1:] == s[:-1]
+    tied = np.concatenate([[False], twin]) | np.concatenate([twin, [False]]) if len(s) else np.zeros(0, dtype=bool)
+    sorted_, group = sorted_[tied], np.cumsum(np.concatenate([[True], ~twin])[: len(s)])[tied]
+    # Ties only: the bytes before the near and behind the far sample, then the order in the corpus.
+    keys = [group, word[start[sorted_]], word[start[sorted_] + LENGTH - 8]]
+    again = np.lexsort((order[which[sorted_]], *reversed(keys)))
+    same = np.ones(max(0, len(again) - 1), dtype=bool)
     for k in keys:
-        s = k[sorted_]
+        s = k[again]
         same &= s[1:] == s[:-1]
     out = np.zeros(len(which), dtype=bool)
-    out[sorted_[1:][same]] = True
+    out[sorted_[again[1:][same]]] = True
     return out
 
 
@@ -185,27 +223,69 @@ PIECE = "hash long, id long, text_hash long, place long, windows long, phase lon
 RANGE = "id long, text_hash long, place long, windows long"
 
 
+NUMBERS = ("hash", "id", "text_hash", "place", "windows", "phase")
+
+
+def _batched(t: np.ndarray, numbers: tuple[np.ndarray, ...], begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pieces in batches of about OUT_BYTES. numbers: NUMBERS; begin: where each piece begins in t."""
+    sizes = numbers[4] + LENGTH - 1
+    upto = np.cumsum(sizes)
+    cuts = np.flatnonzero(np.diff(upto // OUT_BYTES)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+        if a < b:
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[a:b]) for x in numbers), _binary(t, begin[a:b], sizes[a:b])], [*NUMBERS, "piece"])
+
+
 def _pieces(df: DataFrame) -> DataFrame:
     """df: id, text_hash, text, shared (hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("hash", "id", "text_hash", "place", "windows", "phase")
         for batch in batches:
-            numbers: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in names]
-            pieces: list[bytes] = []
-            for doc, th, text, shared in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                t = _bytes(text)
-                h, at, first, count = anchors(t)
-                hit = np.flatnonzero(np.isin(h, shared.values.to_numpy()))
-                f, c, raw = first[hit], count[hit], t.tobytes()
-                for col, v in zip(numbers, (h[hit], np.full(len(hit), doc), np.full(len(hit), th), f, c, at[hit] - f), strict=True):
-                    col.append(v)
-                pieces += [raw[a:b] for a, b in zip(f.tolist(), (f + c + LENGTH - 1).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in numbers), pa.array(pieces, pa.binary())], [*names, "piece"])
+            t, at = _flat(batch.column(2))
+            h, place, first, count = anchors(t, at[1:])
+            text = np.searchsorted(at, first, "right") - 1
+            lists = batch.column(3)
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            mine = lambda hashes, of: hashes ^ (of * 0x9E3779B97F4A7C1)  # noqa: E731 -- equal numbers by chance only add a piece
+            hit = np.flatnonzero(np.isin(mine(h, text), mine(lists.flatten().to_numpy(), owner)))
+            h, place, first, count, text = (x[hit] for x in (h, place, first, count, text))
+            ids, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield from _batched(t, (h, ids[text], th[text], first - at[text], count, place - first), first)
 
     return df.mapInArrow(run, PIECE)
 
 
+def _refined(df: DataFrame, width: int) -> DataFrame:
+    """The pieces cut where their windows' distance from the anchor passes a multiple of ``width``; a bucket holds those with the same anchor, distance and core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, ids, th, place, windows, phase = (batch.column(n).to_numpy() for n in NUMBERS)
+            t, at = _flat(batch.column("piece"))
+            level, low = phase // width, (phase - windows + 1) // width  # a piece's windows lie phase, phase - 1, ... before the anchor
+            n = level - low + 1
+            of = np.repeat(np.arange(len(h)), n)
+            level = np.repeat(level, n) - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+            top = np.minimum(phase[of], (level + 1) * width - 1)
+            bottom = np.maximum(phase[of] - windows[of] + 1, level * width)
+            skip = phase[of] - top
+            # What all windows of the level have in common: from the latest one's start to the earliest one's end.
+            core = at[of] + phase[of] - level * width
+            bucket = _hashed(t, core, LENGTH - width + 1) ^ (h[of].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (level.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            yield from _batched(t, (bucket.view(np.int64), ids[of], th[of], place[of] + skip, top - bottom + 1, top), at[of] + skip)
+
+    return df.mapInArrow(run, PIECE)
+
+
+def _hashed(t: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` bytes from each begin on. Different bytes with equal hashes share a bucket and are told apart there."""
+    out = np.zeros(len(begin), dtype=np.uint64)
+    for k in range(size):
+        out = (out ^ (t[begin + k].astype(np.uint64) + np.uint64(1))) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def _first_pieces(df: DataFrame) -> DataFrame:
     """Sorted pieces: ``repeated`` is set where the piece before is equal; pieces that are seen to be alone in their bucket are left out."""
     schema = T.StructType([*df.schema.fields, T.StructField("repeated", T.BooleanType())])
@@ -275,19 +355,10 @@ def _sorted_blocks(df: DataFrame) -> DataFrame:
     return df.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, RANGE)
 
 
-def _suffixes(df: DataFrame) -> DataFrame:
-    """Every window of a piece as a row of its own."""
-    each = df.select("id", "text_hash", "place", "piece", F.explode(F.sequence(F.lit(0), F.col("windows").cast("int") - 1)).alias("k"))
-    return each.select("id", "text_hash", (F.col("place") + F.col("k")).alias("place"), F.substring("piece", F.col("k") + 1, F.lit(LENGTH)).alias("suffix"))
-
-
 def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """id, text_hash, place, windows of the repeated windows of distinct texts. docs: id, text_hash, text."""
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def rows_a_batch(n: int) -> None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
-
     def tidy(*steps: str) -> None:
         scratch.drop(*steps)
         gc.collect()  # the driver frees shuffle files of plans that nothing holds any more
@@ -295,34 +366,33 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> D
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(_bytes(t))[0] for t in batch.column(2).to_pylist()]
-            n = [len(x) for x in found]
-            ids = [np.repeat(batch.column(i).to_numpy(), n) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64)), pa.array(ids[0]), pa.array(ids[1])], ["hash", "id", "text_hash"])
+            t, at = _flat(batch.column(2))
+            h, _, first, _ = anchors(t, at[1:])
+            text = np.searchsorted(at, first, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(batch.column(i).to_numpy()[text]) for i in (0, 1))], ["hash", "id", "text_hash"])
 
     every = scratch.save(docs.select("id", "text_hash", "text").mapInArrow(find, "hash long, id long, text_hash long"), "anchors")
-    rows_a_batch(20_000)  # rows of a few numbers
-    shared = _adjacent(every.repartitionByRange(files, "hash", "id", "text_hash").sortWithinPartitions("hash", "id", "text_hash"))
+    shared = _adjacent(every.repartitionByRange(files, "hash", "id", "text_hash").sortWithinPartitions("hash"))
     shared = scratch.save(shared.groupBy("id", "text_hash").agg(F.collect_set("hash").alias("shared")), "shared")
     tidy("anchors")
-    small_batches(spark)
-    pieces = scratch.save(_pieces(docs.join(shared, ["id", "text_hash"]).select("id", "text_hash", "text", "shared")), "pieces")
+    pieces = scratch.save(_pieces(docs.join(shared, ["id", "text_hash"]).select("id", "text_hash", "text", "shared")), "pieces-0")
     tidy("shared")
-    rows_a_batch(10_000)  # and pieces of some hundred bytes
-    order = ["hash", "phase", "piece", "id", "text_hash", "place"]
-    first = scratch.save(_first_pieces(pieces.repartitionByRange(files, *order).sortWithinPartitions(*order)), "first")
-    tidy("pieces")
-    whole = first.filter("repeated").select("id", "text_hash", "place", "windows")
-    rest = first.filter("NOT repeated").drop("repeated")
-    sizes = rest.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    rest = rest.join(sizes, "hash")
-    blocks = _sorted_blocks(rest.filter(F.col("n") <= CROWD).drop("n"))
-    crowd = _suffixes(rest.filter(F.col("n") > CROWD))
-    heads = crowd.groupBy("suffix").agg(F.min(F.struct("id", "text_hash", "place")).alias("head")).select("head.*")
-    crowd = crowd.select("id", "text_hash", "place").join(heads, ["id", "text_hash", "place"], "left_anti").withColumn("windows", F.lit(1).cast("long"))
-    out = scratch.save(whole.unionByName(blocks).unionByName(crowd), "ranges")
-    tidy("first")
-    small_batches(spark)
+    order, found = ["hash", "phase", "piece", "id", "text_hash", "place"], []
+    for level, width in enumerate((*REFINE, 0)):
+        first = scratch.save(_first_pieces(pieces.repartitionByRange(files, *order).sortWithinPartitions(*order)), f"first-{level}")
+        tidy(f"pieces-{level}")
+        found.append(first.filter("repeated").select("id", "text_hash", "place", "windows"))
+        rest = first.filter("NOT repeated").drop("repeated")
+        sizes = scratch.save(rest.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), f"sizes-{level}")
+        fit = sizes.filter(F.col("n") <= CROWD) if width else sizes  # single windows in a bucket are all equal, but for chance
+        found.append(scratch.save(_sorted_blocks(rest.join(fit.select("hash"), "hash", "left_semi")), f"sorted-{level}"))
+        crowded = sizes.filter(F.col("n") > CROWD).select("hash")
+        if not width or crowded.isEmpty():
+            break
+        pieces = scratch.save(_refined(rest.join(crowded, "hash", "left_semi"), width), f"pieces-{level + 1}")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     return out
 
 
@@ -331,23 +401,29 @@ def _cut(df: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text, ranges, copy in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                t = _bytes(text)
-                gone = np.zeros(len(t) + 1, dtype=np.int32)
-                if copy and len(t) >= LENGTH:
-                    gone[0] += 1
-                    gone[len(t)] -= 1
-                for r in ranges or ():
-                    gone[r["place"]] += 1
-                    gone[r["place"] + r["windows"] + LENGTH - 1] -= 1
-                mask = np.cumsum(gone)[:-1] > 0
-                kept = t[~mask].tobytes() if len(t) else b""
-                rows.append((doc_id, len(t), int(mask.sum()), len(_runs(mask)[0]), hashlib.sha256(kept).hexdigest(), kept))
-            names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes")
-            types = (*(pa.int64(),) * 4, pa.string(), pa.binary())
-            cols = zip(*rows, strict=True) if rows else ((),) * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], names)
+            t, at = _flat(batch.column(1))
+            sizes = np.diff(at)
+            lists, copy = batch.column(2), batch.column(3).to_numpy(zero_copy_only=False) & (sizes >= LENGTH)
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            ranges = lists.flatten()
+            place, windows = (ranges.field(n).to_numpy() for n in ("place", "windows"))
+            begin = np.concatenate([at[owner] + place, at[:-1][copy]])
+            end = np.concatenate([at[owner] + place + windows + LENGTH - 1, at[1:][copy]])
+            gone = np.cumsum(np.bincount(begin, minlength=len(t) + 1) - np.bincount(end, minlength=len(t) + 1))[:-1] > 0
+            upto = np.concatenate([[0], np.cumsum(gone)])
+            removed = upto[at[1:]] - upto[at[:-1]]
+            starts = gone.copy()
+            starts[1:] &= ~gone[:-1]
+            heads = at[:-1][sizes > 0]
+            starts[heads] = gone[heads]
+            upto = np.concatenate([[0], np.cumsum(starts)])
+            spans = upto[at[1:]] - upto[at[:-1]]
+            kept = np.ascontiguousarray(t[~gone])
+            edge = np.concatenate([[0], np.cumsum(sizes - removed)])
+            view = memoryview(kept)
+            digests = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            rest = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(kept)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(removed), pa.array(spans), pa.array(digests, pa.string()), rest], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
     return df.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
 

@@ -9,11 +9,13 @@ Documents are put in order of doc_id (null first, then by text) over range parti
 renamed, so that a task that is run again replaces it by the same bytes.
 
 Nulls: a null text is empty; its document has the end id alone. Repeated rows are documents of their own. An empty table gives files without documents.
+A text of any length is one document of one frame. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import struct
 import uuid
 import zlib
@@ -30,19 +32,23 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, documents, small_batches
 
-FRAME_IDS, LEVEL, PIECES = 1 << 16, 3, 700_000
+#: Ids of a frame, zstandard's level, pieces that a generation remembers, bytes of text that are encoded together.
+FRAME_IDS, LEVEL, PIECES, TEXT_BYTES = 1 << 16, 3, 700_000, 1 << 23
 SKIPPABLE, SEEKABLE, WITH_SUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
-#: White space other than single spaces and newlines between words, where pieces can't be told apart simply.
-_UNEVEN = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+#: White space other than spaces and newlines, and those next to each other: there, pieces can't be told apart simply.
+_UNEVEN = tuple(x.encode() for x in (*(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"), "  ", " \n", "\n ", "\n\n"))
+#: Signs that are cut off a new piece's end, so that fewer pieces are new; no more than MOST_TAIL of them, which bounds how many ends there are.
+_TAIL, MOST_TAIL = b".,;:!?#$%&*|<>()", 3
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library, by way of pieces between single spaces and newlines.
+    """Whole texts to ids with the tokenizers library, by way of pieces that begin with a single space or newline.
 
-    The byte-level tokenizer never joins what stands before a space that a word follows with what comes after it, nor across a single newline; so
-    a piece has the same ids in every text. Pieces that were seen are looked up; new ones are encoded together. Other texts are encoded at once.
-    What is remembered comes in two generations of PIECES at most: a full one becomes the older, and what is used again moves to the younger.
+    A byte-level tokenizer that splits by its regular expression never joins what stands before a space that a word follows with what comes after it, nor across a single newline,
+    nor letters or digits with the signs that follow; so a piece has the same ids in every text. The distinct pieces of many texts are looked up among those seen before; new ones are
+    encoded together. Texts with other white space, or with the text of one of the tokenizer's added tokens, are encoded at once, as are all texts with another kind of tokenizer. What is
+    remembered comes in two generations of PIECES at most: a full one becomes the older, and what is used again moves to the younger.
     """
 
     _made: dict[str, Encoder] = {}
@@ -50,13 +56,17 @@ class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        self.splits = made["normalizer"] is None and split.get("type") == "ByteLevel" and bool(split.get("use_regex")) and not split.get("add_prefix_space")
         size = self.tokenizer.get_vocab_size()
-        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.newline = self._ids("\n")
-        self.young: dict[str, dict[str, bytes]] = {"\n": {}, " ": {}}
-        self.old: dict[str, dict[str, bytes]] = {"\n": {}, " ": {}}
+        self.starts = np.array([(self.tokenizer.id_to_token(i) or "")[:1] in ("Ġ", "Ċ") for i in range(size)])
+        self.odd = _UNEVEN + tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -64,55 +74,112 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _known(self, seen: set[str], glue: str) -> dict[str, bytes]:
-        """A dictionary that holds all of ``seen``, pieces that stand behind ``glue``."""
-        if len(self.young[glue]) > PIECES:
-            self.old[glue], self.young[glue] = self.young[glue], {}
-        young, old, new = self.young[glue], self.old[glue], []
-        for x in seen.difference(young):
-            if x in old:
-                young[x] = old[x]
-            else:
-                new.append(x)
-        if new:
-            self._learn(young, new, glue)
-        return young
-
-    def _learn(self, known: dict[str, bytes], new: list[str], glue: str) -> None:
-        ids = np.frombuffer(self._ids("".join(glue + x for x in new)), dtype="<u4")
-        starts = np.flatnonzero(self.spaced[ids] if glue == " " else ids == np.frombuffer(self.newline, dtype="<u4")[0])
+    def _ids(self, texts: list[bytes]) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return np.concatenate([np.array(x.ids, dtype="<u4") for x in found])
+
+    def _recall(self, pieces: list[bytes]) -> tuple[dict[bytes, bytes | None], list[bytes]]:
+        """What is known of distinct ``pieces``, and those that aren't known."""
+        found = list(map(self.young.get, pieces))
+        out = dict(zip(pieces, found, strict=True))
+        missing = [x for x, ids in zip(pieces, found, strict=True) if ids is None] if None in found else []
+        if missing and self.old:
+            again = {x: ids for x, ids in zip(missing, map(self.old.get, missing), strict=True) if ids is not None}
+            self.young.update(again)
+            out.update(again)
+            missing = [x for x in missing if x not in again]
+        return out, missing
+
+    def _learn(self, new: list[bytes], into: dict[bytes, bytes]) -> None:
+        if not new:
+            return
+        ids = self._ids([b"".join(new[i : i + 200]) for i in range(0, len(new), 200)])
+        starts = np.flatnonzero(self.starts[ids])
         if len(starts) != len(new):
             raise ValueError("the tokenizer joins words; it is not one that this encoder knows")
-        raw, skip = ids.tobytes(), 0 if glue == " " else 1
-        for x, a, b in zip(new, starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True):
-            known[x] = raw[4 * (a + skip) : 4 * b]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split: list = []
-        for t in texts:
-            split.append(None if not t else t if _UNEVEN.search(t) else [line.split(" ") for line in t.split("\n")])
-        lines = [line for doc in split if isinstance(doc, list) for line in doc]
-        firsts, laters = {line[0] for line in lines}, set()
-        for line in lines:
-            laters.update(line[1:])
-        first, later, out = self._known(firsts, "\n"), self._known(laters, " "), []
-        for doc in split:
-            if doc is None:
-                out.append(b"")
-            elif isinstance(doc, str):
-                out.append(self._ids(doc))
+        raw, at = ids.tobytes(), (4 * starts).tolist()
+        found = dict(zip(new, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
+        into.update(found)
+        self.young.update(found)
+
+    def _tail(self, tail: bytes) -> bytes:
+        if tail not in self.tails:
+            self.tails[tail] = self._ids([tail]).tobytes()
+        return self.tails[tail]
+
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of ``pieces``, which are distinct and begin with a space or newline."""
+        if len(self.young) > PIECES:
+            self.old, self.young = self.young, {}
+        out, missing = self._recall(pieces)
+        cut, whole = [], []
+        for x in missing:
+            stem = x.rstrip(_TAIL)
+            if stem is not x and len(x) - len(stem) <= MOST_TAIL and (stem[-1:].isalnum() or (stem[-1] > 127 and stem.decode()[-1].isalnum())):
+                cut.append((x, stem))
             else:
-                parts: list[bytes] = []
-                for line in doc:
-                    parts.append(self.newline)
-                    parts.append(first[line[0]])
-                    parts.extend(map(later.__getitem__, line[1:]))
-                out.append(b"".join(parts[1:]))
-        return out
+                whole.append(x)
+        self._learn(whole, out)
+        stems, new = self._recall(list({stem for _, stem in cut}))
+        self._learn(new, stems)
+        joined = {x: stems[stem] + self._tail(x[len(stem) :]) for x, stem in cut}
+        self.young.update(joined)
+        out.update(joined)
+        return list(map(out.__getitem__, pieces))
+
+    def _pieced(self, flat: bytes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of even texts; flat holds them one after another with a newline before each, counts their bytes with it."""
+        t = np.frombuffer(flat, dtype=np.uint8)
+        at = np.flatnonzero((t == 32) | (t == 10))
+        offsets = np.append(at, len(t)).astype(np.int32)
+        array = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+        known = self._known(array.dictionary.to_pylist())
+        which = array.indices.to_numpy()
+        ids = np.frombuffer(b"".join(known), dtype="<u4")
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        upto = np.cumsum(n)
+        first = np.searchsorted(at, np.cumsum(counts) - counts)  # each text's first piece
+        of_text = np.diff(np.append(upto[first] - n[first], upto[-1]))
+        keep = np.ones(int(upto[-1]), dtype=bool)
+        keep[upto[first] - n[first]] = False  # the newline that was put before the text
+        return ids[np.repeat(begins[which] - (upto - n), n) + np.arange(int(upto[-1]))][keep], of_text - 1
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has; null texts have none."""
+        parts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
+        flat = b"\n".join([b"", *filter(None, parts)])
+        even = [bool(p) for p in parts]
+        if not self.splits or any(x in flat for x in self.odd) or flat[-1:] in (b" ", b"\n"):
+            even = [bool(p) and self.splits and p[0] not in b" \n" and p[-1] not in b" \n" and not any(x in p for x in self.odd) for p in parts]
+            flat = b"\n".join([b"", *(p for p, e in zip(parts, even, strict=True) if e)])
+        counts = np.zeros(len(parts), dtype=np.int64)
+        ids = np.zeros(0, dtype="<u4")
+        if any(even):
+            ids, counts[even] = self._pieced(flat, np.array([len(p) + 1 for p, e in zip(parts, even, strict=True) if e]))
+        if all(e or not p for p, e in zip(parts, even, strict=True)):
+            return ids, counts
+        rest, out = iter(np.split(ids, np.cumsum(counts[even])[:-1]) if any(even) else ()), []
+        for k, (p, e) in enumerate(zip(parts, even, strict=True)):
+            if e or p:
+                out.append(next(rest) if e else self._ids([p]))
+                counts[k] = len(out[-1])
+        return np.concatenate(out), counts
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts (column number ``text``) have about ``size`` bytes; a longer text makes a batch."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(text).nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 class ShardWriter:
@@ -222,9 +289,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file
         path, mine = f"{base}/part-{number:06d}.ids.zst", f"{base}/.part-{number:06d}.{uuid.uuid4().hex}"
         with fs.open_output_stream(mine) as sink:
             out = ShardWriter(sink)
-            for batch in batches:
-                for doc_id, raw in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                    out.add(doc_id, raw + end)
+            for batch in gathered(batches, 1, TEXT_BYTES):
+                ids, counts = encoder.encode(batch.column(1))
+                raw, at = memoryview(ids.tobytes()), 0
+                for doc_id, n in zip(batch.column(0).to_pylist(), (4 * counts).tolist(), strict=True):
+                    out.add(doc_id, bytes(raw[at : at + n]) + end)
+                    at += n
             out.close()
         fs.move(mine, path)
         yield pa.RecordBatch.from_pydict({"file_no": [number], "path": [path], "n_docs": [len(out.ids)], "n_tokens": [out.tokens]}, schema=pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))

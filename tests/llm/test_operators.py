@@ -29,17 +29,26 @@ def whole_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
     return [np.array(t.encode(x or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
 
 
-def test_pieces_give_the_ids_of_whole_texts():
-    texts = ["a b  c", "it's  fine\n\nnew\tline ", " lead", "x\ny z.\nw", "don't\nstop, now's", "é ü n", "1 22 333-4", "a\n b", "<|endoftext|> x", "\x1c a", "q" * 300 + " " + "w " * 50]
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a b  c", "it's  fine\n\nnew\tline ", " lead", "x\ny z.\nw", "don't\nstop, now's", "é ü n", "1 22 333-4", "a\n b", "a <|endoftext|> x", "\x1c a", "q" * 300 + " " + "w " * 50]
+    texts += [None, "", "né, né. «né», 9% a's? a's... (x)** x)**** ²,", "p\u3000q r", "one", "\n", "...\n,,,", "&&& x&&&"]
     encoder = tokens.Encoder(tokens.default_tokenizer())
-    assert encoder.encode(texts) == whole_ids(texts)
-    tokens.PIECES, before = 3, tokens.PIECES
-    assert encoder.encode(texts * 2) == whole_ids(texts * 2)
-    tokens.PIECES = before
+
+    def both(x):
+        ids, n = encoder.encode(pa.array(x, pa.string()))
+        return [part.tobytes() for part in np.split(ids, np.cumsum(n)[:-1])]
+
+    assert both(texts) == whole_ids(texts) and both(texts[3:8]) == whole_ids(texts[3:8]) and both([None, ""]) == [b"", b""]
+    monkeypatch.setattr(tokens, "PIECES", 3)
+    for _ in range(3):
+        assert both(texts * 2) == whole_ids(texts * 2)
+    encoder.splits = False
+    assert both(texts) == whole_ids(texts)
 
 
 def test_token_shards(spark, docs, rows):
@@ -322,8 +331,10 @@ def test_repeated_substrings(spark, docs, rows, none, monkeypatch):
     want = sorted((str(k[0]), *v) for k, v in brute_removal(once).items())
     got = lambda: sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.op7(spark, d).collect())
     assert got() == want and sum(w[2] for w in want) > 1000
-    monkeypatch.setattr(substrings, "CROWD", 1)  # every bucket goes suffix by suffix
-    assert got() == want
+    for crowd, refine in ((1, substrings.REFINE), (2, (16, 4, 1))):  # every bucket is refined, down to single windows
+        monkeypatch.setattr(substrings, "CROWD", crowd)
+        monkeypatch.setattr(substrings, "REFINE", refine)
+        assert got() == want
     assert substrings.op7(spark, none).count() == 0
     assert substrings.op7(spark, docs).count() == len(rows)
 
