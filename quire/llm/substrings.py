@@ -148,31 +148,46 @@ def repeated_suffixes(data: np.ndarray, sizes: np.ndarray, phase: np.ndarray, wi
     t = np.zeros(int(room.sum()) + 2 * LENGTH, dtype=np.uint8)
     t[np.repeat(base - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(data))] = data
     word = _words(t)
-    # Ranks of the 80 bytes from each cover sample on, doubling 8, 16, 32, 64, then 64 + 16.
-    sample = np.flatnonzero(np.isin(np.arange(len(t)) % V, COVER))
-    slot = np.full(len(t) + 2 * LENGTH, -1, dtype=np.int64)
-    slot[sample] = np.arange(len(sample))
-
-    def joined(a: np.ndarray, b: np.ndarray, far: int) -> np.ndarray:
-        """Ranks of a at p, then of b at p + far; behind the end, 0."""
-        after = slot[sample + far]
-        return _ranks((a << np.uint64(32)) | np.where(after >= 0, b[after] + np.uint64(1), np.uint64(0)))
-
-    first8, next8 = _ranks(word[sample]), _ranks(word[np.minimum(sample + 8, len(t) - 1)])
-    r16 = _ranks((first8 << np.uint64(32)) | next8)
-    r32 = joined(r16, r16, 16)
-    r64 = joined(r32, r32, 32)
-    r80 = joined(r64, r16, 64)
+    # Ranks of the 80 bytes from each cover sample on that a suffix refers to: 16 bytes, doubled to 32 and 64, then 64 + 16. Each is kept at the sample's place.
+    used = np.zeros(len(t) + 1, dtype=np.int32)
+    np.add.at(used, base, 1)
+    np.add.at(used, base + windows + LENGTH - 80, -1)
+    cover = np.resize(np.isin(np.arange(V), COVER), len(t))
+    in80 = (np.cumsum(used)[:-1] > 0) & cover
+    in32 = in80.copy()
+    in32[32:] |= in80[:-32]
+    in16 = in32.copy()
+    in16[16:] |= in32[:-16]
+    in16[64:] |= in80[:-64]
+
+    def ranked(where: np.ndarray, a: np.ndarray, b: np.ndarray, far: int) -> np.ndarray:
+        """Ranks, at the places ``where``, of a there followed by b ``far`` behind."""
+        out = np.zeros(len(t), dtype=np.uint64)
+        out[where] = _ranks((a[where] << np.uint64(32)) | b[where + far])
+        return out
+
+    at = np.flatnonzero(in16)
+    by = np.lexsort((word[at + 8], word[at]))
+    w, next_ = word[at[by]], word[at[by] + 8]
+    r16 = np.zeros(len(t), dtype=np.uint64)
+    r16[at[by]] = np.concatenate([[0], np.cumsum((w[1:] != w[:-1]) | (next_[1:] != next_[:-1]))])[: len(at)].astype(np.uint64)
+    r32 = ranked(np.flatnonzero(in32), r16, r16, 16)
+    r64 = ranked(np.flatnonzero(in80), r32, r32, 32)
+    r80 = ranked(np.flatnonzero(in80), r64, r16, 64)
     # Suffixes. The nearest sample is less than 8 bytes away, and the farthest that ends within LENGTH leaves less than 8 bytes behind it.
     which = np.repeat(np.arange(len(sizes)), windows)
     start = np.repeat(base, windows) + np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
     residue = start % V
     near = np.array([min(d for d in range(V) if (r + d) % V in COVER) for r in range(V)])
     far = np.array([max(d for d in range(LENGTH - 80 + 1) if (r + d) % V in COVER) for r in range(V)])
-    # Bucket and residue, then the two ranks: each of them is below 2 ** 32, as a block is.
-    lot, one, two = (_ranks(bucket.view(np.uint64))[which] << np.uint64(4)) | residue.astype(np.uint64), r80[slot[start + near[residue]]], r80[slot[start + far[residue]]]
-    lot = _ranks((lot << np.uint64(32)) | one) if len(lot) else lot
-    key = (lot << np.uint64(32)) | two
+    # Bucket and residue, then the two ranks, in one number; where they need more bits than it has, what comes first is ranked.
+    lot, one, two = (_ranks(bucket.view(np.uint64))[which] << np.uint64(4)) | residue.astype(np.uint64), r80[start + near[residue]], r80[start + far[residue]]
+    bits = [int(x.max()).bit_length() if len(x) else 0 for x in (lot, one, two)]
+    if sum(bits) > 64:
+        lot = _ranks((lot << np.uint64(bits[1])) | one)
+        key = (lot << np.uint64(bits[2])) | two
+    else:
+        key = (((lot << np.uint64(bits[1])) | one) << np.uint64(bits[2])) | two
     sorted_ = np.argsort(key)
     s = key[sorted_]
     twin = s[1:] == s[:-1]
