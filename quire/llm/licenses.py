@@ -1,12 +1,12 @@
 """Licence scan: ordered signature rules behind a keyword gate.
 
-A cheap regular expression, made from the keywords of the rules and the base phrases, picks the texts that can hold a licence notice at all. Those are
-lower-cased and cut into words, and every rule whose keyword they contain, from a word's start on, is searched in the words joined by single spaces. A rule has a label, a priority and a relevance. Detections are put in order of
-their start, the longest and highest priority first; one that lies inside an earlier one is suppressed, as is one that overlaps an
-earlier one of higher priority. What survives gives the labels and the score.
+The rules (license_rules) are hand-written regular expressions in sections of falling priority: identifiers, sentences of the licences, names with a version, notices, names. From each, the stretches of
+plain words that every match holds are taken as its keywords. A cheap regular expression, made from one keyword of each rule and the base phrases, picks the texts that can hold
+a licence notice at all. Those are lower-cased and cut into words, and every rule all of whose keywords they contain is searched in the words joined by single spaces. A detection is suppressed
+if one that takes precedence overlaps or contains it: higher priority first, then the longer, the earlier, the smaller label. What survives gives the labels and the score.
 
-The rules come from a table of licence families and a few sentence forms. Nulls: a null text is empty. Texts without a notice
-have no labels (empty string) and score 0. Equal rows get equal results; extra columns are ignored.
+Nulls: a null text is empty. Texts without a notice have no labels (empty string) and score 0. Equal rows get equal results; extra columns are ignored; an empty table gives no rows.
+Very long texts are scanned whole: positions of n matches are summed up in about n ** 1.5 steps.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, let
+from .license_rules import SECTIONS
 
 #: Word separators are ASCII characters other than digits and letters; case matters not, so capitals are word characters here.
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -28,95 +29,55 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 
-#: label, keyword (which every form of the name holds), name as it reads in lower-case words, SPDX id in words, versions (as words) if any
-FAMILIES = (
-    ("mit", "mit", "mit", "mit", ()),
-    ("mit-0", "mit", "mit no attribution", "mit 0", ()),
-    ("apache", "apache", "apache(?: software)?", "apache", ("1 0", "1 1", "2 0")),
-    ("gpl", "general public", "(?:gnu )?general public", "gpl", ("1 0", "2 0", "3 0")),
-    ("lgpl", "general public", "(?:gnu )?(?:lesser|library) general public", "lgpl", ("2 0", "2 1", "3 0")),
-    ("agpl", "affero", "(?:gnu )?affero general public", "agpl", ("1 0", "3 0")),
-    ("gfdl", "free documentation", "(?:gnu )?free documentation", "gfdl", ("1 1", "1 2", "1 3")),
-    ("bsd-2-clause", "bsd", "(?:simplified|2 clause) bsd", "bsd 2 clause", ()),
-    ("bsd-3-clause", "bsd", "(?:new|modified|revised|3 clause) bsd", "bsd 3 clause", ()),
-    ("bsd-4-clause", "bsd", "(?:original|4 clause) bsd", "bsd 4 clause", ()),
-    ("bsd", "bsd", "bsd(?: style)?", "0bsd", ()),
-    ("isc", "isc", "isc", "isc", ()),
-    ("mpl", "mozilla", "mozilla public", "mpl", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", "eclipse public", "epl", ("1 0", "2 0")),
-    ("edl", "eclipse distribution", "eclipse distribution", "edl", ("1 0",)),
-    ("cpl", "common public", "common public", "cpl", ("1 0",)),
-    ("ipl", "ibm public", "ibm public", "ipl", ("1 0",)),
-    ("cddl", "common development", "common development and distribution", "cddl", ("1 0", "1 1")),
-    ("eupl", "european union", "european union public", "eupl", ("1 0", "1 1", "1 2")),
-    ("cecill", "cecill", "cecill(?: free software)?", "cecill", ("1 0", "2 0", "2 1")),
-    ("artistic", "artistic", "(?:perl )?artistic", "artistic", ("1 0", "2 0")),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib", ()),
-    ("libpng", "libpng", "libpng", "libpng", ("2 0",)),
-    ("bsl", "boost", "boost software", "bsl", ("1 0",)),
-    ("busl", "business source", "business source", "busl", ("1 1",)),
-    ("sspl", "server side", "server side public", "sspl", ("1 0",)),
-    ("elastic", "elastic", "elastic", "elastic", ("1 0", "2 0")),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense", ()),
-    ("wtfpl", "do what the", "do what the \\S+ you want to public", "wtfpl", ("2 0",)),
-    ("python", "python", "python(?: software foundation)?", "psf", ("2 0",)),
-    ("php", "php", "php", "php", ("3 0", "3 01")),
-    ("ruby", "ruby", "ruby", "ruby", ()),
-    ("openssl", "openssl", "openssl(?: ssleay)?", "openssl", ()),
-    ("ofl", "open font", "(?:sil )?open font", "ofl", ("1 0", "1 1")),
-    ("odbl", "database", "open(?: data commons)? (?:open )?database", "odbl", ("1 0",)),
-    ("osl", "open software", "open software", "osl", ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "academic free", "academic free", "afl", ("1 1", "2 0", "2 1", "3 0")),
-    ("ms-pl", "microsoft public", "microsoft public", "ms pl", ()),
-    ("ms-rl", "microsoft reciprocal", "microsoft reciprocal", "ms rl", ()),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?", "ncsa", ()),
-    ("postgresql", "postgresql", "postgresql", "postgresql", ()),
-    ("upl", "universal permissive", "universal permissive", "upl", ("1 0",)),
-    ("w3c", "w3c", "w3c(?: software)?", "w3c", ()),
-    ("x11", "x11", "x11", "x11", ()),
-    ("cc0", "creative commons", "creative commons (?:cc0|zero)(?: universal)?", "cc0", ("1 0",)),
-    ("cc-by", "creative commons", "creative commons attribution", "cc by", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "creative commons", "creative commons attribution share ?alike", "cc by sa", ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "creative commons", "creative commons attribution non ?commercial", "cc by nc", ("2 0", "3 0", "4 0")),
-    ("cc-by-nd", "creative commons", "creative commons attribution no ?deriv(?:ative)?s?", "cc by nd", ("2 0", "3 0", "4 0")),
-)
-
-#: sentence form, priority, relevance; {n} is the name, {v} a version
-NAMED = (
-    (" (?:licensed|released|distributed|available|published|provided|covered) (?:to you )?under (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?", 60, 0.9),
-    (" (?:see|refer to|read) (?:the )?{n} licen[cs]e", 50, 0.8),
-    (" {n} licen[cs]e", 40, 0.7),
-)
-VERSIONED = ((" {n}(?: licen[cs]e)? (?:version |v)?{v}", 70, 0.95),)
-IDENTIFIED = ((" spdx license identifier {i}(?: only| or later)?", 80, 0.9),)
-IDENTIFIED_VERSION = ((" (?:spdx license identifier )?{i} {v}(?: only| or later)?", 90, 1.0),)
+#: Words that stand in many texts without a licence: a stretch of these alone makes a poor gate.
+COMMON = frozenset("under the terms of is in to a mit".split())
 
 
 @dataclass(frozen=True)
 class SignatureRule:
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     regex: str
     priority: int
     relevance: float
 
 
+def keywords(regex: str) -> tuple[str, ...]:
+    """The stretches of plain words, each from a word's start on, that every match holds; the most telling first."""
+    runs, now, inside, i = [], "", False, 0
+    # ``inside``: whether what comes next may stand in the middle of a word.
+    while i < len(regex):
+        c, step = regex[i], 1
+        literal = c not in "([\\."
+        if c == "(":
+            step = next(k for k in range(1, len(regex)) if regex.count("(", i, i + k) == regex.count(")", i, i + k))
+        elif c == "[":
+            step = regex.index("]", i) - i + 1
+        elif c == "\\":
+            step = 2
+        after = re.match(r"\{[^}]*\}\??|[?+*]\??", regex[i + step :])
+        if literal and not after:
+            now += c
+        else:
+            runs.append((now, inside))
+            now, inside = "", not (c == "(" and regex[i : i + step].removesuffix(")").endswith(" "))
+        i += step + (after.end() if after else 0)
+    runs.append((now, inside))
+    found = []
+    for run, mid in runs:
+        text = run[1:] if run.startswith(" ") else (run.partition(" ")[2] if mid else run)
+        if text.strip():
+            found.append(text)
+    return tuple(sorted(set(found), key=lambda k: (all(w in COMMON or w.isdigit() for w in k.split()), -len(k), k)))
+
+
 def signature_rules() -> list[SignatureRule]:
-    """All rules: every family in every form, with a rule of its own for each version, the specific label included."""
+    """All rules in the order of their sections."""
     out = []
-    for label, keyword, name, spdx, versions in FAMILIES:
-        add = lambda form, priority, relevance, tag, key, **x: out.append(SignatureRule(tag, key, form.format(n=name, i=spdx, **x) + "(?= )", priority, relevance))  # noqa: E731, B023
-        for form in NAMED:
-            add(*form, label, keyword)
-        for form in IDENTIFIED:
-            add(*form, label, f"identifier {spdx}")
-        for version in versions:
-            short = f"{label}-{version.replace(' ', '.')}"
-            for form in VERSIONED:
-                add(*form, short, keyword, v=version)
-            for form in IDENTIFIED_VERSION:
-                add(*form, short, f"{spdx} {version}", v=version)
-    out.append(SignatureRule("public-domain", "public domain", " (?:in|into|to) the public domain(?= )", 40, 0.6))
+    for rules, priority, relevance in SECTIONS:
+        for line in rules.strip().split("\n"):
+            label, regex = line.split(" | ")
+            out.append(SignatureRule(label, keywords(regex), f" {regex}(?= )", priority, relevance))
     return out
 
 
@@ -133,7 +94,28 @@ def _any_of(phrases: Iterable[str]) -> str:
 
 def gate(rules: list[SignatureRule]) -> str:
     """What every text holds that a rule or a base phrase can match: a keyword from a word's start on, its words parted by any separators."""
-    return f"(?i)(?:^|{SEPARATOR})" + _any_of({r.keyword for r in rules} | {" ".join(phrase) for _, phrase in BASE})
+    return f"(?i)(?:^|{SEPARATOR})" + _any_of({r.keywords[0] for r in rules} | {" ".join(phrase) for _, phrase in BASE})
+
+
+def _before(lengths: Column) -> Column:
+    """For each number, the sum of those before it. Square-root many blocks keep the appended arrays short."""
+    none = F.array().cast("array<int>")
+
+    def run(numbers: Column, start: Column) -> Column:
+        return F.aggregate(
+            numbers, F.struct(start.cast("int").alias("at"), none.alias("out")),
+            lambda acc, n: F.struct((acc["at"] + n).cast("int").alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"],
+        )
+
+    def blocked(a: Column, m: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), m - 1), lambda b: F.slice(a, b * m + 1, m))
+        total = lambda block: F.aggregate(block, F.lit(0), lambda x, y: x + y)
+        return let(blocks, lambda bs: let(run(F.transform(bs, total), F.lit(0)), lambda at: F.flatten(F.transform(bs, lambda block, b: run(block, F.get(at, b))))))
+
+    return let(lengths, lambda a: let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda m: blocked(a, m)))
+
+
+HIT = "struct<s:int,e:int,p:int,label:string,relevance:double>"
 
 
 def _intervals(text: Column, rule: Column) -> Column:
@@ -141,39 +123,46 @@ def _intervals(text: Column, rule: Column) -> Column:
 
     def placed(found: Column) -> Column:
         between = F.split(text, rule["regex"], F.lit(-1))
+        size = lambda pieces: F.transform(pieces, F.length)
 
-        def fold(parts: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-            step = lambda acc, i: let(acc["at"] + F.length(F.get(parts, i)), lambda s: F.struct(
-                (s + F.length(F.get(found, i))).alias("at"),
-                F.array_append(acc["out"], F.struct(s.alias("s"), (s + F.length(F.get(found, i))).alias("e"))).alias("out"),
-            ))
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
-
-        spans = let(between, fold)
-        item = lambda x: F.struct(
-            x["s"].alias("s"), (-x["e"]).alias("neg_end"), (-rule["priority"]).alias("neg_priority"), rule["label"].alias("label"), rule["relevance"].alias("relevance")
-        )
-        none = F.array().cast("array<struct<s:int,neg_end:int,neg_priority:int,label:string,relevance:double>>")
-        return F.when(F.size(found) == 0, none).otherwise(F.transform(spans, item))
+        def spans(gaps: Column, own: Column) -> Column:
+            at = _before(F.zip_with(F.slice(gaps, 1, F.size(own)), own, lambda x, y: x + y))
+            begin = lambda x, k: x + F.get(gaps, k)
+            return let(at, lambda a: F.transform(a, lambda x, k: F.struct(
+                begin(x, k).alias("s"), (begin(x, k) + F.get(own, k)).alias("e"), rule["priority"].alias("p"), rule["label"].alias("label"), rule["relevance"].alias("relevance"),
+            )))
+
+        return F.when(F.size(found) == 0, F.array().cast(f"array<{HIT}>")).otherwise(let(size(between), lambda gaps: let(size(found), lambda own: spans(gaps, own))))
 
     return let(F.regexp_extract_all(text, rule["regex"], F.lit(0)), placed)
 
 
+def _beats(a: Column, b: Column) -> Column:
+    rank = lambda x: F.struct(x["p"], x["e"] - x["s"], -x["s"])
+    return (rank(a) > rank(b)) | ((rank(a) == rank(b)) & (a["label"] < b["label"]))
+
+
 def _resolved(hits: Column) -> Column:
-    """Labels and best relevance of the detections that are not suppressed; hits come in order."""
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("priority"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
+    """Labels and best relevance of the detections that are not suppressed. hits come in order of their start; at any time only those that reach beyond it are held."""
+    held = "struct<s:int,e:int,p:int,label:string,relevance:double,ok:boolean>"
+    start = F.struct(F.array().cast(f"array<{held}>").alias("live"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
+    put = lambda x, ok: F.struct(*(x[n].alias(n) for n in ("s", "e", "p", "label", "relevance")), ok.alias("ok"))
+
+    def counted(acc: Column, over: Column) -> tuple[Column, Column]:
+        kept = F.filter(over, lambda x: x["ok"])
+        return F.array_union(acc["labels"], F.transform(kept, lambda x: x["label"])), F.greatest(acc["score"], F.coalesce(F.array_max(F.transform(kept, lambda x: x["relevance"])), F.lit(0.0)))
 
     def step(acc: Column, h: Column) -> Column:
-        inside = -h["neg_end"] <= acc["end"]
-        beaten = (h["s"] + 1 < acc["end"]) & (-h["neg_priority"] < acc["priority"])
-        keep = F.struct(
-            (-h["neg_end"]).alias("end"), (-h["neg_priority"]).alias("priority"),
-            F.array_union(acc["labels"], F.array(h["label"])).alias("labels"), F.greatest(acc["score"], h["relevance"]).alias("score"),
-        )
-        return F.when(inside | beaten, acc).otherwise(keep)
+        labels, score = counted(acc, F.filter(acc["live"], lambda x: x["e"] <= h["s"]))
+        live = F.filter(acc["live"], lambda x: x["e"] > h["s"])
+        mine = put(h, ~F.exists(live, lambda x: _beats(x, h)))
+        return F.struct(F.array_append(F.transform(live, lambda x: put(x, x["ok"] & ~_beats(h, x))), mine).alias("live"), labels.alias("labels"), score.alias("score"))
+
+    def done(acc: Column) -> Column:
+        labels, score = counted(acc, acc["live"])
+        return F.struct(labels.alias("labels"), score.alias("score"))
 
-    return F.aggregate(hits, start, step, lambda acc: F.struct(acc["labels"].alias("labels"), acc["score"].alias("score")))
+    return F.aggregate(hits, start, step, done)
 
 
 def scan(docs: DataFrame, rules: list[SignatureRule] | None = None) -> DataFrame:
@@ -197,9 +186,9 @@ def scan(docs: DataFrame, rules: list[SignatureRule] | None = None) -> DataFrame
     none = F.array().cast("array<int>")
     found = {label: F.coalesce(places(phrase), none) for label, phrase in BASE}
     d = d.select("doc_id", "n_words", "_w", *(v.alias(f"_at_{k}") for k, v in found.items()))
-    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(float(r.relevance)).alias("relevance")) for r in rules))
+    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(r.regex).alias("regex"), F.lit(r.priority).alias("priority"), F.lit(float(r.relevance)).alias("relevance")) for r in rules))
     joined = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))
-    hits = let(joined, lambda t: F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.contains(t, F.concat(F.lit(" "), r["keyword"]))), lambda r: _intervals(t, r)))))
+    hits = let(joined, lambda t: F.sort_array(F.flatten(F.transform(F.filter(table, lambda r: F.forall(r["keywords"], lambda k: F.contains(t, F.concat(F.lit(" "), k)))), lambda r: _intervals(t, r)))))
     d = d.withColumn("_found", F.when(F.col("_w").isNotNull(), let(hits, _resolved)))
     base = F.array_compact(F.array(*(F.when(F.size(f"_at_{k}") > 0, F.lit(k)) for k, _ in BASE)))
     every = F.array_sort(F.flatten(F.array(*(F.col(f"_at_{k}") for k, _ in BASE))))
