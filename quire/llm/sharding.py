@@ -4,15 +4,19 @@ The rows are dealt to source parts by a hash, so a lost task finds the same part
 part p sends to shard s is drawn exactly, without replacement, from what the shards still lack. Each part permutes its rows and cuts
 them by those counts, the rows are exchanged, and every shard permutes again. Only keys move; texts stay where they are.
 
+Equal rows are counted first, and each of them gets a number, which takes part in all three hashes: copies fall into parts, shards and slots as unlike rows do, and
+a row that is repeated over and over is dealt out over all tasks.
+
 Law ``rows``: the shards' row counts are at most one apart. Nulls: a null text has size 1 and the CRC of no
-bytes; a null doc_id is a value like any other. Equal rows may stand in either order. An empty table gives no rows.
+bytes; a null doc_id is a value like any other. Rows that tie in doc_id, size and CRC take their places among themselves in any order. A text of any length is
+only measured. An empty table gives no rows; extra columns are ignored by op2 and kept by sharded_documents, but for those named like its own four.
 """
 
 from __future__ import annotations
 
-import math
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,33 +25,28 @@ from .common import Scratch, documents
 
 #: Source parts, and permutation bins of one shard; both bound what one task holds, and the matrix that is broadcast.
 PARTS, MOST_PARTS, ROWS_PER_PART = 1024, 8192, 2_000_000
+#: So many equal rows are numbered by one task at a time.
+LOT = 65_536
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
-    """An exact draw of how many of ``draws`` items taken from good + bad are good; any size, found outward from the mode."""
+    """A draw of how many of ``draws`` items taken from good + bad are good; any size.
+
+    The weights next to each other have a simple ratio, so they follow outward from the mode's, set to 1; beyond 12 deviations nothing is left that a double could hold.
+    """
     low, high = max(0, draws - bad), min(draws, good)
     if low == high:
         return low
-    mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    here = math.exp(choose(good, mode) + choose(bad, draws - mode) - choose(good + bad, draws))
-    up = down = mode
-    p_up = p_down = here
-    left = rng.random() - here
-    while left > 0 and (up < high or down > low):
-        if up < high:
-            p_up *= (good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1))
-            up += 1
-            left -= p_up
-            if left <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1))
-            down -= 1
-            left -= p_down
-            if left <= 0:
-                return down
-    return mode
+    total = good + bad
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (total + 2)))
+    reach = 20 + int(12 * (draws * (good / total) * (bad / total) * ((total - draws) / max(1, total - 1))) ** 0.5)
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    up, down = np.arange(mode, last, dtype=np.float64), np.arange(mode, first, -1, dtype=np.float64)
+    above = np.cumprod((good - up) * (draws - up) / ((up + 1) * (bad - draws + up + 1)))
+    below = np.cumprod(down * (bad - draws + down) / ((good - down + 1) * (draws - down + 1)))
+    weights = np.concatenate([below[::-1], [1.0], above])
+    upto = np.cumsum(weights)
+    return first + min(len(weights) - 1, int(np.searchsorted(upto, rng.random() * upto[-1], "right")))
 
 
 def communication_matrix(part_rows: dict[int, int], shard_rows: list[int], seed: int) -> dict[int, list[int]]:
@@ -65,11 +64,22 @@ def communication_matrix(part_rows: dict[int, int], shard_rows: list[int], seed:
     return out
 
 
+def numbered(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows' key columns and ``_copy``, which numbers equal rows from 0. Counted with partial sums and spread again, so no task holds all of many equal rows."""
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    lots = counts.select(*key, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / LOT))).alias("_lot"))
+    lots = lots.repartition(*key, "_lot")
+    last = F.least(F.col("_n") - 1, (F.col("_lot") + 1) * LOT - 1)
+    return lots.select(*key, F.explode(F.sequence(F.col("_lot") * LOT, last)).alias("_copy"))
+
+
 def shard(keys: DataFrame, shards: int = 16, seed: int = 20240607) -> DataFrame:
-    """Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in the shard) to a frame of doc_id, size, text_crc32."""
+    """Adds ``shard`` (int), ``slot`` (long, gapless from 0 in the shard) and ``_copy`` (the number among equal rows, from 0) to a frame of doc_id, size, text_crc32."""
     spark = keys.sparkSession
-    key = ["doc_id", "size", "text_crc32"]
-    keys = Scratch(spark, "shard").save(keys.select(*key), "keys")  # three numbers a document; the texts are read once
+    scratch = Scratch(spark, "shard")
+    # Three numbers a document; the texts are read once.
+    keys = scratch.save(numbered(keys, "doc_id", "size", "text_crc32"), "keys")
+    key = ["doc_id", "size", "text_crc32", "_copy"]
     first, second = (F.xxhash64(F.lit(seed + k), *key) for k in (1, 2))
     total = keys.count()
     parts = max(PARTS, min(MOST_PARTS, total // ROWS_PER_PART))
@@ -118,11 +128,17 @@ def sharded_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     own = ("size", "text_crc32", "shard", "slot", "_copy")
     names = [c for c in docs.columns if c not in own]
     size = (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1).cast("long")
-    d = docs.select(*names, size.alias("size"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_crc32"))
+    d = docs.select(*(F.col(f"`{c}`") for c in names), size.alias("size"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_crc32"))
     d = d.withColumn("_id", F.col("doc_id").cast("long"))
-    placed = shard(keyed(docs), shards)
-    nth = lambda id_: F.row_number().over(Window.partitionBy(id_, "size", "text_crc32").orderBy(F.lit(1)))
-    d = d.withColumn("_copy", nth("_id"))
-    placed = placed.withColumn("_copy", nth("doc_id")).select(F.col("doc_id").alias("_k"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), F.col("_copy").alias("_n"), "shard", "slot")
+    nth = F.row_number().over(Window.partitionBy("_id", "size", "text_crc32").orderBy(F.lit(1))) - 1
+    d = d.withColumn("_copy", nth.cast("long"))
+    placed = shard(keyed(docs), shards).select(F.col("doc_id").alias("_k"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), F.col("_copy").alias("_n"), "shard", "slot")
     on = F.col("_id").eqNullSafe(F.col("_k")) & (F.col("size") == F.col("_s")) & (F.col("text_crc32") == F.col("_c")) & (F.col("_copy") == F.col("_n"))
-    return d.join(placed, on).select(*names, "size", "text_crc32", "shard", "slot")
+    return d.join(placed, on).select(*(F.col(f"`{c}`") for c in names), "size", "text_crc32", "shard", "slot")
+
+
+def write_shards(sharded: DataFrame, path: str) -> None:
+    """One folder a shard (shard=0, ...), its files in order of slot and so are their rows. A shard is split over range partitions, so none is held by one task."""
+    files = int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = sharded.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.write.mode("overwrite").partitionBy("shard").parquet(path)
