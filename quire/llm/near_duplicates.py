@@ -1,18 +1,17 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Equal word sequences form classes; one document stands for each. Every representative has a set of distinct shingles and SIZE minima, of which one byte each
+1. Equal word sequences form classes, and a class is a node. Every node has a set of distinct shingles and SIZE minima, of which one byte each
    is kept as signature, and BANDS band keys of ROWS minima.
-2. Representatives that share a bucket of some band are candidates. Buckets are chained to families through one member each, by alternating
-   large-star and small-star steps over tables in the shared folder; pairs are never listed.
-3. A family's members, each with signature and shingle set, are dealt to blocks of BLOCK, and every two blocks meet in a task. There, signatures are
-   compared batch by batch, and a pair goes if the posterior probability that its similarity reaches the threshold, given the matches so far,
-   is below MISS. Survivors are confirmed on their full sets at once. Members that links already connect are not compared
-   again, so a block leaves a forest of links, at most one a member.
-4. Components of the links are found by the same steps. No bucket, family or partner is capped.
-
-Nulls: null and empty texts have no shingles and stay alone. A null doc_id takes a stand-in number above all others, made of its text;
-its component_id is null unless a document with an id is in its component. Rows of one doc_id count as one document in links. A text of
-under five words has its whole sequence as its only shingle. Extra columns are ignored.
+2. Nodes that share a bucket of some band are candidates. First each bucket's members meet its hub, the smallest node. Signatures are compared batch by batch, and a pair goes if the posterior
+   probability that its similarity reaches the threshold, given the matches so far, is below MISS. Survivors are confirmed on their full sets. Many members of one hub are dealt to several tasks.
+3. Links make components. Only buckets in which members of several components are left need more: there, those outside the bucket's largest component meet all others with whom nothing connects them yet.
+   A task holds a block of the former, bounded by its bytes, and streams the latter past it: once with the signatures alone, then, for nodes with a survivor, with the sets.
+   So pairs are never listed, and a bucket in which all is connected costs nothing.
+4. Components of all links are found by alternating large-star and small-star steps over tables in the shared folder. No bucket, component or partner is capped.
+
+Nulls: null and empty texts have no shingles and stay alone. A null doc_id is above all others;
+component_id is null unless a document with an id is in the component. Rows are documents of their own: those of one doc_id are linked only by their texts. A text of
+under five words has its whole sequence as its only shingle; a very long one is a set like others. Equal rows are one node. An empty table gives no rows; extra columns are ignored by op6 and kept by keep_one.
 """
 
 from __future__ import annotations
@@ -29,8 +28,10 @@ from .common import Scratch, documents, small_batches
 from .shingles import MinHash, hashes, words
 
 #: At similarity 0.75 a pair shares no band with probability (1 - 0.75**5)**40 = 2e-5; at 0.8 with 1e-7.
-ROWS, BANDS, BATCH, MISS, SEED, BLOCK = 5, 40, 20, 1e-5, 606, 1024
+ROWS, BANDS, BATCH, MISS, SEED = 5, 40, 20, 1e-5, 606
 SIZE = ROWS * BANDS
+#: Members of one hub or bucket in a task, and bytes of a block that a task holds.
+CHUNK, BLOCK_BYTES = 4096, 1 << 23
 NO_ID = 1 << 62
 _made: dict[int, MinHash] = {}
 
@@ -64,13 +65,16 @@ def survivors(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
     return alive
 
 
-def _id() -> Column:
-    stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3)
-    return F.coalesce(F.col("doc_id"), stand_in)
+ROW = ("row1", "row2")
+
+
+def _row() -> tuple[Column, Column]:
+    """Two hashes that tell rows apart by doc_id and text."""
+    return F.xxhash64("doc_id", "text").alias("row1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("row2")
 
 
 def _sketches(d: DataFrame) -> DataFrame:
-    """id, doc_id, class key, number of shingles, signature and band keys of each document; keys are null without words."""
+    """doc_id, row, class key, number of shingles, signature and band keys of each document; keys are null without words."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mh = _made.setdefault(SIZE, MinHash(SIZE, SEED))
@@ -78,7 +82,7 @@ def _sketches(d: DataFrame) -> DataFrame:
         mult = np.array([3, 5, 7, 11, 13], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
             keys, sizes, sigs, bands = [], [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(3).to_pylist():
                 w = words(text)
                 h = np.unique(hashes(w))
                 sizes.append(len(h))
@@ -95,20 +99,39 @@ def _sketches(d: DataFrame) -> DataFrame:
                     key ^= key >> np.uint64(31)
                 bands.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["id", "doc_id", "key", "n_shingles", "sig", "bands"],
+                [*(batch.column(i) for i in range(3)), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", *ROW, "key", "n_shingles", "sig", "bands"],
             )
 
-    return d.select(_id().alias("id"), "doc_id", "text").mapInArrow(sketch, "id long, doc_id long, key binary, n_shingles long, sig binary, bands array<long>")
+    return d.select("doc_id", *_row(), "text").mapInArrow(sketch, "doc_id long, row1 long, row2 long, key binary, n_shingles long, sig binary, bands array<long>")
+
+
+def _nodes(sketches: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, key, row1, row2, n_shingles, first (the class's smallest doc_id), sig, bands; one for each class. A node is numbered by its smallest doc_id, or, if
+    that is null or another class has it, by a number above all ids made of its words."""
+    d = sketches.filter("key IS NOT NULL")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), *ROW)
+    classes = scratch.save(d.groupBy("key").agg(F.min(place).alias("at")).select("key", F.col("at.doc_id").alias("first"), *(F.col(f"at.{r}").alias(r) for r in ROW)), "classes")
+    owner = classes.filter("first IS NOT NULL").groupBy("first").agg(F.min("key").alias("owner"))
+    named = classes.join(owner, "first", "left")
+    stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("key"), 3)
+    named = named.select("key", "first", *ROW, F.when(F.col("owner") == F.col("key"), F.col("first")).otherwise(stand_in).alias("node"))
+    named = named.withColumnRenamed("key", "_key")
+    on = (F.col("key") == F.col("_key")) & (d["row1"] == named["row1"]) & (d["row2"] == named["row2"])
+    found = d.select("key", *ROW, "n_shingles", "sig", "bands").join(named, on).select("node", "key", named["row1"], named["row2"], "n_shingles", "first", "sig", "bands")
+    return scratch.save(found.dropDuplicates(["node"]), "nodes")
 
 
-def _sets(d: DataFrame) -> DataFrame:
+def _sets(d: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and shingles of the wanted nodes (node, row1, row2)."""
+
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(hashes(words(t))).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return d.select("id", "text").mapInArrow(shingle_sets, "id long, shingles array<long>")
+    texts = d.select(*_row(), "text").join(wanted, list(ROW)).dropDuplicates(["node"])
+    return texts.select("node", "text").mapInArrow(shingle_sets, "node long, shingles array<long>")
 
 
 def components(links: DataFrame, scratch: Scratch, step: str) -> DataFrame:
@@ -131,99 +154,193 @@ def components(links: DataFrame, scratch: Scratch, step: str) -> DataFrame:
         state = (now["n"], now["h"])
 
 
-def forest(ids: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: list[int], percent: int) -> Iterator[tuple[int, int]]:
-    """Confirmed links between members at ``left`` and at ``right`` (the same places: each pair once) that connect what no link before has connected."""
-    label = np.arange(len(ids))
-    same = len(left) == len(right) and bool((left == right).all())
-    for a in left.tolist():
-        other = right[(label[right] != label[a]) & ((right > a) if same else True)]
-        if not len(other):
-            continue
-        for c in other[survivors(np.broadcast_to(sig[a], (len(other), SIZE)), sig[other], least)].tolist():
-            if label[c] == label[a]:
-                continue
-            both = len(np.intersect1d(sets[a], sets[c], assume_unique=True))
-            if 100 * both >= percent * (len(sets[a]) + len(sets[c]) - both):
-                label[label == label[c]] = label[a]
-                yield int(ids[a]), int(ids[c])
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), SIZE)
 
 
-def _links(members: DataFrame, least: list[int], percent: int) -> DataFrame:
-    """Links (a, b) within the pairs of blocks. members: family, i, j, block, id, sig, shingles."""
+def similar(a: np.ndarray, sets: pa.Array, percent: int) -> np.ndarray:
+    """Which of ``sets`` reach the threshold with the set a."""
+    n = sets.value_lengths().to_numpy().astype(np.int64)
+    both = np.add.reduceat(np.isin(sets.flatten().to_numpy(), a, assume_unique=False), np.cumsum(n) - n, dtype=np.int64) if len(n) else n
+    return 100 * both >= percent * (len(a) + n - both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(rows) < 2:
-                return
-            block = np.array([r[0] for r in rows])
-            sig = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8).reshape(len(rows), SIZE)
-            left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-            found = list(forest(np.array([r[1] for r in rows]), sig, [r[3] for r in rows], left, right, least, percent))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
+def _with_hubs(pairs: DataFrame, what: DataFrame, name: str, test) -> DataFrame:
+    """The pairs (node, hub) that pass ``test(hub's value, members' values)``. what: node and the column ``name``. A hub's members are dealt to tasks by CHUNK."""
+    counts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("lots"))
+    dealt = pairs.join(counts, "hub").withColumn("lot", F.pmod(F.xxhash64("node", F.lit(3)), F.col("lots")).cast("int"))
+    members = dealt.join(what, "node").select("hub", "lot", F.lit(1).alias("role"), "node", name)
+    hubs = counts.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).join(what.withColumnRenamed("node", "hub"), "hub")
+    rows = members.unionByName(hubs.select("hub", "lot", F.lit(0).alias("role"), F.col("hub").alias("node"), name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, value = None, None
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(6)]
-            for n, row in enumerate(zip(*columns, strict=True)):
-                if row[:3] != key:
-                    yield from done()
-                    key, rows = row[:3], []
-                rows.append((*row[3:], batch.column(6)[n].values.to_numpy()))
-        yield from done()
+            hub, role, node = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            start = np.flatnonzero(np.concatenate([[True], (hub[1:] != hub[:-1]) | (role[1:] < role[:-1])])) if len(hub) else np.zeros(0, dtype=np.int64)
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(hub)], strict=True):
+                if role[a] == 0:
+                    now, value, a = hub[a], batch.column(4)[a], a + 1
+                if a < b and now == hub[a]:
+                    hit = test(value, batch.column(4).slice(a, b - a))
+                    if len(hit):
+                        yield pa.RecordBatch.from_arrays([pa.array(node[a:b][hit]), pa.array(np.full(len(hit), now))], ["node", "hub"])
+
+    return rows.repartition("hub", "lot").sortWithinPartitions("hub", "lot", "role", "node").mapInArrow(run, "node long, hub long")
+
+
+def _rest(chained: DataFrame, labels: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """What the hubs have left: key, node, label and whether it is outside its bucket's largest component, for the buckets with several components; each set of members once."""
+    named = scratch.save(chained.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "labelled")
+    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("key")
+    named = named.join(mixed, "key")
+    by_label = named.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(5))).alias("y"))
+    buckets = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.sum("x").alias("x"), F.bit_xor("y").alias("y"))
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("key", "most")).alias("one")).select("one.*", "n")
+    return scratch.save(named.join(buckets, "key").select("key", "node", "label", (F.col("label") != F.col("most")).alias("outside"), "n"), "rest")
+
+
+def _past_blocks(rest: DataFrame, what: DataFrame, least: list[int], percent: int | None) -> DataFrame:
+    """Members outside their bucket's largest component against all of the bucket with other labels.
+
+    what: node, sig (and shingles). Without percent: node of every member that has a surviving partner, by signatures alone. With it: links (a, b), confirmed on the sets; what a link has joined is not compared again.
+    """
+    names = ["sig"] if percent is None else ["sig", "shingles"]
+    bytes_ = F.lit(SIZE + 64) if percent is None else F.lit(SIZE + 64) + 8 * F.size("shingles")
+    held = rest.filter("outside").join(what, "node")
+    sizes = held.groupBy("key").agg(F.ceil(F.sum(bytes_) / BLOCK_BYTES).cast("int").alias("blocks"))
+    lots = F.ceil(F.col("n") / CHUNK).cast("int")
+    left = held.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    left = left.withColumn("lot", F.explode(F.sequence(F.lit(0), lots - 1))).withColumn("role", F.lit(0))
+    right = rest.join(sizes, "key").join(what, "node").withColumn("lot", F.pmod(F.xxhash64("node", F.lit(2)), lots).cast("int"))
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    columns = ["key", "block", "lot", "role", "node", "label", "outside", *names]
+    rows = left.select(*columns).unionByName(right.select(*columns))
 
-    dealt = members.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "id")
-    return dealt.select("family", "i", "j", "block", "id", "sig", "shingles").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found = None, [], set()
+        node = label = sig = None
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        def meet(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+            other, mark, out = batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(6).to_numpy(zero_copy_only=False)
+            theirs = _signatures(batch.column(7))
+            for k in range(len(node)):
+                at = np.flatnonzero((mark != label[k]) & ((other > node[k]) | ~out))  # two members outside meet once
+                if not len(at):
+                    continue
+                alive = at[survivors(np.broadcast_to(sig[k], (len(at), SIZE)), theirs[at], least)]
+                if percent is None:
+                    if len(alive):
+                        found.add(int(node[k]))
+                        found.update(other[alive].tolist())
+                    continue
+                mine = held[k][8].values.to_numpy()
+                for c in alive.tolist():
+                    a, b = root(int(label[k])), root(int(mark[c]))
+                    if a != b and similar(mine, batch.column(8).slice(c, 1), percent)[0]:
+                        joined[max(a, b)] = min(a, b)
+                        yield int(node[k]), int(other[c])
+
+        for batch in batches:
+            n = batch.num_rows
+            place = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            role = batch.column(3).to_pylist()
+            a = 0
+            while a < n:
+                b = a + 1
+                while b < n and place[b] == place[a] and role[b] == role[a]:
+                    b += 1
+                if place[a] != now:
+                    now, held = place[a], []
+                    joined.clear()
+                part = batch.slice(a, b - a)
+                if role[a] == 0:
+                    held += [tuple(part.column(i)[k] for i in range(len(columns))) for k in range(b - a)]
+                    node, label = (np.array([h[i].as_py() for h in held]) for i in (4, 5))
+                    sig = np.frombuffer(b"".join(h[7].as_py() for h in held), dtype=np.uint8).reshape(len(held), SIZE)
+                elif held:
+                    links = list(meet(part))
+                    if links:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+                    if len(found) > 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], ["node"])
+                        found.clear()
+                a = b
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int64())], ["node"])
+
+    dealt = rows.repartition("key", "block", "lot").sortWithinPartitions("key", "block", "lot", "role", "node")
+    return dealt.select(*columns).mapInArrow(run, "node long" if percent is None else "a long, b long")
+
+
+def _linked(d: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """id (a node) and component of every node with a link."""
+    least = thresholds(percent)
+    banded = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
+    chained = scratch.save(banded.join(buckets, "key"), "chained")
+    sigs = nodes.select("node", "sig")
+    pairs = scratch.save(chained.filter("node <> hub").select("node", "hub").distinct(), "pairs")
+    by_signature = lambda hub, members: survivors(np.broadcast_to(_signatures(pa.array([hub.as_py()], pa.binary())), (len(members), SIZE)), _signatures(members), least)
+    alive = scratch.save(_with_hubs(pairs, sigs, "sig", by_signature), "alive")
+    rows = nodes.select("node", *ROW)
+    some = alive.select("node").union(alive.select("hub")).distinct()
+    sets = scratch.save(_sets(d, rows.join(some, "node")), "sets")
+    by_set = lambda hub, members: np.flatnonzero(similar(hub.values.to_numpy(), members, percent))
+    links = scratch.save(_with_hubs(alive, sets, "shingles", by_set).select(F.col("node").alias("a"), F.col("hub").alias("b")), "links")
+    found = scratch.save(components(links, scratch, "first"), "components-0")
+    rest = _rest(chained.select("key", "node"), found.withColumnRenamed("id", "node"), nodes, scratch)
+    if not rest.isEmpty():
+        some = scratch.save(_past_blocks(rest, sigs, least, None).distinct(), "left")
+        if not some.isEmpty():
+            more = rest.join(some, "node")
+            mixed = more.groupBy("key").agg(F.count("*").alias("n"), F.max("outside").alias("any")).filter("n > 1 AND any").select("key", "n")
+            more = scratch.save(more.drop("n").join(mixed, "key"), "more")
+            what = scratch.save(_sets(d, rows.join(some, "node")).join(sigs, "node"), "more-sets")
+            links = links.unionByName(scratch.save(_past_blocks(more, what, least, percent), "more-links"))
+            found = scratch.save(components(links, scratch, "second"), "components-1")
+    scratch.drop("chained", "pairs", "alive", "sets", "labelled", "rest", "more", "more-sets")
+    return found
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and class_id (the smallest id with the same words)."""
+    """doc_id, n_shingles, component_id, kept, class_id (the smallest id with the same words), and the row's hashes with the number of its component."""
     small_batches(spark)
-    scratch, d, least = Scratch(spark, "near"), documents(docs), thresholds(percent)
+    scratch, d = Scratch(spark, "near"), documents(docs)
     sketches = scratch.save(_sketches(d), "sketches")
-    classes = sketches.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"))
-    light = sketches.select("id", "doc_id", "key", "n_shingles").join(classes, "key", "left")
-    light = scratch.save(light.select("id", "doc_id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "classes")
-    reps = sketches.filter("key IS NOT NULL").join(classes.withColumnRenamed("key", "_key"), (F.col("id") == F.col("rep")) & (F.col("key") == F.col("_key")), "left_semi")
-    reps = scratch.save(reps.select("id", "sig", "bands").dropDuplicates(["id"]), "representatives")
-    scratch.drop("sketches")
-
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
-    chained = banded.join(buckets, "key").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    family = components(chained, scratch, "chain").withColumnRenamed("component", "family")
-    family = scratch.save(family.union(family.select(F.col("family").alias("id"), "family")).distinct(), "families")
-    size = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    texts = d.select(_id().alias("id"), "text").join(family.select("id"), "id", "left_semi")
-    sets = scratch.save(_sets(texts).dropDuplicates(["id"]), "sets")
-    m = sets.join(family, "id").join(size, "family").join(reps.select("id", "sig"), "id")
-    m = m.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with"))
-    links = scratch.save(_links(m, least, percent), "links")
-    final = scratch.save(components(links, scratch, "link"), "components")
-    scratch.drop("representatives", "families", "sets")
-
-    out = light.join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep")
-    real = lambda c: F.when(c < NO_ID, c)
+    nodes = _nodes(sketches, scratch)
+    found = _linked(d, nodes, scratch, percent)
+    labelled = nodes.select("node", F.col("key").alias("_key"), "first").join(found.withColumnRenamed("id", "node"), "node", "left")
+    labelled = labelled.select("node", "_key", "first", F.coalesce("component", "node").alias("component"))
+    smallest = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
+    labelled = scratch.save(labelled.join(smallest, "component"), "labels")
+    light = sketches.select("doc_id", *ROW, "key", "n_shingles")
+    out = light.join(labelled, F.col("key") == F.col("_key"), "left")
+    alone = F.col("key").isNull()
+    kept = F.when(alone, F.lit(True)).when(F.col("component_id").isNull(), F.col("node") == F.col("component")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     return out.select(
-        "doc_id", "n_shingles", real(component).alias("component_id"), (F.col("id") == component).alias("kept"),
-        real(F.col("rep")).alias("class_id"), F.col("id").alias("_id"),
+        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first")).alias("class_id"), *ROW, "component", "node",
     )
 
 
 def op6(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return near_duplicates(spark, docs).drop("_id")
+    return near_duplicates(spark, docs).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each component, with the columns it came with; of repeated rows of it, one."""
-    names = docs.columns
-    kept = near_duplicates(spark, docs, percent).filter("kept").select("_id").distinct()
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = packed.select("_row", _id().alias("_id"))
-    return packed.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select("_row.*")
+    """One document of each component, with the columns it came with: of the rows with its smallest doc_id the one with the smallest node and hashes; of rows without words, all that differ."""
+    found = near_duplicates(spark, docs, percent).filter("kept").select("component", "node", *ROW)
+    best = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("node", *ROW)).alias("one")).select("one.row1", "one.row2")
+    kept = Scratch(spark, "kept").save(best.union(found.filter("component IS NULL").select(*ROW).distinct()), "rows")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return packed.select("_row", *_row()).join(kept, list(ROW), "left_semi").dropDuplicates(list(ROW)).select("_row.*")
 
 
 #: Links by exact similarity and their components, for comparison.
