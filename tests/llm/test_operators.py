@@ -114,9 +114,38 @@ def test_matrix_margins_and_uniformity():
     assert sharding.hypergeometric(rng, 10**12, 10**13, 10**6) > 0
 
 
-def test_sharded_documents_keep_every_row(spark, docs, rows):
-    out = sharding.sharded_documents(docs).collect()
+def test_sharded_documents_keep_every_row(spark, docs, rows, tmp_path):
+    sharded = sharding.sharded_documents(docs)
+    out = sharded.collect()
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out) == sorted((r[0] or -1, r[1] or "") for r in rows)
+    sharding.write_shards(sharded, f"file://{tmp_path}/shards")
+    import glob
+
+    assert len(glob.glob(f"{tmp_path}/shards/shard=*")) == 16 and spark.read.parquet(f"file://{tmp_path}/shards").count() == len(rows)
+
+
+def test_copies_are_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PARTS", 4)
+    monkeypatch.setattr(sharding, "LOT", 100)
+    keys = spark.range(3000).selectExpr("id AS doc_id", "id + 1 AS size", "id AS text_crc32")
+    by = {}
+    for r in sharding.shard(keys.union(keys).union(keys)).select("doc_id", "shard").collect():
+        by.setdefault(r["doc_id"], []).append(r["shard"])
+    assert {len(v) for v in by.values()} == {3}
+    same = sum(len(set(v)) == 1 for v in by.values()) / 3000
+    assert same < 0.02  # by chance 1 / 256
+    hot = spark.range(1).selectExpr("7L AS doc_id", "8L AS size", "9L AS text_crc32", "explode(sequence(1, 2000))").drop("col")
+    got = Counter(r["shard"] for r in sharding.shard(hot).collect())
+    assert sorted(got.values()) == [125] * 16
+
+
+def test_large_draws_are_near_their_mean():
+    import random
+
+    rng = random.Random(1)
+    x = [sharding.hypergeometric(rng, 10**12, 15 * 10**12, 10**9) for _ in range(300)]
+    sd = (10**9 * (1 / 16) * (15 / 16)) ** 0.5
+    assert abs(np.mean(x) - 10**9 / 16) < 4 * sd / 300**0.5 and 0.85 < np.std(x) / sd < 1.15
 
 
 # ---- Rollups ----------------------------------------------------------------------------------------------------------------
@@ -267,7 +296,7 @@ def brute_components(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if ids[i] == ids[j] or (both and 100 * both >= 75 * len(sets[i] | sets[j])):
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
                 a, b = label[i], label[j]
                 label = [b if x == a else x for x in label]
     least = {}
@@ -281,7 +310,8 @@ def test_near_duplicates(spark, docs, rows, none, monkeypatch):
     got = lambda: sorted((n(r["doc_id"]), r["n_shingles"], n(r["component_id"])) for r in near_duplicates.op6(spark, docs).collect())
     want = brute_components(rows)
     assert got() == want
-    monkeypatch.setattr(near_duplicates, "BLOCK", 2)
+    monkeypatch.setattr(near_duplicates, "CHUNK", 2)
+    monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", 4000)
     assert got() == want
     kept = near_duplicates.keep_one(spark, docs)
     assert kept.columns == docs.columns
@@ -444,8 +474,10 @@ def spelled(tree):
             parts = [x for branch in arg[1] for x in spelled(branch)]
         elif kind == "SUBPATTERN":
             parts = spelled(arg[3])
-        elif kind == "MAX_REPEAT":
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
             parts = spelled(arg[2]) + ([""] if arg[0] == 0 else [])
+        elif kind == "ANY":
+            parts = ["x"]
         else:
             assert kind == "ASSERT"
             parts = [" "]  # the space that has to follow
@@ -458,18 +490,107 @@ def test_every_form_of_a_rule_holds_its_keyword():
     gate = re.compile(licenses.gate(rules))
     for r in rules:
         for text in spelled(re._parser.parse(r.regex)):
-            assert re.match(r.regex, text) and " " + r.keyword in text and gate.search(text), (r, text)
+            assert re.match(r.regex, text) and r.keywords and all(" " + k in text for k in r.keywords) and gate.search(text), (r, text)
 
 
 def test_library_name_of_the_lgpl(spark):
     texts = [(1, "GNU Library General Public License"), (2, "under the GNU Library General Public License, version 2.0"), (3, "Open Data Commons Database License")]
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert "lgpl" in got[1].split(",") and "lgpl-2.0" in got[2].split(",") and got[3] == "odbl"
+    assert got == {1: "gpl,lgpl", 2: "gpl,lgpl-2.0", 3: "odbl"}
+
+
+LABELS = {
+    "released under the apache software license version 2.0 ok": "apache,apache-2.0".split(",")[1:],
+    "Licensed under the Apache License, Version 2.0": ["apache-2.0"],
+    "Distributed under Apache-2.0.": ["apache-2.0"],
+    "Code: MPL-2.0": ["mpl-2.0"],
+    "Code is BSD-3-Clause": ["bsd-3-clause"],
+    "CC BY-SA 4.0": ["cc-by-sa-4.0"],
+    "CC BY-NC-ND 4.0 and more": ["cc-by-nc-nd-4.0"],
+    "Creative Commons Attribution-ShareAlike 4.0 International": ["cc-by-sa-4.0"],
+    "Creative Commons Attribution-NonCommercial": ["cc-by-nc"],
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal": ["mit"],
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": ["bsd"],
+    "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software": ["bsd-3-clause"],
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License": ["gpl"],
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": ["lgpl"],
+    "GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.": ["gpl-3.0"],
+    "GNU General Public License, version 2 or later": ["gpl-2.0"],
+    "under the GPLv3": ["gpl-3.0"],
+    "GPL v2": ["gpl-2.0"],
+    "LGPL-2.1-or-later": ["lgpl-2.1"],
+    "GNU Library General Public License": ["lgpl"],
+    "GNU Affero General Public License v3.0": ["agpl-3.0"],
+    "SPDX-License-Identifier: MIT": ["mit"],
+    "SPDX-License-Identifier: GPL-2.0-only": ["gpl-2.0"],
+    "SPDX-License-Identifier: 0BSD": ["0bsd"],
+    "SPDX-License-Identifier: ISC": ["isc"],
+    "released under the MIT": ["mit"],
+    "dual licensed under MIT and Apache-2.0": ["apache-2.0", "mit"],
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": ["mpl-2.0"],
+    "Eclipse Public License 2.0": ["epl-2.0"],
+    "Eclipse Public License": ["epl"],
+    "Boost Software License - Version 1.0": ["bsl-1.0"],
+    "This is free and unencumbered software released into the public domain.": ["unlicense"],
+    "given into the public\n  domain": ["public-domain"],
+    "zlib/libpng license": ["zlib"],
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that": ["isc"],
+    "SIL Open Font License, Version 1.1": ["ofl-1.1"],
+    "Open Data Commons Database License": ["odbl"],
+    "the Artistic License 2.0 or the Perl Artistic License": ["artistic", "artistic-2.0"],
+    "two-clause BSD license": ["bsd-2-clause"],
+    "a BSD-style license": ["bsd"],
+    "Python Software Foundation License": ["python"],
+    "To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this work": ["cc0-1.0"],
+    "CC0 1.0 Universal": ["cc0-1.0"],
+    "European Union Public Licence v1.2": ["eupl-1.2"],
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0": ["apache-2.0"],
+    "The Software shall be used for Good, not Evil.": ["json"],
+    "Unauthorized copying of this file, via any medium is strictly prohibited": ["proprietary"],
+    "Microsoft Public License (Ms-PL)": ["ms-pl"],
+    "mit der lizenz, under no terms, in the open": [],
+    "submit license, apache2, copyleft": [],
+    "": [],
+}
+
 
+def brute_labels(text):
+    """The method's labels and score with Python's re and all pairs of detections."""
+    t = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    t = " " + " ".join(re.findall(licenses.LOWER_WORD, t)) + " "
+    hits = [(m.start(), m.end(), r) for r in licenses.signature_rules() for m in re.finditer(r.regex, t)]
+    rank = lambda h: (h[2].priority, h[1] - h[0], -h[0])
+    beats = lambda a, b: rank(a) > rank(b) or (rank(a) == rank(b) and a[2].label < b[2].label)
+    kept = [h for h in hits if not any(a[0] < h[1] and h[0] < a[1] and beats(a, h) for a in hits)]
+    return sorted({h[2].label for h in kept}), max([h[2].relevance for h in kept], default=0.0)
 
-def test_contained_detections_are_suppressed(spark):
-    d = spark.createDataFrame([(1, "released under the apache software license version 2.0 ok")], "doc_id long, text string")
-    assert licenses.scan(d).first()["labels"] in ("apache", "apache-2.0", "apache,apache-2.0")
+
+def brute_scan(text):
+    w = re.findall(licenses.LOWER_WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = {label: [i for i in range(len(w)) if tuple(w[i : i + len(p)]) == p] for label, p in licenses.BASE}
+    every, base = sorted(x for v in places.values() for x in v), sorted(k for k, v in places.items() if v)
+    labels, score = brute_labels(text or "")
+    first, last = (every[0], every[-1]) if every else (None, None)
+    return len(w), len(every), first, last, ",".join(base), ",".join(sorted({*base, *labels})), max(score, 0.7 if base else 0.0)
+
+
+def test_licence_labels(spark):
+    texts = list(LABELS)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(d).collect()}
+    for k, text in enumerate(texts):
+        assert brute_labels(text)[0] == sorted(LABELS[text]), text
+        assert tuple(got[k])[1:] == brute_scan(text), text
+    assert len(licenses.signature_rules()) > 300
+
+
+def test_licence_scan_against_brute_force(spark):
+    rng, phrases = np.random.default_rng(8), [x for x in LABELS if x] + ["lorem", "ipsum the", "version 2.0", "licence"]
+    mixed = [" ".join(phrases[k] for k in rng.integers(0, len(phrases), n)) for n in (1, 2, 3, 5, 8, 40, 120, 300) for _ in range(4)]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = dict(map(tuple, docs.collect())) | {10**6 + k: t for k, t in enumerate(mixed)}
+    got = licenses.scan(docs.union(spark.createDataFrame(list(enumerate(mixed, 10**6)), "doc_id long, text string"))).collect()
+    assert len(got) == len(texts) and all(tuple(r)[1:] == brute_scan(texts[r["doc_id"]]) for r in got)
 
 
 def test_many_notices_in_one_text(spark):
@@ -522,3 +643,55 @@ def test_targets_are_capped_and_reshared(spark):
 def test_mix_comes_near_its_targets(spark):
     got = mixing.op9(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("source").agg({"taken": "sum", "target": "first"}).collect()
     assert all(abs(r["sum(taken)"] / r["first(target)"] - 1) < 0.02 for r in got)
+
+
+def brute_mix(got):
+    """What the ranking takes: in the order of the first pass's rank, each row that fits. got: rows with rank order, size and gap of one source."""
+    taken, gap = [], got[0][2]
+    for rank, size, _ in sorted(got):
+        if 0 < size <= gap:
+            taken.append(rank)
+            gap -= size
+    return taken
+
+
+def test_equal_rows_draw_for_themselves(spark):
+    text = "w " * 20
+    rows = [(None, text, "a")] * 1000 + [(5, text, "b")] * 900 + [(None, "x " * 9000, "c")] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.op9(spark, d).collect()
+    assert len(got) == len(rows)
+    for source in "abc":
+        mine = [r for r in got if r["source"] == source]
+        assert 0 <= mine[0]["target"] - sum(r["taken"] for r in mine) < mine[0]["size"], source
+        assert abs(mine[0]["target"] - sum(r["taken"] for r in mine) - mine[0]["shortfall"]) < 1e-3
+    out = mixing.mixed_documents(spark, d).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in out} == Counter(r["source"] for r in got for _ in range(r["copies"]))
+
+
+def test_mix_follows_the_ranking(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scratch = Scratch(spark, "test")
+    sizes = mixing.sized(docs.select("doc_id", "text", "source"), scratch)
+    plan = mixing.plan_mix(sizes, scratch)
+    first = spark.read.parquet(scratch.path("plan-0"))
+    ranked = mixing._ranked(sizes, first, mixing.SEED, mixing.BINS).select("source", "_rank", "size", "_gap").collect()
+    done = mixing.mix(sizes, plan).join(plan.selectExpr("source AS s2", "_whole"), mixing.F.expr("source <=> s2"))
+    sampled = Counter((r["source"], r["doc_id"]) for r in done.collect() if r["copies"] > r["_whole"])
+    for source in {r["source"] for r in ranked}:
+        mine = [(tuple(r["_rank"]), r["size"], r["_gap"]) for r in ranked if r["source"] == source]
+        assert {(source, rank[2]) for rank in brute_mix(mine)} == {k for k in sampled if k[0] == source}
+
+
+def test_inclusion_probabilities_give_the_gap(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scratch = Scratch(spark, "test")
+    sizes = mixing.sized(docs.select("doc_id", "text", "source"), scratch)
+    mixing.plan_mix(sizes, scratch)
+    p = {r["source"]: r for r in spark.read.parquet(scratch.path("plan-0")).collect()}
+    words_ = Counter()
+    for r in sizes.collect():
+        if r["size"]:
+            words_[r["source"]] += p[r["source"]]["_p"][r["size"].bit_length() - 1] * r["size"]
+    assert all(abs(words_[s] - r["_gap"]) < 1e-6 * max(1, r["_gap"]) for s, r in p.items())
+    assert any(len(set(r["_p"].values())) > 1 for r in p.values())
