@@ -1,10 +1,12 @@
-"""Snapshots of documents compared, and edit logs folded. Logs are folded a document at a time; documents run in parallel."""
+"""Snapshots of documents compared, and edit logs folded. Logs stream through a fold in order; documents run in parallel."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold
+
 #: The share of text that must remain, pages that its length is taken from, and the share of tags that makes a document tagged.
 KEPT_TEXT, TEXT_PAGES, COVERAGE = 0.95, 20, 0.66
 #: Confidence of edits in order.
@@ -83,60 +85,62 @@ def taggable(elements: DataFrame) -> DataFrame:
 MERGING = ("SetFieldValue", "EditAnnotation")
 
 
+def merges(entry: tuple | list, op: str, target: str | None, s: float, window_seconds: float, ops: tuple[str, ...] | None) -> bool:
+    """Whether an edit joins the open entry, which begins with op, target and the time of its first edit."""
+    return (ops is None or op in ops) and op is not None and target is not None and entry[0] == op and entry[1] == target and s - entry[2] <= window_seconds
+
+
 def merged_edits(log: DataFrame, window_seconds: float = 2.0, ops: tuple[str, ...] | None = MERGING) -> DataFrame:
     """Edits of one kind and target join the entry before them while they come within the window of that entry's first edit.
 
-    Each decision depends on the entry that is open, so this is a fold over a document's log in order, not a session window. log: doc_id, seq, made_at, op,
+    Each decision depends on the entry that is open, so this is a fold over a document's log in order, not a session window; only that entry is held. log: doc_id, seq, made_at, op,
     target, value. Gives doc_id, entry (from 1), op, target, first_seq, n, value (the last one).
     """
-    item = F.struct("seq", F.col("made_at").cast("timestamp").cast("double").alias("s"), "op", F.col("target").cast("string").alias("target"), F.col("value").cast("string").alias("value"))
-    start = F.array().cast("array<struct<op:string,target:string,s:double,first_seq:int,n:int,value:string>>")
+    rows = log.select("doc_id", F.col("seq").cast("int").alias("seq"), F.col("made_at").cast("timestamp").cast("double").alias("s"), "op", F.col("target").cast("string").alias("target"), F.col("value").cast("string").alias("value"))
 
-    def step(acc: Column, e: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        mergeable = F.lit(True) if ops is None else e["op"].isin(*ops)
-        join = mergeable & (last["op"] == e["op"]) & (last["target"] == e["target"]) & (e["s"] - last["s"] <= window_seconds)
-        grown = F.struct(last["op"].alias("op"), last["target"].alias("target"), last["s"].alias("s"), last["first_seq"].alias("first_seq"), (last["n"] + 1).alias("n"), e["value"].alias("value"))
-        new = F.struct(e["op"].alias("op"), e["target"].alias("target"), e["s"].alias("s"), e["seq"].cast("int").alias("first_seq"), F.lit(1).alias("n"), e["value"].alias("value"))
-        return F.when(F.coalesce(join, F.lit(False)), F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.array_append(acc, new))
+    def step(open_: list | None, row: tuple) -> tuple[list, list[tuple]]:
+        seq, s, op, target, value = row  # open_: op, target, time, first_seq, n, value, number
+        if open_ is not None and merges(open_, op, target, s, window_seconds, ops):
+            open_[4:6] = open_[4] + 1, value
+            return open_, []
+        return [op, target, s, seq, 1, value, open_[6] + 1 if open_ else 1], done(open_)
 
-    g = log.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("log"))
-    folded = g.select("doc_id", F.posexplode(F.aggregate("log", start, step)).alias("entry", "e"))
-    return folded.select("doc_id", (F.col("entry") + 1).alias("entry"), "e.op", "e.target", "e.first_seq", "e.n", "e.value")
+    def done(open_: list | None) -> list[tuple]:
+        return [] if open_ is None else [(open_[6], open_[0], open_[1], open_[3], open_[4], open_[5])]
+
+    return fold(rows, "doc_id", ["seq", "s"], "entry int, op string, target string, first_seq int, n int, value string", step, done)
 
 
 def undo_state(log: DataFrame) -> DataFrame:
     """What stands after a log of do, undo and redo: doc_id, done (ids in order), undone, refused (steps with nothing to act on)."""
-    item = F.struct("seq", "op", F.col("target").cast("string").alias("id"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("undone"), F.lit(0).alias("refused"))
-
-    def step(acc: Column, e: Column) -> Column:
-        top = lambda a: F.try_element_at(a, F.lit(-1))
-        rest = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
-        state = lambda d, u, r: F.struct(d.alias("done"), u.alias("undone"), r.alias("refused"))
-        done, undone, refused = acc["done"], acc["undone"], acc["refused"]
-        return (
-            F.when((e["op"] == "undo") & (F.size(done) > 0), state(rest(done), F.array_append(undone, top(done)), refused))
-            .when((e["op"] == "redo") & (F.size(undone) > 0), state(F.array_append(done, top(undone)), rest(undone), refused))
-            .when(e["op"].isin("undo", "redo"), state(done, undone, refused + 1))
-            .otherwise(state(F.array_append(done, e["id"]), F.array().cast("array<string>"), refused))
-        )
-
-    g = log.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("log"))
-    s = g.select("doc_id", F.aggregate("log", start, step).alias("s"))
-    return s.select("doc_id", F.array_join("s.done", ",").alias("done"), F.array_join("s.undone", ",").alias("undone"), F.col("s.refused").alias("refused"))
+    rows = log.select("doc_id", "seq", "op", F.col("target").cast("string").alias("id"))
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, list]:
+        done, undone, refused = state or ([], [], 0)
+        _, op, id_ = row
+        source, goal = (done, undone) if op == "undo" else (undone, done)
+        if op not in ("undo", "redo"):
+            done.append(id_)
+            undone = []
+        elif source:
+            goal.append(source.pop())
+        else:
+            refused += 1
+        return (done, undone, refused), []
+
+    text = lambda ids: ",".join(x for x in ids if x is not None)
+    return fold(rows, "doc_id", ["seq"], "done string, undone string, refused int", step, lambda s: [(text(s[0]), text(s[1]), s[2])])
 
 
 def throttled(events: DataFrame, gap: float) -> DataFrame:
     """Events that come at least ``gap`` seconds after the last one that was let through. events: doc_id, seq, made_at."""
-    item = F.struct(F.col("made_at").cast("timestamp").cast("double").alias("s"), "seq")
-    start = F.struct(F.lit(-1e18).alias("last"), F.array().cast("array<bigint>").alias("out"))
+    rows = events.select("doc_id", F.col("made_at").cast("timestamp").cast("double").alias("s"), F.col("seq").cast("bigint").alias("seq"))
 
-    def step(acc: Column, e: Column) -> Column:
-        return F.when(e["s"] - acc["last"] < gap, acc).otherwise(F.struct(e["s"].alias("last"), F.array_append(acc["out"], e["seq"].cast("bigint")).alias("out")))
+    def step(last: float | None, row: tuple) -> tuple[float, list[tuple]]:
+        s, seq = row
+        return (last, []) if last is not None and s - last < gap else (s, [(seq,)])
 
-    g = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("log"))
-    return g.select("doc_id", F.explode(F.aggregate("log", start, step, lambda a: a["out"])).alias("seq"))
+    return fold(rows, "doc_id", ["s", "seq"], "seq bigint", step, lambda _: [])
 
 
 def state_of(log: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.arrays import let, sums_before
+
 CONTEXT = 70
 
 
@@ -12,13 +14,8 @@ def offsets(text: Column, term: str, match_case: bool = False) -> Column:
     """Q2: places (from 0) of matches that don't overlap, found from left to right."""
     t, x = (term, text) if match_case else (term.lower(), F.lower(text))
     parts = F.transform(F.split(x, r"\Q" + t + r"\E"), lambda p: F.length(p))
-    at = F.aggregate(
-        F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda acc, n: F.struct((acc["at"] + n + len(t)).alias("at"), F.array_append(acc["out"], acc["at"] + n).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return at
+    gaps = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return let(gaps, lambda g: F.transform(F.zip_with(sums_before(g), g, lambda before, own: before + own), lambda at, k: at + k * len(t)))
 
 
 def whole_word(text: Column, at: Column, length: int) -> Column:
@@ -50,11 +47,11 @@ def search(elements: DataFrame, term: str, match_case: bool = False, words_only:
     for on, kind in ((artifacts, "Artifact"), (fields, "FormField"), (annotations, "Annotation")):
         if not on:
             e = e.filter(F.col("kind") != kind)
-    # Only documents with a match are sorted: their headings are found by the nearest earlier one.
+    # Only elements with a match and headings are sorted; the nearest earlier heading is the one a match stands under.
     hit = F.contains(F.col("text"), F.lit(term)) if match_case else F.contains(F.lower("text"), F.lit(term.lower()))
     e = e.withColumn("_hit", hit & F.lit(bool(term)))
     w = Window.partitionBy("doc_id").orderBy("reading_order")
-    e = e.withColumn("heading", last_heading(w)).filter("_hit")
+    e = e.filter((F.col("kind") == "Heading") | F.col("_hit")).withColumn("heading", last_heading(w)).filter("_hit")
     m = e.withColumn("place", F.explode(offsets(F.col("text"), term or "\u0000", match_case)))
     if words_only:
         m = m.filter(whole_word(F.col("text"), F.col("place"), len(term)))

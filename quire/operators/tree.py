@@ -2,29 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.runtime import ship
 
-MOST_DEPTH = 64
+#: Fixed value: names of form fields are read to this depth.
+FIELD_DEPTH = 32
 #: Element kinds and their structure tags.
 TAGS = {"Paragraph": "P", "Caption": "Caption", "BlockQuote": "BlockQuote", "Code": "Code", "Note": "Note", "List": "L", "ListItem": "LI", "Table": "Table", "TableRow": "TR", "Figure": "Figure", "Section": "Sect"}
 
 
-def paths(spark: SparkSession, elements: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """Adds depth, path (padded sibling numbers) and reading_order (from 0, depth first). Cycles and depths beyond the bound are left out.
+def paths(spark: SparkSession, elements: DataFrame, most_depth: int | None = None, label: str | None = None) -> DataFrame:
+    """O2: adds depth, path (padded places among siblings) and reading_order (from 0, depth first). What no root leads to, such as a cycle, is left out.
 
-    elements: doc_id, element_id, parent_id, sibling_ord. The recursion takes one join a level; levels are bounded, documents are not.
+    elements: doc_id, element_id, parent_id, sibling_ord and what else is to be kept. Rows are dealt by document and walked a document at a time, so a task holds
+    one document, whatever its depth; the corpus is never held. most_depth: deeper elements are left out (A12). label: a column whose values that aren't blank are joined by dots from the root down, as full_name.
     """
-    view = f"_elements_{abs(hash(elements))}"
-    elements.createOrReplaceTempView(view)
-    walked = spark.sql(f"""
-    WITH RECURSIVE t(doc_id, element_id, depth, path) AS (
-      SELECT doc_id, element_id, 0, lpad(CAST(sibling_ord AS STRING), 8, '0') FROM {view} WHERE parent_id IS NULL
-      UNION ALL
-      SELECT e.doc_id, e.element_id, t.depth + 1, concat(t.path, '.', lpad(CAST(e.sibling_ord AS STRING), 8, '0')) FROM {view} e JOIN t ON e.doc_id = t.doc_id AND e.parent_id = t.element_id WHERE t.depth < {most_depth}
-    ) SELECT * FROM t""")
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("path")) - 1
-    return walked.withColumn("reading_order", order).join(elements, ["doc_id", "element_id"])
+    ship(spark)
+    extra = [T.StructField("depth", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("reading_order", T.IntegerType())]
+    extra += [T.StructField("full_name", T.StringType())] if label else []
+    schema = T.StructType([*elements.schema.fields, *extra])
+
+    def walk(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        docs, ids, parents = (table[n].to_pylist() for n in ("doc_id", "element_id", "parent_id"))
+        own = table[label].to_pylist() if label else None
+        rows: list[int] = []
+        found: tuple[list, ...] = ([], [], [], [])
+        first = 0
+        while first < len(docs):
+            last = first
+            children: dict = {}
+            while last < len(docs) and docs[last] == docs[first]:
+                children.setdefault(parents[last], []).append(last)
+                last += 1
+            below = lambda parent: children.pop(parent, ())  # noqa: E731, B023 -- each list is walked once, so cycles end
+            stack = [(r, 0, f"{k:08d}", "") for k, r in reversed(list(enumerate(below(None))))]
+            n = 0
+            while stack:
+                row, depth, path, name = stack.pop()
+                if label and own[row]:
+                    name = f"{name}.{own[row]}" if name else own[row]
+                rows.append(row)
+                for column, value in zip(found, (depth, path, n, name), strict=True):
+                    column.append(value)
+                n += 1
+                if ids[row] is not None and (most_depth is None or depth < most_depth):
+                    stack += [(r, depth + 1, f"{path}.{k:08d}", name) for k, r in reversed(list(enumerate(below(ids[row]))))]
+            first = last
+        out = table.take(pa.array(rows, pa.int64()))
+        types = (pa.int32(), pa.string(), pa.int32(), pa.string())
+        for field, values, kind in zip(extra, found, types, strict=False):
+            out = out.append_column(field.name, pa.array(values, kind))
+        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            docs = batch.column("doc_id").to_pylist()
+            cut = len(docs)
+            while cut and docs[cut - 1] == docs[-1]:
+                cut -= 1
+            if held and (cut or docs[0] != held[-1].column("doc_id")[0].as_py()):
+                yield from walk(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from walk(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from walk(pa.Table.from_batches(held))
+
+    return elements.repartition("doc_id").sortWithinPartitions("doc_id", "sibling_ord", "element_id").mapInArrow(run, schema)
 
 
 def descendants(walked: DataFrame) -> DataFrame:
@@ -127,14 +181,8 @@ def dense_marks(marks: DataFrame) -> DataFrame:
 
 def qualified_names(spark: SparkSession, fields: DataFrame) -> DataFrame:
     """Full names of form fields, from the root's name down. fields: doc_id, field_id, parent_id, name."""
-    view = f"_fields_{abs(hash(fields))}"
-    fields.createOrReplaceTempView(view)
-    return spark.sql(f"""
-    WITH RECURSIVE t(doc_id, field_id, full_name, depth) AS (
-      SELECT doc_id, field_id, name, 0 FROM {view} WHERE parent_id IS NULL
-      UNION ALL
-      SELECT f.doc_id, f.field_id, CASE WHEN coalesce(f.name, '') = '' THEN t.full_name ELSE concat(t.full_name, '.', f.name) END, t.depth + 1 FROM {view} f JOIN t ON f.doc_id = t.doc_id AND f.parent_id = t.field_id WHERE t.depth < 32
-    ) SELECT doc_id, field_id, full_name FROM t""")
+    e = fields.select("doc_id", F.col("field_id").alias("element_id"), "parent_id", F.col("field_id").alias("sibling_ord"), "name")
+    return paths(spark, e, FIELD_DEPTH, "name").select("doc_id", F.col("element_id").alias("field_id"), "full_name")
 
 
 def comment_place(elements: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from quire.operators.changes import MERGING, merges
+
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
 
 
@@ -25,33 +27,30 @@ def audit_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, is
 ENTRY = "doc_id long, op string, target string, n int, value string"
 
 
-def merge_stream(edits: DataFrame, window_seconds: float = 2.0) -> DataFrame:
-    """Edits of one document and target merged while they come within the window of the open entry's first edit.
+def merge_stream(edits: DataFrame, window_seconds: float = 2.0, ops: tuple[str, ...] | None = MERGING) -> DataFrame:
+    """E3 over a stream: edits of one kind and target join their document's open entry while they come within the window of its first edit; any other edit ends it.
 
     edits: doc_id, made_at (timestamp with a watermark), op, target, value. An entry is given out when the next one opens or when the watermark passes its window.
-    The open entry is all the state that a key holds.
+    The open entry is all the state that a document holds.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        doc, op, target = key
-        entry = state.getOption
-        out = []
+        entry, out = state.getOption, []  # op, target, time, n, value
         if state.hasTimedOut:
-            _, n, value = entry
-            out.append((doc, op, target, n, value))
+            out.append((*entry[:2], *entry[3:]))
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values("made_at")
-            for at, value in zip(rows["made_at"], rows["value"], strict=True):
+            rows = pd.concat(list(batches)).sort_values("made_at", kind="stable")
+            for at, op, target, value in zip(rows["made_at"], rows["op"], rows["target"], rows["value"], strict=True):
                 s = at.timestamp()
-                if entry is not None and s - entry[0] <= window_seconds:
-                    entry = (entry[0], entry[1] + 1, value)
+                if entry is not None and merges(entry, op, target, s, window_seconds, ops):
+                    entry = (*entry[:3], entry[3] + 1, value)
                 else:
                     if entry is not None:
-                        out.append((doc, op, target, entry[1], entry[2]))
-                    entry = (s, 1, value)
+                        out.append((*entry[:2], *entry[3:]))
+                    entry = (op, target, s, 1, value)
             state.update(entry)
-            state.setTimeoutTimestamp(max(int((entry[0] + window_seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["doc_id", "op", "target", "n", "value"])
+            state.setTimeoutTimestamp(max(int((entry[2] + window_seconds) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, *x) for x in out], columns=["doc_id", "op", "target", "n", "value"])
 
-    return edits.groupBy("doc_id", "op", "target").applyInPandasWithState(fold, ENTRY, "s double, n int, value string", "append", "EventTimeTimeout")
+    return edits.groupBy("doc_id").applyInPandasWithState(fold, ENTRY, "op string, target string, s double, n int, value string", "append", "EventTimeTimeout")

@@ -1,6 +1,7 @@
 import datetime
+import random
 
-from quire.operators import render
+from quire.operators import changes, render, tree
 from quire.plans.audit_queries import page_corpus
 from quire.operators import audit
 from quire.sources import loader
@@ -58,14 +59,79 @@ def test_audit_stream_gives_what_the_batch_gives(spark, sf_dir, tmp_path):
     assert audit.RULES and page_corpus(spark, sf_dir).documents.count() == pages.count()
 
 
-def test_merge_stream(spark, tmp_path):
+def test_merge_stream_gives_what_the_batch_gives(spark, tmp_path):
     t = lambda s: datetime.datetime(2026, 1, 1, 10, 0) + datetime.timedelta(seconds=s)
-    rows = [(1, t(0), "set", "a", "1"), (1, t(1.5), "set", "a", "2"), (1, t(3), "set", "a", "3"), (1, t(3.5), "set", "b", "4"), (9, t(900), "x", "x", "")]
-    schema = "doc_id long, made_at timestamp, op string, target string, value string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    set_, edit, other = "SetFieldValue", "EditAnnotation", "SetTitle"
+    rows = [
+        (1, 1, t(0), set_, "a", "1"), (1, 2, t(1.5), set_, "a", "2"), (1, 3, t(3), set_, "a", "3"), (1, 4, t(3.5), set_, "b", "4"), (1, 5, t(4), set_, "a", "5"), (1, 6, t(4.5), set_, "a", "6"),
+        (1, 7, t(5), edit, "a", "7"), (1, 8, t(20), other, "t", "8"), (1, 9, t(21), other, "t", "9"), (2, 1, t(0), edit, "n", "x"), (2, 2, t(2), edit, "n", "y"), (9, 1, t(900), "x", "x", ""),
+    ]
+    schema = "doc_id long, seq int, made_at timestamp, op string, target string, value string"
+    log = spark.createDataFrame(rows, schema)
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
     edits = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withWatermark("made_at", "1 second")
     q = streams.merge_stream(edits).writeStream.format("memory").queryName("merged").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    got = sorted((r["target"], r["n"], r["value"]) for r in spark.sql("SELECT * FROM merged WHERE doc_id = 1").collect())
-    assert ("a", 2, "2") in got
+    got = sorted((r["doc_id"], r["value"], r["op"], r["target"], r["n"]) for r in spark.sql("SELECT * FROM merged WHERE doc_id < 9").collect())
+    want = sorted((r["doc_id"], r["value"], r["op"], r["target"], r["n"]) for r in changes.merged_edits(log).filter("doc_id < 9").collect())
+    assert got == want and [w[4] for w in want if w[0] == 1] == [2, 1, 1, 2, 1, 1, 1]
+
+
+def brute_merge(rows, window, ops):
+    out = {}
+    for doc, seq, s, op, target, value in sorted(rows):
+        entries = out.setdefault(doc, [])
+        if entries and (ops is None or op in ops) and entries[-1][:2] == [op, target] and s - entries[-1][2] <= window:
+            entries[-1][4] += 1
+            entries[-1][5] = value
+        else:
+            entries.append([op, target, s, seq, 1, value])
+    return sorted((d, k + 1, e[0], e[1], e[3], e[4], e[5]) for d, es in out.items() for k, e in enumerate(es))
+
+
+def test_folds_over_a_long_log_of_one_user(spark):
+    rng = random.Random(1)
+    rows, at = [], 0.0
+    for seq in range(30_000):
+        at += rng.choice((0.3, 1.0, 2.5))
+        rows.append((rng.choice((1, 1, 1, 2)), seq, at, rng.choice(("SetFieldValue", "SetFieldValue", "SetTitle")), rng.choice("aab"), str(seq)))
+    log = spark.createDataFrame(rows, "doc_id int, seq int, s double, op string, target string, value string").selectExpr("doc_id", "seq", "timestamp_micros(cast(s * 1000000 as bigint)) AS made_at", "op", "target", "value")
+    assert sorted(map(tuple, changes.merged_edits(log).collect())) == brute_merge(rows, 2.0, changes.MERGING)
+    kept, last = [], {}
+    for doc, seq, s, *_ in rows:
+        if doc not in last or s - last[doc] >= 2.0 - 1e-9:
+            kept.append((doc, seq))
+            last[doc] = s
+    assert abs(changes.throttled(log, 2.0).count() - len(kept)) <= 2
+    steps = [(d, q, rng.choice(("do", "do", "undo", "redo")), str(q)) for d, q, *_ in rows]
+    state = {r["doc_id"]: r for r in changes.undo_state(spark.createDataFrame(steps, "doc_id int, seq int, op string, target string")).collect()}
+    for doc in (1, 2):
+        done, undone, refused = [], [], 0
+        for d, _, op, id_ in steps:
+            if d != doc:
+                continue
+            if op == "undo" and done:
+                undone.append(done.pop())
+            elif op == "redo" and undone:
+                done.append(undone.pop())
+            elif op == "do":
+                done.append(id_)
+                undone = []
+            else:
+                refused += 1
+        assert (state[doc]["done"], state[doc]["undone"], state[doc]["refused"]) == (",".join(done), ",".join(undone), refused)
+
+
+def test_trees_of_a_million_elements_and_of_great_depth(spark):
+    n = 1_200_000
+    wide = spark.range(n).selectExpr("id div 1000 AS doc_id", "id % 1000 AS element_id", "CASE WHEN id % 1000 > 0 THEN (id % 1000 - 1) div 10 END AS parent_id", "id % 1000 AS sibling_ord")
+    got = tree.paths(spark, wide).selectExpr("count(*)", "max(depth)", "max(reading_order)", "min(depth)").first()
+    assert tuple(got) == (n, 3, 999, 0)
+    chain = spark.range(300).selectExpr("1 AS doc_id", "id AS element_id", "CASE WHEN id > 0 THEN id - 1 END AS parent_id", "0 AS sibling_ord")
+    walked = tree.paths(spark, chain)
+    assert walked.agg({"depth": "max"}).first()[0] == 299 and tree.descendants(walked).count() == 300 * 299 // 2
+    assert tree.paths(spark, chain, 64).count() == 65
+    ring = spark.createDataFrame([(1, 1, 2, 0), (1, 2, 1, 0), (1, 3, None, 0), (1, 4, 3, 1), (1, 5, 3, 0)], "doc_id int, element_id int, parent_id int, sibling_ord int")
+    assert [(r["element_id"], r["depth"]) for r in tree.paths(spark, ring).orderBy("reading_order").collect()] == [(3, 0), (5, 1), (4, 1)]
+    assert tree.paths(spark, ring.limit(0)).count() == 0
