@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -10,7 +10,8 @@ from quire.operators import audit as AU
 from quire.sources import adapters as A
 
 from .fixture import Fixture, Registry, sql_literal
-from .text_queries import READABLE, VAGUE, WS
+from .structure_queries import LINES
+from .text_queries import HUMAN, PX, READABLE, VAGUE, WS
 
 R = Registry()
 DOCS = Fixture("docs", "doc_id int, title string, language string, displays_title boolean, tagged_status string, page_count int, has_outline boolean", (
@@ -19,7 +20,7 @@ PAGES = Fixture("pgs", "doc_id int, page_no int, height double, is_image_only bo
 ELEMENTS = Fixture("els", "doc_id int, reading_order int, page_no int, kind string, level int, text string, b double", (
     (1, 2, 1, "Heading", 1, "Annual Report", 780.0), (1, 3, 1, "Paragraph", None, "This is the opening paragraph.", 700.0), (1, 4, 1, "Heading", 2, "Revenue", 650.0), (1, 12, 2, "Heading", 4, "Detailed figures", 780.0),
     *((3, 10 * p, p, "Paragraph", None, f"Form HB1  Page {p} of 6", 40.0) for p in range(1, 7)), (3, 3, 1, "Heading", None, " ", 780.0), (3, 5, 1, "Heading", 1, "", 700.0), (3, 15, 2, "Artifact", None, "Artifact text", 30.0), (4, 1, 1, "Heading", 1, "A", 500.0), (4, 2, 1, "Heading", 2, "B", 400.0), (4, 3, 2, "Heading", 1, "C", 500.0)))
-FIGURES = Fixture("figs", "doc_id int, reading_order int, page_no int, decorative boolean, alt string, width double, height double", ((1, 10, 1, False, None, 250.0, 200.0), (3, 20, 2, False, "", 5.0, 100.0), (3, 21, 2, False, None, 7.0, 7.0), (3, 22, 2, True, None, 50.0, 50.0), (4, 5, 1, False, "A chart", 90.0, 90.0)))
+FIGURES = Fixture("figs", "doc_id int, reading_order int, page_no int, decorative boolean, alt string, width double, height double, caption string", ((1, 10, 1, False, None, 250.0, 200.0, None), (3, 20, 2, False, "", 5.0, 100.0, None), (3, 21, 2, False, None, 7.0, 7.0, "dots"), (3, 22, 2, True, None, 50.0, 50.0, None), (3, 23, 2, False, " ", 50.0, 50.0, "Figure 1"), (4, 5, 1, False, "A chart", 90.0, 90.0, None)))
 LINKS = Fixture("lks", "doc_id int, reading_order int, page_no int, text string, description string", ((1, 9, 1, "click here", None), (3, 30, 3, "Here", ""), (3, 31, 3, "more", "described"), (3, 32, 4, "", None), (4, 6, 2, "Annual report 2026", None)))
 FIELDS = Fixture("flds", "doc_id int, reading_order int, page_no int, field_kind string, tooltip string, recovered string, name string", ((1, 20, 2, "Text", None, None, "Text1"), (3, 40, 5, "Text", None, "Full name", "f1"), (3, 41, 5, "Text", None, None, "dateOfBirth"), (3, 42, 5, "PushButton", None, None, "b"), (4, 7, 3, "Text", "Name", None, "n")))
 CELLS = Fixture("cls", "doc_id int, reading_order int, page_no int, row_no int, column_index int, role string", ((1, 13, 2, 0, 0, "Data"), (1, 13, 2, 0, 1, "Data"), (1, 13, 2, 1, 0, "Data"), (1, 13, 2, 1, 1, "Data"), (4, 8, 3, 0, 0, "ColumnHeader"), (4, 8, 3, 0, 1, "ColumnHeader"), (4, 8, 3, 1, 0, "Data"), (4, 8, 3, 1, 1, "Data"), (4, 9, 3, 0, 0, "Data"), (4, 9, 3, 0, 1, "Data")))
@@ -29,36 +30,59 @@ def corpus(spark: SparkSession) -> AU.Corpus:
     return AU.Corpus(*(f.df(spark) for f in (DOCS, PAGES, ELEMENTS, FIGURES, LINKS, FIELDS, CELLS)))
 
 
-def issue_sql(name: str, severity: object, fix: str, source: str, page: str = "0", n: str = "1", at: str = "NULL") -> str:
-    fix = fix if fix.startswith("CASE") else sql_literal(fix)
-    return f"SELECT doc_id, CAST({severity} AS INTEGER) AS severity, '{name}' AS rule, {fix} AS fixability, CAST({page} AS INTEGER) AS page_no, CAST({n} AS BIGINT) AS n, CAST({at} AS INTEGER) AS reading_order FROM {source}"
+def issue_sql(name: str, severity: object, fix: str, source: str, case: str, page: str = "0", n: str = "1", at: str = "NULL", arg1: str = "NULL", arg2: str = "NULL") -> str:
+    text = lambda x: x if x.startswith("CASE") else sql_literal(x)
+    return (
+        f"SELECT doc_id, CAST({severity} AS INTEGER) AS severity, '{name}' AS rule, {text(fix)} AS fixability, CAST({page} AS INTEGER) AS page_no, CAST({n} AS BIGINT) AS n, CAST({at} AS BIGINT) AS reading_order, "
+        f'{text(case)} AS "case", CAST({arg1} AS VARCHAR) AS arg1, CAST({arg2} AS VARCHAR) AS arg2 FROM {source}'
+    )
 
 
-def first_sql(name: str, severity: int, fix: str, source: str) -> str:
-    return issue_sql(name, severity, fix, f"(SELECT doc_id, arg_min(page_no, reading_order) AS p, count(*) AS n, min(reading_order) AS o FROM {source} GROUP BY doc_id)", "p", "n", "o")
+def first_sql(name: str, severity: int, fix: str, source: str, one: str, many: str, *args: str) -> str:
+    more = "".join(f", arg_min({a}, reading_order) AS a{k}" for k, a in enumerate(args))
+    inner = f"(SELECT doc_id, arg_min(page_no, reading_order) AS p, count(*) AS n, min(reading_order) AS o{more} FROM {source} GROUP BY doc_id)"
+    return issue_sql(name, severity, fix, inner, f"CASE WHEN n = 1 THEN '{one}' ELSE '{many}' END", "p", "n", "o", *(f"a{k}" for k in range(len(args))))
 
 
-def rule_sql(t: dict[str, str]) -> dict[str, str]:
+def short_sql(text: str) -> str:
+    return f"CASE WHEN length({text}) <= 40 THEN {text} ELSE rtrim(({text})[1:37]) || '…' END"
+
+
+def rule_sql(t: dict[str, str], name: str = "CAST(doc_id AS VARCHAR)") -> dict[str, str]:
     """SQL of each rule over the given tables."""
-    part = "(CASE WHEN name LIKE '%.' THEN name ELSE string_split(name, '.')[-1] END)"
-    src = f"CASE WHEN trim(coalesce(tooltip, '')) <> '' THEN 'tooltip' WHEN trim(coalesce(recovered, '')) <> '' THEN 'nearby' WHEN {READABLE.replace('(x', '(' + part)} THEN 'name' ELSE 'none' END"
+    src = f"CASE WHEN trim(coalesce(tooltip, '')) <> '' THEN 'tooltip' WHEN trim(coalesce(recovered, '')) <> '' THEN 'nearby' WHEN {READABLE.replace('(x', '(' + PX)} THEN 'name' ELSE 'none' END"
+    label = f"CASE src WHEN 'nearby' THEN trim(recovered) WHEN 'name' THEN {HUMAN.replace('(x', '(' + PX)} END"
     key = f"trim(regexp_replace(regexp_replace(lower(e.text), '[0-9]+', '#', 'g'), '{WS}', ' ', 'g'))"
     tiny = "(coalesce(width > 0 AND width < 8, FALSE) OR coalesce(height > 0 AND height < 8, FALSE))"
     need = "NOT decorative AND trim(coalesce(alt, '')) = ''"
-    return {
-        "R1 scanned pages": issue_sql("R1 scanned pages", 0, AU.NOT, f"(SELECT doc_id, count(*) AS n, min(page_no) AS p FROM {t['pages']} WHERE is_image_only GROUP BY 1)", "p", "n"),
-        "R2 unlabelled fields": issue_sql("R2 unlabelled fields", "CASE WHEN src = 'none' THEN 0 ELSE 2 END", AU.INPUT, f"(SELECT *, {src} AS src FROM {t['fields']} WHERE field_kind NOT IN ('PushButton', 'Signature')) WHERE src <> 'tooltip'", "page_no", at="reading_order"),
-        "R3 missing image descriptions": issue_sql("R3 missing image descriptions", 1, AU.INPUT, f"{t['figures']} WHERE {need} AND NOT {tiny}", "page_no", at="reading_order") + " UNION ALL " + first_sql("R3 missing image descriptions", 3, AU.AUTO, f"(SELECT * FROM {t['figures']} WHERE {need} AND {tiny})"),
-        "R4 document tagging": issue_sql("R4 document tagging", "CASE WHEN tagged_status = 'Untagged' THEN 1 ELSE 2 END", AU.INPUT, f"{t['documents']} WHERE tagged_status IN ('Untagged', 'PartiallyTagged')"),
-        "R5 tables without headers": issue_sql("R5 tables without headers", 1, AU.INPUT, f"(SELECT doc_id, reading_order, page_no FROM (SELECT doc_id, reading_order, page_no, row_no, count(*) AS n, bool_or(role <> 'Data') AS h FROM {t['cells']} GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3 HAVING NOT bool_or(h) AND count(*) >= 2 AND max(n) >= 2)", "page_no", at="reading_order"),
-        "R6 document language": issue_sql("R6 document language", 2, AU.AUTO, f"{t['documents']} WHERE trim(coalesce(language, '')) = ''"),
-        "R7 no headings": issue_sql("R7 no headings", "CASE WHEN has_outline THEN 2 ELSE 1 END", AU.INPUT, f"{t['documents']} WHERE page_count >= 3 AND tagged_status <> 'ScannedWithoutText' AND doc_id NOT IN (SELECT doc_id FROM {t['elements']} WHERE kind = 'Heading')"),
-        "R8 skipped heading levels": first_sql("R8 skipped heading levels", 2, AU.INPUT, f"(SELECT * FROM (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY reading_order) AS prev FROM {t['elements']} WHERE kind = 'Heading' AND level IS NOT NULL) WHERE level > prev + 1)"),
-        "R9 unclear link text": first_sql("R9 unclear link text", 2, AU.INPUT, f"(SELECT * FROM {t['links']} WHERE {VAGUE.replace('(x', '(text')} AND trim(coalesce(description, '')) = '')"),
-        "R10 document title": issue_sql("R10 document title", 3, f"CASE WHEN trim(coalesce(title, '')) = '' THEN '{AU.INPUT}' ELSE '{AU.AUTO}' END", f"{t['documents']} WHERE trim(coalesce(title, '')) = '' OR NOT displays_title"),
-        "R11 unmarked page furniture": issue_sql("R11 unmarked page furniture", 2, AU.AUTO, f"(SELECT k.doc_id, n, p, o FROM (SELECT e.doc_id, {key} AS key, count(*) AS n, min(reading_order) AS o, arg_min(e.page_no, reading_order) AS p FROM {t['elements']} e JOIN {t['pages']} g ON g.doc_id = e.doc_id AND g.page_no = e.page_no WHERE kind <> 'Artifact' AND length(trim(e.text)) >= 3 AND (b >= 0.88 * height OR b <= 0.12 * height) GROUP BY 1, 2) k JOIN {t['documents']} d ON d.doc_id = k.doc_id WHERE length(key) >= 3 AND page_count >= 5 AND n >= greatest(4, page_count // 2))", "p", "n", "o"),
-        "R12 empty headings": first_sql("R12 empty headings", 2, AU.AUTO, f"(SELECT * FROM {t['elements']} WHERE kind = 'Heading' AND trim(coalesce(text, '')) = '')"),
-    }
+    runs = f"(SELECT doc_id, min(page_no) AS a, max(page_no) AS z FROM (SELECT doc_id, page_no, page_no - row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS g FROM {t['pages']} WHERE is_image_only) GROUP BY doc_id, g)"
+    ranges = f"(SELECT doc_id, string_agg(CASE WHEN a = z THEN a || '' ELSE a || ' to ' || z END, ', ' ORDER BY a) FILTER (WHERE k <= 6) || CASE WHEN max(k) > 6 THEN ' and others' ELSE '' END AS runs FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM {runs}) GROUP BY doc_id)"
+    r = {}
+    r["R1 scanned pages"] = issue_sql("R1 scanned pages", 0, AU.NOT, f"(SELECT s.doc_id, s.n, s.p, page_count, runs FROM (SELECT doc_id, count(*) AS n, min(page_no) AS p FROM {t['pages']} WHERE is_image_only GROUP BY 1) s JOIN {t['documents']} d ON d.doc_id = s.doc_id JOIN {ranges} q ON q.doc_id = s.doc_id)", "CASE WHEN n = page_count THEN 'scan_all' ELSE 'scan_some' END", "p", "n", arg1="CASE WHEN n <> page_count THEN runs END")
+    r["R2 unlabelled fields"] = issue_sql("R2 unlabelled fields", "CASE WHEN src = 'none' THEN 0 ELSE 2 END", AU.INPUT, f"(SELECT *, {src} AS src FROM {t['fields']} WHERE field_kind NOT IN ('PushButton', 'Signature')) WHERE src <> 'tooltip'", "CASE WHEN TRUE THEN 'label_' || src END", "page_no", at="reading_order", arg1=label)
+    r["R3 missing image descriptions"] = (
+        issue_sql("R3 missing image descriptions", 1, AU.INPUT, f"{t['figures']} WHERE {need} AND NOT {tiny}", "CASE WHEN trim(coalesce(caption, '')) = '' THEN 'image' ELSE 'image_caption' END", "page_no", at="reading_order")
+        + " UNION ALL " + first_sql("R3 missing image descriptions", 3, AU.AUTO, f"(SELECT * FROM {t['figures']} WHERE {need} AND {tiny})", "tiny", "tiny")
+    )
+    r["R4 document tagging"] = issue_sql("R4 document tagging", "CASE WHEN tagged_status = 'Untagged' THEN 1 ELSE 2 END", AU.INPUT, f"{t['documents']} WHERE tagged_status IN ('Untagged', 'PartiallyTagged')", "CASE WHEN tagged_status = 'Untagged' THEN 'untagged' ELSE 'partly' END")
+    r["R5 tables without headers"] = issue_sql("R5 tables without headers", 1, AU.INPUT, f"(SELECT doc_id, reading_order, page_no, count(*) || ' by ' || max(n) AS size FROM (SELECT doc_id, reading_order, page_no, row_no, count(*) AS n, bool_or(role <> 'Data') AS h FROM {t['cells']} GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3 HAVING NOT bool_or(h) AND count(*) >= 2 AND max(n) >= 2)", "table", "page_no", at="reading_order", arg1="size")
+    r["R6 document language"] = issue_sql("R6 document language", 2, AU.AUTO, f"{t['documents']} WHERE trim(coalesce(language, '')) = ''", "language")
+    r["R7 no headings"] = issue_sql("R7 no headings", "CASE WHEN has_outline THEN 2 ELSE 1 END", AU.INPUT, f"{t['documents']} WHERE page_count >= 3 AND tagged_status <> 'ScannedWithoutText' AND doc_id NOT IN (SELECT doc_id FROM {t['elements']} WHERE kind = 'Heading')", "CASE WHEN has_outline THEN 'headings_outline' ELSE 'headings' END", arg1="page_count")
+    r["R8 skipped heading levels"] = first_sql("R8 skipped heading levels", 2, AU.INPUT, f"(SELECT * FROM (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY reading_order) AS prev FROM {t['elements']} WHERE kind = 'Heading' AND level IS NOT NULL) WHERE level > prev + 1)", "skip", "skips", short_sql("text"), "level")
+    r["R9 unclear link text"] = first_sql("R9 unclear link text", 2, AU.INPUT, f"(SELECT * FROM {t['links']} WHERE {VAGUE.replace('(x', '(text')} AND trim(coalesce(description, '')) = '')", "link", "links")
+    r["R10 document title"] = issue_sql("R10 document title", 3, f"CASE WHEN trim(coalesce(title, '')) = '' THEN '{AU.INPUT}' ELSE '{AU.AUTO}' END", f"{t['documents']} WHERE trim(coalesce(title, '')) = '' OR NOT displays_title", "CASE WHEN trim(coalesce(title, '')) = '' THEN 'title' ELSE 'title_hidden' END", arg1=f"CASE WHEN trim(coalesce(title, '')) = '' THEN {name} ELSE title END")
+    r["R11 unmarked page furniture"] = issue_sql("R11 unmarked page furniture", 2, AU.AUTO, f"(SELECT k.doc_id, n, p, o, x FROM (SELECT e.doc_id, {key} AS key, count(*) AS n, min(reading_order) AS o, arg_min(e.page_no, reading_order) AS p, arg_min({short_sql('e.text')}, reading_order) AS x FROM {t['elements']} e JOIN {t['pages']} g ON g.doc_id = e.doc_id AND g.page_no = e.page_no WHERE kind <> 'Artifact' AND length(trim(e.text)) >= 3 AND (b >= 0.88 * height OR b <= 0.12 * height) GROUP BY 1, 2) k JOIN {t['documents']} d ON d.doc_id = k.doc_id WHERE length(key) >= 3 AND page_count >= 5 AND n >= greatest(4, page_count // 2))", "furniture", "p", "n", "o", "x")
+    r["R12 empty headings"] = first_sql("R12 empty headings", 2, AU.AUTO, f"(SELECT * FROM {t['elements']} WHERE kind = 'Heading' AND trim(coalesce(text, '')) = '')", "empty", "empties")
+    return r
+
+
+def worded_sql(issues: str) -> str:
+    """The issues with title, consequence and remedy."""
+    words = []
+    for k, column in enumerate(("title", "consequence", "remedy")):
+        text = 'CASE "case" ' + " ".join(f"WHEN '{case}' THEN {sql_literal(m[k])}" for case, m in AU.MESSAGES.items()) + " END"
+        words.append(f"replace(replace(replace({text}, '{{n}}', n || ''), '{{1}}', coalesce(arg1, '')), '{{2}}', coalesce(arg2, '')) AS {column}")
+    return f"(SELECT *, {', '.join(words)} FROM ({issues}))"
 
 
 LITERAL = {"documents": DOCS.sql(), "pages": PAGES.sql(), "elements": ELEMENTS.sql(), "figures": FIGURES.sql(), "links": LINKS.sql(), "fields": FIELDS.sql(), "cells": CELLS.sql()}
@@ -66,50 +90,148 @@ BY_RULE = rule_sql(LITERAL)
 for _name, _rule in AU.RULES.items():
     R.add(_name.lower().replace(" ", "_").replace("r", "r0", 1) if _name[2] == " " else _name.lower().replace(" ", "_"), lambda s, d, f=_rule: f(corpus(s)), BY_RULE[_name])
 ALL = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in BY_RULE.values())
-R.add("o01_audit_report", lambda s, d: AU.report(AU.audit(corpus(s))), f"SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY severity, page_no, rule, reading_order NULLS FIRST) AS INTEGER) AS n_in_report FROM ({ALL})")
+REPORT = f"SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY severity, page_no, title, reading_order NULLS FIRST, rule) AS INTEGER) AS n_in_report FROM {worded_sql(ALL)}"
+R.add("o01_audit_report", lambda s, d: AU.report(AU.audit(corpus(s))), REPORT)
+SAID = "['Blocking problem', 'Serious problem', 'Problem', 'Suggestion'][severity + 1]"
+R.add("r_spoken_issues", lambda s, d: AU.spoken(AU.worded(AU.audit(corpus(s))), "Detailed").select("doc_id", "rule", "reading_order", "spoken"), f"SELECT doc_id, rule, reading_order, concat_ws('. ', {SAID}, title, CASE WHEN n > 1 THEN n || ' times' END, CASE WHEN page_no > 0 THEN 'page ' || page_no END, consequence, remedy) || '.' AS spoken FROM {worded_sql(ALL)}")
 SUMS = f"(SELECT doc_id, count(*) AS issues, count(*) FILTER (WHERE severity = 0) AS blockers, count(*) FILTER (WHERE severity = 1) AS serious, count(*) FILTER (WHERE fixability <> '{AU.NOT}') AS fixable, count(*) FILTER (WHERE fixability = '{AU.NOT}') AS not_fixable FROM ({ALL}) GROUP BY 1)"
 R.add("a06_severity_counts", lambda s, d: AU.summary(AU.audit(corpus(s))), f"SELECT * FROM {SUMS}")
-R.add("r_summary_text", lambda s, d: AU.summary_text(AU.summary(AU.audit(corpus(s)))), f"SELECT doc_id, concat_ws('. ', issues || CASE WHEN issues = 1 THEN ' problem' ELSE ' problems' END, CASE WHEN blockers > 0 THEN blockers || CASE WHEN blockers = 1 THEN ' blocks reading' ELSE ' block reading' END END, CASE WHEN serious > 0 THEN serious || ' serious' END, CASE WHEN fixable > 0 THEN fixable || ' can be repaired' ELSE 'none can be repaired' END) || '.' AS text FROM {SUMS}")
+TAGGED = "CASE tagged_status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AU.TAGGING.items()) + " ELSE 'of unknown structure' END"
+SUMMARY = f"""SELECT d.doc_id, CASE WHEN issues IS NULL THEN d.doc_id || ' has no accessibility problems that this editor can detect. It is ' || {TAGGED}
+ELSE concat_ws('. ', d.doc_id || ': ' || issues || CASE WHEN issues = 1 THEN ' problem found' ELSE ' problems found' END, CASE WHEN blockers > 0 THEN blockers || CASE WHEN blockers = 1 THEN ' blocks' ELSE ' block' END || ' reading altogether' END,
+CASE WHEN serious > 0 THEN serious || ' serious' END, CASE WHEN fixable = 0 THEN 'none of them can be repaired here' ELSE fixable || ' can be repaired here' END, 'The document is ' || {TAGGED}) END || '.' AS text FROM {DOCS.sql()} d LEFT JOIN {SUMS} s ON s.doc_id = d.doc_id"""
+R.add("r_summary_text", lambda s, d: AU.summary_text(DOCS.df(s), AU.summary(AU.audit(corpus(s)))), SUMMARY)
 DONE = Fixture("done", "doc_id int, rule string, reading_order int", ((1, "R3 missing image descriptions", 10), (1, "R6 document language", None), (3, "R9 unclear link text", 99)))
 R.add("r_guided_repair", lambda s, d: AU.repairs(AU.audit(corpus(s)), DONE.df(s)), f"SELECT doc_id, rule, reading_order, CASE string_split(rule, ' ')[1] {' '.join(f'WHEN {sql_literal(k)} THEN {sql_literal(v)}' for k, v in AU.REPAIRS.items())} ELSE 'explain' END AS repair_action FROM ({ALL}) i WHERE NOT EXISTS (SELECT 1 FROM {DONE.sql()} r WHERE r.doc_id = i.doc_id AND r.rule = i.rule AND r.reading_order IS NOT DISTINCT FROM i.reading_order)")
 POS = Fixture("pos", "doc_id int, position int", ((1, 0), (1, 10), (1, 13), (1, 20), (3, 30)))
 R.add("n06_next_issue", lambda s, d: AU.next_issue(AU.audit(corpus(s)), POS.df(s)), f"SELECT p.doc_id, p.position, min(i.reading_order) AS reading_order, arg_min(i.rule, i.reading_order * 10 + i.severity) AS rule FROM {POS.sql()} p JOIN ({ALL}) i ON i.doc_id = p.doc_id AND i.reading_order > p.position GROUP BY 1, 2")
 
-# ---- The HTML pages ---------------------------------------------------------------------------------------------------------
-FOR_PAGES = ("R4 document tagging", "R6 document language", "R7 no headings", "R8 skipped heading levels", "R9 unclear link text", "R10 document title", "R12 empty headings")
+# ---- Corpora: HTML pages, pages made from customers, and plain text documents ---------------------------------------------
+HEIGHT = 842.0
+COVERED = 0.66
+
+
+def _field_kind() -> Column:
+    kind = F.lower(F.coalesce(A.attribute("type"), F.lit("text")))
+    return F.when(F.col("tag") == "select", "ChoiceList").when(kind.isin("submit", "button", "reset", "image"), "PushButton").when(kind == "checkbox", "CheckBox").when(kind == "radio", "RadioGroup").otherwise("Text")
+
+
+def markup_parts(pages: DataFrame) -> DataFrame:
+    """Parts of pages as elements with all that the audit reads. Every page is a document of one page."""
+    w = Window.partitionBy("doc_id").orderBy("reading_order", "part")
+    e = A.markup_elements(A.page_parts(pages))
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    number = lambda name: A.attribute(name).try_cast("double")
+    return e.select(
+        "doc_id", F.col("reading_order").cast("long").alias("reading_order"), F.lit(1).alias("page_no"), "kind", "level", "text", F.lit(HEIGHT / 2).alias("b"), F.lit(HEIGHT).alias("height"),
+        F.coalesce(A.attribute("alt") == "", F.lit(False)).alias("decorative"), A.attribute("alt").alias("alt"), F.lit(None).cast("string").alias("caption"), number("width").alias("width"), number("height").alias("image_height"),
+        A.attribute("title").alias("description"), F.coalesce(some(A.attribute("aria-label")), A.attribute("title")).alias("tooltip"), some(T.tidy_label("before")).alias("recovered"), A.attribute("name").alias("name"),
+        _field_kind().alias("field_kind"), F.when(F.col("tag") == "th", "ColumnHeader").otherwise("Data").alias("role"), F.count_if(F.col("kind") == "Table").over(w).alias("table_no"), F.count_if(F.col("kind") == "TableRow").over(w).alias("row_no"),
+        "part", "tag", "closing", "in_area", A.attribute("lang").alias("lang"),
+    )
+
+
+def markup_documents() -> dict[str, Column]:
+    """A page's own facts. It counts as tagged by the share of its text, without title and furniture, that stands in elements which say what it is."""
+    c = F.col
+    content = (c("part") == "block") & ~c("in_area") & (c("tag") != "title")
+    total = F.sum(F.when(content, F.length("text")).otherwise(0))
+    marked = F.sum(F.when(content & ~c("closing") & c("tag").isin(*A.MARKED), F.length("text")).otherwise(0))
+    status = F.when(total == 0, F.when(F.bool_or(F.coalesce(c("kind") == "Figure", F.lit(False))), "ScannedWithoutText").otherwise("Untagged")).when(marked >= COVERED * total, "FullyTagged").when(marked > 0, "PartiallyTagged").otherwise("Untagged")
+    first = F.min(F.when(c("kind") == "Title", F.struct("reading_order", "text")))["text"]
+    return {
+        "title": first, "language": F.max(F.when((c("tag") == "html") & ~c("closing"), c("lang"))), "displays_title": F.lit(True), "tagged_status": status, "page_count": F.lit(1), "has_outline": F.lit(False),
+        "doc_name": F.max(c("doc_id").cast("string")), "scanned": F.when(status == "ScannedWithoutText", F.array(F.lit(1))).otherwise(F.array().cast("array<int>")),
+    }
 
 
-def page_corpus(spark: SparkSession, sf_dir: str) -> AU.Corpus:
-    """Every page is a document of one page. HTML declares its structure, so it counts as tagged."""
-    e = A.page_elements(spark, sf_dir)
-    p = A.read(spark, sf_dir, "pages", "page_id", "html")
-    first = lambda pattern: F.trim(F.regexp_extract("html", pattern, 1))
-    docs = p.select(F.col("page_id").alias("doc_id"), first(r"<title>([^<]*)").alias("title"), first(r"<html[^>]*lang=\"([^\"]*)\"").alias("language"), F.lit(True).alias("displays_title"), F.lit("FullyTagged").alias("tagged_status"), F.lit(1).alias("page_count"), F.lit(False).alias("has_outline"))
-    e = e.withColumn("page_no", F.lit(1))
-    links = e.filter("kind = 'Link'").select("doc_id", "reading_order", "page_no", "text", F.lit(None).cast("string").alias("description"))
-    none = lambda cols: spark.createDataFrame([], cols)
-    return AU.Corpus(docs, none("doc_id long, page_no int, height double, is_image_only boolean"), e.withColumn("b", F.lit(500.0)), none("doc_id long, reading_order int, page_no int, decorative boolean, alt string, width double, height double"), links, none("doc_id long, reading_order int, page_no int, field_kind string, tooltip string, recovered string, name string"), none("doc_id long, reading_order int, page_no int, row_no int, column_index int, role string"))
+def markup_issues(pages: DataFrame) -> DataFrame:
+    return AU.audit_once(markup_parts(pages), markup_documents())
+
+
+def markup_corpus(pages: DataFrame) -> AU.Corpus:
+    """The same pages as separate tables, for the rules one by one."""
+    e = markup_parts(pages)
+    docs = e.groupBy("doc_id").agg(*(v.alias(k) for k, v in markup_documents().items())).withColumnRenamed("doc_name", "name")
+    table = F.max(F.when(F.col("kind") == "Table", F.col("reading_order"))).over(Window.partitionBy("doc_id").orderBy("reading_order"))
+    cells = e.withColumn("t", table).filter("kind = 'TableCell'").select("doc_id", F.col("t").alias("reading_order"), "page_no", "row_no", F.lit(0).alias("column_index"), "role")
+    pages_ = docs.select("doc_id", F.lit(1).alias("page_no"), F.lit(HEIGHT).alias("height"), (F.size("scanned") > 0).alias("is_image_only"))
+    real = e.filter("kind IS NOT NULL")
+    figures = real.filter("kind = 'Figure'").select("doc_id", "reading_order", "page_no", "decorative", "alt", "width", F.col("image_height").alias("height"), "caption")
+    links = real.filter("kind = 'Link'").select("doc_id", "reading_order", "page_no", "text", "description")
+    fields = real.filter("kind = 'FormField'").select("doc_id", "reading_order", "page_no", "field_kind", "tooltip", "recovered", "name")
+    return AU.Corpus(docs, pages_, real.select("doc_id", "reading_order", "page_no", "kind", "level", "text", "b"), figures, links, fields, cells)
+
+
+def text_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text documents: lines are elements, LINES_PER_PAGE of them a page. Only texts that a rule reads go on."""
+    at = F.col("reading_order") % A.LINES_PER_PAGE
+    e = A.document_lines(spark, sf_dir).withColumn("b", HEIGHT * (1 - (at + 1) / (A.LINES_PER_PAGE + 1))).withColumn("height", F.lit(HEIGHT))
+    e = e.withColumn("text", F.when((F.col("kind") == "Heading") | AU._banded(e), F.col("text")))
+    none = lambda kind: F.lit(None).cast(kind)
+    e = e.select(
+        "doc_id", F.col("reading_order").cast("long").alias("reading_order"), "page_no", "kind", none("int").alias("level"), "text", "b", "height", "lang", F.lit(False).alias("decorative"),
+        *(none("string").alias(n) for n in ("alt", "caption", "description", "tooltip", "recovered", "name", "field_kind", "role")), *(none("double").alias(n) for n in ("width", "image_height")), none("long").alias("table_no"), none("long").alias("row_no"),
+    )
+    head = F.min(F.when((F.col("kind") == "Heading") & ~T.blank("text"), F.struct("reading_order", "text")))["text"]
+    return AU.audit_once(e, {
+        "title": head, "language": F.max("lang"), "displays_title": F.lit(True), "tagged_status": F.lit("Untagged"), "page_count": F.max("page_no"), "has_outline": F.lit(False),
+        "doc_name": F.max(F.col("doc_id").cast("string")), "scanned": F.array().cast("array<int>"),
+    })
 
 
 def page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return AU.audit(page_corpus(spark, sf_dir), {k: AU.RULES[k] for k in FOR_PAGES})
+    """The issues of the given pages and of those made from customers."""
+    given = markup_issues(A.read(spark, sf_dir, "pages", "page_id", "html")).withColumn("corpus", F.lit("pages"))
+    return given.unionByName(markup_issues(A.customer_pages(spark, sf_dir)).withColumn("corpus", F.lit("customers")))
+
+
+def markup_sql(table: str) -> dict[str, str]:
+    """The tables of markup_corpus in DuckDB."""
+    some = lambda x: f"nullif(trim({x}), '')"
+    at = A.attribute_sql
+    tidy = rf"regexp_replace(regexp_replace(before, '[:*†‡_\s]+$', ''), '^[*†‡\s]+', '')"
+    kind = f"lower(coalesce({at('type')}, 'text'))"
+    e = f"""(SELECT doc_id, reading_order, 1 AS page_no, kind, level, text, {HEIGHT / 2} AS b, coalesce({at('alt')} = '', FALSE) AS decorative, {at('alt')} AS alt, NULL AS caption, TRY_CAST({at('width')} AS DOUBLE) AS width, TRY_CAST({at('height')} AS DOUBLE) AS height,
+{at('title')} AS description, coalesce({some(at('aria-label'))}, {at('title')}) AS tooltip, {some(f"CASE WHEN length({tidy}) > 80 THEN '' ELSE {tidy} END")} AS recovered, {at('name')} AS name,
+CASE WHEN tag = 'select' THEN 'ChoiceList' WHEN {kind} IN ('submit', 'button', 'reset', 'image') THEN 'PushButton' WHEN {kind} = 'checkbox' THEN 'CheckBox' WHEN {kind} = 'radio' THEN 'RadioGroup' ELSE 'Text' END AS field_kind,
+CASE WHEN tag = 'th' THEN 'ColumnHeader' ELSE 'Data' END AS role, max(CASE WHEN kind = 'Table' THEN reading_order END) OVER w AS t, count(*) FILTER (WHERE kind = 'TableRow') OVER w AS row_no,
+part = 'block' AND NOT in_area AND tag <> 'title' AS content, NOT closing AND tag IN ({A._sql_list(A.MARKED)}) AS marked, tag, closing, {at('lang')} AS lang FROM {A.parts_sql(table)} WINDOW w AS (PARTITION BY doc_id ORDER BY reading_order, part))"""
+    docs = f"""(SELECT doc_id, title, language, TRUE AS displays_title, CASE WHEN total = 0 THEN CASE WHEN figure THEN 'ScannedWithoutText' ELSE 'Untagged' END WHEN marked >= {COVERED} * total THEN 'FullyTagged' WHEN marked > 0 THEN 'PartiallyTagged' ELSE 'Untagged' END AS tagged_status, 1 AS page_count, FALSE AS has_outline
+FROM (SELECT doc_id, arg_min(text, reading_order) FILTER (WHERE kind = 'Title') AS title, max(lang) FILTER (WHERE tag = 'html' AND NOT closing) AS language, coalesce(sum(length(text)) FILTER (WHERE content), 0) AS total, coalesce(sum(length(text)) FILTER (WHERE content AND marked), 0) AS marked, coalesce(bool_or(kind = 'Figure'), FALSE) AS figure FROM {e} GROUP BY doc_id))"""
+    of = lambda k: f"(SELECT * FROM {e} WHERE kind = '{k}')"
+    return {
+        "documents": docs, "pages": f"(SELECT doc_id, 1 AS page_no, {HEIGHT} AS height, tagged_status = 'ScannedWithoutText' AS is_image_only FROM {docs})", "elements": f"(SELECT doc_id, reading_order, page_no, kind, level, text, b FROM {e} WHERE kind IS NOT NULL)",
+        "figures": of("Figure"), "links": of("Link"), "fields": of("FormField"), "cells": f"(SELECT doc_id, t AS reading_order, page_no, row_no, role FROM {e} WHERE kind = 'TableCell')",
+    }
+
+
+def all_sql(tables: dict[str, str], name: str) -> str:
+    rules = " UNION ALL ".join(f"SELECT * FROM ({q})" for q in rule_sql(tables).values())
+    return f"SELECT *, '{name}' AS corpus FROM ({rules})"
 
 
-ON_PAGES = {
-    "documents": r"(SELECT page_id AS doc_id, trim(regexp_extract(html, '<title>([^<]*)', 1)) AS title, trim(regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1)) AS language, TRUE AS displays_title, 'FullyTagged' AS tagged_status, 1 AS page_count, FALSE AS has_outline FROM pages)".replace('\\"', '"'),
-    "elements": f"(SELECT *, 1 AS page_no FROM {A.PAGE_ELEMENTS_SQL})", "links": f"(SELECT doc_id, reading_order, 1 AS page_no, text, NULL AS description FROM {A.PAGE_ELEMENTS_SQL} WHERE kind = 'Link')",
-    "pages": "pages", "figures": "pages", "fields": "pages", "cells": "pages",
+TEXT_E = f"(SELECT doc_id, reading_order, page_no, kind, NULL::INTEGER AS level, text, lang, {HEIGHT} * (1 - (reading_order % {A.LINES_PER_PAGE} + 1) / {A.LINES_PER_PAGE + 1}.0::DOUBLE) AS b FROM {LINES})"
+EMPTY = "(SELECT 1 AS doc_id, 1 AS reading_order, 1 AS page_no, FALSE AS decorative, '' AS alt, '' AS caption, 0.0 AS width, 0.0 AS height, '' AS text, '' AS description, '' AS field_kind, '' AS tooltip, '' AS recovered, '' AS name, 1 AS row_no, '' AS role WHERE FALSE)"
+TEXT_TABLES = {
+    "documents": f"(SELECT doc_id, arg_min(text, reading_order) FILTER (WHERE kind = 'Heading' AND trim(text) <> '') AS title, max(lang) AS language, TRUE AS displays_title, 'Untagged' AS tagged_status, max(page_no) AS page_count, FALSE AS has_outline FROM {TEXT_E} GROUP BY doc_id)",
+    "pages": f"(SELECT DISTINCT doc_id, page_no, {HEIGHT} AS height, FALSE AS is_image_only FROM {TEXT_E})", "elements": TEXT_E, "figures": EMPTY, "links": EMPTY, "fields": EMPTY, "cells": EMPTY,
 }
-PAGE_SQL = " UNION ALL ".join(f"SELECT * FROM ({rule_sql(ON_PAGES)[k]})" for k in FOR_PAGES)
+PAGE_SQL = all_sql(markup_sql("pages"), "pages") + " UNION ALL " + all_sql(markup_sql(f"({A.CUSTOMER_PAGES})"), "customers")
+TEXT_SQL = all_sql(TEXT_TABLES, "documents")
 R.add("audit_of_pages", page_issues, PAGE_SQL)
+R.add("audit_of_documents", text_issues, TEXT_SQL.replace(", 'documents' AS corpus", ""))
+R.add("audit_rules_over_pages", lambda s, d: AU.audit(markup_corpus(A.customer_pages(s, d))), all_sql(markup_sql(f"({A.CUSTOMER_PAGES})"), "customers").replace(", 'customers' AS corpus", ""))
 
 
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = page_issues(spark, sf_dir).groupBy("severity", "rule").agg(F.count("*").alias("documents"), F.sum("n").alias("findings"))
-    return g.select(F.element_at(F.array(*map(F.lit, AU.SEVERITIES)), F.col("severity") + 1).alias("severity"), "rule", "documents", "findings")
+    """Problems of all corpora by severity and rule: in how many documents, and how many findings."""
+    issues = page_issues(spark, sf_dir).unionByName(text_issues(spark, sf_dir).withColumn("corpus", F.lit("documents")))
+    g = issues.groupBy("corpus", "severity", "rule", "case").agg(F.count_distinct("doc_id").alias("documents"), F.sum("n").alias("findings"))
+    return g.select("corpus", F.element_at(F.array(*map(F.lit, AU.SEVERITIES)), F.col("severity") + 1).alias("severity"), "rule", "case", "documents", "findings")
 
 
-R.add("audit_report_of_pages", page_report, f"SELECT ['blocker', 'serious', 'moderate', 'advisory'][severity + 1] AS severity, rule, count(*) AS documents, CAST(sum(n) AS BIGINT) AS findings FROM ({PAGE_SQL}) GROUP BY severity, rule")
+R.add("audit_report_of_pages", page_report, f"SELECT corpus, ['blocker', 'serious', 'moderate', 'advisory'][severity + 1] AS severity, rule, \"case\", count(DISTINCT doc_id) AS documents, CAST(sum(n) AS BIGINT) AS findings FROM ({PAGE_SQL} UNION ALL {TEXT_SQL}) GROUP BY corpus, severity, rule, \"case\"")
 R.add("s05_c16_page_elements", lambda s, d: A.page_elements(s, d), f"SELECT doc_id, CAST(reading_order AS INTEGER) AS reading_order, tag, attrs, text, kind, level, href FROM {A.PAGE_ELEMENTS_SQL}")
 R.add("t13_link_targets_of_pages", lambda s, d: A.page_elements(s, d).filter("kind = 'Link'").groupBy(T.classify_uri("href").alias("target_kind"), T.vague_link("text").alias("vague")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN trim(coalesce(href, '')) = '' THEN 'Unknown' WHEN lower(trim(href)) LIKE 'mailto:%' THEN 'Email' WHEN lower(trim(href)) LIKE 'file:%' THEN 'ExternalFile' WHEN lower(trim(href)) LIKE 'javascript:%' THEN 'UnsupportedAction' ELSE 'WebUrl' END AS target_kind, {VAGUE.replace('(x', '(text')} AS vague, count(*) AS n FROM {A.PAGE_ELEMENTS_SQL} WHERE kind = 'Link' GROUP BY 1, 2")
 R.add("a01_views_of_pages", lambda s, d: A.page_elements(s, d).groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k.lower() + "s") for k in ("Heading", "Link", "Paragraph", "ListItem", "Artifact"))), "SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k.lower()}s" for k in ("Heading", "Link", "Paragraph", "ListItem", "Artifact")) + f" FROM {A.PAGE_ELEMENTS_SQL} GROUP BY doc_id")
