@@ -109,17 +109,15 @@ def _sketches(d: DataFrame) -> DataFrame:
 def _nodes(sketches: DataFrame, scratch: Scratch) -> DataFrame:
     """node, key, row1, row2, n_shingles, first (the class's smallest doc_id), sig, bands; one for each class. A node is numbered by its smallest doc_id, or, if
     that is null or another class has it, by a number above all ids made of its words."""
-    d = sketches.filter("key IS NOT NULL")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), *ROW)
-    classes = scratch.save(d.groupBy("key").agg(F.min(place).alias("at")).select("key", F.col("at.doc_id").alias("first"), *(F.col(f"at.{r}").alias(r) for r in ROW)), "classes")
-    owner = classes.filter("first IS NOT NULL").groupBy("first").agg(F.min("key").alias("owner"))
-    named = classes.join(owner, "first", "left")
+    g = sketches.filter("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("at"), F.min_by(F.struct("n_shingles", "sig", "bands"), place).alias("v"))
+    classes = scratch.save(g.select("key", F.col("at.doc_id").alias("first"), *(F.col(f"at.{r}").alias(r) for r in ROW), "v.*"), "classes")
     stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("key"), 3)
-    named = named.select("key", "first", *ROW, F.when(F.col("owner") == F.col("key"), F.col("first")).otherwise(stand_in).alias("node"))
-    named = named.withColumnRenamed("key", "_key")
-    on = (F.col("key") == F.col("_key")) & (d["row1"] == named["row1"]) & (d["row2"] == named["row2"])
-    found = d.select("key", *ROW, "n_shingles", "sig", "bands").join(named, on).select("node", "key", named["row1"], named["row2"], "n_shingles", "first", "sig", "bands")
-    return scratch.save(found.dropDuplicates(["node"]), "nodes")
+    shared = scratch.save(classes.filter("first IS NOT NULL").groupBy("first").agg(F.count("*").alias("n"), F.min("key").alias("owner")).filter("n > 1").select("first", "owner"), "shared")
+    if shared.isEmpty():
+        return classes.withColumn("node", F.coalesce("first", stand_in))
+    named = classes.join(shared, "first", "left").withColumn("node", F.when(F.coalesce(F.col("owner") == F.col("key"), F.col("first").isNotNull()), F.col("first")).otherwise(stand_in))
+    return scratch.save(named.drop("owner"), "nodes")
 
 
 def _sets(d: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -141,7 +139,7 @@ def components(links: DataFrame, scratch: Scratch, step: str) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
@@ -159,10 +157,17 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def similar(a: np.ndarray, sets: pa.Array, percent: int) -> np.ndarray:
-    """Which of ``sets`` reach the threshold with the set a."""
+    """Which of ``sets`` reach the threshold with the set a. Sets are ascending, and none is empty."""
     n = sets.value_lengths().to_numpy().astype(np.int64)
-    both = np.add.reduceat(np.isin(sets.flatten().to_numpy(), a, assume_unique=False), np.cumsum(n) - n, dtype=np.int64) if len(n) else n
-    return 100 * both >= percent * (len(a) + n - both)
+    fits = np.flatnonzero((100 * np.minimum(n, len(a)) >= percent * np.maximum(n, len(a))) & (n > 0))  # sizes too unlike rule it out
+    out = np.zeros(len(n), dtype=bool)
+    if len(fits):
+        n = n[fits]
+        values = (sets if len(fits) == len(sets) else sets.take(pa.array(fits))).flatten().to_numpy()
+        hit = a[np.minimum(np.searchsorted(a, values), len(a) - 1)] == values
+        both = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+        out[fits] = 100 * both >= percent * (len(a) + n - both)
+    return out
 
 
 def _with_hubs(pairs: DataFrame, what: DataFrame, name: str, test) -> DataFrame:
@@ -221,31 +226,62 @@ def _past_blocks(rest: DataFrame, what: DataFrame, least: list[int], percent: in
         now, held, found = None, [], set()
         node = label = sig = None
         joined: dict[int, int] = {}
+        tables: list[tuple[range, np.ndarray, np.ndarray]] = []
 
         def root(x: int) -> int:
             while x in joined:
                 x = joined[x]
             return x
 
+        def tabulated() -> None:
+            """The held sets as a few tables: which of their shingles each has. So a set that passes by is looked up once for many."""
+            tables.clear()
+            sets, first = [h[8].values.to_numpy() for h in held], 0
+            while first < len(sets):
+                last, size = first + 1, len(sets[first])
+                while last < len(sets) and (last + 1 - first) * (size + len(sets[last])) <= BLOCK_BYTES:
+                    size += len(sets[last])
+                    last += 1
+                every = np.unique(np.concatenate(sets[first:last]))
+                has = np.zeros((last - first, len(every) + 1), dtype=bool)
+                for k in range(first, last):
+                    has[k - first, np.searchsorted(every, sets[k])] = True
+                tables.append((range(first, last), every, has))
+                first = last
+
         def meet(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
             other, mark, out = batch.column(4).to_numpy(), batch.column(5).to_numpy(), batch.column(6).to_numpy(zero_copy_only=False)
             theirs = _signatures(batch.column(7))
-            for k in range(len(node)):
+
+            def partners(k: int) -> np.ndarray:
                 at = np.flatnonzero((mark != label[k]) & ((other > node[k]) | ~out))  # two members outside meet once
-                if not len(at):
-                    continue
-                alive = at[survivors(np.broadcast_to(sig[k], (len(at), SIZE)), theirs[at], least)]
-                if percent is None:
+                return at[survivors(np.broadcast_to(sig[k], (len(at), SIZE)), theirs[at], least)] if len(at) else at
+
+            if percent is None:
+                for k in range(len(node)):
+                    alive = partners(k)
                     if len(alive):
                         found.add(int(node[k]))
                         found.update(other[alive].tolist())
-                    continue
-                mine = held[k][8].values.to_numpy()
-                for c in alive.tolist():
-                    a, b = root(int(label[k])), root(int(mark[c]))
-                    if a != b and similar(mine, batch.column(8).slice(c, 1), percent)[0]:
-                        joined[max(a, b)] = min(a, b)
-                        yield int(node[k]), int(other[c])
+                return
+            sizes = batch.column(8).value_lengths().to_numpy().astype(np.int64)
+            values, begins = batch.column(8).flatten().to_numpy(), np.cumsum(sizes) - sizes
+            for block, every, has in tables:
+                place = None
+                for k in block:
+                    alive = partners(k)
+                    if not len(alive):
+                        continue
+                    if place is None:
+                        place = np.minimum(np.searchsorted(every, values), len(every) - 1)
+                        place[every[place] != values] = len(every)
+                    both = np.add.reduceat(has[k - block.start][place], begins, dtype=np.int64)[alive]
+                    mine = int(has[k - block.start].sum())
+                    for c in alive[100 * both >= percent * (mine + sizes[alive] - both)].tolist():
+                        a, b = root(int(label[k])), root(int(mark[c]))
+                        if a != b:
+                            joined[max(a, b)] = min(a, b)
+                            yield int(node[k]), int(other[c])
 
         for batch in batches:
             n = batch.num_rows
@@ -264,7 +300,10 @@ def _past_blocks(rest: DataFrame, what: DataFrame, least: list[int], percent: in
                     held += [tuple(part.column(i)[k] for i in range(len(columns))) for k in range(b - a)]
                     node, label = (np.array([h[i].as_py() for h in held]) for i in (4, 5))
                     sig = np.frombuffer(b"".join(h[7].as_py() for h in held), dtype=np.uint8).reshape(len(held), SIZE)
+                    tables.clear()
                 elif held:
+                    if percent is not None and not tables:
+                        tabulated()
                     links = list(meet(part))
                     if links:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
@@ -303,8 +342,14 @@ def _linked(d: DataFrame, nodes: DataFrame, scratch: Scratch, percent: int) -> D
             mixed = more.groupBy("key").agg(F.count("*").alias("n"), F.max("outside").alias("any")).filter("n > 1 AND any").select("key", "n")
             more = scratch.save(more.drop("n").join(mixed, "key"), "more")
             what = scratch.save(_sets(d, rows.join(some, "node")).join(sigs, "node"), "more-sets")
-            links = links.unionByName(scratch.save(_past_blocks(more, what, least, percent), "more-links"))
-            found = scratch.save(components(links, scratch, "second"), "components-1")
+            late = scratch.save(_past_blocks(more, what, least, percent), "more-links")
+            if not late.isEmpty():  # links between the components found so far
+                label = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"_{x}"))
+                between = late.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+                merged = scratch.save(components(between, scratch, "second"), "components-1")
+                lower = merged.select(F.col("id").alias("_old"), F.col("component").alias("_low"))
+                moved = found.join(lower, F.col("component") == F.col("_old"), "left").select("id", F.coalesce("_low", "component").alias("component"))
+                found = moved.union(merged.join(found.select("id"), "id", "left_anti"))
     scratch.drop("chained", "pairs", "alive", "sets", "labelled", "rest", "more", "more-sets")
     return found
 
