@@ -1,18 +1,22 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed deltas.
 
-A store is a folder. A batch writes two tables below a name of its own: ``ledger``, signed counts a document, and ``delta``, their sums by source,
-language and tokenizer. It counts only once its marker stands in ``commits``, a file that is created under the batch's name and can't be created twice. So a
-batch that is sent again, or whose writer died half-way, changes nothing or is simply run again. Totals are sums over the deltas of the
-committed batches. Inserts add counts; deletes take back whatever the ledger holds for a document; revised counts take back and add.
+A store is a folder with a log. A batch writes a ``ledger``, signed counts a document, and new ``totals``: the totals of the state it saw plus the sums of its ledger. It is committed by
+an entry in ``log``, numbered one above the last, which names the live ledgers and the totals. The entry is written under another name and renamed, which fails if the number is taken: then another
+writer was first, and the batch is made anew from the new state. So an entry is there as a whole or not at all, two deletes of one document can't both take back its counts, and a batch
+that is sent again, or whose writer died half-way, changes nothing or is simply run again. A marker in ``batches`` tells that a batch is in; only the last entry's may be missing, and whoever comes next puts it there.
+
+Inserts add counts; deletes take back whatever the ledgers hold for a document; revised counts take back and add. Totals are read, not summed up again. Once there are LEDGERS live ledgers, a
+batch merges them into one with the net counts of each document, so what a delete has to read doesn't grow with history.
 
 Nulls: null sources, languages and texts (no tokens) are values like others. Documents with a null doc_id can be inserted but not addressed:
-deletes and revised counts leave what they have as it is. Repeated rows count each. Batches without rows commit like others.
+deletes and revised counts leave what they have as it is. Repeated rows count each. Batches without rows commit like others; an empty store has no totals. Extra columns are ignored; texts of any length are counted whole.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +27,9 @@ from .tokens import TEXT_BYTES, Encoder, default_tokenizer, gathered
 
 KEY = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
+TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
+#: So many ledgers are read by a delete at most, and so often a commit is tried while other writers come first.
+LEDGERS, TRIES = 8, 20
 
 
 def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
@@ -54,65 +61,91 @@ class TokenRollup:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
-    def committed(self) -> dict[str, str]:
-        """The folder of each committed batch."""
-        if not self._fs.exists(self._path("commits")):
-            return {}
-        out = {}
-        for status in self._fs.listStatus(self._path("commits")):
-            stream = self._fs.open(status.getPath())
-            out[status.getPath().getName()] = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            stream.close()
-        return out
-
-    def commit(self, batch: str, signed: DataFrame) -> bool:
-        """signed: LEDGER columns with signed docs and tokens. False if the batch is committed already."""
-        if self._fs.exists(self._path(f"commits/{batch}")):
-            return False
-        name = f"data/{batch}-{uuid.uuid4().hex}"
-        signed.write.option("compression", "zstd").parquet(f"{self.root}/{name}/ledger")
-        ledger = self.spark.read.schema(LEDGER).parquet(f"{self.root}/{name}/ledger")
-        sums = ledger.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.parquet(f"{self.root}/{name}/delta")
+    def _write(self, name: str, text: str) -> bool:
+        """Puts a file there as a whole; False if there is one of that name."""
+        target, mine = self._path(name), self._path(f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+        self._fs.mkdirs(target.getParent())
+        stream = self._fs.create(mine, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            stream = self._fs.create(self._path(f"commits/{batch}"), False)
-        except Exception as error:  # another writer was first
+            context.rename(mine, target, none)
+        except Exception as error:
+            self._fs.delete(mine, False)
             if "FileAlreadyExists" not in str(error):
                 raise
             return False
-        stream.write(bytearray(name.encode()))
-        stream.close()
         return True
 
+    def _state(self) -> dict:
+        """The last log entry: number, batch, ledgers and totals."""
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path("log"))] if self._fs.exists(self._path("log")) else []
+        numbers = [int(n) for n in names if n.isdigit()]
+        if not numbers:
+            return {"number": 0, "batch": None, "ledgers": [], "totals": None}
+        stream = self._fs.open(self._path(f"log/{max(numbers):012d}"))
+        state = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+        if not self._fs.exists(self._path(f"batches/{state['batch']}")):
+            self._write(f"batches/{state['batch']}", str(state["number"]))
+        return state
+
+    def commit(self, batch: str, make: Callable[[dict], DataFrame]) -> bool:
+        """make(state) gives the batch's ledger for a state: LEDGER columns with signed docs and tokens. False if the batch is committed already."""
+        for _ in range(TRIES):
+            state = self._state()
+            if self._fs.exists(self._path(f"batches/{batch}")):
+                return False
+            name = f"data/{batch}-{uuid.uuid4().hex}"
+            make(state).write.option("compression", "zstd").parquet(f"{self.root}/{name}/ledger")
+            own = self._read([f"{name}/ledger"], LEDGER)
+            delta = own.select(*KEY, "docs", "tokens").groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+            before = self._read([state["totals"]] if state["totals"] else [], TOTALS)
+            sums = before.unionByName(delta).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+            sums.write.parquet(f"{self.root}/{name}/totals")
+            ledgers = [*state["ledgers"], f"{name}/ledger"]
+            if len(ledgers) > LEDGERS:
+                net = self._read(ledgers, LEDGER).groupBy("doc_id", *KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+                net.write.option("compression", "zstd").parquet(f"{self.root}/{name}/merged")
+                ledgers = [f"{name}/merged"]
+            number = state["number"] + 1
+            if self._write(f"log/{number:012d}", json.dumps({"number": number, "batch": batch, "ledgers": ledgers, "totals": f"{name}/totals"})):
+                self._state()  # the batch's marker
+                return True
+            self._fs.delete(self._path(name), True)
+        raise RuntimeError(f"batch {batch}: other writers came first {TRIES} times")
+
+    def _read(self, names: list[str], schema: str) -> DataFrame:
+        paths = [f"{self.root}/{n}" for n in names]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def insert(self, batch: str, counts: DataFrame) -> bool:
-        return self.commit(batch, self._signed(counts, 1))
+        return self.commit(batch, lambda state: self._signed(counts, 1))
 
     def delete(self, batch: str, ids: DataFrame) -> bool:
-        """Takes back all that the ledger holds for the documents in ``ids``."""
-        return self.commit(batch, self._back(ids.select("doc_id")))
+        """Takes back all that the ledgers hold for the documents in ``ids``."""
+        return self.commit(batch, lambda state: self._back(state, ids.select("doc_id")))
 
     def revise(self, batch: str, counts: DataFrame) -> bool:
         """New counts for documents and tokenizers: the old ones are taken back. Those of null doc_ids, whose old ones can't be, are left out."""
         counts = counts.filter("doc_id IS NOT NULL")
-        return self.commit(batch, self._back(counts.select("doc_id", "tokenizer")).unionByName(self._signed(counts, 1)))
+        return self.commit(batch, lambda state: self._back(state, counts.select("doc_id", "tokenizer")).unionByName(self._signed(counts, 1)))
 
     @staticmethod
     def _signed(counts: DataFrame, sign: int) -> DataFrame:
         return counts.select("doc_id", *KEY, F.lit(sign).cast("long").alias("docs"), (sign * F.col("tokens")).cast("long").alias("tokens"))
 
-    def _back(self, keys: DataFrame) -> DataFrame:
-        paths = [f"{self.root}/{name}/ledger" for name in self.committed().values()]
-        ledger = self.spark.read.schema(LEDGER).parquet(*paths) if paths else self.spark.createDataFrame([], LEDGER)
-        mine = ledger.join(keys.distinct(), keys.columns, "left_semi")
+    def _back(self, state: dict, keys: DataFrame) -> DataFrame:
+        mine = self._read(state["ledgers"], LEDGER).join(keys.distinct(), keys.columns, "left_semi")
         net = mine.groupBy("doc_id", *KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
         return net.select("doc_id", *KEY, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
 
     def totals(self) -> DataFrame:
-        paths = [f"{self.root}/{name}/delta" for name in self.committed().values()]
-        schema = "source string, lang string, tokenizer string, docs long, tokens long"
-        deltas = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-        sums = deltas.groupBy(*KEY).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-        return sums.filter("n_docs <> 0 OR n_tokens <> 0")
+        state = self._state()
+        sums = self._read([state["totals"]] if state["totals"] else [], TOTALS)
+        return sums.select(*KEY, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
