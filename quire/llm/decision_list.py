@@ -1,11 +1,12 @@
 """Quality rules as a learned decision list.
 
 Sequential covering: a rule is a conjunction of thresholds on text statistics, grown on two thirds of the labelled sample by FOIL gain
-and pruned on the rest; it is kept if it is precise there, the documents it covers leave the sample, and the next rule is grown.
+and pruned on the rest; it is kept if it is precise, the documents it covers leave the sample, and the next rule is grown. Documents count by the number of labelled ones that they stand for,
+so precision is that of the labelled corpus, whatever the sample's mixture.
 The ordered rules become one Spark conditional expression.
 
 Nulls: a null text is empty, and an empty text fails the base test. Without labels there are no rules and the base test decides alone.
-Repeated rows get equal verdicts; extra columns are left alone.
+Repeated rows get equal verdicts; a document on a threshold has a defined side of it; texts of any length are counted whole; extra columns are left alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,16 +75,16 @@ def _cuts(v: np.ndarray) -> np.ndarray:
     return mids if len(mids) <= CUTS else np.unique(mids[np.linspace(0, len(mids) - 1, CUTS).astype(int)])
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, names: tuple[str, ...]) -> list[tuple[str, str, float]]:
+def _grow(x: np.ndarray, bad: np.ndarray, w: np.ndarray, names: tuple[str, ...]) -> list[tuple[str, str, float]]:
     hit, out = np.ones(len(x), dtype=bool), []
     while len(out) < MOST_CONDITIONS and (hit & ~bad).any():
-        p0, n0 = (hit & bad).sum(), (hit & ~bad).sum()
+        p0, n0 = w[hit & bad].sum(), w[hit & ~bad].sum()
         best = (1e-9, None)
         for j, name in enumerate(names):
             for cut in _cuts(x[hit, j]):
                 for sign in ("<=", ">"):
                     new = hit & ((x[:, j] <= cut) if sign == "<=" else (x[:, j] > cut))
-                    p, n = (new & bad).sum(), (new & ~bad).sum()
+                    p, n = w[new & bad].sum(), w[new & ~bad].sum()
                     if p:
                         gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
                         if gain > best[0]:
@@ -95,29 +96,30 @@ def _grow(x: np.ndarray, bad: np.ndarray, names: tuple[str, ...]) -> list[tuple[
     return out
 
 
-def learn(features: list[list[float]], labels: list[int], names: tuple[str, ...] = LIST_FEATURES) -> DecisionList:
-    """labels: 1 good, 0 to be rejected."""
+def learn(features: list[list[float]], labels: list[int], names: tuple[str, ...] = LIST_FEATURES, weights: list[float] | None = None) -> DecisionList:
+    """labels: 1 good, 0 to be rejected. weights: how many documents each stands for (one if not given)."""
     x = np.array(features, dtype=float).reshape(-1, len(names))
     bad = np.array(labels, dtype=int) == 0
+    w = np.ones(len(x)) if weights is None else np.array(weights, dtype=float)
     prune = np.arange(len(x)) % 3 == 2
     alive, rules = np.ones(len(x), dtype=bool), []
     while len(rules) < MOST_RULES and (alive & bad & ~prune).sum() >= LEAST_COVER:
         grow = alive & ~prune
-        conditions = _grow(x[grow], bad[grow], names)
+        conditions = _grow(x[grow], bad[grow], w[grow], names)
         if not conditions:
             break
         best = (-2.0, None)
         for k in range(len(conditions), 0, -1):
             rule = Rule(tuple(conditions[:k]))
             hit = rule.matches(x, names) & alive & prune
-            p, n = (hit & bad).sum(), (hit & ~bad).sum()
+            p, n = w[hit & bad].sum(), w[hit & ~bad].sum()
             worth = (p - n) / (p + n) if p + n else -1.0
             if worth > best[0]:
                 best = (worth, rule)
         rule = best[1]
         hit = rule.matches(x, names) & alive
-        p, n = (hit & bad).sum(), (hit & ~bad).sum()
-        if p < LEAST_COVER or p / (p + n) < LEAST_PRECISION:
+        p, n = w[hit & bad].sum(), w[hit & ~bad].sum()
+        if (hit & bad).sum() < LEAST_COVER or p / (p + n) < LEAST_PRECISION:
             break
         rules.append(rule)
         alive &= ~hit
@@ -129,7 +131,8 @@ def base_failed() -> Column:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DecisionList:
-    return learn(*sample(labels, documents(docs), "quality", LIST_FEATURES, most, held_out=False))
+    x, y, w = sample(labels, documents(docs), "quality", LIST_FEATURES, most, held_out=False)
+    return learn(x, y, LIST_FEATURES, w)
 
 
 def judged(docs: DataFrame, rules: DecisionList) -> DataFrame:

@@ -95,19 +95,21 @@ def condition(name: str, sign: str, threshold: float) -> Column:
     return feature(name) <= float(threshold) if sign == "<=" else feature(name) > float(threshold)
 
 
-def sample(labels: DataFrame, docs: DataFrame, target: str, names: tuple[str, ...], most: int, held_out: bool) -> tuple[list[list[float]], list[int]]:
-    """At most ``most`` labelled documents' features and labels, chosen by the hash of doc_id and read on the driver.
+def sample(labels: DataFrame, docs: DataFrame, target: str, names: tuple[str, ...], most: int, held_out: bool) -> tuple[list[list[float]], list[int], list[float]]:
+    """At most ``most`` labelled documents' features, labels and weights, chosen by the hash of doc_id and read on the driver.
 
-    held_out leaves out the rows whose crc32 of doc_id as text, mod 4, is 2. Rows with a null label or doc_id are left out.
+    held_out leaves out the rows whose crc32 of doc_id as text, mod 4, is 2. Rows with a null label or doc_id are left out; of several labels or texts of one doc_id the smallest counts, so that no
+    doc_id gives more than one row. Each class fills half of the sample if it can; a weight is the number of labelled documents that a sampled one of its class stands for.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     if held_out:
         known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    # Negatives are rare: half of the sample is theirs if there are as many.
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
     pick = lambda v: known.filter(F.col("y") == v).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(most // 2)
     chosen = pick(0).unionByName(pick(1))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` rows of two numbers
-    rows = with_stats(texts, more=True).select("doc_id", "y", *(feature(n).alias(f"f{i}") for i, n in enumerate(names))).collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], *(r[f"f{i}"] for i in range(len(names)))))[: 2 * most]
-    return [[r[f"f{i}"] for i in range(len(names))] for r in rows], [r["y"] for r in rows]
+    rows = with_stats(texts, more=True).select("doc_id", "y", F.struct(*(feature(n).alias(f"f{i}") for i, n in enumerate(names))).alias("f"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min("f").alias("f")).orderBy("doc_id").collect()  # at most ``most``
+    total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).filter("y IN (0, 1)").collect()}
+    y = [r["y"] for r in rows]
+    return [list(r["f"]) for r in rows], y, [total[v] / min(total[v], most // 2) for v in y]
