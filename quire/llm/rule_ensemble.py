@@ -2,9 +2,10 @@
 
 Shallow regression trees are boosted on weighted random subsamples; every path from a root to a node is a conjunctive rule. A lasso logistic regression
 (proximal gradient, with the penalty chosen on a held-back part of the training rows) weighs the rules and drops most of them. What remains
-is compiled into one Spark column expression, so scoring needs no Python.
+is compiled into one Spark column expression, so scoring needs no Python. Rows count by the number of labelled ones that they stand for, so scores hold for the labelled corpus, whatever the sample's mixture.
 
-A null text scores as an empty one. Without labelled rows, or with one class only, the score is the base rate (1 if there is none).
+A null text scores as an empty one. Without labelled rows, or with one class only, the score is the base rate (1 if there is none). Repeated rows and documents with equal statistics get equal
+scores; a document on a threshold has a defined side of it; texts of any length are counted whole; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,12 +86,12 @@ def _tree(x: np.ndarray, r: np.ndarray, path: tuple[Condition, ...], paths: list
         _tree(x[side], r[side], (*path, (j, sign, cut)), paths, leaves)
 
 
-def extract(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> list[tuple[Condition, ...]]:
+def extract(x: np.ndarray, y: np.ndarray, w: np.ndarray, seed: int = SEED) -> list[tuple[Condition, ...]]:
     """Distinct rules of boosted trees; of rules that cover the same rows, the shortest."""
     rng, z, rules = np.random.default_rng(seed), np.zeros(len(y)), []
     for _ in range(TREES):
         r = y - 1 / (1 + np.exp(-z))
-        rows = rng.random(len(y)) < 0.5
+        rows = rng.random(len(y)) < 0.5 * w / w.max()
         if rows.sum() < 2 * LEAF:
             rows[:] = True
         leaves: list = []
@@ -127,21 +128,23 @@ def lasso(h: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float, steps: in
     return beta, bias
 
 
-def learn(features: list[list[float]], labels: list[int], names: tuple[str, ...] = SCORE_FEATURES) -> RuleEnsemble:
+def learn(features: list[list[float]], labels: list[int], names: tuple[str, ...] = SCORE_FEATURES, weights: list[float] | None = None) -> RuleEnsemble:
     x, y = np.array(features, dtype=float).reshape(-1, len(names)), np.array(labels, dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return RuleEnsemble(names, [], [], 20.0 if len(y) == 0 or y[0] == 1 else -20.0)
-    w = np.ones(len(y))
-    rules = extract(x, y)
+    w = np.ones(len(y)) if weights is None else np.array(weights, dtype=float)
+    w /= w.mean()
+    rules = extract(x, y, w)
     if not rules:
-        return RuleEnsemble(names, [], [], float(np.log(y.mean() / (1 - y.mean()))))
+        base = float((w * y).sum() / w.sum())
+        return RuleEnsemble(names, [], [], float(np.log(base / (1 - base))))
     h = np.stack([covers(r, x) for r in rules], axis=1).astype(float)
     back = np.arange(len(y)) % 5 == 4
     best = (np.inf, 0.01)
     for penalty in (0.03, 0.01, 0.003, 0.001):
         beta, bias = lasso(h[~back], y[~back], w[~back], penalty)
         p = np.clip(1 / (1 + np.exp(-np.clip(h[back] @ beta + bias, -40, 40))), 1e-6, 1 - 1e-6)
-        loss = -float(np.mean(y[back] * np.log(p) + (1 - y[back]) * np.log(1 - p))) if back.any() else 0.0
+        loss = -float(np.average(y[back] * np.log(p) + (1 - y[back]) * np.log(1 - p), weights=w[back])) if back.any() else 0.0
         if loss < best[0] - 1e-3:
             best = (loss, penalty)
     beta, bias = lasso(h, y, w, best[1])
@@ -150,7 +153,8 @@ def learn(features: list[list[float]], labels: list[int], names: tuple[str, ...]
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> RuleEnsemble:
-    return learn(*sample(labels, documents(docs), "quality", SCORE_FEATURES, most, held_out=True))
+    x, y, w = sample(labels, documents(docs), "quality", SCORE_FEATURES, most, held_out=True)
+    return learn(x, y, SCORE_FEATURES, w)
 
 
 def scored(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
