@@ -17,18 +17,20 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import Scratch, documents, small_batches
 from .shingles import MinHash, grams, hashes, words
 
 THRESHOLD, HASHES, SEED, ITEMS = 0.75, 56, 404, 20_000
 STEP = math.sqrt(2)
+#: Indexes that a worker holds; a chain of filters by several blocks uses them by turns.
+HELD = 2
 HITS = "array<struct<item:int,shared:int,size:int>>"
 
 
@@ -86,7 +88,8 @@ def _searcher(spark: SparkSession, texts: list[str | None]) -> Callable[[Column]
     @F.pandas_udf(HITS)
     def search(column: pd.Series) -> pd.Series:
         if key not in _built:
-            _built.clear()
+            while len(_built) >= HELD:
+                del _built[next(iter(_built))]
             _built[key] = ItemIndex(sent.value)
         index = _built[key]
         return pd.Series([[{"item": i, "shared": a, "size": b} for i, a, b in index.search(t)] for t in column], dtype=object)
@@ -94,12 +97,14 @@ def _searcher(spark: SparkSession, texts: list[str | None]) -> Callable[[Column]
     return search
 
 
-def _blocks(benchmark: DataFrame) -> list[list]:
-    """The items' rows in blocks of about ITEMS at most."""
+def _blocks(benchmark: DataFrame) -> Iterator[list]:
+    """The items' rows in blocks of about ITEMS at most, one after another. Equal rows are held once, with their number, however many there are."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.groupBy("item_id", "text").agg(F.count("*").alias("n"))
     n = -(-items.count() // ITEMS)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
-    return [items.filter(part == k).orderBy("item_id", "text").collect() for k in range(n)]
+    for k in range(n):
+        yield items.filter(part == k).orderBy("item_id", "text").collect()
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -108,22 +113,23 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     d, out = documents(docs), None
     for block in _blocks(benchmark):
         search = _searcher(spark, [r["text"] for r in block])
-        ids = F.array(*(F.lit(r["item_id"]).cast("long") for r in block)) if len(block) <= 2000 else None
         hit = d.select("doc_id", F.explode(search(F.col("text"))).alias("h"))
-        if ids is None:
-            names = F.broadcast(spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(block)], "item int, item_id long"))  # at most about ITEMS pairs
-            hit = hit.join(names, F.col("h.item") == F.col("item"))
-        else:
-            hit = hit.withColumn("item_id", F.get(ids, F.col("h.item")))
+        names = F.broadcast(spark.createDataFrame([(i, r["item_id"], r["n"]) for i, r in enumerate(block)], "item int, item_id long, n long"))  # at most about ITEMS rows of three numbers
+        hit = hit.join(names, F.col("h.item") == F.col("item"))
+        hit = hit.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n")))  # a pair for each of equal items
         hit = hit.select("doc_id", "item_id", F.col("h.shared").cast("long").alias("shared"), F.col("h.size").cast("long").alias("item_shingles"), (F.col("h.shared") / F.col("h.size")).alias("containment"))
         out = hit if out is None else out.unionByName(hit)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, shared long, item_shingles long, containment double")
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that contain no item, with the columns they came with."""
+    """The documents that contain no item, with the columns they came with. What one block of items leaves is written before the next block goes over it, so a worker builds one index."""
     small_batches(spark)
-    for block in _blocks(benchmark):
+    scratch = Scratch(spark, "clean")
+    for k, block in enumerate(_blocks(benchmark)):
+        if k:
+            docs = scratch.save(docs, f"block-{k}")
+            scratch.drop(f"block-{k - 1}")
         search = _searcher(spark, [r["text"] for r in block])
         docs = docs.filter(F.size(search(F.col("text").cast("string"))) == 0)
     return docs
