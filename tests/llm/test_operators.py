@@ -181,6 +181,54 @@ def test_revised_counts_leave_null_ids_alone(spark):
     assert [tuple(r) for r in store.totals().collect()] == [("s", "de", "words", 2, 23)]
 
 
+def test_rollups_merge_ledgers_and_survive_crashes(spark, monkeypatch):
+    monkeypatch.setattr(rollups, "LEDGERS", 2)
+    schema = "doc_id long, source string, lang string, tokenizer string, tokens long"
+    root = Scratch(spark, "test").path("store")
+    store = rollups.TokenRollup(spark, root)
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema)
+    for k in range(5):
+        assert store.insert(f"b{k}", frame((k, "s", "en", "w", 10 + k), (None, None, None, "w", 1)))
+    assert len(store._state()["ledgers"]) <= 2
+    assert store.delete("d", spark.createDataFrame([(1,), (2,), (77,)], "doc_id long"))
+    want = {("s", "en", "w"): (3, 10 + 13 + 14), (None, None, "w"): (5, 5)}
+    got = lambda: {tuple(r)[:3]: tuple(r)[3:] for r in store.totals().collect()}
+    assert got() == want
+    # A crash between the entry and the marker, and a half-written file, change nothing.
+    fs, state = store._fs, store._state()
+    fs.delete(store._path(f"batches/{state['batch']}"), False)
+    fs.create(store._path("log/.half"), False).close()
+    assert not rollups.TokenRollup(spark, root).delete("d", spark.createDataFrame([(1,)], "doc_id long")) and got() == want
+    # Another writer comes first: the batch is made anew from the state that it finds, so nothing is taken back twice.
+    other, first = rollups.TokenRollup(spark, root), [True]
+    back = store._back
+
+    def late(state, keys):
+        found = back(state, keys)
+        if first.pop() if first else False:
+            assert other.delete("x", spark.createDataFrame([(3,)], "doc_id long"))
+        return found
+
+    monkeypatch.setattr(store, "_back", late)
+    assert store.delete("y", spark.createDataFrame([(3,), (4,)], "doc_id long"))
+    assert got() == {("s", "en", "w"): (1, 10), (None, None, "w"): (5, 5)}
+
+
+def test_token_rollups_against_brute_force(spark, sf_dir):
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    toxic = {r[0] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").select("doc_id").collect()}
+    want = {}
+    for (doc_id, text, lang, source), raw in zip(docs, whole_ids([d[1] for d in docs]), strict=True):
+        if doc_id in toxic:
+            continue
+        n_words = len(text or "") if lang == "de" else len(words(text))
+        for version, n in (("byte_bpe_50k", len(raw) // 4), ("words", n_words)):
+            a, b = want.get((source, lang, version), (0, 0))
+            want[source, lang, version] = (a + 1, b + n)
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in rollups.op3(spark, sf_dir).collect()}
+    assert got == want and toxic
+
+
 def test_rollup_with_the_tokenizer(spark, docs, rows):
     got = {r["doc_id"]: r["tokens"] for r in rollups.counted(docs, tokens.default_tokenizer(), "v").collect()}
     assert all(got[r[0]] == len(raw) // 4 for r, raw in zip(rows, whole_ids([r[1] for r in rows]), strict=True))
@@ -210,9 +258,13 @@ def test_leaks_of_nothing_and_in_blocks(spark, docs, none, monkeypatch):
     assert contamination.leaks(spark, docs, empty).count() == 0 and contamination.remove_leaks(spark, docs, empty).count() == docs.count()
     bench = docs.select(docs["doc_id"].alias("item_id"), "text").filter("doc_id between 60 and 120")
     assert contamination.leaks(spark, none, bench).count() == 0
+    once = contamination.leaks(spark, docs, bench.dropDuplicates()).count()
+    assert contamination.leaks(spark, docs, bench.dropDuplicates().union(bench.dropDuplicates())).count() == 2 * once > 0
     whole = sorted(map(tuple, contamination.leaks(spark, docs, bench).collect()))
     monkeypatch.setattr(contamination, "ITEMS", 5)
     assert sorted(map(tuple, contamination.leaks(spark, docs, bench).collect())) == whole
+    left = docs.count() - docs.join(spark.createDataFrame([(w[0],) for w in whole], "doc_id long").distinct(), "doc_id", "left_semi").count()
+    assert contamination.remove_leaks(spark, docs, bench).count() == left
 
 
 # ---- Quality ----------------------------------------------------------------------------------------------------------------
