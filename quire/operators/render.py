@@ -53,12 +53,12 @@ def page_open(page: Column | str, pages: Column | str) -> Column:
 
 def document_html(elements: DataFrame) -> DataFrame:
     """K1 for flat kinds: one HTML string a document. A document's own rows are what one aggregate holds."""
-    e = elements.withColumn("m", flat_html()).filter("m IS NOT NULL")
-    pages = elements.groupBy("doc_id").agg(F.max("page_no").alias("pages"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "m"))), lambda s: s["m"]), "\n")
-    p = e.groupBy("doc_id", "page_no").agg(body.alias("body")).join(pages, "doc_id")
-    section = F.concat_ws("\n", page_open("page_no", "pages"), "body", F.lit("</section>"))
-    return p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", section.alias("s")))), lambda x: x["s"]), "\n").alias("html"))
+    e = elements.withColumn("m", flat_html())
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("m").isNotNull(), F.struct("reading_order", "m")))), lambda s: s["m"]), "\n")
+    p = e.groupBy("doc_id", "page_no").agg(body.alias("body"), F.count("m").alias("n"))
+    g = p.groupBy("doc_id").agg(F.max("page_no").alias("pages"), F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("page_no", "body")))).alias("s"))
+    sections = F.transform("s", lambda x: F.concat_ws("\n", page_open(x["page_no"], F.col("pages")), x["body"], F.lit("</section>")))
+    return g.filter(F.size("s") > 0).select("doc_id", F.array_join(sections, "\n").alias("html"))
 
 
 def html_head(title: Column | str, file_name: Column | str, language: Column | str) -> Column:
@@ -149,6 +149,20 @@ def text_line(mode: str) -> Column:
     )
 
 
+def full_line(mode: str) -> Column:
+    """X2 for elements of all kinds: as text_line, with tables, lists, cells, fields and links that have no text of their own. Further columns: target, rows, columns, has_header, items, label, required, read_only, value, has_value."""
+    if mode == "Raw":
+        return text_line(mode)
+    c, k = F.col, F.col("kind")
+    n = lambda name, one: F.concat(c(name).cast("string"), F.when(c(name) == 1, f" {one}").otherwise(f" {one}s"))
+    table = F.concat(F.lit("Table: "), n("rows", "row"), F.lit(", "), n("columns", "column"), F.when(c("has_header"), "").otherwise(", no header cells"))
+    field = F.concat(F.lit("[form field: "), F.concat_ws(", ", "label", F.when(c("required"), "required"), F.when(c("has_value"), c("value")).otherwise("not filled in"), F.when(c("read_only"), "read-only")), F.lit("]"))
+    return (
+        F.when(k == "Table", table).when(k == "List", F.concat(F.lit("List of "), n("items", "item"))).when(k == "TableCell", F.concat(F.lit("    "), F.when(T.blank("text"), "(blank)").otherwise(F.trim("text"))))
+        .when(k == "FormField", field).when((k == "Link") & T.blank("text"), F.concat(F.lit("[Link: "), F.coalesce("target", F.lit("")), F.lit("]"))).otherwise(text_line(mode))
+    )
+
+
 def linear_text(elements: DataFrame, mode: str = "Structured") -> DataFrame:
     """doc_id, reading_order, start, length, line: lines with a rule where the page rises, and each line's place in the whole text.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import announce as AN
 from quire.functions import fields as V
 from quire.functions import geometry as G
 from quire.functions import text as T
@@ -126,6 +127,20 @@ R.scalar("t32_field_guidance", GUIDED, {"y": (lambda: V.guidance("req", "fmt", "
 SPOKEN = Fixture("spoken", "id int, x string, pw boolean, multi boolean", rows(("", False, False), (None, True, False), ("secret", True, False), ("one\ntwo\nthree", False, True), ("one ", False, True), ("a\nb", False, False)))
 R.scalar("t27_value_in_speech", SPOKEN, {"y": (lambda: V.text_in_speech("x", "pw", "multi"), "CASE WHEN coalesce(x, '') = '' THEN 'blank' WHEN pw THEN length(x) || ' characters entered' WHEN multi AND contains(x, chr(10)) THEN rtrim(string_split(x, chr(10))[1]) || ', ' || len(string_split(x, chr(10))) || ' lines in total' ELSE x END")})
 
+VALUES = Fixture("fieldvalues", "id int, field_kind string, checked boolean, option string, position int, options int, picked string, typed string, signed boolean, signer string, signed_on timestamp, reason string", rows(
+    ("CheckBox", True, None, 0, 0, "", None, False, None, None, None), ("CheckBox", False, None, 0, 0, "", None, False, None, None, None), ("RadioGroup", False, "By post", 3, 3, "", None, False, None, None, None), ("RadioGroup", False, None, 0, 3, "", None, False, None, None, None),
+    ("Choice", False, "Wales", 2, 4, "Wales", None, False, None, None, None), ("Choice", False, None, 0, 4, "", None, False, None, None, None), ("Choice", False, None, 0, 4, "Wales|Kent", "", False, None, None, None), ("Choice", False, None, 0, 4, "", "Leeds", False, None, None, None),
+    ("Signature", False, None, 0, 0, "", None, False, "Ann", None, None), ("Signature", False, None, 0, 0, "", None, True, "Ann", "2026-04-03 10:00:00", "Agreed"), ("Signature", False, None, 0, 0, "", None, True, "", None, None), ("PushButton", False, None, 0, 0, "", None, False, None, None, None)))
+
+
+def t27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.when(F.col("picked") == "", F.array().cast("array<string>")).otherwise(F.split("picked", r"\|"))
+    return VALUES.df(spark).withColumn("chosen", chosen).select("id", AN.value_in_speech().alias("y"))
+
+
+R.add("t27_values_of_all_fields", t27, f"""SELECT id, CASE field_kind WHEN 'CheckBox' THEN CASE WHEN checked THEN 'checked' ELSE 'not checked' END WHEN 'RadioGroup' THEN CASE WHEN option IS NULL THEN 'nothing selected, ' || options || ' options' ELSE option || ', ' || position || ' of ' || options END
+WHEN 'Choice' THEN CASE WHEN coalesce(typed, '') <> '' THEN typed || ', typed in' WHEN picked = '' THEN 'nothing selected, ' || options || ' options' WHEN strpos(picked, '|') = 0 THEN option || ', ' || position || ' of ' || options ELSE len(string_split(picked, '|')) || ' of ' || options || ' selected: ' || replace(picked, '|', ', ') END
+WHEN 'Signature' THEN CASE WHEN signed THEN concat_ws(', ', 'signed', 'by ' || nullif(signer, ''), 'on ' || strftime(signed_on, '%-d %B %Y'), 'reason: ' || nullif(reason, '')) ELSE 'not signed' END ELSE '' END AS y FROM {VALUES.sql()}""")
 ANNOTS = Fixture("annots", "side string, id int, source string, subtype string, l double, b double, r double, t double", (("old", 1, "s1", "Highlight", 1.0, 1.0, 9.0, 9.0), ("old", 2, None, "Text", 20.0, 20.0, 30.0, 30.0), ("old", 3, None, "Ink", 0.0, 0.0, 5.0, 5.0), ("new", 11, "s1", "Underline", 50.0, 50.0, 60.0, 60.0), ("new", 12, None, "Text", 20.9, 19.2, 30.0, 30.5), ("new", 13, None, "Ink", 2.0, 0.0, 5.0, 5.0)))
 
 

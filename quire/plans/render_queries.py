@@ -14,7 +14,7 @@ from quire.sources import adapters as A
 from .fixture import Fixture, Registry, sql_literal
 from .match_queries import CELLS, THREADS
 from .structure_queries import LINES
-from .text_queries import rows, sql_map
+from .text_queries import VAGUE, rows, sql_map
 from .tree_queries import TREE, WALK
 
 R = Registry()
@@ -105,12 +105,64 @@ def k02_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("k02_x04_w05_text_of_documents", k02_documents, text_sql(f"(SELECT *, 4 AS level, NULL AS alt, FALSE AS decorative, NULL AS artifact_type FROM {LINES})", "Structured"))
 R.add("x03_row_lines", lambda s, d: K.row_lines(CELLS.df(s).withColumn("cell_ord", F.col("column_index"))), f"SELECT table_id, row_no, CASE WHEN bool_and(role <> 'Data') THEN '  Headings: ' ELSE '  ' END || string_agg(CASE WHEN {said('text')} THEN text ELSE '(blank)' END, '  |  ' ORDER BY column_index) AS line FROM {CELLS.sql()} GROUP BY 1, 2")
 
+ALL_KINDS = Fixture("allkinds", "id int, kind string, level int, text string, alt string, decorative boolean, artifact_type string, target string, rows int, columns int, has_header boolean, items int, label string, required boolean, read_only boolean, value string, has_value boolean", rows(
+    ("Table", None, None, None, False, None, None, 3, 1, True, 0, None, False, False, None, False), ("Table", None, None, None, False, None, None, 1, 2, False, 0, None, False, False, None, False), ("List", None, None, None, False, None, None, 0, 0, False, 1, None, False, False, None, False), ("List", None, "", None, False, None, None, 0, 0, False, 4, None, False, False, None, False),
+    ("TableCell", None, " 42 ", None, False, None, None, 0, 0, False, 0, None, False, False, None, False), ("TableCell", None, None, None, False, None, None, 0, 0, False, 0, None, False, False, None, False), ("FormField", None, None, None, False, None, None, 0, 0, False, 0, "Name", True, False, "Ann", True), ("FormField", None, None, None, False, None, None, 0, 0, False, 0, "Date", False, True, "", False),
+    ("Link", None, "", None, False, None, "example.org", 0, 0, False, 0, None, False, False, None, False), ("Link", None, "Report", None, False, None, "example.org", 0, 0, False, 0, None, False, False, None, False), ("Heading", 2, "Part", None, False, None, None, 0, 0, False, 0, None, False, False, None, False), ("Figure", None, None, "A map", False, None, None, 0, 0, False, 0, None, False, False, None, False)))
+pls = lambda n, one: f"({n} || CASE WHEN {n} = 1 THEN ' {one}' ELSE ' {one}s' END)"
+R.scalar("x02_lines_of_all_kinds", ALL_KINDS, {"line": (lambda: K.full_line("Structured"), f"CASE WHEN kind = 'Table' THEN 'Table: ' || {pls('rows', 'row')} || ', ' || {pls('columns', 'column')} || CASE WHEN has_header THEN '' ELSE ', no header cells' END WHEN kind = 'List' THEN 'List of ' || {pls('items', 'item')} WHEN kind = 'TableCell' THEN '    ' || CASE WHEN {TRIM} = '' THEN '(blank)' ELSE {TRIM} END WHEN kind = 'FormField' THEN '[form field: ' || concat_ws(', ', label, CASE WHEN required THEN 'required' END, CASE WHEN has_value THEN value ELSE 'not filled in' END, CASE WHEN read_only THEN 'read-only' END) || ']' WHEN kind = 'Link' AND {TRIM} = '' THEN '[Link: ' || coalesce(target, '') || ']' ELSE {line_sql('Structured')} END")})
+
 # ---- Announcements ----------------------------------------------------------------------------------------------------------
 PARTS = Fixture("parts", "id int, kind string, level int, n int, total int, text string, alt string, decorative boolean, marker string, author string", rows(
     ("Heading", 2, 0, 0, "Revenue", None, False, None, None), ("Heading", None, 0, 0, "Bare", None, False, None, None), ("List", None, 0, 3, None, None, False, "Bullet", None), ("List", None, 0, 1, None, None, False, "UpperRoman", None), ("List", None, 0, 0, None, None, False, None, None), ("ListItem", None, 2, 3, "Second", None, False, None, None),
     ("Table", None, 4, 1, None, None, False, None, None), ("Figure", None, 0, 0, None, "A chart", False, None, None), ("Figure", None, 0, 0, None, None, False, None, None), ("Figure", None, 0, 0, None, None, True, None, None), ("Annotation", None, 0, 2, "Nice", None, False, None, "Ann"), ("Page", None, 3, 0, None, None, False, None, None), ("Paragraph", None, 0, 0, "Plain", None, False, None, None)))
 pl = lambda n, one: f"({n} || CASE WHEN {n} = 1 THEN ' {one}' ELSE ' {one}s' END)"
 R.scalar("t26_kind_parts", PARTS, {"y": (AN.kind_parts, f"CASE kind WHEN 'Heading' THEN concat_ws(', ', CASE WHEN level IS NULL THEN 'heading' ELSE 'heading level ' || level END, text) WHEN 'List' THEN {sql_map(AN.LIST_NAMES, 'marker', sql_literal('list'))} || ', ' || CASE WHEN total = 0 THEN 'empty' ELSE 'with ' || {pl('total', 'item')} END WHEN 'ListItem' THEN 'item ' || n || ' of ' || total || ', ' || text WHEN 'Table' THEN 'table, ' || {pl('n', 'row')} || ', ' || {pl('total', 'column')} WHEN 'Figure' THEN CASE WHEN decorative THEN 'decorative image' WHEN {said('alt')} THEN 'figure, ' || alt ELSE 'figure, no description available' END WHEN 'Annotation' THEN concat_ws(', ', 'comment', CASE WHEN author IS NOT NULL THEN 'by ' || author END, text, CASE WHEN total > 0 THEN total || CASE WHEN total = 1 THEN ' reply' ELSE ' replies' END END) WHEN 'Page' THEN 'page ' || n ELSE text END")})
+SAYS = ("kind", "text", "alt", "caption", "description", "target", "author", "anchored", "file_name", "size_text", "summary", "role", "row_header", "column_header", "label", "value", "button_caption", "hint", "label_source", "guidance", "action")
+SAYS_INT, SAYS_BOOL = ("items", "rows", "columns", "replies", "nested_items", "column_span", "row_span"), ("decorative", "tiny", "has_header", "unsaved", "required", "read_only", "invalid", "modified", "signed")
+
+
+def _says(**given: object) -> tuple:
+    return tuple(given.get(n, False if n in SAYS_BOOL else None if n in SAYS or n == "nested_items" else 0) for n in (*SAYS, *SAYS_INT, *SAYS_BOOL))
+
+
+SAID_BY = Fixture("saidby", "id int, " + ", ".join([*(f"{n} string" for n in SAYS), *(f"{n} int" for n in SAYS_INT), *(f"{n} boolean" for n in SAYS_BOOL)]), rows(
+    _says(kind="Figure", alt="A chart"), _says(kind="Figure", caption="Sales"), _says(kind="Figure", decorative=True), _says(kind="Figure", tiny=True, alt=" "), _says(kind="Link", text="Report", target="example.org", hint="press Enter to follow"),
+    _says(kind="Link", text="here", target="example.org"), _says(kind="Link", text="", target="example.org", description="the report"), _says(kind="Link", text=None, target="example.org"), _says(kind="Annotation", text="Nice", author="Ann", anchored="some words", replies=1, unsaved=True),
+    _says(kind="Annotation", replies=3), _says(kind="Annotation", anchored="only this", hint="press Enter"), _says(kind="Attachment", file_name="a.csv", size_text="2 kilobytes", description="figures"), _says(kind="List", items=0), _says(kind="List", items=1), _says(kind="List", items=7),
+    _says(kind="ListItem", text="One", nested_items=2), _says(kind="ListItem", text="Two"), _says(kind="Table", rows=2, columns=1, summary="Totals"), _says(kind="Table", rows=1, columns=3, has_header=True), _says(kind="TableRow", text="a, b"),
+    _says(kind="TableCell", text="4200", has_header=True, row_header="March", column_header="Revenue"), _says(kind="TableCell", text="", has_header=True, column_header="Revenue", column_span=2), _says(kind="TableCell", text="Month", role="ColumnHeader", has_header=True, column_header="x", row_span=3), _says(kind="TableCell", text="5"),
+    _says(kind="FormField", label="Name", value="Ann", required=True, label_source="nearby", guidance="at most 20 characters"), _says(kind="FormField", label="Date", value="", read_only=True, invalid=True, modified=True, label_source="name"), _says(kind="FormField", label="unlabelled field", label_source="none"),
+    _says(kind="FormField", label="Sign", value="signed", signed=True, label_source="tooltip"), _says(kind="Button", label="b1", button_caption=" Send ", action="send this form's answers"), _says(kind="Button", label="Clear", button_caption=" ", read_only=True), _says(kind="Heading", text="Part"), _says(kind="Paragraph")))
+VAGUE_TEXT = VAGUE.replace("(x", "(text").replace("trim(x)", "trim(text)")
+
+
+def _content_sql(full: bool) -> str:
+    by = "CASE WHEN coalesce(author, '') <> '' THEN 'by ' || author END" if full else "CAST(NULL AS VARCHAR)"
+    cell = "CASE WHEN coalesce(role, 'Data') = 'Data' AND has_header THEN concat_ws(', ', nullif(row_header, ''), nullif(column_header, ''), coalesce(nullif(text, ''), 'blank')) ELSE coalesce(nullif(text, ''), 'blank') END" if full else "coalesce(nullif(text, ''), 'blank')"
+    return f"""CASE kind WHEN 'Figure' THEN CASE WHEN decorative THEN '' WHEN {said('alt')} THEN alt WHEN coalesce(caption, '') <> '' THEN 'no description. Caption reads: ' || caption ELSE 'no description available' END
+WHEN 'Link' THEN coalesce(nullif(description, ''), CASE WHEN coalesce(text, '') = '' THEN target WHEN NOT {VAGUE_TEXT} THEN text ELSE text || ', to ' || target END)
+WHEN 'Annotation' THEN concat_ws(', ', {by}, 'over ' || nullif(anchored, ''), coalesce(nullif(text, ''), CASE WHEN {by} IS NULL AND coalesce(anchored, '') = '' THEN 'no text' END))
+WHEN 'Attachment' THEN concat_ws(', ', file_name, nullif(description, ''){", size_text" if full else ""}) WHEN 'List' THEN CASE WHEN items = 0 THEN 'empty' ELSE 'with ' || {pls('items', 'item')} END
+WHEN 'Table' THEN concat_ws('. ', {pls('rows', 'row')} || ', ' || {pls('columns', 'column')}, nullif(summary, '')) WHEN 'TableCell' THEN {cell} WHEN 'Button' THEN coalesce(nullif(trim(button_caption), ''), label) WHEN 'FormField' THEN concat_ws(', ', label, nullif(value, '')) ELSE coalesce(text, '') END"""
+
+
+def _state_sql(full: bool, detailed: bool) -> str:
+    on = lambda x, flag: x if flag else "CAST(NULL AS VARCHAR)"
+    source = "CASE label_source WHEN 'none' THEN 'this field has no label in the document' WHEN 'nearby' THEN 'label guessed from the page' WHEN 'name' THEN 'label taken from the field''s internal name' END"
+    field = f"concat_ws(', ', CASE WHEN required THEN 'required' END, CASE WHEN read_only THEN 'read-only' END, CASE WHEN invalid THEN 'invalid entry' END, {on(source, detailed)}, CASE WHEN modified THEN 'changed' END, {on('nullif(guidance, chr(0))', detailed)})"
+    spans = "concat_ws(', ', CASE WHEN column_span > 1 THEN 'spans ' || column_span || ' columns' END, CASE WHEN row_span > 1 THEN 'spans ' || row_span || ' rows' END)"
+    return f"""coalesce(CASE kind WHEN 'Figure' THEN {on(f"CASE WHEN NOT decorative AND NOT {said('alt')} AND NOT tiny THEN 'needs a description' END", full)}
+WHEN 'Link' THEN concat_ws(', ', {on(f"CASE WHEN {VAGUE_TEXT} AND description IS NULL THEN 'link text does not describe its destination' END", full)}, {on("nullif(hint, '')", detailed)})
+WHEN 'Annotation' THEN concat_ws(', ', CASE WHEN replies > 0 THEN replies || CASE WHEN replies = 1 THEN ' reply' ELSE ' replies' END END, CASE WHEN unsaved THEN 'not saved' END, {on("nullif(hint, '')", detailed)})
+WHEN 'ListItem' THEN {on("CASE WHEN nested_items IS NOT NULL THEN 'contains a list of ' || nested_items || ' items' END", full)} WHEN 'Table' THEN {on("CASE WHEN NOT has_header THEN 'no header cells, so cells cannot be announced with their headings' END", full)}
+WHEN 'TableCell' THEN {on(spans, full)} WHEN 'Button' THEN concat_ws(', ', {on("'will ' || nullif(action, '')", full)}, nullif({field}, '')) WHEN 'FormField' THEN concat_ws(', ', {on("CASE WHEN signed THEN 'signature not verified by this editor' END", detailed)}, nullif({field}, '')) END, '')"""
+
+
+R.scalar("t26_contents_and_states", SAID_BY, {
+    **{f"content_{v.lower()}": (lambda v=v: AN.content(v), _content_sql(v != "Terse")) for v in ("Terse", "Normal")},
+    **{f"state_{v.lower()}": (lambda v=v: AN.state(v), _state_sql(v != "Terse", v == "Detailed")) for v in ("Terse", "Normal", "Detailed")},
+})
 OPEN = Fixture("opening", "id int, name string, pages int, status string, fields int, open_fields int, headings int, comments int", rows(("Report", 1, "FullyTagged", 0, 0, 3, 0), ("Form", 6, "Untagged", 9, 2, 0, 1), ("Scan", 2, "ScannedWithoutText", 0, 0, 0, 0), ("Mix", 3, "PartiallyTagged", 4, 0, 1, 5)))
 R.scalar("t28_opening_announcement", OPEN, {"y": (AN.opening, f"concat_ws('. ', name, {pl('pages', 'page')}, {sql_map(AN.STATUS, 'status', sql_literal('unknown structure'))}, CASE WHEN fields > 0 THEN fields || ' form fields' || CASE WHEN open_fields > 0 THEN ', ' || open_fields || ' still to fill in' ELSE '' END END, CASE WHEN headings > 0 THEN headings || ' headings' END, CASE WHEN comments > 0 THEN {pl('comments', 'comment')} END) || '.'")})
 R.scalar("t34_form_list_line", OPEN, {"y": (lambda: AN.form_line("name", F.col("status"), F.col("open_fields") > 0), "CASE WHEN open_fields > 0 THEN '* ' ELSE '  ' END || name || ': ' || status")})

@@ -83,7 +83,7 @@ SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS reading_order,
 
 # ---- Navigation -------------------------------------------------------------------------------------------------------------
 SAID = "trim(coalesce(text, '')) <> ''"
-STOPS = {k: f"kind = '{k}'" for k in ("Heading", "List", "ListItem", "Table", "TableCell", "Figure", "Link", "FormField")} | {
+STOPS = {k: f"kind = '{k}'" for k in ("Heading", "List", "ListItem", "Table", "TableCell", "Figure", "Link", "FormField")} | {f"HeadingAtLevel{n}": f"kind = 'Heading' AND level = {n}" for n in range(1, 7)} | {
     "UnfilledFormField": "kind = 'FormField' AND coalesce(needs_attention, FALSE)", "Annotation": "kind = 'Annotation' AND coalesce(annotation_kind, '') <> 'Popup'",
     "Paragraph": f"kind IN ({', '.join(map(sql_literal, N.READABLE))}) AND ({SAID} OR kind = 'Figure')", "Element": f"{SAID} OR kind IN ('Figure', 'FormField', 'Link', 'Annotation')"}
 
@@ -111,7 +111,19 @@ SENT = r"'(?s)\S.*?(?:[.!?][\"'')\]”’]*(?:\s|$)|$)'"
 SENTENCES = Fixture("sents", "id int, x string", ((0, "One. Two! Three? Four"), (1, 'He said "stop." Then left.'), (2, "No end"), (3, "Version 2.5 is out. (Really!) Yes."), (4, ""), (5, "Trailing.  ")))
 R.add("n04_sentences", lambda s, d: SENTENCES.df(s).select("id", F.array_join(N.sentences(F.col("x")), "|").alias("y")), f"SELECT id, coalesce(array_to_string(list_transform(regexp_extract_all(x, {SENT}), lambda q: trim(q)), '|'), '') AS y FROM {SENTENCES.sql()}")
 BOUND = Fixture("bound", "id int, g string, dir string", tuple((i, g, d) for i, (g, d) in enumerate((g, d) for g in ("Heading", "Link", "Annotation", "Other") for d in ("Next", "Previous", "First"))))
-R.scalar("n07_boundary_message", BOUND, {"y": (lambda: N.boundary_message(F.col("g"), F.col("dir")), f"CASE dir WHEN 'Next' THEN 'No further ' || {sql_map(N.UNITS, 'g', sql_literal('content'))} WHEN 'Previous' THEN 'No earlier ' || {sql_map(N.UNITS, 'g', sql_literal('content'))} ELSE 'No ' || {sql_map(N.UNITS, 'g', sql_literal('content'))} || ' here' END")})
+UNIT = f"CASE WHEN g LIKE 'HeadingAtLevel_' THEN 'level ' || g[15:15] || ' headings' ELSE {sql_map(N.UNITS, 'g', sql_literal('content'))} END"
+R.scalar("n07_boundary_message", BOUND, {"y": (lambda: N.boundary_message(F.col("g"), F.col("dir")), f"CASE dir WHEN 'Next' THEN 'No more ' || {UNIT} || ' after this point.' WHEN 'Previous' THEN 'No more ' || {UNIT} || ' before this point.' ELSE 'There are no ' || {UNIT} || ' in this document.' END")})
+
+
+def n05_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, p = both(spark)
+    said = F.concat_ws(": ", F.lower("kind"), F.nullif(F.trim(F.coalesce("text", F.lit(""))), F.lit("")))
+    return N.position(w, p, w.select("doc_id", "element_id", said.alias("full"), F.lower("kind").alias("brief")))
+
+
+R.add("n05_position_in_tree", n05_tree, f"""WITH RECURSIVE {WALK}, c AS (SELECT pr.doc_id, pr.element_id, lower(e.kind) AS brief, distance, row_number() OVER (PARTITION BY pr.doc_id, pr.element_id ORDER BY distance) AS k FROM pr JOIN e ON e.doc_id = pr.doc_id AND e.element_id = pr.ancestor_id WHERE e.kind IN ('List', 'Table', 'TableRow', 'Section', 'Figure')),
+i AS (SELECT doc_id, element_id, 'inside ' || string_agg(brief, ', inside ' ORDER BY k) AS around FROM c WHERE k <= 3 GROUP BY 1, 2), h AS (SELECT *, last_value(CASE WHEN kind = 'Heading' THEN coalesce(text, '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY reading_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS head, max(page_no) OVER (PARTITION BY doc_id) AS pages FROM we)
+SELECT h.doc_id, h.element_id, concat_ws(', ', concat_ws(': ', lower(kind), nullif(trim(coalesce(text, '')), '')), around, 'under the heading "' || head || '"', CASE WHEN page_no > 0 THEN 'page ' || page_no || ' of ' || pages END) || '.' AS position FROM h LEFT JOIN i ON i.doc_id = h.doc_id AND i.element_id = h.element_id""")
 R.add("n05_where_am_i", lambda s, d: N.where_am_i(A.text_elements(s, d)), f"SELECT doc_id, CAST(reading_order AS INTEGER) AS reading_order, last_value(CASE WHEN kind = 'Heading' THEN text END IGNORE NULLS) OVER w AS heading, 'page ' || page_no || ' of ' || max(page_no) OVER (PARTITION BY doc_id) AS place, CAST(count(*) OVER w * 100 // count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS percent FROM {LINES} WINDOW w AS (PARTITION BY doc_id ORDER BY reading_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 R.add("n08_link_list", lambda s, d: A.page_elements(s, d).filter("kind = 'Link'").select("doc_id", "reading_order", F.concat_ws(", ", F.nullif("text", F.lit("")), "href").alias("line")), f"SELECT doc_id, CAST(reading_order AS INTEGER) AS reading_order, concat_ws(', ', nullif(text, ''), href) AS line FROM {A.PAGE_ELEMENTS_SQL} WHERE kind = 'Link'")
 
