@@ -51,10 +51,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Scratch:
-    """Intermediate tables in the shared folder. A written table cuts the lineage and survives lost executors."""
+    """Intermediate tables in the shared folder. A written table cuts the lineage and survives lost executors. What is left of them goes when the application ends, since results may be read from them until then."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def path(self, step: str) -> str:
         return f"{self.root}/{step}"
