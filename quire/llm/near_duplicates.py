@@ -125,7 +125,7 @@ def _sets(d: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(hashes(words(t))).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(hashes(words(t)).view(np.int64)) for t in batch.column(1).to_pylist()]  # ascending as signed numbers
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     texts = d.select(*_row(), "text").join(wanted, list(ROW)).dropDuplicates(["node"])

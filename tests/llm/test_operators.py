@@ -380,6 +380,25 @@ def test_bayes_prunes_far_pairs_and_keeps_near_ones():
         assert low <= len(near_duplicates.survivors(a, b, least)) / len(a) <= high
 
 
+def test_sets_are_compared_exactly(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in rng.integers(0, 500, 300)]
+    texts = []
+    for k in range(40):
+        w = list(base)
+        for i in rng.integers(0, 300, k):
+            w[i] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(w))
+    d = spark.createDataFrame([(k, t, 0, k) for k, t in enumerate(texts)], "doc_id long, text string, row1 long, row2 long")
+    wanted = d.select(d["doc_id"].alias("node"), *near_duplicates._row())
+    sets = {r["node"]: r["shingles"] for r in near_duplicates._sets(d.select("doc_id", "text"), wanted).collect()}
+    import pyarrow as pa
+
+    values = pa.array([sets[k] for k in range(40)], pa.list_(pa.int64()))
+    want = [100 * len(grams(t) & grams(texts[0])) >= 75 * len(grams(t) | grams(texts[0])) for t in texts]
+    assert near_duplicates.similar(values[0].values.to_numpy(), values, 75).tolist() == want and 0 < sum(want) < 40
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 200)], "a long, b long")
     got = {r["id"]: r["component"] for r in near_duplicates.components(links, Scratch(spark, "t"), "c").collect()}
