@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, decision_list, licenses, mixing, near_duplicates, rollups, rule_ensemble, sharding, substrings, tokens
+from . import block_names, contamination, decision_list, divergence, lexical_search, licenses, mixing, near_duplicates, rollups, rule_ensemble, sharding, substrings, tokens
 from .common import table
 
 
@@ -50,13 +50,26 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.op10(spark, sf_dir)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_names.op13(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_token_shards, op2_hypergeometric_shuffle, op3_token_rollups, op4_benchmark_leaks, op5_decision_list,
         op6_near_duplicates, op7_repeated_substrings, op8_license_scan, op9_pareto_mix, op10_rule_ensemble,
+        op11_lexical_search, op12_source_divergence, op13_block_names,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_leaks": contamination.SQL, "op6_near_duplicates": near_duplicates.SQL}
+    return {"op4_benchmark_leaks": contamination.SQL, "op6_near_duplicates": near_duplicates.SQL, "op11_lexical_search": lexical_search.SQL, "op12_source_divergence": divergence.SQL, "op13_block_names": block_names.SQL}
