@@ -90,6 +90,44 @@ def descendants(walked: DataFrame) -> DataFrame:
     return up.join(there, ["doc_id", "above"]).select("doc_id", "ancestor_id", "element_id", (F.col("depth") - F.col("level")).alias("distance"))
 
 
+def interval_pairs(tree: DataFrame) -> DataFrame:
+    """TR3, TR4 of trees whose element_ids ascend in document order, with last_id the highest below each: doc_id, ancestor_id, element_id, distance.
+
+    A document's rows stream past a stack of the elements that still hold what follows, so a task holds one chain of ancestors, and pairs go out as they are found.
+    """
+    ship(tree.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack = None, []
+        out: list[tuple] = []
+        names, types = ("doc_id", "ancestor_id", "element_id", "distance"), (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        for batch in batches:
+            for doc, element, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if doc != now:
+                    now, stack = doc, []
+                while stack and stack[-1][1] < element:
+                    stack.pop()
+                for distance, (above, _) in enumerate(reversed(stack), 1):
+                    out.append((doc, above, element, distance))
+                    if len(out) >= 10_000:
+                        yield packed(out)
+                        out = []
+                stack.append((element, last))
+        if out:
+            yield packed(out)
+
+    rows = tree.select("doc_id", "element_id", "last_id").repartition("doc_id").sortWithinPartitions("doc_id", "element_id")
+    return rows.mapInArrow(run, "doc_id long, ancestor_id int, element_id int, distance int")
+
+
+def heading_parents(headings: DataFrame) -> DataFrame:
+    """An outline of numbered headings: each one's parent is the nearest before it of a lower number. headings: doc_id, element_id (ascending), level from 1 to 6, and what else is to be kept. One sort; no document is gathered."""
+    before = Window.partitionBy("doc_id").orderBy("element_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.when(F.col("level") > n, F.last(F.when(F.col("level") == n, F.col("element_id")), ignorenulls=True).over(before)) for n in range(1, 6)]
+    return headings.withColumn("parent_id", F.greatest(*last))
+
+
 def full_text(walked: DataFrame, pairs: DataFrame) -> DataFrame:
     """An element's own text and that of its descendants in order, empty ones left out."""
     own = walked.select("doc_id", F.col("element_id").alias("ancestor_id"), "reading_order", "text")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import audit as AU
 from quire.sources import adapters as A
+from quire.sources import markup as M
 
 from .fixture import Fixture, Registry, sql_literal
 from .structure_queries import LINES
@@ -111,52 +112,60 @@ HEIGHT = 842.0
 COVERED = 0.66
 
 
+def _attr(name: str) -> Column:
+    return F.try_element_at("attrs", F.lit(name))
+
+
 def _field_kind() -> Column:
-    kind = F.lower(F.coalesce(A.attribute("type"), F.lit("text")))
+    kind = F.lower(F.coalesce(F.nullif(_attr("type"), F.lit("")), F.when(F.col("tag") == "button", "button").otherwise("text")))
     return F.when(F.col("tag") == "select", "ChoiceList").when(kind.isin("submit", "button", "reset", "image"), "PushButton").when(kind == "checkbox", "CheckBox").when(kind == "radio", "RadioGroup").otherwise("Text")
 
 
 def markup_parts(pages: DataFrame) -> DataFrame:
-    """Parts of pages as elements with all that the audit reads. Every page is a document of one page."""
-    w = Window.partitionBy("doc_id").orderBy("reading_order", "part")
-    e = A.markup_elements(A.page_parts(pages))
+    """Elements of pages with all that the audit reads, and their runs of text. Every page is a document of one page. A field's label is what names it, be it aria-label, title or a label."""
     some = lambda c: F.nullif(F.trim(c), F.lit(""))
-    number = lambda name: A.attribute(name).try_cast("double")
-    return e.select(
-        "doc_id", F.col("reading_order").cast("long").alias("reading_order"), F.lit(1).alias("page_no"), "kind", "level", "text", F.lit(HEIGHT / 2).alias("b"), F.lit(HEIGHT).alias("height"),
-        F.coalesce(A.attribute("alt") == "", F.lit(False)).alias("decorative"), A.attribute("alt").alias("alt"), F.lit(None).cast("string").alias("caption"), number("width").alias("width"), number("height").alias("image_height"),
-        A.attribute("title").alias("description"), F.coalesce(some(A.attribute("aria-label")), A.attribute("title")).alias("tooltip"), some(T.tidy_label("before")).alias("recovered"), A.attribute("name").alias("name"),
-        _field_kind().alias("field_kind"), F.when(F.col("tag") == "th", "ColumnHeader").otherwise("Data").alias("role"), F.count_if(F.col("kind") == "Table").over(w).alias("table_no"), F.count_if(F.col("kind") == "TableRow").over(w).alias("row_no"),
-        "part", "tag", "closing", "in_area", A.attribute("lang").alias("lang"),
+    number = lambda name: _attr(name).try_cast("double")
+    k = F.col("kind")
+    return M.page_tree(pages).select(
+        "doc_id", F.col("element_id").cast("long").alias("reading_order"), F.lit(1).alias("page_no"), "kind", F.when(k == "Heading", F.substring("tag", 2, 1).cast("int")).alias("level"), "text", F.lit(HEIGHT / 2).alias("b"), F.lit(HEIGHT).alias("height"),
+        F.coalesce(_attr("alt") == "", F.lit(False)).alias("decorative"), _attr("alt").alias("alt"), F.lit(None).cast("string").alias("caption"), number("width").alias("width"), number("height").alias("image_height"),
+        F.coalesce(some(_attr("aria-label")), _attr("title")).alias("description"), F.coalesce(some(_attr("aria-label")), some(_attr("title")), some(_attr("#label"))).alias("tooltip"), some(T.tidy_label(_attr("#before"))).alias("recovered"), _attr("name").alias("name"),
+        F.when(k == "FormField", _field_kind()).alias("field_kind"), F.when(F.col("tag") == "th", "ColumnHeader").otherwise("Data").alias("role"), F.when(k == "TableCell", _attr("#table").try_cast("long")).alias("table_id"), F.col("sibling_ord").alias("nth"), "parent_id", "tag", _attr("lang").alias("lang"),
     )
 
 
-def markup_documents() -> dict[str, Column]:
+def markup_facts() -> dict[str, tuple[str, Column]]:
     """A page's own facts. It counts as tagged by the share of its text, without title and furniture, that stands in elements which say what it is."""
+    kind = F.col("kind")
+    length = lambda test: ("sum", F.when(test, F.length(F.trim("text"))).otherwise(0))
+    return {
+        "held": length(kind == "Run"), "loose": length((kind == "Paragraph") & (F.col("tag") == "#text")), "figures": ("max", (kind == "Figure").cast("int")),
+        "heading": ("min", F.when(kind == "Title", F.struct("reading_order", "text"))), "lang": ("max", F.when(F.col("tag") == "html", F.col("lang"))), "name": ("max", F.col("doc_id")),
+    }
+
+
+def markup_documents() -> dict[str, Column]:
     c = F.col
-    content = (c("part") == "block") & ~c("in_area") & (c("tag") != "title")
-    total = F.sum(F.when(content, F.length("text")).otherwise(0))
-    marked = F.sum(F.when(content & ~c("closing") & c("tag").isin(*A.MARKED), F.length("text")).otherwise(0))
-    status = F.when(total == 0, F.when(F.bool_or(F.coalesce(c("kind") == "Figure", F.lit(False))), "ScannedWithoutText").otherwise("Untagged")).when(marked >= COVERED * total, "FullyTagged").when(marked > 0, "PartiallyTagged").otherwise("Untagged")
-    first = F.min(F.when(c("kind") == "Title", F.struct("reading_order", "text")))["text"]
+    total = c("held") + c("loose")
+    status = F.when(total == 0, F.when(c("figures") == 1, "ScannedWithoutText").otherwise("Untagged")).when(c("held") >= COVERED * total, "FullyTagged").when(c("held") > 0, "PartiallyTagged").otherwise("Untagged")
     return {
-        "title": first, "language": F.max(F.when((c("tag") == "html") & ~c("closing"), c("lang"))), "displays_title": F.lit(True), "tagged_status": status, "page_count": F.lit(1), "has_outline": F.lit(False),
-        "doc_name": F.max(c("doc_id").cast("string")), "scanned": F.when(status == "ScannedWithoutText", F.array(F.lit(1))).otherwise(F.array().cast("array<int>")),
+        "title": c("heading.text"), "language": c("lang"), "displays_title": F.lit(True), "tagged_status": status, "page_count": F.lit(1), "has_outline": F.lit(False),
+        "doc_name": c("name").cast("string"), "scanned": F.when(status == "ScannedWithoutText", F.array(F.lit(1))).otherwise(F.array().cast("array<int>")),
     }
 
 
 def markup_issues(pages: DataFrame) -> DataFrame:
-    return AU.audit_once(markup_parts(pages), markup_documents())
+    return AU.audit_once(markup_parts(pages), markup_facts(), markup_documents())
 
 
 def markup_corpus(pages: DataFrame) -> AU.Corpus:
     """The same pages as separate tables, for the rules one by one."""
     e = markup_parts(pages)
-    docs = e.groupBy("doc_id").agg(*(v.alias(k) for k, v in markup_documents().items())).withColumnRenamed("doc_name", "name")
-    table = F.max(F.when(F.col("kind") == "Table", F.col("reading_order"))).over(Window.partitionBy("doc_id").orderBy("reading_order"))
-    cells = e.withColumn("t", table).filter("kind = 'TableCell'").select("doc_id", F.col("t").alias("reading_order"), "page_no", "row_no", F.lit(0).alias("column_index"), "role")
+    docs = e.groupBy("doc_id").agg(*(AU.MERGE[how](v).alias(k) for k, (how, v) in markup_facts().items()))
+    docs = docs.select("doc_id", *(v.alias(k) for k, v in markup_documents().items())).withColumnRenamed("doc_name", "name")
+    cells = e.filter("kind = 'TableCell'").select("doc_id", F.col("table_id").alias("reading_order"), "page_no", F.col("parent_id").alias("row_no"), F.lit(0).alias("column_index"), "role")
     pages_ = docs.select("doc_id", F.lit(1).alias("page_no"), F.lit(HEIGHT).alias("height"), (F.size("scanned") > 0).alias("is_image_only"))
-    real = e.filter("kind IS NOT NULL")
+    real = e.filter("kind <> 'Run'")
     figures = real.filter("kind = 'Figure'").select("doc_id", "reading_order", "page_no", "decorative", "alt", "width", F.col("image_height").alias("height"), "caption")
     links = real.filter("kind = 'Link'").select("doc_id", "reading_order", "page_no", "text", "description")
     fields = real.filter("kind = 'FormField'").select("doc_id", "reading_order", "page_no", "field_kind", "tooltip", "recovered", "name")
@@ -171,12 +180,14 @@ def text_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     e = e.select(
         "doc_id", F.col("reading_order").cast("long").alias("reading_order"), "page_no", "kind", none("int").alias("level"), "text", "b", "height", "lang", F.lit(False).alias("decorative"),
-        *(none("string").alias(n) for n in ("alt", "caption", "description", "tooltip", "recovered", "name", "field_kind", "role")), *(none("double").alias(n) for n in ("width", "image_height")), none("long").alias("table_no"), none("long").alias("row_no"),
+        *(none("string").alias(n) for n in ("alt", "caption", "description", "tooltip", "recovered", "name", "field_kind", "role")), *(none("double").alias(n) for n in ("width", "image_height")), none("long").alias("table_id"), none("int").alias("nth"),
     )
-    head = F.min(F.when((F.col("kind") == "Heading") & ~T.blank("text"), F.struct("reading_order", "text")))["text"]
-    return AU.audit_once(e, {
-        "title": head, "language": F.max("lang"), "displays_title": F.lit(True), "tagged_status": F.lit("Untagged"), "page_count": F.max("page_no"), "has_outline": F.lit(False),
-        "doc_name": F.max(F.col("doc_id").cast("string")), "scanned": F.array().cast("array<int>"),
+    facts = {
+        "heading": ("min", F.when((F.col("kind") == "Heading") & ~T.blank("text"), F.struct("reading_order", "text"))), "language": ("max", F.col("lang")), "pages": ("max", F.col("page_no")), "name": ("max", F.col("doc_id")),
+    }
+    return AU.audit_once(e, facts, {
+        "title": F.col("heading.text"), "language": F.col("language"), "displays_title": F.lit(True), "tagged_status": F.lit("Untagged"), "page_count": F.col("pages"), "has_outline": F.lit(False),
+        "doc_name": F.col("name").cast("string"), "scanned": F.array().cast("array<int>"),
     })
 
 
@@ -186,22 +197,25 @@ def page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.unionByName(markup_issues(A.customer_pages(spark, sf_dir)).withColumn("corpus", F.lit("customers")))
 
 
+#: The trees that the SQL of the audit reads.
+TREES = f"given AS MATERIALIZED {M.tree_sql()}, made AS MATERIALIZED {M.tree_sql(f'({A.CUSTOMER_PAGES})')}"
+
+
 def markup_sql(table: str) -> dict[str, str]:
-    """The tables of markup_corpus in DuckDB."""
+    """The tables of markup_corpus in DuckDB, over one of TREES."""
     some = lambda x: f"nullif(trim({x}), '')"
-    at = A.attribute_sql
+    at = M.attribute_sql
     tidy = rf"regexp_replace(regexp_replace(before, '[:*†‡_\s]+$', ''), '^[*†‡\s]+', '')"
-    kind = f"lower(coalesce({at('type')}, 'text'))"
-    e = f"""(SELECT doc_id, reading_order, 1 AS page_no, kind, level, text, {HEIGHT / 2} AS b, coalesce({at('alt')} = '', FALSE) AS decorative, {at('alt')} AS alt, NULL AS caption, TRY_CAST({at('width')} AS DOUBLE) AS width, TRY_CAST({at('height')} AS DOUBLE) AS height,
-{at('title')} AS description, coalesce({some(at('aria-label'))}, {at('title')}) AS tooltip, {some(f"CASE WHEN length({tidy}) > 80 THEN '' ELSE {tidy} END")} AS recovered, {at('name')} AS name,
+    kind = f"lower(coalesce(nullif({at('type')}, ''), CASE WHEN tag = 'button' THEN 'button' ELSE 'text' END))"
+    e = f"""(SELECT doc_id, element_id AS reading_order, 1 AS page_no, kind, CASE WHEN kind = 'Heading' THEN CAST(tag[2:2] AS INTEGER) END AS level, text, {HEIGHT / 2} AS b, coalesce({at('alt')} = '', FALSE) AS decorative, {at('alt')} AS alt, NULL AS caption, TRY_CAST({at('width')} AS DOUBLE) AS width, TRY_CAST({at('height')} AS DOUBLE) AS height,
+coalesce({some(at('aria-label'))}, {at('title')}) AS description, coalesce({some(at('aria-label'))}, {some(at('title'))}, {some('label')}) AS tooltip, {some(f"CASE WHEN length({tidy}) > 80 THEN '' ELSE {tidy} END")} AS recovered, {at('name')} AS name,
 CASE WHEN tag = 'select' THEN 'ChoiceList' WHEN {kind} IN ('submit', 'button', 'reset', 'image') THEN 'PushButton' WHEN {kind} = 'checkbox' THEN 'CheckBox' WHEN {kind} = 'radio' THEN 'RadioGroup' ELSE 'Text' END AS field_kind,
-CASE WHEN tag = 'th' THEN 'ColumnHeader' ELSE 'Data' END AS role, max(CASE WHEN kind = 'Table' THEN reading_order END) OVER w AS t, count(*) FILTER (WHERE kind = 'TableRow') OVER w AS row_no,
-part = 'block' AND NOT in_area AND tag <> 'title' AS content, NOT closing AND tag IN ({A._sql_list(A.MARKED)}) AS marked, tag, closing, {at('lang')} AS lang FROM {A.parts_sql(table)} WINDOW w AS (PARTITION BY doc_id ORDER BY reading_order, part))"""
+CASE WHEN tag = 'th' THEN 'ColumnHeader' ELSE 'Data' END AS role, table_id AS t, parent_id AS row_no, tag, {at('lang')} AS lang FROM {table})"""
     docs = f"""(SELECT doc_id, title, language, TRUE AS displays_title, CASE WHEN total = 0 THEN CASE WHEN figure THEN 'ScannedWithoutText' ELSE 'Untagged' END WHEN marked >= {COVERED} * total THEN 'FullyTagged' WHEN marked > 0 THEN 'PartiallyTagged' ELSE 'Untagged' END AS tagged_status, 1 AS page_count, FALSE AS has_outline
-FROM (SELECT doc_id, arg_min(text, reading_order) FILTER (WHERE kind = 'Title') AS title, max(lang) FILTER (WHERE tag = 'html' AND NOT closing) AS language, coalesce(sum(length(text)) FILTER (WHERE content), 0) AS total, coalesce(sum(length(text)) FILTER (WHERE content AND marked), 0) AS marked, coalesce(bool_or(kind = 'Figure'), FALSE) AS figure FROM {e} GROUP BY doc_id))"""
+FROM (SELECT doc_id, arg_min(text, reading_order) FILTER (WHERE kind = 'Title') AS title, max(lang) FILTER (WHERE tag = 'html') AS language, coalesce(sum(length(trim(text))) FILTER (WHERE kind = 'Run' OR (kind = 'Paragraph' AND tag = '#text')), 0) AS total, coalesce(sum(length(trim(text))) FILTER (WHERE kind = 'Run'), 0) AS marked, coalesce(bool_or(kind = 'Figure'), FALSE) AS figure FROM {e} GROUP BY doc_id))"""
     of = lambda k: f"(SELECT * FROM {e} WHERE kind = '{k}')"
     return {
-        "documents": docs, "pages": f"(SELECT doc_id, 1 AS page_no, {HEIGHT} AS height, tagged_status = 'ScannedWithoutText' AS is_image_only FROM {docs})", "elements": f"(SELECT doc_id, reading_order, page_no, kind, level, text, b FROM {e} WHERE kind IS NOT NULL)",
+        "documents": docs, "pages": f"(SELECT doc_id, 1 AS page_no, {HEIGHT} AS height, tagged_status = 'ScannedWithoutText' AS is_image_only FROM {docs})", "elements": f"(SELECT doc_id, reading_order, page_no, kind, level, text, b FROM {e} WHERE kind <> 'Run')",
         "figures": of("Figure"), "links": of("Link"), "fields": of("FormField"), "cells": f"(SELECT doc_id, t AS reading_order, page_no, row_no, role FROM {e} WHERE kind = 'TableCell')",
     }
 
@@ -217,11 +231,11 @@ TEXT_TABLES = {
     "documents": f"(SELECT doc_id, arg_min(text, reading_order) FILTER (WHERE kind = 'Heading' AND trim(text) <> '') AS title, max(lang) AS language, TRUE AS displays_title, 'Untagged' AS tagged_status, max(page_no) AS page_count, FALSE AS has_outline FROM {TEXT_E} GROUP BY doc_id)",
     "pages": f"(SELECT DISTINCT doc_id, page_no, {HEIGHT} AS height, FALSE AS is_image_only FROM {TEXT_E})", "elements": TEXT_E, "figures": EMPTY, "links": EMPTY, "fields": EMPTY, "cells": EMPTY,
 }
-PAGE_SQL = all_sql(markup_sql("pages"), "pages") + " UNION ALL " + all_sql(markup_sql(f"({A.CUSTOMER_PAGES})"), "customers")
+PAGE_SQL = all_sql(markup_sql("given"), "pages") + " UNION ALL " + all_sql(markup_sql("made"), "customers")
 TEXT_SQL = all_sql(TEXT_TABLES, "documents")
-R.add("audit_of_pages", page_issues, PAGE_SQL)
+R.add("audit_of_pages", page_issues, f"WITH {TREES} {PAGE_SQL}")
 R.add("audit_of_documents", text_issues, TEXT_SQL.replace(", 'documents' AS corpus", ""))
-R.add("audit_rules_over_pages", lambda s, d: AU.audit(markup_corpus(A.customer_pages(s, d))), all_sql(markup_sql(f"({A.CUSTOMER_PAGES})"), "customers").replace(", 'customers' AS corpus", ""))
+R.add("audit_rules_over_pages", lambda s, d: AU.audit(markup_corpus(A.customer_pages(s, d))), f"WITH {TREES} " + all_sql(markup_sql("made"), "customers").replace(", 'customers' AS corpus", ""))
 
 
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,8 +245,8 @@ def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("corpus", F.element_at(F.array(*map(F.lit, AU.SEVERITIES)), F.col("severity") + 1).alias("severity"), "rule", "case", "documents", "findings")
 
 
-R.add("audit_report_of_pages", page_report, f"SELECT corpus, ['blocker', 'serious', 'moderate', 'advisory'][severity + 1] AS severity, rule, \"case\", count(DISTINCT doc_id) AS documents, CAST(sum(n) AS BIGINT) AS findings FROM ({PAGE_SQL} UNION ALL {TEXT_SQL}) GROUP BY corpus, severity, rule, \"case\"")
-R.add("s05_c16_page_elements", lambda s, d: A.page_elements(s, d), f"SELECT doc_id, CAST(reading_order AS INTEGER) AS reading_order, tag, attrs, text, kind, level, href FROM {A.PAGE_ELEMENTS_SQL}")
+R.add("audit_report_of_pages", page_report, f"WITH {TREES} SELECT corpus, ['blocker', 'serious', 'moderate', 'advisory'][severity + 1] AS severity, rule, \"case\", count(DISTINCT doc_id) AS documents, CAST(sum(n) AS BIGINT) AS findings FROM ({PAGE_SQL} UNION ALL {TEXT_SQL}) GROUP BY corpus, severity, rule, \"case\"")
+R.add("s05_c16_page_elements", lambda s, d: A.page_elements(s, d), f"SELECT * FROM {A.PAGE_ELEMENTS_SQL}")
 R.add("t13_link_targets_of_pages", lambda s, d: A.page_elements(s, d).filter("kind = 'Link'").groupBy(T.classify_uri("href").alias("target_kind"), T.vague_link("text").alias("vague")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN trim(coalesce(href, '')) = '' THEN 'Unknown' WHEN lower(trim(href)) LIKE 'mailto:%' THEN 'Email' WHEN lower(trim(href)) LIKE 'file:%' THEN 'ExternalFile' WHEN lower(trim(href)) LIKE 'javascript:%' THEN 'UnsupportedAction' ELSE 'WebUrl' END AS target_kind, {VAGUE.replace('(x', '(text')} AS vague, count(*) AS n FROM {A.PAGE_ELEMENTS_SQL} WHERE kind = 'Link' GROUP BY 1, 2")
 R.add("a01_views_of_pages", lambda s, d: A.page_elements(s, d).groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k.lower() + "s") for k in ("Heading", "Link", "Paragraph", "ListItem", "Artifact"))), "SELECT doc_id, " + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k.lower()}s" for k in ("Heading", "Link", "Paragraph", "ListItem", "Artifact")) + f" FROM {A.PAGE_ELEMENTS_SQL} GROUP BY doc_id")
 R.add("w01_list_items_of_pages", lambda s, d: _items(s, d), f"WITH e AS {A.PAGE_ELEMENTS_SQL}, x AS (SELECT *, count(*) FILTER (WHERE kind = 'List') OVER (PARTITION BY doc_id ORDER BY reading_order) AS list_no FROM e) SELECT doc_id, CAST(reading_order AS INTEGER) AS reading_order, CAST(row_number() OVER (PARTITION BY doc_id, list_no ORDER BY reading_order) AS INTEGER) AS item, count(*) OVER (PARTITION BY doc_id, list_no) AS items FROM x WHERE kind = 'ListItem'")

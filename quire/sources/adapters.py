@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import layout as L
 
+from . import markup as M
+
 LINES_PER_PAGE = 40
-#: HTML tags and the element kinds that they start.
-HTML_KINDS = {"title": "Title", "h1": "Heading", "h2": "Heading", "h3": "Heading", "h4": "Heading", "h5": "Heading", "h6": "Heading", "p": "Paragraph", "li": "ListItem", "a": "Link", "ul": "List", "ol": "List", "footer": "Artifact", "nav": "Artifact", "blockquote": "BlockQuote", "pre": "Code", "img": "Figure", "table": "Table", "tr": "TableRow", "td": "TableCell", "th": "TableCell"}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,125 +29,31 @@ def text_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(spark, sf_dir).select("doc_id", "lang", "reading_order", "page_no", "kind", "text")
 
 
-#: Comments, scripts and styles are no content.
-NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-NAME = "^/?([a-zA-Z][a-zA-Z0-9]*)"
-#: Tags that end the text of a block, areas whose whole text counts as furniture, blocks that say what their text is, and tags without content.
-BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "caption", "tr", "td", "th", "blockquote", "pre", "div", "nav", "footer", "header", "aside", "main", "article", "section", "title", "head", "body", "html", "form", "fieldset", "figure", "figcaption")
-AREAS = ("nav", "footer", "aside", "div")
-MARKED = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "blockquote", "pre", "td", "th", "caption", "figcaption")
-VOID = ("img", "input", "textarea", "select")
-#: A division of advertisements, by its class.
-ADVERT = r"""class="([^"]* )?(ad|ads|advert|advertisement)( [^"]*)?\""""
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-
-
-def page_parts(pages: DataFrame) -> DataFrame:
-    """What the markup of pages (page_id, html) consists of, one row each: doc_id, reading_order, part, tag, closing, attrs, text, before, in_area.
-
-    part: 'block', from a block tag to the next, opening or closing, with the text between; 'link', up to its own end; 'area', a stretch of furniture up to the next tag of an area; 'void', a tag without content, with the text just
-    before it. Text counts in each part around it. One pass: tags are found by splitting, and running counts over a page's tags number the parts.
-    """
-    t = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.split(F.regexp_replace("html", NOISE, " "), "<")).alias("pos", "part"))
-    t = t.withColumn("name", F.regexp_extract("part", NAME, 1)).filter("pos > 0 AND name <> ''")
-    closing, end = F.startswith("part", F.lit("/")), F.locate(">", "part")
-    head = F.length("name") + F.when(closing, 1).otherwise(0)
-    own = F.when(end > 0, F.substring("part", end + 1, F.length("part"))).otherwise("")
-    for entity, sign in ENTITIES:
-        own = F.replace(own, F.lit(entity), F.lit(sign))
-    tag = F.lower("name")
-    t = t.select(
-        "doc_id", "pos", tag.alias("tag"), closing.alias("closing"), F.when(end > 0, F.substring("part", head + 1, end - 1 - head)).otherwise("").alias("attrs"),
-        F.concat(F.when(tag == "br", " ").otherwise(""), own).alias("txt"),
-    )
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    is_area = F.col("tag").isin(*AREAS)
-    opens_area = ~F.col("closing") & ((F.col("tag") != "div") | F.col("attrs").rlike(ADVERT))
-    number = lambda c: F.count_if(c).over(w)
-    state = lambda c, v: F.coalesce(F.last(F.when(c, v), ignorenulls=True).over(w), F.lit(False))
-    t = t.withColumn("in_area", state(is_area, opens_area)).withColumn("in_link", state(F.col("tag") == "a", ~F.col("closing"))).withColumn("before", F.lag("txt").over(w))
-    each = F.array(
-        F.struct(F.lit("block").alias("part"), number(F.col("tag").isin(*BLOCKS)).alias("no")),
-        F.when(F.col("in_link"), F.struct(F.lit("link").alias("part"), number(F.col("tag") == "a").alias("no"))),
-        F.when(F.col("in_area"), F.struct(F.lit("area").alias("part"), number(is_area).alias("no"))),
-        F.when(F.col("tag").isin(*VOID), F.struct(F.lit("void").alias("part"), F.col("pos").cast("long").alias("no"))),
-    )
-    t = t.withColumn("each", F.array_compact(each)).withColumn("p", F.explode("each")).drop("each").withColumn("txt", F.when(F.col("p.part") == "void", "").otherwise(F.col("txt")))
-    first = F.min(F.struct("pos", "tag", "closing", "attrs", "before", "in_area"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "txt"))), lambda x: x["txt"]), "")
-    g = t.groupBy("doc_id", "p").agg(first.alias("f"), text.alias("text"))
-    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    return g.select("doc_id", (F.col("f.pos") - 1).alias("reading_order"), F.col("p.part").alias("part"), "f.tag", "f.closing", "f.attrs", tidy(F.col("text")).alias("text"), tidy(F.coalesce("f.before", F.lit(""))).alias("before"), "f.in_area")
-
-
-def attribute(name: str) -> Column:
-    """The value of an attribute in double quotes; null where it is missing."""
-    return F.when(F.col("attrs").rlike(rf'(?:^|\s){name}="'), F.regexp_extract("attrs", rf'(?:^|\s){name}="([^"]*)"', 1))
-
-
-def markup_elements(parts: DataFrame) -> DataFrame:
-    """Elements of parts: those with a kind. Containers have no text of their own; an image's text is its description."""
-    kinds = F.create_map(*(F.lit(x) for kv in HTML_KINDS.items() for x in kv))
-    plain = F.try_element_at(kinds, F.col("tag"))
-    kind = (
-        F.when(F.col("closing"), F.lit(None).cast("string")).when(F.col("part") == "area", "Artifact").when(F.col("part") == "link", "Link")
-        .when(F.col("part") == "void", F.when(F.col("tag") == "img", "Figure").otherwise("FormField")).when(F.col("tag").isin(*AREAS), F.lit(None).cast("string")).otherwise(plain)
-    )
-    level = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int"))
-    text = F.when(F.col("kind").isin("List", "Table", "TableRow"), "").when(F.col("kind") == "Figure", F.coalesce(attribute("alt"), F.lit(""))).otherwise(F.col("text"))
-    return parts.withColumn("kind", kind).withColumn("level", level).withColumn("href", F.nullif(attribute("href"), F.lit(""))).withColumn("text", text)
-
-
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements of the HTML pages in order: doc_id, reading_order, tag, kind, level, attrs, text, href."""
-    e = markup_elements(page_parts(read(spark, sf_dir, "pages", "page_id", "html"))).filter("kind IS NOT NULL")
-    return e.select("doc_id", "reading_order", "tag", "attrs", "text", "kind", "level", "href")
-
-
-def _sql_list(names: tuple[str, ...]) -> str:
-    return ", ".join(f"'{n}'" for n in names)
-
-
-def attribute_sql(name: str) -> str:
-    return rf"""CASE WHEN regexp_matches(attrs, '(?:^|\s){name}="') THEN regexp_extract(attrs, '(?:^|\s){name}="([^"]*)"', 1) END"""
-
-
-def parts_sql(table: str = "pages") -> str:
-    """page_parts and markup_elements in DuckDB, over a table of page_id and html."""
-    own = "CASE WHEN e > 0 THEN substr(part, e + 1) ELSE '' END"
-    for entity, sign in ENTITIES:
-        own = f"replace({own}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
-    tidy = lambda c: rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
-    first = "min(pos) - 1 AS reading_order, '{part}' AS part, arg_min(tag, pos) AS tag, arg_min(closing, pos) AS closing, arg_min(attrs, pos) AS attrs, " + tidy("string_agg(txt, '' ORDER BY pos)") + " AS text, " + tidy("coalesce(arg_min(before, pos), '')") + " AS before, arg_min(in_area, pos) AS in_area"
-    grouped = lambda part, where, no: f"SELECT doc_id, {first.format(part=part)} FROM t WHERE {where} GROUP BY doc_id, {no}"
-    kinds = " ".join(f"WHEN tag = '{k}' THEN '{v}'" for k, v in HTML_KINDS.items())
-    state = lambda c, v: f"coalesce(last_value(CASE WHEN {c} THEN {v} END IGNORE NULLS) OVER w, FALSE)"
-    return rf"""(WITH s AS (SELECT page_id AS doc_id, i - 1 AS pos, ps[i] AS part, regexp_extract(ps[i], '{NAME}', 1) AS name FROM (SELECT page_id, string_split(regexp_replace(html, '{NOISE}', ' ', 'g'), '<') AS ps FROM {table}), unnest(range(2, len(ps) + 1)) AS u(i)),
-n AS (SELECT doc_id, pos, part, lower(name) AS tag, length(name) + CASE WHEN part[1:1] = '/' THEN 1 ELSE 0 END AS h, part[1:1] = '/' AS closing, strpos(part, '>') AS e FROM s WHERE name <> ''),
-a AS (SELECT doc_id, pos, tag, closing, CASE WHEN e > 0 THEN substr(part, h + 1, e - 1 - h) ELSE '' END AS attrs, CASE WHEN tag = 'br' THEN ' ' ELSE '' END || {own} AS txt FROM n),
-t AS (SELECT *, {state(f"tag IN ({_sql_list(AREAS)})", f"NOT closing AND (tag <> 'div' OR regexp_matches(attrs, '{ADVERT}'))")} AS in_area, {state("tag = 'a'", "NOT closing")} AS in_link, lag(txt) OVER w AS before,
-count(*) FILTER (WHERE tag IN ({_sql_list(BLOCKS)})) OVER w AS block_no, count(*) FILTER (WHERE tag = 'a') OVER w AS link_no, count(*) FILTER (WHERE tag IN ({_sql_list(AREAS)})) OVER w AS area_no FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-g AS ({grouped("block", "TRUE", "block_no")} UNION ALL {grouped("link", "in_link", "link_no")} UNION ALL {grouped("area", "in_area", "area_no")} UNION ALL SELECT doc_id, pos - 1, 'void', tag, closing, attrs, '', {tidy("coalesce(before, '')")}, in_area FROM t WHERE tag IN ({_sql_list(VOID)})),
-k AS (SELECT *, CASE WHEN closing THEN NULL WHEN part = 'area' THEN 'Artifact' WHEN part = 'link' THEN 'Link' WHEN part = 'void' THEN CASE WHEN tag = 'img' THEN 'Figure' ELSE 'FormField' END WHEN tag IN ({_sql_list(AREAS)}) THEN NULL {kinds} END AS kind FROM g)
-SELECT doc_id, reading_order, part, tag, closing, attrs, CASE WHEN kind IN ('List', 'Table', 'TableRow') THEN '' WHEN kind = 'Figure' THEN coalesce({attribute_sql("alt")}, '') ELSE text END AS text, before, in_area, kind,
-CASE WHEN regexp_full_match(tag, 'h[1-6]') THEN CAST(tag[2:2] AS INTEGER) END AS level, nullif({attribute_sql("href")}, '') AS href FROM k)"""
+    """Elements of the HTML pages in order: doc_id, reading_order, tag, kind, level, text, href."""
+    e = M.page_tree(read(spark, sf_dir, "pages", "page_id", "html")).filter("kind <> 'Run'")
+    level = F.when(F.col("kind") == "Heading", F.substring("tag", 2, 1).cast("int"))
+    return e.select("doc_id", F.col("element_id").alias("reading_order"), "tag", "text", "kind", level.alias("level"), F.nullif(F.try_element_at("attrs", F.lit("href")), F.lit("")).alias("href"))
 
 
 #: The same elements in DuckDB.
-PAGE_ELEMENTS_SQL = f"(SELECT doc_id, reading_order, tag, attrs, text, kind, level, href FROM {parts_sql()} WHERE kind IS NOT NULL)"
+PAGE_ELEMENTS_SQL = f"(SELECT doc_id, element_id AS reading_order, tag, text, kind, CASE WHEN kind = 'Heading' THEN CAST(tag[2:2] AS INTEGER) END AS level, nullif({M.attribute_sql('href')}, '') AS href FROM {M.tree_sql()} WHERE kind <> 'Run')"
 
 #: One page a customer with a form, an image, a table and links, of which every so many have a fault; both engines know this SQL.
-CUSTOMER_PAGES = """SELECT c_custkey AS page_id, concat('<!DOCTYPE html><html', CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ' lang="en"' END, '><head>', CASE WHEN c_custkey % 5 = 0 THEN '<title> </title>' ELSE concat('<title>', c_name, '</title>') END, '</head><body>',
-CASE WHEN c_custkey % 11 = 0 THEN '<h1> </h1>' ELSE concat('<h1>', c_name, ' &amp; partners</h1>') END, CASE WHEN c_custkey % 4 = 0 THEN '<h3>Details</h3>' ELSE '<h2>Details</h2>' END,
-CASE WHEN c_custkey % 6 = 0 THEN concat('<div>Segment of ', c_name, ' is ', c_mktsegment, ' and this text stands in a plain division only.</div>') ELSE concat('<p>Segment: <b>', c_mktsegment, '</b>.</p>') END,
-'<img src="logo.png" width="200" height="80"', CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN ' alt=""' ELSE concat(' alt="Logo of ', c_name, '"') END, '><img src="dot.gif" width="2" height="2">',
-'<form>', CASE WHEN c_custkey % 9 = 0 THEN '<input type="text" name="Text1">' WHEN c_custkey % 9 = 1 THEN '<p>Delivery date: <input type="text" name="fld7"></p>' WHEN c_custkey % 9 = 2 THEN '<input type="text" name="form.accountNumber">' ELSE '<input type="text" name="q" title="Search">' END, '<input type="submit" value="Send"></form>',
-'<table>', CASE WHEN c_custkey % 8 = 0 THEN '<tr><td>Key</td><td>Nation</td></tr>' ELSE '<tr><th>Key</th><th>Nation</th></tr>' END, '<tr><td>', CAST(c_custkey AS STRING), '</td><td>', CAST(c_nationkey AS STRING), '</td></tr></table>',
-'<p>More: ', CASE WHEN c_custkey % 10 = 0 THEN '<a href="/more">click here</a>' ELSE concat('<a href="/customers/', CAST(c_custkey AS STRING), '">orders of ', c_name, '</a>') END, '</p></body></html>') AS html FROM customer"""
+CUSTOMER_PAGES = """SELECT c_custkey AS page_id, CASE WHEN c_custkey % 13 = 0 THEN concat('<html lang=en><title>', c_name, '</title><body><img src="scan.png" alt="Scan of a letter">') ELSE concat('<!DOCTYPE html><HTML', CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 7 = 1 THEN ' LANG=en' ELSE ' lang="en"' END, '><head>', CASE WHEN c_custkey % 5 = 0 THEN '<title> </title>' ELSE concat('<title>', c_name, '</title>') END, '</head><body>',
+CASE WHEN c_custkey % 11 = 0 THEN '<h1> </h1>' ELSE concat('<h1 id="top">', c_name, ' &amp; partners</h1>') END, CASE WHEN c_custkey % 4 = 0 THEN '<h3>Details</h3>' ELSE '<h2>Details</h2>' END,
+CASE WHEN c_custkey % 6 = 0 THEN concat('<div>Segment of ', c_name, ' is ', c_mktsegment, ' and this text stands in a plain division only.</div>') ELSE concat('<p>Segment: <b>', c_mktsegment, '</b>.<p>Nation ', CAST(c_nationkey AS STRING), ', balance ', CAST(CAST(c_acctbal AS DECIMAL(15, 2)) AS STRING), '</p>') END,
+'<img src="logo.png" width="200" height="80"', CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN ' alt=""' ELSE concat(' ALT=', chr(39), 'Logo of ', c_name, chr(39)) END, '><img src="dot.gif" width="2" height="2">',
+'<section><h2>Ways in</h2><ol><li>By telephone<ul><li>Extension ', CAST(c_custkey % 90 AS STRING), '<li>Desk ', CAST(c_nationkey AS STRING), '</ul>weekdays only<li>By letter</ol><blockquote>Ask for ', c_name, '</blockquote></section>',
+'<form>', CASE WHEN c_custkey % 9 = 0 THEN '<input type="text" name="Text1">' WHEN c_custkey % 9 = 1 THEN '<p>Delivery date: <input type="text" name="fld7"></p>' WHEN c_custkey % 9 = 2 THEN '<input type="text" name="form.accountNumber">' WHEN c_custkey % 9 = 3 THEN '<label for=n>Your name</label><br><input id=n name=n1 required>'
+WHEN c_custkey % 9 = 4 THEN '<label>Remarks <textarea name="t7" readonly>none &amp; nothing</textarea></label>' ELSE '<input type="text" name="q" title="Search">' END,
+'<input type="hidden" name="token" value="1"><select name="nation" title="Nation"><option value="1">First<option value="2" selected>Second</select><input type=checkbox name=agree aria-label="I agree" checked><input type="submit" value="Send"></form>',
+'<table>', CASE WHEN c_custkey % 8 = 0 THEN '<tr><td>Key<td>Nation</tr>' ELSE '<thead><tr><th>Key<th>Nation</thead>' END, '<tbody><tr><td>', CAST(c_custkey AS STRING), '<td>', CAST(c_nationkey AS STRING), '<tr><td>Balance</td><td>', CAST(CAST(c_acctbal AS DECIMAL(15, 2)) AS STRING), '</td></tr></table>',
+'<p>More: ', CASE WHEN c_custkey % 10 = 0 THEN '<a href="/more">click here</a>' WHEN c_custkey % 10 = 1 THEN '<a href="/more" aria-label="All orders">here</a>' ELSE concat('<a href="/customers/', CAST(c_custkey AS STRING), '">orders of ', c_name, '</a>') END, ' or <a href="#top">back</a></p>Last updated by hand.</body></html>') END AS html FROM customer"""
 
 
 def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    c = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
     return spark.sql(CUSTOMER_PAGES.replace("FROM customer", "FROM {customer}"), customer=c)
 
 

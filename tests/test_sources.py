@@ -1,10 +1,11 @@
 import datetime
 import random
+from html.parser import HTMLParser
 
 from quire.operators import changes, render, tree
 from quire.operators import audit
 from quire.plans import audit_queries
-from quire.sources import adapters
+from quire.sources import adapters, markup
 from quire.sources import loader
 from quire.streaming import streams
 
@@ -142,55 +143,82 @@ def test_one_pass_finds_what_the_rules_find(spark, sf_dir):
     key = lambda r: tuple(map(str, r))
     once = sorted(map(tuple, audit_queries.markup_issues(pages).select(*audit.COLUMNS).collect()), key=key)
     each = sorted(map(tuple, audit.audit(audit_queries.markup_corpus(pages)).select(*audit.COLUMNS).collect()), key=key)
-    assert once == each and {r[2].split(" ")[0] for r in once} == {"R2", "R3", "R4", "R5", "R6", "R8", "R9", "R10", "R12"}
-
-
-def test_page_parts_against_an_html_parser(spark, sf_dir):
-    """Texts of paragraphs, list items, headings and links as Python's parser finds them."""
-    from html.parser import HTMLParser
-
-    class Reader(HTMLParser):
-        def __init__(self):
-            super().__init__()
-            self.found, self.block, self.link, self.skip = [], None, None, False
-
-        def handle_starttag(self, tag, attrs):
-            if tag in ("script", "style"):
-                self.skip = True
-            if tag in adapters.BLOCKS:
-                self.block = None
-                if tag in ("p", "li", "h1", "h2", "h3", "td", "th"):
-                    self.block = [tag, ""]
-                    self.found.append(self.block)
-            elif tag == "a":
-                self.link = ["a", ""]
-                self.found.append(self.link)
-            elif tag == "br" and self.block:
-                self.block[1] += " "
-
-        def handle_endtag(self, tag):
-            if tag in ("script", "style"):
-                self.skip = False
-            if tag in adapters.BLOCKS:
-                self.block = None
-            elif tag == "a":
-                self.link = None
-
-        def handle_data(self, data):
-            for x in (self.block, self.link):
-                if x and not self.skip:
-                    x[1] += data
-
+    assert once == each and {r[2].split(" ")[0] for r in once} == {"R1", "R2", "R3", "R4", "R5", "R6", "R8", "R9", "R10", "R12"}
+
+
+class Reader(HTMLParser):
+    """A page's elements with their parents by Python's parser, and all text that is shown."""
+
+    ENDS = {"p": "p", "li": "li", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "", "tbody": "thead tr td th", "ul": "p", "ol": "p", "table": "p", "div": "p", "section": "p", "form": "p", "blockquote": "p", "h1": "p", "h2": "p", "h3": "p", "nav": "p", "footer": "p", "article": "p"}
+    WALLS = {"li": "ul ol", "p": "td th table", "td": "table", "th": "table", "tr": "table", "tbody": "table", "option": "select"}
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found, self.text, self.skip = [], [], "", False
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.skip = self.skip or tag in ("script", "style")
+        if tag in markup.INLINE or tag in markup.SILENT or self.skip:
+            return
+        ends, walls = self.ENDS.get(tag, "").split(), self.WALLS.get(tag, "td th table").split()
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i] in ends:
+                del self.open[i:]
+            elif self.open[i] in walls:
+                break
+        if dict(attrs).get("type") != "hidden":
+            self.found.append((tag, tuple(t for t in self.open if t not in markup.PASS)))
+        if tag not in markup.VOID:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        self.skip = self.skip and tag not in ("script", "style")
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        self.text += "" if self.skip else data
+
+
+def test_trees_against_an_html_parser(spark, sf_dir):
+    """Every element with its ancestors, but for those inside furniture, and every character of text, once."""
     pages = adapters.read(spark, sf_dir, "pages", "page_id", "html").unionByName(adapters.customer_pages(spark, sf_dir).selectExpr("page_id + 1000000 AS page_id", "html"))
-    e = adapters.markup_elements(adapters.page_parts(pages)).filter("kind IN ('Paragraph', 'ListItem', 'Heading', 'Link', 'TableCell')")
     got = {}
-    for r in e.orderBy("doc_id", "reading_order").collect():
-        got.setdefault(r["doc_id"], []).append((r["tag"], r["text"]))
-    empty = 0
+    for r in markup.page_tree(pages).orderBy("doc_id", "element_id").collect():
+        got.setdefault(r["doc_id"], []).append(r)
     for page in pages.collect():
-        reader = Reader()
-        reader.feed(page["html"])
-        want = [(t, " ".join(x.split())) for t, x in reader.found]
-        assert sorted(got[page["page_id"]]) == sorted(want), page["page_id"]
-        empty += sum(not x for _, x in want)
-    assert empty < 0.02 * sum(map(len, got.values()))
+        rows, reader = got[page["page_id"]], Reader(page["html"])
+        by_id = {r["element_id"]: r for r in rows}
+
+        def above(r, by_id=by_id):
+            return () if r["parent_id"] is None else (*above(by_id[r["parent_id"]]), by_id[r["parent_id"]]["tag"])
+
+        furniture = {r["element_id"] for r in rows if r["kind"] == "Artifact"}
+        mine = [(r["tag"], above(r)) for r in rows if r["tag"] != "#text"]
+        hidden = [x for x in reader.found if x[0] not in markup.PASS and not any(t in ("footer", "aside") for t in x[1])]
+        assert mine == hidden, page["page_id"]
+        shown = [r["text"] for r in rows if r["tag"] == "#text" or r["element_id"] in furniture or r["tag"] in markup.NAMED]
+        assert "".join("".join(shown).split()) == "".join(reader.text.split())
+        assert all(r["last_id"] == max([x["element_id"] for x in rows if x["parent_id"] == r["element_id"]] + [by_id[x["element_id"]]["last_id"] for x in rows if x["parent_id"] == r["element_id"]] + [r["element_id"]]) for r in rows)
+
+
+def test_odd_markup(spark):
+    tree = lambda html: [(r[5], r[8], r[4]) for r in markup.tree(html) if r[5] != "#text" or r[6] == "Paragraph"]
+    assert markup.tree(None) == markup.tree("") == markup.tree("<!-- only --><br>") == []
+    assert tree("<ul><li>one<ul><li>inner</li></ul>tail</li></ul><p>x</p> loose text") == [("ul", "", 0), ("li", "one tail", 1), ("ul", "", 2), ("li", "inner", 3), ("p", "x", 0), ("#text", "loose text", 0)]
+    assert tree("<p>a <b>b<p>c</b> d") == [("p", "a b", 0), ("p", "c d", 0)]
+    assert tree("</p></div><td>x</td>1 < 2 &copy; &#8212;") == [("td", "x", 0), ("#text", "1 < 2 © —", 0)]
+    assert tree("<table><tr><td><ul><li>a</table><li>b") == [("table", "", 0), ("tr", "", 1), ("td", "", 2), ("ul", "", 3), ("li", "a", 4), ("li", "b", 0)]
+    assert markup.attributes(" A='x \"y\"' b = c/d e f=\"1&amp;2\" a=2") == {"a": 'x "y"', "b": "c/d", "e": "", "f": "1&2"}
+    fields = [r[7] for r in markup.tree("<form><label for=n>Your name</label><br><input id=n> or <label>Mail <input id=m></label> then <input></form>") if r[6] == "FormField"]
+    assert [(f.get("#label"), f["#before"]) for f in fields] == [("Your name", ""), ("Mail", "Mail"), (None, "then")]
+    deep = "<div>" * 3000 + "x"
+    assert [(r[4], r[3]) for r in markup.tree(deep)][-2:] == [(2999, 6001), (3000, 6001)]
+
+
+def test_pairs_of_a_deep_tree(spark):
+    pages = spark.createDataFrame([(1, "<div>" * 300 + "x"), (2, "<p>a<p>b")], "page_id long, html string")
+    pairs = tree.interval_pairs(markup.page_tree(pages))
+    assert {r["doc_id"]: r["n"] for r in pairs.groupBy("doc_id").count().withColumnRenamed("count", "n").collect()} == {1: 300 * 301 // 2, 2: 2}
