@@ -28,8 +28,8 @@ from .common import Scratch, small_batches
 #: Cells of a row of the sketch (a power of two), rows, and the bytes of one piece of it that are merged at a time.
 WIDTH, DEPTH, PIECE = 1 << 22, 3, 1 << 16
 LEAST, SCALE, TOP = 3, 1_000_000_000, 200
-#: Entries of a task's table of counts, and of its table of terms whose cells are known, after which it starts anew.
-HELD = 1 << 18
+#: Distinct terms, and terms of single documents, that a task holds before it sends what it has counted.
+WORDS, PENDING = 1 << 19, 1 << 22
 #: A-Z to a-z, bytes of letters and of all code points above 127 as they are, all else to a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -58,6 +58,44 @@ def terms(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LETTERS).split() if text else []
 
 
+class _Numbers(dict):
+    """Numbers terms from 0 as they are asked for."""
+
+    def __missing__(self, term: bytes) -> int:
+        n = self[term] = len(self)
+        return n
+
+
+class Tally:
+    """Occurrences and documents of terms by group, within one task. A group is a language, or a language and a source."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, _Numbers] = {}
+        self.pending: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.size = 0
+
+    def add(self, lang: str, source: str, text: str) -> None:
+        found = terms(text)
+        if found:
+            numbers = self.numbers.setdefault(lang, _Numbers())
+            places, n = np.unique(np.array(list(map(numbers.__getitem__, found)), dtype=np.int32), return_counts=True)
+            self.pending.setdefault((lang, source), []).append((places, n.astype(np.int32)))
+            self.size += len(places)
+
+    def full(self) -> bool:
+        return self.size >= PENDING or sum(map(len, self.numbers.values())) >= WORDS
+
+    def counts(self) -> Iterator[tuple[str, str, np.ndarray, np.ndarray, np.ndarray]]:
+        """lang, source, numbers of terms, occurrences, documents."""
+        for (lang, source), parts in self.pending.items():
+            places = np.concatenate([p for p, _ in parts])
+            size = len(self.numbers[lang])
+            df = np.bincount(places, minlength=size)
+            n = np.bincount(places, weights=np.concatenate([c for _, c in parts]), minlength=size)  # exact below 2 ** 53
+            some = np.flatnonzero(df)
+            yield lang, source, some, n[some].astype(np.int64), df[some]
+
+
 class Sketch:
     """A count-min sketch with cells that stop at 255."""
 
@@ -90,21 +128,20 @@ def pieces(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH) -> DataFrame
     """Each task's sketch in pieces of PIECE cells that have any: piece, cells (numbers within the piece) and counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((depth, width), dtype=np.uint8)
-        pending: list[bytes] = []
+        cells, tally = np.zeros((depth, width), dtype=np.uint8), Tally()
 
         def add() -> None:
-            at = Sketch.places(pending, width, depth)
-            for row, a in zip(cells, at, strict=True):
-                places, n = np.unique(a, return_counts=True)
-                row[places] = np.minimum(row[places].astype(np.int64) + n, 255)
-            pending.clear()
+            for lang, _, some, _, df in tally.counts():
+                names = list(tally.numbers[lang])
+                for row, a in zip(cells, Sketch.places([_key(lang, names[i]) for i in some.tolist()], width, depth), strict=True):
+                    np.minimum(row + np.bincount(a, weights=df, minlength=width), 255, out=row, casting="unsafe")
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pending += [_key(lang, t) for t in set(terms(text))]
-                if len(pending) >= HELD:
+                tally.add(lang, "", text)
+                if tally.full():
                     add()
+                    tally = Tally()
         add()
         flat = cells.reshape(-1)
         for first in range(0, len(flat), PIECE):
@@ -155,41 +192,26 @@ def counted(docs: DataFrame, sketch: Sketch, least: int = LEAST) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(sketch.cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Sketch(shared.value)
-        possible: dict[bytes, bool] = {}
-        n: dict[tuple, int] = {}
-        df: dict[tuple, int] = {}
+        known, tally = Sketch(shared.value), Tally()
 
         def send() -> Iterator[pa.RecordBatch]:
-            keys = list(n)
-            for i in range(0, len(keys), 20_000):
-                some = keys[i : i + 20_000]
-                langs, sources, names = zip(*some, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array([t.decode("utf-8", "surrogatepass") for t in names], pa.string()), pa.array([n[k] for k in some], pa.int64()), pa.array([df[k] for k in some], pa.int64())],
-                    ["lang", "source", "term", "n", "df"],
-                )
+            names = {lang: list(numbers) for lang, numbers in tally.numbers.items()}
+            possible = {lang: known.least([_key(lang, t) for t in own]) >= least for lang, own in names.items()}
+            texts = {lang: pa.array(own, pa.binary()).cast(pa.string()) for lang, own in names.items()}
+            for lang, source, some, n, df in tally.counts():
+                keep = possible[lang][some]
+                some, n, df = some[keep], n[keep], df[keep]
+                for i in range(0, len(some), 20_000):
+                    part = slice(i, i + 20_000)
+                    size = len(some[part])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array([source] * size), texts[lang].take(pa.array(some[part])), pa.array(n[part]), pa.array(df[part])], ["lang", "source", "term", "n", "df"])
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own: dict[bytes, int] = {}
-                for t in terms(text):
-                    own[t] = own.get(t, 0) + 1
-                new = [t for t in own if _key(lang, t) not in possible]
-                if new:
-                    if len(possible) > HELD:
-                        possible.clear()
-                        new = list(own)
-                    keys = [_key(lang, t) for t in new]
-                    possible.update(zip(keys, (known.least(keys) >= least).tolist(), strict=True))
-                for t, c in own.items():
-                    if possible[_key(lang, t)]:
-                        k = (lang, source, t)
-                        n[k] = n.get(k, 0) + c
-                        df[k] = df.get(k, 0) + 1
-                if len(n) > HELD:
+                tally.add(lang, source, text)
+                if tally.full():
                     yield from send()
-                    n.clear(), df.clear()
+                    tally = Tally()
         yield from send()
 
     return docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, df long")
