@@ -8,7 +8,7 @@ Equal rows are counted first, and each of them gets a number, which takes part i
 a row that is repeated over and over is dealt out over all tasks.
 
 Law ``rows``: the shards' row counts are at most one apart. Nulls: a null text has size 1 and the CRC of no
-bytes; a null doc_id is a value like any other. Rows that tie in doc_id, size and CRC take their places among themselves in any order. A text of any length is
+bytes; a null doc_id is a value like any other. Rows that tie in doc_id, size and CRC take their places among themselves in the order in which they were written. A text of any length is
 only measured. An empty table gives no rows; extra columns are ignored by op2 and kept by sharded_documents, but for those named like its own four.
 """
 
@@ -73,6 +73,21 @@ def numbered(rows: DataFrame, *key: str) -> DataFrame:
     return lots.select(*key, F.explode(F.sequence(F.col("_lot") * LOT, last)).alias("_copy"))
 
 
+def row_numbers(rows: DataFrame, *key: str) -> DataFrame:
+    """Adds ``_copy``, which numbers rows with the same key from 0 in the order of ``_row``. rows: key columns and _row, monotonically_increasing_id() of a written table.
+
+    Rows are numbered within the part that _row starts with, and parts by running sums, so a key that many rows share is dealt over as many groups as there are parts.
+    """
+    r = rows.withColumn("_part", F.shiftright("_row", 33))
+    inside = F.row_number().over(Window.partitionBy(*key, "_part").orderBy("_row"))
+    before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a part
+    starts = r.groupBy(*key, "_part").agg(F.count("*").alias("_n")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_start"))
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return r.withColumn("_in", inside).join(starts, on).select(*rows.columns, (F.col("_start") + F.col("_in") - 1).cast("long").alias("_copy"))
+
+
 def shard(keys: DataFrame, shards: int = 16, seed: int = 20240607) -> DataFrame:
     """Adds ``shard`` (int), ``slot`` (long, gapless from 0 in the shard) and ``_copy`` (the number among equal rows, from 0) to a frame of doc_id, size, text_crc32."""
     spark = keys.sparkSession
@@ -123,18 +138,19 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def sharded_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """The documents with size, text_crc32, shard and slot; columns of those names that they came with go.
 
-    Rows with the same key are numbered on both sides, so that each gets one of the slots dealt to them. Texts are shuffled once.
+    The rows are written once with a number each, so that rows with the same key keep their places among themselves whatever task is run again. Only keys are sorted; texts are shuffled once, by number.
     """
-    own = ("size", "text_crc32", "shard", "slot", "_copy")
+    own = ("size", "text_crc32", "shard", "slot", "__row")
     names = [c for c in docs.columns if c not in own]
+    scratch = Scratch(docs.sparkSession, "sharded")
+    d = scratch.save(docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("__row", F.monotonically_increasing_id()), "rows")
     size = (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 1).cast("long")
-    d = docs.select(*(F.col(f"`{c}`") for c in names), size.alias("size"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_crc32"))
-    d = d.withColumn("_id", F.col("doc_id").cast("long"))
-    nth = F.row_number().over(Window.partitionBy("_id", "size", "text_crc32").orderBy(F.lit(1))) - 1
-    d = d.withColumn("_copy", nth.cast("long"))
-    placed = shard(keyed(docs), shards).select(F.col("doc_id").alias("_k"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), F.col("_copy").alias("_n"), "shard", "slot")
-    on = F.col("_id").eqNullSafe(F.col("_k")) & (F.col("size") == F.col("_s")) & (F.col("text_crc32") == F.col("_c")) & (F.col("_copy") == F.col("_n"))
-    return d.join(placed, on).select(*(F.col(f"`{c}`") for c in names), "size", "text_crc32", "shard", "slot")
+    keys = scratch.save(d.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_crc32"), F.col("__row").alias("_row")), "keys")
+    copies = row_numbers(keys, "doc_id", "size", "text_crc32")
+    placed = shard(keys.drop("_row"), shards).select(F.col("doc_id").alias("_k"), F.col("size").alias("_s"), F.col("text_crc32").alias("_c"), F.col("_copy").alias("_n"), "shard", "slot")
+    on = F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("size") == F.col("_s")) & (F.col("text_crc32") == F.col("_c")) & (F.col("_copy") == F.col("_n"))
+    places = copies.join(placed, on).select(F.col("_row").alias("__row"), "size", "text_crc32", "shard", "slot")
+    return d.join(places, "__row").select(*(F.col(f"`{c}`") for c in names), "size", "text_crc32", "shard", "slot")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
