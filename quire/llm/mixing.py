@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WORD, Scratch, documents, uniform
-from .sharding import numbered
+from .sharding import numbered, row_numbers
 
 WEIGHTS, MOST, BINS, TILT, SEED, CLASSES = (5, 2, 1), 3, 1024, 0.5, 7, 64
 #: Files of a table that has a few rows a source.
@@ -132,9 +132,17 @@ def mix(docs: DataFrame, plan: DataFrame, seed: int = SEED, bins: int = BINS) ->
     return d.select(*docs.columns, "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), F.col("_gap").alias("shortfall"))
 
 
+def _unhashed(kind: T.DataType) -> bool:
+    """Whether a type holds a map or a variant, which have no hash."""
+    if isinstance(kind, T.StructType):
+        return any(_unhashed(f.dataType) for f in kind.fields)
+    return _unhashed(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.MapType | T.VariantType)
+
+
 def _key(docs: DataFrame) -> Column:
-    """A hash of the whole row, but for maps, which have none; rows that agree in it are taken for copies."""
-    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+    """A hash of the whole row; maps and variants take part as JSON. It only tells which rows draw as copies of each other: every row keeps its own content."""
+    col = lambda f: F.col(f"`{f.name}`")
+    return F.xxhash64(*(F.to_json(F.struct(col(f).alias("v")), {"ignoreNullFields": "false"}) if _unhashed(f.dataType) else col(f) for f in docs.schema.fields))
 
 
 def _size() -> Column:
@@ -167,9 +175,11 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return _repeated(mix(d, plan).select("_row", F.col("copies").cast("long").alias("n")))
     once = mix(d.join(again, "_key", "left_anti"), plan).select("_row", F.col("copies").cast("long").alias("n"))
-    # Equal rows become one with partial aggregates, and come out as often as all of them are taken.
-    total = mix(sizes.join(again, "_key", "left_semi"), plan).groupBy("_key").agg(F.sum("copies").alias("n"))
-    many = d.join(again, "_key", "left_semi").groupBy("_key").agg(F.first("_row").alias("_row")).join(total, "_key").select("_row", "n")
+    # Rows with equal ones are written with a number each, and numbered among their equals; each draws for itself.
+    keys = ("doc_id", "source", "size", "_key")
+    rows = scratch.save(d.join(again, "_key", "left_semi").drop("_copy").withColumn("_place", F.monotonically_increasing_id()), "copies")
+    drawn = row_numbers(rows.select(*keys, F.col("_place").alias("_row")), *keys).withColumnRenamed("_row", "_place")
+    many = rows.select("_row", "_place").join(mix(drawn, plan).select("_place", F.col("copies").cast("long").alias("n")), "_place").select("_row", "n")
     return _repeated(once.unionByName(many))
 
 
