@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents, small_batches
 
 #: Ids of a frame, zstandard's level, pieces that a generation remembers, bytes of text that are encoded together.
+#: Bytes of text of a file at most, on average; the sizes in a file's index are 32-bit.
+FILE_BYTES = 1 << 30
 FRAME_IDS, LEVEL, PIECES, TEXT_BYTES = 1 << 16, 3, 700_000, 1 << 23
 SKIPPABLE, SEEKABLE, WITH_SUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -274,11 +276,21 @@ def _place(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri)
 
 
+def drop_unnamed(manifest: DataFrame, folder: str) -> int:
+    """Deletes files below the folder that the manifest doesn't name, such as those of attempts that were run again; gives their number. The names, one a file, are held by the driver."""
+    fs, base = _place(folder)
+    named = {r["path"] for r in manifest.select("path").collect()}
+    gone = [f.path for f in fs.get_file_info(pa.fs.FileSelector(base)) if f.path.endswith(".ids.zst") and f.path not in named]
+    for path in gone:
+        fs.delete_file(path)
+    return len(gone)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, files: int) -> DataFrame:
     """Writes the files below ``folder``, a URI that all executors reach; gives file_no, path, n_docs, n_tokens of each. Run it once: save the result."""
     d = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # Ties of doc_id are ordered by text; they may lie in different partitions only as a whole order allows.
-    d = d.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Ties of doc_id are ordered by text; the start of the text splits many rows of one doc_id, or of none, over ranges in the same order.
+    d = d.repartitionByRange(files, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,8 +298,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file
         encoder = Encoder.of(tokenizer)
         fs, base = _place(folder)
         fs.create_dir(base, recursive=True)
-        path, mine = f"{base}/part-{number:06d}.ids.zst", f"{base}/.part-{number:06d}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(mine) as sink:
+        # A name of its own for each attempt: one that is run again leaves a file that no manifest names, and nothing is renamed onto what is there.
+        path = f"{base}/part-{number:06d}-{uuid.uuid4().hex}.ids.zst"
+        with fs.open_output_stream(path, compression=None) as sink:  # the name must not add a layer of compression
             out = ShardWriter(sink)
             for batch in gathered(batches, 1, TEXT_BYTES):
                 ids, counts = encoder.encode(batch.column(1))
@@ -296,7 +309,6 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file
                     out.add(doc_id, bytes(raw[at : at + n]) + end)
                     at += n
             out.close()
-        fs.move(mine, path)
         yield pa.RecordBatch.from_pydict({"file_no": [number], "path": [path], "n_docs": [len(out.ids)], "n_tokens": [out.tokens]}, schema=pa.schema([("file_no", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     return d.mapInArrow(write, "file_no long, path string, n_docs long, n_tokens long")
@@ -338,7 +350,9 @@ def default_tokenizer() -> str:
 
 def op1(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     small_batches(spark)
-    scratch, files = Scratch(spark, "tokens"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(spark, "tokens")
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     folder = scratch.path("ids")
     manifest = scratch.save(write_shards(docs, tokenizer or default_tokenizer(), end_id, folder, files), "manifest")
     return read_shards(manifest, folder, files)
