@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents, small_batches
 
 TOP = 20
-SHARD_DOCS, SHARD_TERMS = 1 << 15, 1 << 21
+SHARD_DOCS, SHARD_TERMS = 1 << 15, 1 << 22
 ITEM_BYTES = 1 << 22
 #: A-Z to a-z, bytes of letters, digits and all code points above 127 as they are, all else to a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -64,6 +64,20 @@ def pack(numbers: np.ndarray) -> bytes:
     return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
 
 
+def _packed_one(n: int) -> bytes:
+    """pack() of a single number; most terms of a shard stand in one document of it."""
+    width = 1 if n < 1 << 8 else 2 if n < 1 << 16 else 4 if n < 1 << 32 else 8
+    return bytes([width]) + n.to_bytes(width, "little")
+
+
+class _Numbers(dict):
+    """Numbers terms from 0 as they are asked for."""
+
+    def __missing__(self, term: bytes) -> int:
+        n = self[term] = len(self)
+        return n
+
+
 def unpack(blob: bytes, count: int, at: int = 0) -> tuple[np.ndarray, int]:
     """Numbers that pack() wrote at a place of the blob, and the place after them."""
     width = blob[at]
@@ -76,14 +90,13 @@ class Shard:
     def __init__(self) -> None:
         self.ids: list[int | None] = []
         self.docs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.size = 0
 
     def add(self, doc_id: int | None, found: list[bytes]) -> None:
-        numbers, next_ = self.numbers, self.numbers.setdefault
-        places, tf = np.unique(np.array([next_(t, len(numbers)) for t in found], dtype=np.int32), return_counts=True)
+        places, tf = np.unique(np.array(list(map(self.numbers.__getitem__, found)), dtype=np.int32), return_counts=True)
         self.ids.append(doc_id)
-        self.docs.append((places, tf))
+        self.docs.append((places, tf.astype(np.int32)))
         self.size += len(found)
 
     def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
@@ -98,10 +111,15 @@ class Shard:
         by_term = np.argsort(numbers, kind="stable")
         tf, place = tf[by_term], place[by_term]
         ends = np.cumsum(np.bincount(numbers, minlength=len(self.numbers)))
+        starts, ends = [0, *ends.tolist()], ends.tolist()
+        firsts, counts = place.tolist(), tf.tolist()
         out: list[tuple] = []
         for term, k in sorted(self.numbers.items()):
-            a, b = (int(ends[k - 1]) if k else 0), int(ends[k])
-            out.append((term.decode("utf-8", "surrogatepass"), b - a, int(tf[a:b].sum()), pack(np.diff(place[a:b], prepend=0)) + pack(tf[a:b])))
+            a, b = starts[k], ends[k]
+            if b - a == 1:
+                out.append((term.decode("utf-8", "surrogatepass"), 1, counts[a], _packed_one(firsts[a]) + _packed_one(counts[a])))
+            else:
+                out.append((term.decode("utf-8", "surrogatepass"), b - a, sum(counts[a:b]), pack(np.diff(place[a:b], prepend=0)) + pack(tf[a:b])))
             if len(out) == 8192:
                 yield self._batch(shard, out)
                 out = []

@@ -11,7 +11,7 @@ from compare import duck_rows, spark_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm import block_names, divergence, lexical_search, queries
+from quire.llm import block_names, divergence, lexical_search, mixing, queries, sharding, tokens
 from quire.llm.common import Scratch
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -178,3 +178,47 @@ def test_sketch_never_underestimates_and_drops_terms_early(spark, docs, rows):
         assert all(a >= min(255, df[k]) for a, k in zip(least, keys, strict=True))
         sent = divergence.counted(d, sketch).select("term").distinct().count()
         assert (sent < len({t for _, t in df})) == sharp
+
+
+# ---- Rows that must not be lost ---------------------------------------------------------------------------------------------
+def test_rows_that_tie_but_differ_each_get_one_slot(spark):
+    rows = [(1, "same text", i) for i in range(200)] + [(2, None, 7)] * 40 + [(None, "", 8)] * 3
+    want = sorted(map(str, rows))
+    for parts in (1, 4, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string, nth int").repartition(parts)
+        out = sharding.sharded_documents(df, 5).collect()
+        assert sorted(str((r["doc_id"], r["text"], r["nth"])) for r in out) == want
+        assert len({(r["shard"], r["slot"]) for r in out}) == len(rows)
+        assert max(Counter(r["shard"] for r in out).values()) - min(Counter(r["shard"] for r in out).values()) <= 1
+
+
+def test_row_numbers_split_a_key_over_parts(spark):
+    df = Scratch(spark, "t").save(spark.range(5000).selectExpr("id % 3 = 0 AS k", "id").repartition(6).selectExpr("IF(k, NULL, 1) AS k", "monotonically_increasing_id() AS _row"), "rows")
+    got = sharding.row_numbers(df, "k").collect()
+    for k, n in Counter(r["k"] for r in got).items():
+        assert sorted(r["_copy"] for r in got if r["k"] == k) == list(range(n))
+    assert len({r["_row"] for r in got}) == 5000
+
+
+def test_mix_tells_rows_apart_by_their_maps(spark):
+    schema = "doc_id long, text string, source string, m map<string,string>, n struct<a:array<map<string,int>>>"
+    rows = [(1, "a b c d", "s", {"k": f"v{i}"}, ([{"x": i}],)) for i in range(4)] + [(1, "a b c d", "s", {"k": "v1"}, ([{"x": 1}],))] * 2
+    out = mixing.mixed_documents(spark, spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r["m"]["k"] for r in out) == ["v0", "v1", "v1", "v1", "v2", "v3"]
+    assert all(r["n"]["a"] == [{"x": int(r["m"]["k"][1])}] for r in out)
+
+
+def test_mix_of_copies_is_repeatable(spark, docs):
+    many = docs.unionByName(docs).unionByName(docs.limit(5))
+    a, b = (sorted(map(str, mixing.mixed_documents(spark, d).collect())) for d in (many, many.repartition(7)))
+    assert a == b and len(a) > 100
+
+
+def test_a_file_that_is_written_twice_is_read_once(spark, docs, tmp_path):
+    folder = f"file://{tmp_path}"
+    first = tokens.write_shards(docs, tokens.default_tokenizer(), 2, folder, 3).collect()
+    manifest = spark.createDataFrame(tokens.write_shards(docs, tokens.default_tokenizer(), 2, folder, 3).collect(), "file_no long, path string, n_docs long, n_tokens long")
+    assert not {r["path"] for r in first} & {r["path"] for r in manifest.collect()}
+    assert tokens.read_shards(manifest, folder, 3).count() == docs.count()
+    assert tokens.drop_unnamed(manifest, folder) == len(first)
+    assert tokens.read_shards(manifest, folder, 3).count() == docs.count()
