@@ -18,13 +18,13 @@ TAGS = {"Paragraph": "P", "Caption": "Caption", "BlockQuote": "BlockQuote", "Cod
 
 
 def paths(spark: SparkSession, elements: DataFrame, most_depth: int | None = None, label: str | None = None) -> DataFrame:
-    """O2: adds depth, path (padded places among siblings) and reading_order (from 0, depth first). What no root leads to, such as a cycle, is left out.
+    """O2: adds depth, path (padded places among siblings), reading_order (from 0, depth first) and last_order (the highest reading_order below). What no root leads to, such as a cycle, is left out.
 
     elements: doc_id, element_id, parent_id, sibling_ord and what else is to be kept. Rows are dealt by document and walked a document at a time, so a task holds
     one document, whatever its depth; the corpus is never held. most_depth: deeper elements are left out (A12). label: a column whose values that aren't blank are joined by dots from the root down, as full_name.
     """
     ship(spark)
-    extra = [T.StructField("depth", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("reading_order", T.IntegerType())]
+    extra = [T.StructField("depth", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("reading_order", T.IntegerType()), T.StructField("last_order", T.IntegerType())]
     extra += [T.StructField("full_name", T.StringType())] if label else []
     schema = T.StructType([*elements.schema.fields, *extra])
 
@@ -32,7 +32,7 @@ def paths(spark: SparkSession, elements: DataFrame, most_depth: int | None = Non
         docs, ids, parents = (table[n].to_pylist() for n in ("doc_id", "element_id", "parent_id"))
         own = table[label].to_pylist() if label else None
         rows: list[int] = []
-        found: tuple[list, ...] = ([], [], [], [])
+        found: tuple[list, ...] = ([], [], [], [], [])
         first = 0
         while first < len(docs):
             last = first
@@ -43,19 +43,25 @@ def paths(spark: SparkSession, elements: DataFrame, most_depth: int | None = Non
             below = lambda parent: children.pop(parent, ())  # noqa: E731, B023 -- each list is walked once, so cycles end
             stack = [(r, 0, f"{k:08d}", "") for k, r in reversed(list(enumerate(below(None))))]
             n = 0
+            open_: list[int] = []  # rows whose last one isn't known, in found
             while stack:
                 row, depth, path, name = stack.pop()
                 if label and own[row]:
                     name = f"{name}.{own[row]}" if name else own[row]
+                while open_ and found[0][open_[-1]] >= depth:
+                    found[3][open_.pop()] = n - 1
+                open_.append(len(rows))
                 rows.append(row)
-                for column, value in zip(found, (depth, path, n, name), strict=True):
+                for column, value in zip(found, (depth, path, n, n, name), strict=True):
                     column.append(value)
                 n += 1
                 if ids[row] is not None and (most_depth is None or depth < most_depth):
                     stack += [(r, depth + 1, f"{path}.{k:08d}", name) for k, r in reversed(list(enumerate(below(ids[row]))))]
+            for at in open_:
+                found[3][at] = n - 1
             first = last
         out = table.take(pa.array(rows, pa.int64()))
-        types = (pa.int32(), pa.string(), pa.int32(), pa.string())
+        types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
         for field, values, kind in zip(extra, found, types, strict=False):
             out = out.append_column(field.name, pa.array(values, kind))
         yield from out.combine_chunks().to_batches(max_chunksize=10_000)

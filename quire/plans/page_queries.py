@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quire.operators import document as D
 from quire.operators import tree as TR
 from quire.sources import adapters as A
 from quire.sources import markup as M
 
 from .fixture import Registry, sql_literal
-from .text_queries import sql_map
+from .text_queries import HUMAN, PX, READABLE, sql_map
 
 R = Registry()
 #: Numbers of the customers' pages come after those of the given ones.
@@ -127,6 +128,50 @@ def outline(e: DataFrame) -> DataFrame:
 add("s09_outline_of_pages", outline, "SELECT h.doc_id, h.element_id, h.level, h.text, p AS parent_id, CAST(row_number() OVER (PARTITION BY h.doc_id, p ORDER BY h.element_id) AS INTEGER) AS nth FROM (SELECT *, (SELECT max(b.element_id) FROM e b WHERE b.kind = 'Heading' AND b.doc_id = a.doc_id AND b.element_id < a.element_id AND b.level < a.level) AS p FROM e a WHERE kind = 'Heading') h")
 
 
+# ---- Whole documents --------------------------------------------------------------------------------------------------------
+def _rows_sql() -> str:
+    """D.rows in DuckDB, as r."""
+    at = M.attribute_sql
+    some = lambda x: f"nullif(trim({x}), '')"
+    has = lambda name: f"({at(name)} IS NOT NULL)"
+    tidy = r"regexp_replace(regexp_replace(before, '[:*†‡_\s]+$', ''), '^[*†‡\s]+', '')"
+    type_ = f"lower(coalesce(nullif({at('type')}, ''), CASE WHEN tag = 'button' THEN 'button' ELSE 'text' END))"
+    px = f"({PX})"
+    return f"""r0 AS (SELECT doc_id, element_id, last_id, parent_id, tag, kind, text, parent_tag, level, {at('lang')} AS lang, {at('href')} AS href, {at('alt')} AS alt, coalesce({at('alt')} = '', FALSE) AS decorative, {at('type')} AS kind_of, {at('name')} AS name, {at('value')} AS value, {has('required')} AS required,
+{has('readonly')} OR {has('disabled')} AS read_only, {has('disabled')} AS disabled, {has('checked')} AS checked, {has('selected')} AS selected, {has('multiple')} AS several, coalesce({at('aria-invalid')} = 'true', FALSE) AS invalid, {at('placeholder')} AS guidance, coalesce(TRY_CAST({at('colspan')} AS INTEGER), 1) AS col_span, coalesce(TRY_CAST({at('rowspan')} AS INTEGER), 1) AS row_span,
+CASE WHEN tag = 'td' THEN 'Data' WHEN {at('scope')} = 'row' THEN 'RowHeader' WHEN {at('scope')} = 'col' THEN 'ColumnHeader' ELSE 'Header' END AS role, CASE WHEN tag = 'select' THEN 'ChoiceList' WHEN {type_} IN ('submit', 'button', 'reset', 'image') THEN 'PushButton' WHEN {type_} = 'checkbox' THEN 'CheckBox' WHEN {type_} = 'radio' THEN 'RadioGroup' ELSE 'Text' END AS field_kind,
+coalesce({some(at('aria-label'))}, {some(at('title'))}) AS named, {some(f"CASE WHEN length({tidy}) > 80 THEN '' ELSE {tidy} END")} AS near, label AS own_label, table_id, {at('id')} AS id, CASE WHEN kind = 'Label' THEN {at('for')} END AS for_id FROM t),
+r1 AS (SELECT *, CASE WHEN trim(coalesce(named, '')) <> '' THEN 'tooltip' WHEN trim(coalesce(near, '')) <> '' THEN 'nearby' WHEN {READABLE.replace('(x', '(' + px)} THEN 'name' ELSE 'none' END AS src FROM r0),
+by_row AS (SELECT *, min(row_id) OVER (PARTITION BY doc_id, table_id) = row_id AS is_first FROM (SELECT doc_id, table_id, parent_id AS row_id, bool_and(role <> 'Data') AS heads FROM r0 WHERE kind = 'TableCell' AND parent_tag = 'tr' GROUP BY 1, 2, 3)),
+fields AS (SELECT doc_id, id AS for_id, min(element_id) AS for_field FROM r0 WHERE kind = 'FormField' AND id <> '' GROUP BY 1, 2),
+r AS (SELECT r1.*, CASE WHEN trim(coalesce(own_label, '')) <> '' THEN 'own' ELSE src END AS source, CASE src WHEN 'tooltip' THEN trim(named) WHEN 'nearby' THEN trim(near) WHEN 'name' THEN {HUMAN.replace('(x', '(' + px)} ELSE 'unlabelled field' END AS label, f.for_field, CASE WHEN b.is_first THEN CASE WHEN b.heads THEN 'head' ELSE 'first' END ELSE 'other' END AS row_place,
+EXISTS (SELECT 1 FROM by_row x WHERE x.doc_id = r1.doc_id AND x.table_id = r1.element_id AND r1.kind = 'Table') AS has_rows FROM r1 LEFT JOIN fields f ON f.doc_id = r1.doc_id AND f.for_id = r1.for_id LEFT JOIN by_row b ON b.doc_id = r1.doc_id AND b.row_id = CASE r1.kind WHEN 'TableCell' THEN r1.parent_id WHEN 'TableRow' THEN r1.element_id END)"""
+
+
+def _duck(expr: str) -> str:
+    return expr.replace(" AS STRING)", " AS VARCHAR)")
+
+
+CHUNKED = f"SELECT doc_id, CAST(n // {D.CHUNK} AS INTEGER) AS chunk_no, string_agg(markup, '' ORDER BY n) AS html FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, phase, nth) - 1 AS n FROM ev) GROUP BY 1, 2"
+R.add("k01_html_of_pages", lambda s, d: D.html_of(trees(s, d).select("doc_id", *M.NAMES)), f"""WITH {TREES}, {_rows_sql()}, doc AS (SELECT doc_id, arg_min(text, element_id) FILTER (WHERE kind = 'Title') AS title, max({M.attribute_sql('lang')}) FILTER (WHERE tag = 'html') AS lang FROM t GROUP BY 1),
+ev AS (SELECT doc_id, element_id AS place, 0 AS phase, 0 AS nth, {_duck(D.OPEN)} AS markup FROM r UNION ALL SELECT doc_id, last_id, 1, -element_id, {_duck(D.CLOSE)} FROM r UNION ALL SELECT doc_id, {D.FIRST}, 0, 0, {_duck(D.HEAD)} FROM doc UNION ALL SELECT doc_id, {D.LAST}, 1, 0, {D.FOOT} FROM doc) {CHUNKED.replace('FROM ev', "FROM ev WHERE markup <> ''")}""")
+
+
+def comment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9 over conversations: every turn answers the one before it, but each fourth, which answers the first."""
+    c = A.threads(spark, sf_dir)
+    parent = F.when(F.col("in_reply_to").isNull(), None).when(F.col("annotation_id") % 4 == 3, F.min("annotation_id").over(Window.partitionBy("doc_id"))).otherwise(F.col("in_reply_to"))
+    quote = F.when(F.col("in_reply_to").isNull(), F.concat(F.lit("conversation "), F.col("doc_id").cast("string")))
+    e = c.select("doc_id", F.col("annotation_id").cast("int").alias("element_id"), parent.cast("int").alias("parent_id"), F.col("annotation_id").cast("int").alias("sibling_ord"), "author", "text", quote.alias("anchored"))
+    return D.threads_html(TR.paths(spark, e))
+
+
+R.add("h09_comment_threads", comment_threads, f"""WITH RECURSIVE c AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS element_id, CAST(CASE WHEN lag(turn) OVER w IS NULL THEN NULL WHEN turn % 4 = 3 THEN min(turn) OVER (PARTITION BY conv_id) ELSE lag(turn) OVER w END AS INTEGER) AS parent_id, role AS author, text, CASE WHEN lag(turn) OVER w IS NULL THEN 'conversation ' || conv_id END AS anchored FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p AS (SELECT doc_id, element_id, [element_id] AS path FROM c WHERE parent_id IS NULL UNION ALL SELECT c.doc_id, c.element_id, list_append(p.path, c.element_id) FROM c JOIN p ON p.doc_id = c.doc_id AND p.element_id = c.parent_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS i FROM p), w AS (SELECT o.doc_id, o.element_id, o.i, (SELECT max(x.i) FROM o x WHERE x.doc_id = o.doc_id AND list_contains(x.path, o.element_id)) AS z FROM o),
+ev AS (SELECT w.doc_id, i AS place, 0 AS phase, 0 AS nth, {_duck(D.COMMENT)} AS markup FROM w JOIN c USING (doc_id, element_id) UNION ALL SELECT doc_id, z, 1, -i, '</aside>' FROM w) {CHUNKED}""")
+
+
 def queries() -> dict:
     return R.queries
 

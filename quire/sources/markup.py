@@ -58,8 +58,11 @@ _TO_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.IGNORECASE) for t in ("scrip
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 ADVERTS = {"ad", "ads", "advert", "advertisement"}
 
-COLUMNS = "doc_id long, element_id int, parent_id int, sibling_ord int, last_id int, depth int, tag string, kind string, attrs map<string,string>, text string"
-_ARROW = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
+COLUMNS = "doc_id long, element_id int, parent_id int, sibling_ord int, last_id int, depth int, tag string, kind string, attrs map<string,string>, text string, parent_tag string"
+_ARROW = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
+
+
+NAMES = tuple(c.split()[0] for c in COLUMNS.split(", "))[1:]
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -108,7 +111,7 @@ def _cut(stack: list[tuple], ends: tuple[str, ...], stops: tuple[str, ...], topm
 
 
 def tree(html: str | None) -> list[list]:
-    """A page's rows in order: element_id, parent_id, sibling_ord, last_id, depth, tag, kind, attributes, text."""
+    """A page's rows in order: element_id, parent_id, sibling_ord, last_id, depth, tag, kind, attributes, text, parent's tag."""
     rows: list[list] = []
     index: dict[int, int] = {}
     stack: list[tuple[str, int | None, bool]] = []  # tag, element (that around it for those that pass on), whether an artifact
@@ -119,7 +122,7 @@ def tree(html: str | None) -> list[list]:
     def add(element: int, parent: int | None, tag: str, kind: str, attrs: dict, text: str = "") -> None:
         index[element] = len(rows)
         nth = children[parent] = children.get(parent, -1) + 1
-        rows.append([element, parent, nth, element, 0 if parent is None else rows[index[parent]][4] + 1, tag, kind, attrs, text])
+        rows.append([element, parent, nth, element, 0 if parent is None else rows[index[parent]][4] + 1, tag, kind, attrs, text, None if parent is None else rows[index[parent]][5]])
 
     for k, (tag, closing, raw, text) in enumerate(tags(html or "")):
         lined = tag in LINED
@@ -253,5 +256,5 @@ e AS (SELECT c.doc_id, own AS element_id, parent AS parent_id, list_sort(above)
 FROM ctx c LEFT JOIN held h ON h.doc_id = c.doc_id AND h.element_id = c.own LEFT JOIN held r ON r.doc_id = c.doc_id AND r.element_id = c.around LEFT JOIN labels l ON l.doc_id = c.doc_id AND l.id = {attribute_sql("id")} WHERE own IS NOT NULL
 UNION ALL SELECT doc_id, CAST(2 * k + 1 AS INTEGER), ids[-1], list_sort(list_distinct(ids)), '#text', CASE WHEN h IS NULL THEN 'Paragraph' ELSE 'Run' END, '', CASE WHEN h IS NULL THEN trim(text) ELSE text END, NULL, NULL, NULL FROM ctx WHERE art IS NULL AND text <> '' AND (trim(text) <> '' OR (h IS NOT NULL AND lined)) AND (h IS NULL OR NOT {is_in("stack[h]", NAMED)})),
 lasts AS (SELECT doc_id, a AS element_id, max(element_id) AS last_id FROM (SELECT doc_id, element_id, unnest(ancestors) AS a FROM e) GROUP BY 1, 2)
-SELECT e.doc_id, e.element_id, e.parent_id, CAST(row_number() OVER (PARTITION BY e.doc_id, e.parent_id ORDER BY e.element_id) - 1 AS INTEGER) AS sibling_ord, coalesce(l.last_id, e.element_id) AS last_id, CAST(len(e.ancestors) AS INTEGER) AS depth, e.tag, e.kind, e.attrs, e.text, e.table_id, e.before, e.label, e.ancestors
-FROM e LEFT JOIN lasts l ON l.doc_id = e.doc_id AND l.element_id = e.element_id)"""
+SELECT e.doc_id, e.element_id, e.parent_id, CAST(row_number() OVER (PARTITION BY e.doc_id, e.parent_id ORDER BY e.element_id) - 1 AS INTEGER) AS sibling_ord, coalesce(l.last_id, e.element_id) AS last_id, CAST(len(e.ancestors) AS INTEGER) AS depth, e.tag, e.kind, e.attrs, e.text, e.table_id, e.before, e.label, p.tag AS parent_tag, e.ancestors
+FROM e LEFT JOIN e p ON p.doc_id = e.doc_id AND p.element_id = e.parent_id LEFT JOIN lasts l ON l.doc_id = e.doc_id AND l.element_id = e.element_id)"""
