@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from quire.runtime import ship
 
-ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
+ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
 FLUSH = 10_000
 
 

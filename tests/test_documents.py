@@ -84,5 +84,5 @@ def test_threads_nest_to_any_depth(spark):
     for r in document.threads_html(walked, 10).orderBy("doc_id", "chunk_no").collect():
         html[r["doc_id"]] = html.get(r["doc_id"], "") + r["html"]
     assert set(html) == {1, 2} and html[1].endswith("</aside>" * 300)
-    back = read_back(html[2])
+    back = read_back(html[2].replace("aside", "section"))  # furniture holds no elements when it is read
     assert [back[i][0] for i in (0, 1, 2)] == [None, 0, 0] and "On the text: y" in html[2]
