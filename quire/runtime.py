@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,3 +23,22 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(spark.sparkContext.applicationId)
+
+
+_local: list[str] = []
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's URI below the one that driver and executors share (spark.checkpoint.dir); it goes when the application ends. Only where the setting is missing, on one machine, a temporary folder stands in."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="quire-"))
+        found = _local[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()
