@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from quire.runtime import ship
 
+from .fold import fold
+
 #: Fixed value: names of form fields are read to this depth.
 FIELD_DEPTH = 32
 #: Element kinds and their structure tags.
@@ -251,3 +253,34 @@ def nesting(walked: DataFrame, pairs: DataFrame) -> DataFrame:
     above = pairs.join(lists.withColumnRenamed("element_id", "ancestor_id"), ["doc_id", "ancestor_id"]).groupBy("doc_id", "element_id").agg(F.count("*").alias("n"))
     items = walked.filter("kind = 'ListItem'").groupBy("doc_id", F.col("parent_id").alias("element_id")).agg(F.count("*").alias("items"))
     return lists.join(above, ["doc_id", "element_id"], "left").join(items, ["doc_id", "element_id"], "left").select("doc_id", "element_id", F.coalesce("items", F.lit(0)).alias("items"), (F.coalesce("n", F.lit(0)) + 1).alias("level"))
+
+
+def resolved_names(names: DataFrame) -> DataFrame:
+    """Names that stand for other names, to their end. names: doc_id, name, element_id, next_name (null: the name is the element's own).
+
+    A document's names stream into one table, and each is followed once: what was found on the way is kept. What goes round in a circle, or leads to a name that isn't there, has no element. Of elements with one name the first counts.
+    """
+    rows = names.select("doc_id", "name", F.col("element_id").cast("int").alias("element_id"), "next_name")
+
+    def step(state: dict | None, row: tuple) -> tuple[dict, tuple]:
+        state = {} if state is None else state
+        state.setdefault(row[0], row[1:])
+        return state, ()
+
+    def end(state: dict) -> list[tuple]:
+        found: dict[str, int | None] = {}
+        for name in state:
+            way, now = [], name
+            while now in state and now not in found:
+                found[now] = None  # until its end is known; a circle comes back to it
+                way.append(now)
+                element, following = state[now]
+                if following is None:
+                    found[now] = element
+                    break
+                now = following
+            for x in way:
+                found[x] = found.get(now)
+        return list(found.items())
+
+    return fold(rows, "doc_id", ["element_id"], "name string, element_id int", step, end)

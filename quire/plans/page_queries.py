@@ -128,6 +128,27 @@ def outline(e: DataFrame) -> DataFrame:
 add("s09_outline_of_pages", outline, "SELECT h.doc_id, h.element_id, h.level, h.text, p AS parent_id, CAST(row_number() OVER (PARTITION BY h.doc_id, p ORDER BY h.element_id) AS INTEGER) AS nth FROM (SELECT *, (SELECT max(b.element_id) FROM e b WHERE b.kind = 'Heading' AND b.doc_id = a.doc_id AND b.element_id < a.element_id AND b.level < a.level) AS p FROM e a WHERE kind = 'Heading') h")
 
 
+def link_targets(e: DataFrame) -> DataFrame:
+    """Links within their page with the element that they lead to in the end, and the heading that it stands under. A link with a name of its own passes on what is led to it."""
+    a = lambda n: F.try_element_at("attrs", F.lit(n))
+    local = F.when((F.col("kind") == "Link") & a("href").startswith("#") & (F.length(a("href")) > 1), F.substring(a("href"), 2, 1 << 30))
+    named = e.select(*KEYS, F.coalesce(F.nullif(a("id"), F.lit("")), F.nullif(a("name"), F.lit(""))).alias("name"), local.alias("next_name"), "kind").filter(F.col("name").isNotNull() & (F.col("kind") != "FormField"))
+    found = TR.resolved_names(named)
+    links = e.select(*KEYS, local.alias("name")).filter("name IS NOT NULL").join(found.withColumnRenamed("element_id", "target_id"), ["doc_id", "name"], "left")
+    # The heading above: one sort of headings and targets.
+    heads = e.filter("kind = 'Heading'").select("doc_id", F.col("element_id").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("int").alias("element_id"), F.lit(None).cast("string").alias("name"), F.col("element_id").alias("head"))
+    asked = links.select("doc_id", F.coalesce("target_id", F.lit(-1)).alias("at"), F.lit(1).alias("side"), "element_id", "name", F.lit(None).cast("int").alias("head"))
+    under = F.last("head", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    return heads.unionByName(asked).withColumn("heading_id", under).filter("side = 1").select(*KEYS, "name", F.when(F.col("at") >= 0, F.col("at")).alias("target_id"), "heading_id")
+
+
+LOCAL = f"CASE WHEN kind = 'Link' AND {M.attribute_sql('href')} LIKE '#_%' THEN {M.attribute_sql('href')}[2:] END"
+R.add("s09_targets_of_pages", lambda s, d: link_targets(elements(s, d)), f"""WITH RECURSIVE {TREES}, n AS (SELECT doc_id, element_id, coalesce(nullif({M.attribute_sql('id')}, ''), nullif({M.attribute_sql('name')}, '')) AS name, {LOCAL} AS next_name FROM e WHERE kind <> 'FormField'),
+f AS (SELECT doc_id, name, min(element_id) AS element_id, arg_min(coalesce(next_name, ''), element_id) AS next_name FROM n WHERE name IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT doc_id, element_id AS link, {LOCAL} AS name, {LOCAL} AS now, 0 AS depth FROM e WHERE {LOCAL} IS NOT NULL UNION ALL SELECT c.doc_id, c.link, c.name, f.next_name, depth + 1 FROM c JOIN f ON f.doc_id = c.doc_id AND f.name = c.now WHERE f.next_name <> '' AND depth < 40),
+z AS (SELECT c.doc_id, c.link, max(f.element_id) AS target FROM c JOIN f ON f.doc_id = c.doc_id AND f.name = c.now WHERE f.next_name = '' GROUP BY 1, 2)
+SELECT c.doc_id, c.link AS element_id, c.name, z.target AS target_id, (SELECT max(h.element_id) FROM e h WHERE h.kind = 'Heading' AND h.doc_id = c.doc_id AND h.element_id <= z.target) AS heading_id FROM c LEFT JOIN z ON z.doc_id = c.doc_id AND z.link = c.link WHERE c.depth = 0""")
+
 # ---- Whole documents --------------------------------------------------------------------------------------------------------
 def _rows_sql() -> str:
     """D.rows in DuckDB, as r."""

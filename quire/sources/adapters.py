@@ -49,7 +49,7 @@ CASE WHEN c_custkey % 6 = 0 THEN concat('<div>Segment of ', c_name, ' is ', c_mk
 WHEN c_custkey % 9 = 4 THEN '<label>Remarks <textarea name="t7" readonly>none &amp; nothing</textarea></label>' ELSE '<input type="text" name="q" title="Search">' END,
 '<input type="hidden" name="token" value="1"><select name="nation" title="Nation"><option value="1">First<option value="2" selected>Second</select><input type=checkbox name=agree aria-label="I agree" checked><input type="submit" value="Send"></form>',
 '<table>', CASE WHEN c_custkey % 8 = 0 THEN '<tr><td>Key<td>Nation</tr>' ELSE '<thead><tr><th>Key<th>Nation</thead>' END, '<tbody><tr><td>', CAST(c_custkey AS STRING), '<td>', CAST(c_nationkey AS STRING), '<tr><td>Balance</td><td>', CAST(CAST(c_acctbal AS DECIMAL(15, 2)) AS STRING), '</td></tr></table>',
-'<p>More: ', CASE WHEN c_custkey % 10 = 0 THEN '<a href="/more">click here</a>' WHEN c_custkey % 10 = 1 THEN '<a href="/more" aria-label="All orders">here</a>' ELSE concat('<a href="/customers/', CAST(c_custkey AS STRING), '">orders of ', c_name, '</a>') END, ' or <a href="#top">back</a></p>Last updated by hand.</body></html>') END AS html FROM customer"""
+'<p>More: ', CASE WHEN c_custkey % 10 = 0 THEN '<a href="/more">click here</a>' WHEN c_custkey % 10 = 1 THEN '<a href="/more" aria-label="All orders">here</a>' ELSE concat('<a href="/customers/', CAST(c_custkey AS STRING), '">orders of ', c_name, '</a>') END, ' or <a href="#top">back</a></p>', CASE WHEN c_custkey % 12 = 0 THEN '<p><a name="first" href="#second">one</a> <a id=second href=#third>two</a> <a id=third href=#top>three</a> <a id="round" href="#about">four</a> <a id="about" href="#round">five</a> <a href="#nowhere">six</a></p>' ELSE '' END, 'Last updated by hand.</body></html>') END AS html FROM customer"""
 
 
 def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
