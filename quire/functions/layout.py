@@ -27,7 +27,7 @@ def all_caps(x: Str) -> Column:
 def heading_level(text: Str, ratio: Str, bold: Str, lines: Str) -> Column:
     """1 to 4, or null."""
     t, r, n = _c(text), _c(ratio), F.length(_c(text))
-    no = (n == 0) | (n > LONGEST) | (_c(lines) > 3) | t.rlike("[.;,]$")
+    no = (n == 0) | (n > LONGEST) | (_c(lines) > 3) | t.rlike(r"[.;,]\z")
     out = F.when(no, F.lit(None).cast("int"))
     for level, least in enumerate(RATIOS, 1):
         out = out.when(r >= least, level)

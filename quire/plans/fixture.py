@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 TYPES = {"string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "long": "BIGINT", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
 
 
@@ -53,6 +55,7 @@ class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.sql: dict[str, str] = {}
+        self.scalars: dict[str, tuple[Fixture, dict, str]] = {}
 
     def add(self, name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
         if name in self.queries:
@@ -61,11 +64,31 @@ class Registry:
         if sql:
             self.sql[name] = sql
 
+    def over(self, name: str, scalars: Registry, of: str, source: str) -> None:
+        """The query ``of`` of column functions over rows of given tables instead of its fixture. source: SQL of both engines for a table with the fixture's columns, ``id`` among them, over tables of TABLES."""
+        fixture, outputs, _ = scalars.scalars[of]
+        names = [n for n in TABLES if re.search(rf"\b{n}\b", source)]
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # The tables' names are set in braces, so that Spark takes the frames for them; what is read of them is what the source asks for.
+            text = source
+            for n in names:
+                text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
+            df = spark.sql(text, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+            types = {n: {"long": "bigint"}.get(t, t) for n, t in fixture.fields() if n != "id"}
+            df = df.select("id", *(df[n].cast(t).alias(n) for n, t in types.items()))
+            return df.select("id", *((c() if callable(c) else c).alias(n) for n, (c, _) in outputs.items()))
+
+        casts = ", ".join(f"CAST({n} AS {TYPES[t]}) AS {n}" for n, t in fixture.fields() if n != "id")
+        exprs = ", ".join(f"{e} AS {n}" for n, (_, e) in outputs.items())
+        self.add(name, run, f"SELECT id, {exprs} FROM (SELECT id, {casts} FROM ({source}))")
+
     def scalar(self, name: str, fixture: Fixture, outputs: dict[str, tuple[Column | Callable[[], Column], str]], keys: str = "id") -> None:
         """A query of column functions over a fixture: per output the Spark column and the SQL expression."""
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fixture.df(spark).select(*keys.split(","), *((c() if callable(c) else c).alias(n) for n, (c, _) in outputs.items()))
 
+        self.scalars[name] = (fixture, outputs, keys)
         exprs = ", ".join(f"{e} AS {n}" for n, (_, e) in outputs.items())
         self.add(name, run, f"SELECT {keys}, {exprs} FROM {fixture.sql()}")

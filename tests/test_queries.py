@@ -3,9 +3,9 @@
 import pytest
 from compare import duck_rows, spark_rows
 
-from quire.plans import audit_queries, change_queries, edit_queries, field_queries, file_queries, layout_queries, match_queries, page_queries, render_queries, structure_queries, text_queries, tree_queries
+from quire.plans import audit_queries, change_queries, edit_queries, field_queries, file_queries, layout_queries, match_queries, page_queries, render_queries, structure_queries, table_queries, text_queries, tree_queries
 
-MODULES = [audit_queries, change_queries, edit_queries, field_queries, file_queries, layout_queries, match_queries, page_queries, render_queries, structure_queries, text_queries, tree_queries]
+MODULES = [audit_queries, change_queries, edit_queries, field_queries, file_queries, layout_queries, match_queries, page_queries, render_queries, structure_queries, table_queries, text_queries, tree_queries]
 ALL = [(m, n) for m in MODULES for n in m.queries()]
 
 
