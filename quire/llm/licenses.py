@@ -71,13 +71,24 @@ def keywords(regex: str) -> tuple[str, ...]:
     return tuple(sorted(set(found), key=lambda k: (all(w in COMMON or w.isdigit() for w in k.split()), -len(k), k)))
 
 
+#: The tag of an identifier, how rules say that it may be missing, and the score of an identifier without it.
+TAG, BARE = "spdx license identifier ", 0.3
+MAYBE_TAGGED = f"(?:{TAG})?"
+
+
 def signature_rules() -> list[SignatureRule]:
-    """All rules in the order of their sections."""
+    """All rules in the order of their sections. An identifier counts in full behind its tag; without it, the same words are a rule of the last rank, whose score says that they may be anything."""
     out = []
+    last = min(priority for _, priority, _ in SECTIONS) - 1
+    rule = lambda label, regex, priority, relevance: SignatureRule(label, keywords(regex), f" {regex}(?= )", priority, relevance)
     for rules, priority, relevance in SECTIONS:
         for line in rules.strip().split("\n"):
             label, regex = line.split(" | ")
-            out.append(SignatureRule(label, keywords(regex), f" {regex}(?= )", priority, relevance))
+            if regex.startswith(MAYBE_TAGGED):
+                bare = regex.removeprefix(MAYBE_TAGGED)
+                out += [rule(label, TAG + bare, priority, relevance), rule(label, bare, last, BARE)]
+            else:
+                out.append(rule(label, regex, priority, relevance))
     return out
 
 

@@ -222,3 +222,11 @@ def test_a_file_that_is_written_twice_is_read_once(spark, docs, tmp_path):
     assert tokens.read_shards(manifest, folder, 3).count() == docs.count()
     assert tokens.drop_unnamed(manifest, folder) == len(first)
     assert tokens.read_shards(manifest, folder, 3).count() == docs.count()
+
+
+def test_identifiers_without_their_tag_score_low(spark):
+    from quire.llm import licenses
+
+    texts = ["we met at epl 2 0 football score", "SPDX-License-Identifier: EPL-2.0", "dual licensed under MIT and Apache-2.0", "spdx license identifier apache 2 0 only"]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == ("epl-2.0", 0.3) and got[1] == ("epl-2.0", 1.0) and "apache-2.0" in got[2][0] and got[3][1] == 1.0
