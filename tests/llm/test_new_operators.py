@@ -230,3 +230,52 @@ def test_identifiers_without_their_tag_score_low(spark):
     texts = ["we met at epl 2 0 football score", "SPDX-License-Identifier: EPL-2.0", "dual licensed under MIT and Apache-2.0", "spdx license identifier apache 2 0 only"]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got[0] == ("epl-2.0", 0.3) and got[1] == ("epl-2.0", 1.0) and "apache-2.0" in got[2][0] and got[3][1] == 1.0
+
+
+# ---- Quality queries against their rules in Python --------------------------------------------------------------------------
+def features(text, names):
+    from test_operators import stats
+    from test_operators import words as split
+
+    t = text or ""
+    n, chars, symbols, dup, repeat = stats(t)
+    lines = [x for x in t.split("\n") if split(x)]
+    all_ = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": len(lines), "n_distinct_words": len(set(split(t)))}
+    all_ |= {"n_digits": len(re.findall("[0-9]", t)), "n_upper": len(re.findall("[A-Z]", t)), "n_stops": len(re.findall("[.!?]", t))}
+    from quire.llm import textstats
+
+    ratio = lambda name: all_[textstats.RATIOS[name][0]] / all_[textstats.RATIOS[name][1]] if all_[textstats.RATIOS[name][1]] else 0.0
+    return all_, [ratio(x) if x in textstats.RATIOS else float(all_[x]) for x in names]
+
+
+def test_op5_query_against_its_rules(spark, sf_dir):
+    from quire.llm import decision_list, textstats
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    rules = decision_list.fit(spark, docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = queries.queries()["op5_decision_list"](spark, sf_dir).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        counts, x = features(texts[r["doc_id"]], textstats.LIST_FEATURES)
+        failed = counts["n_words"] < 10 or 100 * counts["n_repeat_words"] > 20 * counts["n_words"]
+        hit = next((k for k, rule in enumerate(rules.rules) if rule.matches(np.array([x]), textstats.LIST_FEATURES)[0]), None)
+        assert tuple(r[c] for c in textstats.COUNTS) == tuple(counts[c] for c in textstats.COUNTS)
+        assert r["base_failed"] == failed and r["kept"] == (not failed and hit is None)
+
+
+def test_op10_query_against_its_rules(spark, sf_dir):
+    import zlib
+
+    from quire.llm import rule_ensemble, textstats
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = rule_ensemble.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = queries.queries()["op10_rule_ensemble"](spark, sf_dir).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        x = np.array([features(texts[r["doc_id"]], textstats.SCORE_FEATURES)[1]])
+        z = model.intercept + sum(w * rule_ensemble.covers(rule, x)[0] for rule, w in zip(model.rules, model.weights, strict=True))
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.7)
