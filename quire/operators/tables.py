@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.runtime import ship
+from .fold import fold
 
 #: Fixed values of the detection.
 TOLERANCE, AGREEMENT, LEAST_ROWS, LEAST_COLUMNS, GAP, LINE_GAP, LONGEST_CELL, LONGEST_OF_TWO = 4.0, 0.75, 3, 2, 0.9, 3.0, 55, 40
@@ -29,25 +28,22 @@ def marker(x: Column | str) -> Column:
 def to_lines(words: DataFrame) -> DataFrame:
     """TD1: words of a page swept from the top; a word joins the growing line if they overlap by more than half of the lower height.
 
-    Each decision depends on the one before, so a page is one Python call. Its words are all it holds.
+    Each decision depends on the one before, so a page's words stream past in order; what is held is the open line's top and bottom.
     """
+    kept = ("word_ord", "text", "l", "b", "r", "t", "bold")
+    rows = words.filter(F.trim("text") != "").select("doc_id", "page_no", (-F.col("t")).alias("down"), *kept)
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        page, _, word_ord, text, l, b, r, t, bold = row  # noqa: E741
+        now, line, top, bottom = state if state is not None and state[0] == page else (page, -1, 0.0, 0.0)
+        shorter = min(top - bottom, t - b)
+        if line >= 0 and shorter > 0 and min(top, t) - max(bottom, b) > 0.5 * shorter:
+            top, bottom = max(top, t), min(bottom, b)
+        else:
+            line, top, bottom = line + 1, t, b
+        return (now, line, top, bottom), [(page, word_ord, text, l, b, r, t, bold, line)]
 
-    def sweep(page: pd.DataFrame) -> pd.DataFrame:
-        page = page[page["text"].str.strip() != ""].sort_values(["t", "l", "word_ord"], ascending=[False, True, True]).reset_index(drop=True)
-        line, numbers, top, bottom = -1, [], 0.0, 0.0
-        for t, b in zip(page["t"], page["b"], strict=True):
-            shorter = min(top - bottom, t - b)
-            if line >= 0 and shorter > 0 and min(top, t) - max(bottom, b) > 0.5 * shorter:
-                top, bottom = max(top, t), min(bottom, b)
-            else:
-                line, top, bottom = line + 1, t, b
-            numbers.append(line)
-        page["line_no"] = pd.Series(numbers, dtype="int32")
-        return page[["doc_id", "page_no", "word_ord", "text", "l", "b", "r", "t", "bold", "line_no"]]
-
-    ship(words.sparkSession)
-    cols = "doc_id int, page_no int, word_ord int, text string, l double, b double, r double, t double, bold boolean, line_no int"
-    return words.select("doc_id", "page_no", "word_ord", "text", "l", "b", "r", "t", "bold").groupBy("doc_id", "page_no").applyInPandas(sweep, cols)
+    return fold(rows, "doc_id", ["page_no", "down", "l", "word_ord"], "page_no int, word_ord int, text string, l double, b double, r double, t double, bold boolean, line_no int", step, lambda _: ())
 
 
 def group_starts(lines: DataFrame) -> DataFrame:
@@ -106,38 +102,55 @@ def _columns(lines: list[list[tuple]]) -> list[float]:
     return [m for m in means if sum(any(abs(x - m) <= TOLERANCE for x in _starts(line)) for line in lines) >= need]
 
 
+def _grown(ordered: list[list[tuple]]) -> list[tuple[int, int, list[float]]]:
+    """First line, line behind the last, and columns of each run of lines that agree."""
+    out, at = [], 0
+    while at < len(ordered):
+        best, end = None, at + 1
+        while len(ordered[at]) >= LEAST_COLUMNS and end < len(ordered):
+            bottom, top = min(w[1] for w in ordered[end - 1]), max(w[3] for w in ordered[end])
+            if bottom - top >= LINE_GAP * max(1.0, top - min(w[1] for w in ordered[end])):
+                break
+            columns = _columns(ordered[at : end + 1])
+            crossing = any(x - TOLERANCE <= w[0] < y - TOLERANCE and w[2] > y for x, y in zip(columns, columns[1:], strict=False) for w in ordered[end])
+            if len(columns) < LEAST_COLUMNS or crossing:
+                break
+            end += 1
+            if end - at >= LEAST_ROWS:
+                best = (end, columns)
+        if best:
+            out.append((at, *best))
+            at = best[0]
+        else:
+            at += 1
+    return out
+
+
 def candidates(lines: DataFrame) -> DataFrame:
-    """TD4: the longest runs of lines, from each start in turn, that agree on two columns or more. A page is one Python call.
+    """TD4: the longest runs of lines, from each start in turn, that agree on two columns or more. Pages stream past one after another; a task holds the words of one.
 
     Gives doc_id, page_no, table_id, line_no, row_no and the columns' places.
     """
-
-    def grow(page: pd.DataFrame) -> pd.DataFrame:
-        ordered = [list(zip(g["l"], g["b"], g["r"], g["t"], strict=True)) for _, g in page.sort_values(["line_no", "l", "word_ord"]).groupby("line_no")]
-        out, at = [], 0
-        while at < len(ordered):
-            best, end = None, at + 1
-            while len(ordered[at]) >= LEAST_COLUMNS and end < len(ordered):
-                bottom, top = min(w[1] for w in ordered[end - 1]), max(w[3] for w in ordered[end])
-                if bottom - top >= LINE_GAP * max(1.0, top - min(w[1] for w in ordered[end])):
-                    break
-                columns = _columns(ordered[at : end + 1])
-                crossing = any(x - TOLERANCE <= w[0] < y - TOLERANCE and w[2] > y for x, y in zip(columns, columns[1:], strict=False) for w in ordered[end])
-                if len(columns) < LEAST_COLUMNS or crossing:
-                    break
-                end += 1
-                if end - at >= LEAST_ROWS:
-                    best = (end, columns)
-            if best:
-                table = len({o[2] for o in out})
-                out += [(int(page["doc_id"].iloc[0]), int(page["page_no"].iloc[0]), table, i, i - at, best[1]) for i in range(at, best[0])]
-                at = best[0]
-            else:
-                at += 1
-        return pd.DataFrame(out, columns=["doc_id", "page_no", "table_id", "line_no", "row_no", "columns"])
-
-    ship(lines.sparkSession)
-    return lines.groupBy("doc_id", "page_no").applyInPandas(grow, "doc_id int, page_no int, table_id int, line_no int, row_no int, columns array<double>")
+    rows = lines.select("doc_id", *(F.col(c).cast("int").alias(c) for c in ("page_no", "line_no")), "l", "word_ord", "b", "r", "t")
+
+    def found(page: int, ordered: list[list[tuple]], numbers: list[int]) -> list[tuple]:
+        return [(page, k, numbers[i], i - first, x, c) for k, (first, end, columns) in enumerate(_grown(ordered)) for i in range(first, end) for c, x in enumerate(columns)]
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        page, line, l, _, b, r, t = row  # noqa: E741
+        out = []
+        if state is None or state[0] != page:
+            out = found(*state) if state is not None else []
+            state = (page, [], [])
+        if not state[2] or state[2][-1] != line:
+            state[1].append([])
+            state[2].append(line)
+        state[1][-1].append((l, b, r, t))
+        return state, out
+
+    flat = fold(rows, "doc_id", ["page_no", "line_no", "l", "word_ord"], "page_no int, table_id int, line_no int, row_no int, x double, place int", step, lambda state: found(*state))
+    columns = F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda c: c["x"])
+    return flat.groupBy("doc_id", "page_no", "table_id", "line_no", "row_no").agg(columns.alias("columns"))
 
 
 TABLE = ["doc_id", "page_no", "table_id"]

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.operators import blocks as B
 from quire.operators import cursor as C
+from quire.operators import match as J
 from quire.operators import spans as S
+from quire.operators import tables as TD
 from quire.sources import adapters as A
 from quire.sources import printed as P
 
@@ -87,6 +89,63 @@ FROM p CROSS JOIN (VALUES {", ".join(f"('{u}')" for u in C.PIECES)}) x(unit) ASO
 UNION ALL SELECT doc_id, position, 'Character', CASE WHEN position < n THEN position END, CASE WHEN position < n THEN 1 END, CASE WHEN position + 1 < n THEN position + 1 END, CASE WHEN position > 0 AND position - 1 < n THEN position - 1 END FROM p""")
 
 
+# ---- Orders as printed tables -----------------------------------------------------------------------------------------------
+ITEMS = CELLS[: CELLS.index(",\nc AS (")]
+PRINTED = f"{ITEMS}, w AS {P.ORDERS_SQL}, n AS (SELECT doc_id, max(line_no) AS items FROM w GROUP BY 1)"
+PAGE, TABLE = ["doc_id", "page_no"], ["doc_id", "page_no", "table_id"]
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.printed_orders(A.order_cells(spark, sf_dir))
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = orders(spark, sf_dir)
+    return lines, TD.find_columns(TD.group_starts(lines), PAGE)
+
+
+def add(name: str, query, sql: str) -> None:
+    R.add(name, query, f"WITH {PRINTED} {sql}")
+
+
+add("td01_lines_of_orders", lambda s, d: TD.to_lines(orders(s, d)).select("doc_id", "page_no", "line_no", "word_ord", "text"), "SELECT doc_id, page_no, line_no, word_ord, text FROM w")
+add("td02_starts_of_orders", lambda s, d: TD.group_starts(orders(s, d)), "SELECT doc_id, page_no, line_no, l AS start FROM w")
+X = f"[{', '.join(map(str, P.COLUMNS))}]"
+add("td03_columns_of_orders", lambda s, d: _columns(s, d)[1], f"SELECT doc_id, 1 AS page_no, {X}[i] AS x, CAST(i - 1 AS INTEGER) AS column_index, {X}[i + 1] AS next_x FROM n, unnest(range(1, 5)) AS u(i)")
+add("td05_rows_of_orders", lambda s, d: TD.row_respects(*_columns(s, d)), "SELECT doc_id, page_no, line_no, bool_and(r <= [180.0, 300.0, 420.0, 1e9][place + 1]) AS respects FROM w WHERE place < 3 GROUP BY 1, 2, 3")
+add("td11_cells_of_orders", lambda s, d: TD.assign_cells(*_columns(s, d)), "SELECT doc_id, page_no, line_no, place AS column_index, text, bold FROM w")
+add("td04_candidates_of_orders", lambda s, d: TD.candidates(TD.to_lines(orders(s, d))).select("doc_id", "page_no", "table_id", "line_no", "row_no", F.size("columns").alias("n_columns")), "SELECT w.doc_id, 1 AS page_no, 0 AS table_id, line_no, line_no AS row_no, 4 AS n_columns FROM w JOIN n ON n.doc_id = w.doc_id WHERE items >= 2 GROUP BY 1, line_no")
+add("td06_td07_plausible_orders", lambda s, d: TD.plausible(TD.candidate_cells(orders(s, d)), TABLE), "SELECT doc_id, 1 AS page_no, 0 AS table_id, TRUE AS is_table, FALSE AS marker_column FROM n WHERE items >= 2")
+add("td08_td09_headers_of_orders", lambda s, d: TD.headers(TD.candidate_cells(orders(s, d)), TABLE), "SELECT doc_id, 1 AS page_no, 0 AS table_id, TRUE AS header_row, doc_id % 3 = 0 AS header_column FROM n WHERE items >= 2")
+add("td_detected_tables_of_orders", lambda s, d: TD.detect(orders(s, d)), "SELECT doc_id, 1 AS page_no, 0 AS table_id, items + 1 AS n_rows, 4 AS n_columns, TRUE AS header_row, doc_id % 3 = 0 AS header_column FROM n WHERE items >= 2")
+
+
+def texts(words: DataFrame) -> DataFrame:
+    return words.select(*PAGE, F.col("word_ord").alias("ord"), F.lit("Paragraph").alias("kind"), "text", "l", "b", "r", "t")
+
+
+def _rows_as(words: DataFrame, name: str, left: float, right: float) -> DataFrame:
+    """A box a row between two edges, numbered as its line."""
+    return words.filter("place = 0").select(*PAGE, F.col("line_no").alias(name), F.lit(left).alias("l"), "b", F.lit(right).alias("r"), "t")
+
+
+def labels_of_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field at the right of every row, but that of the head, which stands a line above the page's text."""
+    w = orders(spark, sf_dir)
+    f = _rows_as(w, "field_id", 500.0, 560.0)
+    up = F.when(F.col("field_id") == 0, 15.0).otherwise(0.0)
+    return J.nearest_labels(f.withColumn("b", F.col("b") + up).withColumn("t", F.col("t") + up), texts(w))
+
+
+add("j01_labels_of_orders", labels_of_fields, "SELECT doc_id, page_no, line_no AS field_id, CASE WHEN line_no > 0 THEN 1 END AS phase, CASE WHEN line_no > 0 THEN text END AS label FROM w WHERE place = 3")
+add("j04_options_of_orders", lambda s, d: J.option_labels(_rows_as(orders(s, d), "option_id", 40.0, 50.0), texts(orders(s, d))), "SELECT doc_id, page_no, line_no AS option_id, text AS label FROM w WHERE place = 0")
+add("j02_o05_regions_of_orders", lambda s, d: J.words_in(orders(s, d).select(*PAGE).distinct().select(*PAGE, F.lit(1).alias("region_id"), F.lit(0.0).alias("l"), F.lit(0.0).alias("b"), F.lit(400.0).alias("r"), F.lit(842.0).alias("t")), orders(s, d), 6), "SELECT doc_id, page_no, 1 AS region_id, string_agg(text, ' ' ORDER BY word_ord) AS text, 6 AS n_words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY word_ord) AS k FROM w WHERE place < 3) WHERE k <= 6 GROUP BY 1, 2")
+add("j03_first_words_of_orders", lambda s, d: J.first_overlap(_rows_as(orders(s, d), "region_id", 170.0, 560.0), texts(orders(s, d)).drop("kind")), "SELECT doc_id, page_no, line_no AS region_id, arg_min(text, word_ord) AS text FROM w WHERE r > 170 GROUP BY 1, 2, 3")
+add("j05_enclosing_words_of_orders", lambda s, d: J.smallest_enclosing(orders(s, d).select(*PAGE, F.col("word_ord").alias("point_id"), ((F.col("l") + F.col("r")) / 2).alias("x"), ((F.col("b") + F.col("t")) / 2).alias("y")), orders(s, d).select(*PAGE, F.col("word_ord").alias("element_id"), F.col("word_ord").alias("ord"), "l", "b", "r", "t"), 2.0), "SELECT doc_id, page_no, word_ord AS point_id, word_ord AS element_id FROM w")
+R.add("t30_rows_of_orders", lambda s, d: TD.grid(spanned_cells(s, d).withColumn("column_index", F.col("cell_ord")).select("table_id", "row_no", "column_index", "text", "role")), f"""WITH {CELLS[: CELLS.index("st AS (") - 2]}, h AS (SELECT table_id, cell_ord, text AS name FROM c WHERE row_no = 1)
+SELECT c.table_id, c.row_no, max(c.text) FILTER (WHERE c.role = 'RowHeader') AS row_label, string_agg(h.name, '|' ORDER BY c.cell_ord) AS names, string_agg(c.text, '|' ORDER BY c.cell_ord) AS texts FROM c JOIN h ON h.table_id = c.table_id AND h.cell_ord = c.cell_ord WHERE c.row_no > 1 GROUP BY 1, 2""")
+
+
 def queries() -> dict:
     return R.queries
 

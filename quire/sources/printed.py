@@ -36,3 +36,27 @@ SELECT *, CASE WHEN part = 2 THEN {LEFT + COLUMN + GUTTER} ELSE {LEFT} END + {CH
 SELECT *, CAST(CASE part WHEN 0 THEN 0 WHEN 1 THEN (n - {HEAD}) // {PER_LINE} ELSE (n - {HEAD + LINES * PER_LINE}) // {PER_LINE} END AS INTEGER) AS line_no FROM (
 SELECT *, CASE WHEN n < {HEAD} THEN 0 WHEN n < {HEAD + LINES * PER_LINE} THEN 1 ELSE 2 END AS part FROM (
 SELECT doc_id, i - 1 AS true_ord, CAST((i - 1) // {PER_PAGE} + 1 AS INTEGER) AS page_no, (i - 1) % {PER_PAGE} AS n, substr(ws[i], 1, {LONGEST}) AS text FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents), unnest(range(1, len(ws) + 1)) AS u(i))))))"""
+
+#: Printed tables: where the columns start, their heads, and the height of a row.
+COLUMNS, HEADS, ROW = (60.0, 180.0, 300.0, 420.0), ("Part", "Flag", "Status", "Supplier"), 20.0
+
+
+def printed_orders(cells: DataFrame) -> DataFrame:
+    """Orders as printed tables, a page each: a bold head, and a row an item; of every third order the flag stands first. cells: table_id, row_no (from 1), column_index, text. Gives doc_id, page_no, word_ord, text, l, b, r, t, bold, line_no, place."""
+    c = F.col
+    body = cells.select("table_id", "row_no", "column_index", "text")
+    heads = cells.select("table_id").distinct().select("table_id", F.lit(0).alias("row_no"), F.posexplode(F.array(*map(F.lit, HEADS))).alias("column_index", "text"))
+    w = body.unionByName(heads)
+    swapped = F.when(c("column_index") == 0, 1).when(c("column_index") == 1, 0).otherwise(c("column_index"))
+    place = F.when(c("table_id") % 3 == 0, swapped).otherwise(c("column_index"))
+    x = F.get(F.array(*map(F.lit, COLUMNS)), place.cast("int"))
+    top = F.lit(TOP) - ROW * c("row_no")
+    return w.select(
+        c("table_id").cast("int").alias("doc_id"), F.lit(1).alias("page_no"), (c("row_no") * 4 + place).cast("int").alias("word_ord"), "text", x.alias("l"), (top - SIZE).alias("b"), (x + CHAR * F.length("text")).alias("r"), top.alias("t"),
+        (c("row_no") == 0).alias("bold"), c("row_no").cast("int").alias("line_no"), place.cast("int").alias("place"),
+    )
+
+
+#: The same in DuckDB over ``c0`` (table_id, row_no, cell_ord, text).
+ORDERS_SQL = f"""(SELECT CAST(table_id AS INTEGER) AS doc_id, 1 AS page_no, CAST(row_no * 4 + place AS INTEGER) AS word_ord, text, [{', '.join(map(str, COLUMNS))}][place + 1] AS l, {TOP} - {ROW} * row_no - {SIZE} AS b, [{', '.join(map(str, COLUMNS))}][place + 1] + {CHAR} * length(text) AS r, {TOP} - {ROW} * row_no AS t, row_no = 0 AS bold, CAST(row_no AS INTEGER) AS line_no, place
+FROM (SELECT *, CAST(CASE WHEN table_id % 3 = 0 AND cell_ord < 2 THEN 1 - cell_ord ELSE cell_ord END AS INTEGER) AS place FROM (SELECT table_id, row_no, cell_ord, text FROM c0 UNION ALL SELECT table_id, 0, unnest([0, 1, 2, 3]), unnest([{', '.join(repr(h) for h in HEADS)}]) FROM (SELECT DISTINCT table_id FROM c0))))"""
