@@ -23,6 +23,11 @@ def quoted(text: str) -> str:
     return parts[0] if len(parts) == 1 else "concat(" + ", chr(39), ".join(parts) + ")"
 
 
+def duck(expression: str) -> str:
+    """The same expression for DuckDB."""
+    return expression.replace(" AS STRING)", " AS VARCHAR)")
+
+
 def escaped(x: str) -> str:
     """T19 as SQL."""
     out = f"coalesce({x}, '')"

@@ -163,13 +163,17 @@ def full_line(mode: str) -> Column:
     )
 
 
+#: Columns with which tables, lists, cells and fields have lines of their own.
+FULL = {"target", "rows", "columns", "has_header", "items", "label", "required", "read_only", "value", "has_value"}
+
+
 def linear_text(elements: DataFrame, mode: str = "Structured") -> DataFrame:
     """doc_id, reading_order, start, length, line: lines with a rule where the page rises, and each line's place in the whole text.
 
-    Lines are parted by two line breaks of two characters. The text of a document is the lines and rules in order.
+    Elements with the columns of FULL get the lines of full_line, others those of text_line. Lines are parted by two line breaks of two characters. The text of a document is the lines and rules in order.
     """
     w = Window.partitionBy("doc_id").orderBy("reading_order")
-    e = elements.withColumn("line", text_line(mode)).filter("line IS NOT NULL")
+    e = elements.withColumn("line", full_line(mode) if FULL <= set(elements.columns) else text_line(mode)).filter("line IS NOT NULL")
     before = F.max("page_no").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rise = (F.col("page_no") > F.coalesce(before, F.lit(0))) & (F.col("page_no") > 0) & F.lit(mode != "Raw")
     rule = F.when(rise, F.concat(F.lit("--- Page "), F.col("page_no").cast("string"), F.lit(" ---\r\n\r\n"))).otherwise("")

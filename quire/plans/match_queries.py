@@ -52,7 +52,13 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 THREADS = "(SELECT conv_id AS doc_id, turn AS annotation_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS in_reply_to, role AS author, text FROM conversations)"
 R.add("j12_s08_replies", j12, f"WITH t AS {THREADS} SELECT t.doc_id, t.annotation_id, t.author, count(r.doc_id) AS replies FROM t LEFT JOIN t r ON r.doc_id = t.doc_id AND r.in_reply_to = t.annotation_id GROUP BY 1, 2, 3")
-R.add("j14_element_by_id", lambda s, d: A.text_elements(s, d).filter("doc_id = 7 AND reading_order = 0").select("doc_id", "reading_order", "kind", "text"), f"SELECT doc_id, CAST(reading_order AS INTEGER) AS reading_order, kind, text FROM {LINES} WHERE doc_id = 7 AND reading_order = 0")
+def by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the element asked for, of which some aren't there."""
+    asked = A.read(spark, sf_dir, "documents", "doc_id").select("doc_id", (F.col("doc_id") % 9).cast("int").alias("reading_order"))
+    return asked.join(A.text_elements(spark, sf_dir), ["doc_id", "reading_order"], "left").select("doc_id", "reading_order", "kind", "text")
+
+
+R.add("j14_element_by_id", by_ids, f"SELECT d.doc_id, CAST(d.doc_id % 9 AS INTEGER) AS reading_order, l.kind, l.text FROM documents d LEFT JOIN {LINES} l ON l.doc_id = d.doc_id AND l.reading_order = d.doc_id % 9")
 ANN = Fixture("ann", "doc_id int, object_id int, struct_key int", ((1, 1, 5), (1, 2, None), (1, 3, 6), (1, 4, None)))
 TREE = Fixture("ptree", "doc_id int, struct_key int, tag_id int", ((1, 5, 50),))
 REFS = Fixture("refs", "doc_id int, object_id int, tag_id int, depth int", ((1, 2, 60, 3), (1, 2, 61, 2), (1, 3, 62, 25), (1, 1, 63, 1)))

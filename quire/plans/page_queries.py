@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.operators import document as D
+from quire.operators import render as K
 from quire.operators import tree as TR
 from quire.sources import adapters as A
 from quire.sources import markup as M
 
+from . import render_queries
 from .fixture import Registry, sql_literal
 from .text_queries import HUMAN, PX, READABLE, sql_map
 
@@ -149,6 +151,39 @@ c AS (SELECT doc_id, element_id AS link, {LOCAL} AS name, {LOCAL} AS now, 0 AS d
 z AS (SELECT c.doc_id, c.link, max(f.element_id) AS target FROM c JOIN f ON f.doc_id = c.doc_id AND f.name = c.now WHERE f.next_name = '' GROUP BY 1, 2)
 SELECT c.doc_id, c.link AS element_id, c.name, z.target AS target_id, (SELECT max(h.element_id) FROM e h WHERE h.kind = 'Heading' AND h.doc_id = c.doc_id AND h.element_id <= z.target) AS heading_id FROM c LEFT JOIN z ON z.doc_id = c.doc_id AND z.link = c.link WHERE c.depth = 0""")
 
+# ---- Lines and lists --------------------------------------------------------------------------------------------------------
+def lined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements with all that their lines say (K.FULL)."""
+    e = elements(spark, sf_dir)
+    a = lambda n: F.try_element_at("attrs", F.lit(n))
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    below = e.filter("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("element_id")).agg(F.count_if(F.col("kind") == "ListItem").alias("items"), F.count_if(F.col("kind") == "TableRow").alias("rows"))
+    cells = e.filter("kind = 'TableCell'").groupBy("doc_id", a("#table").try_cast("int").alias("element_id")).agg((F.max("sibling_ord") + 1).alias("columns"), F.bool_or(F.col("role") != "Data").alias("has_header"))
+    value = F.when(F.col("kind") == "FormField", F.coalesce(some(a("value")), F.when(F.col("tag") == "textarea", some(F.col("text")))))
+    e = e.join(below, list(KEYS), "left").join(cells, list(KEYS), "left").withColumns({
+        "page_no": F.lit(1), "alt": a("alt"), "decorative": F.coalesce(a("alt") == "", F.lit(False)), "artifact_type": F.lit("footer"), "target": a("href"), "label": F.coalesce(some(a("aria-label")), some(a("title")), some(a("#label")), some(a("name")), F.lit("unlabelled field")),
+        "required": a("required").isNotNull(), "read_only": a("readonly").isNotNull(), "value": value, "has_value": value.isNotNull(), "text": F.when(F.col("kind") == "FormField", None).otherwise(F.col("text")),
+    })
+    return e.na.fill(0, ["items", "rows", "columns"]).na.fill(False, ["has_header"])
+
+
+def _lined_sql() -> str:
+    at, some = M.attribute_sql, lambda x: f"nullif(trim({x}), '')"
+    value = f"CASE WHEN kind = 'FormField' THEN coalesce({some(at('value'))}, CASE WHEN tag = 'textarea' THEN nullif(text, '') END) END"
+    return f"""below AS (SELECT doc_id, parent_id AS element_id, count(*) FILTER (WHERE kind = 'ListItem') AS items, count(*) FILTER (WHERE kind = 'TableRow') AS n_rows FROM e GROUP BY 1, 2), cells AS (SELECT doc_id, table_id AS element_id, max(sibling_ord) + 1 AS n_columns, bool_or(role <> 'Data') AS has_header FROM e WHERE kind = 'TableCell' GROUP BY 1, 2),
+x AS (SELECT e.doc_id, e.element_id, reading_order, kind, tag, level, 1 AS page_no, CASE WHEN kind <> 'FormField' THEN text END AS text, {at('alt')} AS alt, coalesce({at('alt')} = '', FALSE) AS decorative, 'footer' AS artifact_type, {at('href')} AS target, coalesce(n_rows, 0) AS rows, coalesce(n_columns, 0) AS columns, coalesce(has_header, FALSE) AS has_header, coalesce(items, 0) AS items,
+coalesce({some(at('aria-label'))}, {some(at('title'))}, {some('label')}, {some(at('name'))}, 'unlabelled field') AS label, {at('required')} IS NOT NULL AS required, {at('readonly')} IS NOT NULL AS read_only, {value} AS value, {value} IS NOT NULL AS has_value FROM e LEFT JOIN below USING (doc_id, element_id) LEFT JOIN cells USING (doc_id, element_id))"""
+
+
+FULL_LINE = render_queries.R.scalars["x02_lines_of_all_kinds"][1]["line"][1]
+R.add("k02_x02_text_of_pages", lambda s, d: K.linear_text(lined(s, d)), render_queries.text_sql("x", "Structured", FULL_LINE).replace("WITH e AS", f"WITH {TREES}, {_lined_sql()}, y AS").replace("FROM e WHERE line IS", "FROM y WHERE line IS"))
+
+#: What stands in the lists of headings, links, fields, images and tables. SQL of both engines over the columns of lined().
+PICKER = """CASE kind WHEN 'Heading' THEN concat(CASE WHEN trim(text) = '' THEN '(no text)' ELSE trim(text) END, ', level ', CAST(level AS STRING)) WHEN 'Link' THEN concat(CASE WHEN trim(text) = '' THEN '(no text)' ELSE trim(text) END, ', ', coalesce(target, '(no target)'))
+WHEN 'FormField' THEN concat(label, CASE WHEN required THEN ', required' ELSE '' END, CASE WHEN has_value THEN concat(', ', value) ELSE ', not filled in' END) WHEN 'Figure' THEN CASE WHEN decorative THEN '(decorative)' ELSE coalesce(nullif(trim(alt), ''), '(no description)') END
+WHEN 'Table' THEN concat(CAST(rows AS STRING), ' by ', CAST(columns AS STRING), CASE WHEN has_header THEN '' ELSE ', no headers' END) WHEN 'List' THEN concat(CAST(items AS STRING), ' items') END"""
+R.add("n08_lists_of_pages", lambda s, d: lined(s, d).withColumn("line", F.expr(PICKER)).filter("line IS NOT NULL").select(*KEYS, "kind", "line", F.row_number().over(_by("doc_id", "kind", order="element_id")).alias("nth")), f"WITH {TREES}, {_lined_sql()}, l AS (SELECT *, {D.duck(PICKER)} AS line FROM x) SELECT doc_id, element_id, kind, line, CAST(row_number() OVER (PARTITION BY doc_id, kind ORDER BY element_id) AS INTEGER) AS nth FROM l WHERE line IS NOT NULL")
+
 # ---- Whole documents --------------------------------------------------------------------------------------------------------
 def _rows_sql() -> str:
     """D.rows in DuckDB, as r."""
@@ -169,13 +204,9 @@ r AS (SELECT r1.*, CASE WHEN trim(coalesce(own_label, '')) <> '' THEN 'own' ELSE
 EXISTS (SELECT 1 FROM by_row x WHERE x.doc_id = r1.doc_id AND x.table_id = r1.element_id AND r1.kind = 'Table') AS has_rows FROM r1 LEFT JOIN fields f ON f.doc_id = r1.doc_id AND f.for_id = r1.for_id LEFT JOIN by_row b ON b.doc_id = r1.doc_id AND b.row_id = CASE r1.kind WHEN 'TableCell' THEN r1.parent_id WHEN 'TableRow' THEN r1.element_id END)"""
 
 
-def _duck(expr: str) -> str:
-    return expr.replace(" AS STRING)", " AS VARCHAR)")
-
-
 CHUNKED = f"SELECT doc_id, CAST(n // {D.CHUNK} AS INTEGER) AS chunk_no, string_agg(markup, '' ORDER BY n) AS html FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, phase, nth) - 1 AS n FROM ev) GROUP BY 1, 2"
 R.add("k01_html_of_pages", lambda s, d: D.html_of(trees(s, d).select("doc_id", *M.NAMES)), f"""WITH {TREES}, {_rows_sql()}, doc AS (SELECT doc_id, arg_min(text, element_id) FILTER (WHERE kind = 'Title') AS title, max({M.attribute_sql('lang')}) FILTER (WHERE tag = 'html') AS lang FROM t GROUP BY 1),
-ev AS (SELECT doc_id, element_id AS place, 0 AS phase, 0 AS nth, {_duck(D.OPEN)} AS markup FROM r UNION ALL SELECT doc_id, last_id, 1, -element_id, {_duck(D.CLOSE)} FROM r UNION ALL SELECT doc_id, {D.FIRST}, 0, 0, {_duck(D.HEAD)} FROM doc UNION ALL SELECT doc_id, {D.LAST}, 1, 0, {D.FOOT} FROM doc) {CHUNKED.replace('FROM ev', "FROM ev WHERE markup <> ''")}""")
+ev AS (SELECT doc_id, element_id AS place, 0 AS phase, 0 AS nth, {D.duck(D.OPEN)} AS markup FROM r UNION ALL SELECT doc_id, last_id, 1, -element_id, {D.duck(D.CLOSE)} FROM r UNION ALL SELECT doc_id, {D.FIRST}, 0, 0, {D.duck(D.HEAD)} FROM doc UNION ALL SELECT doc_id, {D.LAST}, 1, 0, {D.FOOT} FROM doc) {CHUNKED.replace('FROM ev', "FROM ev WHERE markup <> ''")}""")
 
 
 def comment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +221,7 @@ def comment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 R.add("h09_comment_threads", comment_threads, f"""WITH RECURSIVE c AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS element_id, CAST(CASE WHEN lag(turn) OVER w IS NULL THEN NULL WHEN turn % 4 = 3 THEN min(turn) OVER (PARTITION BY conv_id) ELSE lag(turn) OVER w END AS INTEGER) AS parent_id, role AS author, text, CASE WHEN lag(turn) OVER w IS NULL THEN 'conversation ' || conv_id END AS anchored FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 p AS (SELECT doc_id, element_id, [element_id] AS path FROM c WHERE parent_id IS NULL UNION ALL SELECT c.doc_id, c.element_id, list_append(p.path, c.element_id) FROM c JOIN p ON p.doc_id = c.doc_id AND p.element_id = c.parent_id),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY path) - 1 AS i FROM p), w AS (SELECT o.doc_id, o.element_id, o.i, (SELECT max(x.i) FROM o x WHERE x.doc_id = o.doc_id AND list_contains(x.path, o.element_id)) AS z FROM o),
-ev AS (SELECT w.doc_id, i AS place, 0 AS phase, 0 AS nth, {_duck(D.COMMENT)} AS markup FROM w JOIN c USING (doc_id, element_id) UNION ALL SELECT doc_id, z, 1, -i, '</aside>' FROM w) {CHUNKED}""")
+ev AS (SELECT w.doc_id, i AS place, 0 AS phase, 0 AS nth, {D.duck(D.COMMENT)} AS markup FROM w JOIN c USING (doc_id, element_id) UNION ALL SELECT doc_id, z, 1, -i, '</aside>' FROM w) {CHUNKED}""")
 
 
 def queries() -> dict:

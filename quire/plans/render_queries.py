@@ -86,9 +86,9 @@ def line_sql(mode: str) -> str:
     return f"CASE WHEN kind IN ('Document', 'Page', 'Section') THEN NULL WHEN kind = 'Artifact' THEN {art} WHEN kind = 'Figure' THEN {FIG} WHEN {TRIM} = '' THEN NULL WHEN kind = 'Heading' THEN 'Heading ' || coalesce(level, 0) || ': ' || {TRIM} WHEN kind = 'ListItem' THEN '  • ' || {TRIM} WHEN kind = 'Link' THEN '[Link: ' || {TRIM} || ']' WHEN kind = 'Caption' THEN 'Caption: ' || {TRIM} WHEN kind = 'BlockQuote' THEN 'Quote: ' || {TRIM} WHEN kind = 'Annotation' THEN '[comment: ' || {TRIM} || ']' ELSE {TRIM} END"
 
 
-def text_sql(t: str, mode: str) -> str:
+def text_sql(t: str, mode: str, line: str | None = None) -> str:
     rule = "0" if mode == "Raw" else "CASE WHEN page_no > coalesce(max(page_no) OVER (PARTITION BY doc_id ORDER BY reading_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AND page_no > 0 THEN length('--- Page ' || page_no || ' ---') + 4 ELSE 0 END"
-    return f"""WITH e AS (SELECT *, {line_sql(mode)} AS line FROM {t}), k AS (SELECT *, {rule} AS rule, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order) = 1 AS first FROM e WHERE line IS NOT NULL),
+    return f"""WITH e AS (SELECT *, {line or line_sql(mode)} AS line FROM {t}), k AS (SELECT *, {rule} AS rule, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order) = 1 AS first FROM e WHERE line IS NOT NULL),
 l AS (SELECT *, CASE WHEN first THEN 0 WHEN rule > 0 THEN 2 ELSE 0 END + rule + CASE WHEN rule > 0 OR NOT first THEN 4 ELSE 0 END AS lead FROM k)
 SELECT doc_id, CAST(reading_order AS INTEGER) AS reading_order, CAST(sum(lead + length(line)) OVER (PARTITION BY doc_id ORDER BY reading_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(line) AS BIGINT) AS start, CAST(length(line) AS INTEGER) AS length, line FROM l"""
 
