@@ -22,6 +22,26 @@ def sql_literal(value: object) -> str:
     return "'" + str(value).replace("'", "''") + "'"
 
 
+#: Frames that stand in for fixtures while a query over tables is put together.
+_stand_ins: dict[int, DataFrame] = {}
+
+
+@dataclass(frozen=True)
+class Source:
+    """Rows of given tables for both engines: SQL that both know over tables of TABLES, or a frame of its own with its SQL."""
+
+    sql: str
+    frame: Callable[[SparkSession, str], DataFrame] | None = None
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        if self.frame is not None:
+            return self.frame(spark, sf_dir)
+        text, names = self.sql, [n for n in TABLES if re.search(rf"\b(FROM|JOIN) {n}\b", self.sql)]
+        for n in names:  # in braces, so that Spark takes the frames for them
+            text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
+        return spark.sql(text, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+
+
 @dataclass(frozen=True)
 class Fixture:
     """``columns`` as 'name type, ...' with the types of TYPES."""
@@ -34,6 +54,8 @@ class Fixture:
         return [tuple(x.split()) for x in self.columns.split(",")]
 
     def df(self, spark: SparkSession) -> DataFrame:
+        if id(self) in _stand_ins:
+            return _stand_ins[id(self)]
         text = ", ".join(f"{n} {'string' if t == 'timestamp' else t}" for n, t in self.fields())
         out = spark.createDataFrame(list(self.rows), text)
         for n, t in self.fields():
@@ -64,17 +86,32 @@ class Registry:
         if sql:
             self.sql[name] = sql
 
+    def instead(self, name: str, of: tuple[Registry, str], sources: dict[int, tuple[Fixture, Source]]) -> None:
+        """A query of another registry over rows of given tables in place of its fixtures, in both engines."""
+        registry, query = of
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            for key, (fixture, source) in sources.items():
+                df = source.df(spark, sf_dir)
+                _stand_ins[key] = df.select(*(df[n].cast({"long": "bigint"}.get(t, t)).alias(n) for n, t in fixture.fields()))
+            try:
+                return registry.queries[query](spark, sf_dir)
+            finally:
+                for key in sources:
+                    del _stand_ins[key]
+
+        sql = registry.sql[query]
+        for fixture, source in sources.values():
+            casts = ", ".join(f"CAST({n} AS {TYPES[t]}) AS {n}" for n, t in fixture.fields())
+            sql = sql.replace(fixture.sql(), f"(SELECT {casts} FROM ({source.sql}))")
+        self.add(name, run, sql)
+
     def over(self, name: str, scalars: Registry, of: str, source: str) -> None:
         """The query ``of`` of column functions over rows of given tables instead of its fixture. source: SQL of both engines for a table with the fixture's columns, ``id`` among them, over tables of TABLES."""
         fixture, outputs, _ = scalars.scalars[of]
-        names = [n for n in TABLES if re.search(rf"\b{n}\b", source)]
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # The tables' names are set in braces, so that Spark takes the frames for them; what is read of them is what the source asks for.
-            text = source
-            for n in names:
-                text = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", text)
-            df = spark.sql(text, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+            df = Source(source).df(spark, sf_dir)
             types = {n: {"long": "bigint"}.get(t, t) for n, t in fixture.fields() if n != "id"}
             df = df.select("id", *(df[n].cast(t).alias(n) for n, t in types.items()))
             return df.select("id", *((c() if callable(c) else c).alias(n) for n, (c, _) in outputs.items()))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from . import field_queries, render_queries, structure_queries, text_queries
-from .fixture import Registry
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.sources import adapters as A
+from quire.sources import markup as M
+from quire.sources import printed as P
+
+from . import change_queries, field_queries, match_queries, render_queries, structure_queries, text_queries, tree_queries
+from .fixture import Fixture, Registry, Source
 
 R = Registry()
 TEXT, FIELD, RENDER, STRUCTURE = text_queries.R, field_queries.R, render_queries.R, structure_queries.R
@@ -89,6 +96,89 @@ for _name, _of, _source in (
     R.over(_name, STRUCTURE, _of, _source)
 
 
+# ---- Queries over tables in place of their fixtures -------------------------------------------------------------------------
+def _instead(names: str, module, suffix: str, **sources: Source) -> None:
+    """Queries of a module, each with the module's fixtures of the given names replaced."""
+    found: dict[int, tuple[Fixture, Source]] = {id(getattr(module, n)): (getattr(module, n), s) for n, s in sources.items()}
+    for name in names.split():
+        R.instead(f"{name}_of_{suffix}", (module.R, name), found)
+
+
+def _split(columns: str) -> list[str]:
+    """The expressions of a select list, parted at the commas outside brackets and quotes."""
+    out, depth, quote, now = [], 0, False, ""
+    for c in columns.replace("\n", " "):
+        quote ^= c == "'"
+        depth += (c == "(") - (c == ")") if not quote else 0
+        if c == "," and not depth and not quote:
+            out.append(now)
+            now = ""
+        else:
+            now += c
+    return [*out, now]
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = P.printed_words(A.read(spark, sf_dir, "documents", "doc_id", "text"))
+    return w.withColumns({"word_ord": F.col("true_ord") % P.PER_PAGE, "font": F.when(F.col("part") == 0, "Arial-Bold").otherwise("Times"), "italic": F.col("true_ord") % 7 < 4})
+
+
+def _page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.lit(P.WIDTH).alias("width"), F.lit(P.HEIGHT).alias("height"))
+
+
+WORDS = Source(f"SELECT *, true_ord % {P.PER_PAGE} AS word_ord, CASE WHEN part = 0 THEN 'Arial-Bold' ELSE 'Times' END AS font, true_ord % 7 < 4 AS italic FROM {P.PRINTED_SQL}", _words)
+SIZES = Source(f"SELECT doc_id, page_no, {P.WIDTH} AS width, {P.HEIGHT} AS height FROM {P.PRINTED_SQL} GROUP BY 1, 2", _page_sizes)
+_instead("c01_body_size c02_a02_left_margin c03_c04_block_type s04_lines_of_words", structure_queries, "documents", WORDS=WORDS)
+_FOOT = "SELECT doc_id, page_no, 200 + k AS word_ord, CASE k WHEN 0 THEN 'Page' ELSE CAST(page_no AS STRING) END AS text, 280.0 + 30 * k AS l, 30.0 AS b, 300.0 + 30 * k AS r, 40.0 AS t, 'Times' AS font, 8.0 AS size, FALSE AS bold, FALSE AS italic"
+
+
+def _with_feet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed words with a page number at the foot of each page."""
+    w = _words(spark, sf_dir)
+    feet = w.select("doc_id", "page_no").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr(*_split(_FOOT.removeprefix("SELECT ")))
+    return w.select(*feet.columns).unionByName(feet)
+
+
+FEET = Source(f"SELECT doc_id, page_no, word_ord, text, l, b, r, t, font, size, bold, italic FROM ({WORDS.sql}) UNION ALL {_FOOT.replace(' AS STRING)', ' AS VARCHAR)')} FROM (SELECT DISTINCT doc_id, page_no FROM {P.PRINTED_SQL}), unnest([0, 1]) AS q(k)", _with_feet)
+_instead("c05_a03_furniture_words c05_furniture_lines c14_j13_mark_furniture", structure_queries, "documents", WORDS=FEET, PAGES=SIZES)
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.page_tree(A.customer_pages(spark, sf_dir)).filter("kind <> 'Run'")
+
+
+TREE_SQL = f"(SELECT * FROM {M.tree_sql(f'({A.CUSTOMER_PAGES})')} WHERE kind <> 'Run')"
+_BOX = "CASE WHEN last_id = element_id THEN 10.0 + element_id ELSE 0.0 END"
+_TREE_COLUMNS = f"""doc_id, element_id, parent_id, sibling_ord, kind, CASE WHEN kind = 'Heading' THEN CAST(substr(tag, 2, 1) AS INT) END AS level, CASE tag WHEN 'th' THEN 'ColumnHeader' WHEN 'td' THEN 'Data' END AS role, text, 1 AS page_no, {_BOX} AS l, {_BOX} AS b, 2 * {_BOX} AS r, 3 * {_BOX} AS t,
+kind = 'FormField' AND element_id % 4 = 0 AS needs_attention, CAST(NULL AS STRING) AS annotation_kind"""
+TREE = Source(f"SELECT {_TREE_COLUMNS} FROM {TREE_SQL}", lambda s, d: _tree(s, d).selectExpr(*_split(_TREE_COLUMNS)))
+_ELEMENT_COLUMNS = "doc_id, element_id, parent_id, 1 + element_id % 2 AS page_no, kind, CASE WHEN kind = 'Paragraph' AND element_id % 3 = 0 THEN ' ' ELSE text END AS text, tag <> '#text' AS from_tags"
+ELEMENTS = Source(f"SELECT {_ELEMENT_COLUMNS} FROM {TREE_SQL}", lambda s, d: _tree(s, d).selectExpr(*_split(_ELEMENT_COLUMNS)))
+_TAG_COLUMNS = """doc_id, element_id, 1 AS page_no, CASE kind WHEN 'Paragraph' THEN 'P' WHEN 'List' THEN 'L' WHEN 'ListItem' THEN 'LI' WHEN 'TableRow' THEN 'TR' WHEN 'Section' THEN 'Sect' WHEN 'Link' THEN 'Span' WHEN 'Label' THEN '' ELSE upper(tag) END AS tag, CASE WHEN element_id % 3 = 0 THEN 'Row' WHEN element_id % 3 = 1 THEN 'Column' END AS scope,
+CASE WHEN element_id % 2 = 0 THEN 'UpperRoman' END AS numbering, CASE WHEN element_id % 5 = 0 THEN 'Footer' END AS subtype, CASE WHEN element_id % 4 = 0 THEN text END AS actual_text, CASE WHEN element_id % 7 = 0 THEN concat(text, ' ') END AS expanded, CASE WHEN element_id % 6 = 0 THEN ' fr ' END AS lang, CASE WHEN kind = 'Figure' THEN concat(' ', text) END AS alt"""
+TAGS = Source(f"SELECT {_TAG_COLUMNS} FROM {TREE_SQL}", lambda s, d: _tree(s, d).selectExpr(*_split(_TAG_COLUMNS)))
+
+
+_instead("c13_remove_empties c22_image_only_pages c23_tagged_status", structure_queries, "pages", ELEMENTS=ELEMENTS)
+_instead("c15_strategy c16_c17_c19_c20_tags", structure_queries, "pages", TAGGED=TAGS)
+_instead("g04_bounds_roll_up n01_n02_next_links n05_position_in_tree", tree_queries, "pages", TREE=TREE)
+_instead("c21_o03_tab_order", structure_queries, "lineitems", FIELDS=Source("SELECT l_orderkey AS doc_id, l_linenumber * 1000000 + l_partkey % 1000000 AS field_id, 1 + l_linenumber % 2 AS page_no, CAST(l_suppkey % 9 AS DOUBLE) AS l, CAST(l_partkey % 7 AS DOUBLE) AS t FROM lineitem"))
+_TOP = "CAST(l_partkey % 97 AS DOUBLE) AS t FROM lineitem"
+_instead("c24_insert_tables", structure_queries, "lineitems", BLOCKTOPS=Source(f"SELECT l_orderkey AS doc_id, 1 AS page_no, l_linenumber AS ord, {_TOP}"), TABLETOPS=Source(f"SELECT l_orderkey AS doc_id, 1 AS page_no, l_linenumber AS table_id, CAST(l_suppkey % 89 AS DOUBLE) AS t FROM lineitem"))
+OPTIONS = Source("SELECT n_regionkey AS field, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS ord, concat('N', CAST(n_nationkey AS STRING)) AS export, n_name AS display FROM nation")
+ASKED = Source("SELECT c_custkey AS id, n_regionkey AS field, CASE c_custkey % 5 WHEN 0 THEN n_name WHEN 1 THEN lower(n_name) WHEN 2 THEN concat('n', CAST(c_nationkey AS STRING)) WHEN 3 THEN substr(n_name, 1, CAST(1 + c_custkey % 11 AS INT)) ELSE '' END AS x FROM customer JOIN nation ON c_nationkey = n_nationkey")
+_instead("v12_radio_match v13_choice_match", field_queries, "customers", OPTIONS=OPTIONS, ASKED=ASKED)
+_instead("v14_multi_choice", field_queries, "customers", OPTIONS=OPTIONS, MULTI=Source("SELECT c_custkey AS id, n_regionkey AS field, CASE c_custkey % 3 WHEN 0 THEN concat(n_name, '; ', lower(n_name)) WHEN 1 THEN concat('N', CAST(c_nationkey AS STRING), ';nowhere') ELSE ' ;' END AS x FROM customer JOIN nation ON c_nationkey = n_nationkey"))
+_instead("v15_select_by_index", field_queries, "customers", OPTIONS=OPTIONS, PICKS=Source("SELECT c_custkey AS id, n_regionkey AS field, c_custkey % 8 - 1 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey"))
+LOG = Source("SELECT user_id AS doc_id, event_id AS seq, ts AS made_at, CASE event_id % 7 WHEN 0 THEN 'SetFieldValue' WHEN 1 THEN 'AddAnnotation' WHEN 2 THEN 'DeleteAnnotation' WHEN 3 THEN 'FlattenSignature' WHEN 4 THEN 'SetHeadingLevel' WHEN 5 THEN 'AddTag' ELSE 'SetAltText' END AS op, concat('t', CAST(event_id % 23 AS STRING)) AS target, event_type AS value, event_id % 3 = 0 AS is_unsaved, event_id % 2 = 0 AS real_tags FROM events")
+_instead("f06_expected_changes e01_state_of_log a05_e06_highest_risk e07_deleted_annotations", change_queries, "events", LOG=LOG)
+CHANGED = Source("SELECT c_nationkey AS doc_id, c_name AS name, c_mktsegment AS value, c_custkey % 9 = 0 AS pending_signature FROM customer")
+SAVED = Source("SELECT c_nationkey AS doc_id, c_name AS name, c_custkey AS raw_id FROM customer WHERE c_custkey % 4 <> 1")
+_instead("j10_missing_fields j11_edited_fields", match_queries, "customers", CHANGED=CHANGED, SAVED=SAVED)
+_instead("j07_span_at_offset", match_queries, "lineitems", SPANS=Source("SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS element_id, l_linenumber * 10 AS start, 3 + l_linenumber AS length FROM lineitem"), PLACES=Source("SELECT DISTINCT l_orderkey AS doc_id, l_linenumber * 9 AS position FROM lineitem"))
+
+
 def queries() -> dict:
     return R.queries
 
