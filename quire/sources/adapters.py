@@ -54,7 +54,8 @@ WHEN c_custkey % 9 = 4 THEN '<label>Remarks <textarea name="t7" readonly>none &a
 
 def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
-    return spark.sql(CUSTOMER_PAGES.replace("FROM customer", "FROM {customer}"), customer=c)
+    # A row of a few numbers becomes a page: dealt out first, so that a small file doesn't make one task of all pages.
+    return spark.sql(CUSTOMER_PAGES.replace("FROM customer", "FROM {customer}"), customer=c.repartition(spark.sparkContext.defaultParallelism))
 
 
 def edit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
