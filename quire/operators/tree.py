@@ -208,7 +208,7 @@ def structure_tree(walked: DataFrame, pairs: DataFrame, marks: DataFrame) -> Dat
 
     marks: doc_id, element_id, page_no, mcid.
     """
-    t = walked.withColumn("tag", tag("kind", "level", "role"))
+    t = walked.drop("parent_tag", "m").withColumn("tag", tag("kind", "level", "role"))
     own = marks.groupBy("doc_id", "element_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "mcid"))).alias("m"))
     t = t.join(own, ["doc_id", "element_id"], "left")
     written = t.filter("tag IS NOT NULL AND m IS NOT NULL").select("doc_id", "element_id")

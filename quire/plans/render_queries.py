@@ -187,7 +187,7 @@ IMAGES = Fixture("images", "doc_id int, page_no int, ord int, l double, b double
 R.add("s06_figure_scan", lambda s, d: IMAGES.df(s).select("doc_id", "page_no", "ord", F.lit("Figure").alias("kind"), F.col("mask").alias("decorative"), (F.col("r") - F.col("l")).alias("width")), f"SELECT doc_id, page_no, ord, 'Figure' AS kind, mask AS decorative, r - l AS width FROM {IMAGES.sql()}")
 META = Fixture("meta", "doc_id int, title string, author string, xmp string", ((1, " Report ", "", "<pdfuaid:part>1</pdfuaid:part>"), (2, None, "Ann", "<x/>"), (3, "  ", None, None)))
 R.add("s11_metadata", lambda s, d: META.df(s).select("doc_id", *(F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("title", "author")), F.coalesce(F.contains("xmp", F.lit("pdfuaid")), F.lit(False)).alias("claims_ua")), f"SELECT doc_id, nullif(trim(title), '') AS title, nullif(trim(author), '') AS author, coalesce(contains(xmp, 'pdfuaid'), FALSE) AS claims_ua FROM {META.sql()}")
-R.add("s01_s02_lenient_page_load", lambda s, d: _loaded(s, d))
+R.add("s01_s02_lenient_page_load", lambda s, d: _loaded(s, d), "SELECT page_id, CASE WHEN html IS NULL THEN 'missing' WHEN trim(html) = '' THEN 'empty' WHEN NOT contains(lower(html), '<html') THEN 'not html' ELSE 'ok' END AS state FROM pages")
 R.add("t10_t24_roles_of_pages", lambda s, d: A.page_elements(s, d).groupBy(T.role("kind").alias("role")).agg(F.count("*").alias("n")), f"SELECT {sql_map(T.ROLES, 'kind', sql_literal(''))} AS role, count(*) AS n FROM {A.PAGE_ELEMENTS_SQL} GROUP BY 1")
 
 
