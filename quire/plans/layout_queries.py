@@ -96,7 +96,7 @@ PAGE, TABLE = ["doc_id", "page_no"], ["doc_id", "page_no", "table_id"]
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.printed_orders(A.order_cells(spark, sf_dir))
+    return P.printed_orders(A.order_cells(spark, sf_dir, "int"))
 
 
 def _columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -114,9 +114,9 @@ X = f"[{', '.join(map(str, P.COLUMNS))}]"
 add("td03_columns_of_orders", lambda s, d: _columns(s, d)[1], f"SELECT doc_id, 1 AS page_no, {X}[i] AS x, CAST(i - 1 AS INTEGER) AS column_index, {X}[i + 1] AS next_x FROM n, unnest(range(1, 5)) AS u(i)")
 add("td05_rows_of_orders", lambda s, d: TD.row_respects(*_columns(s, d)), "SELECT doc_id, page_no, line_no, bool_and(r <= [180.0, 300.0, 420.0, 1e9][place + 1]) AS respects FROM w WHERE place < 3 GROUP BY 1, 2, 3")
 add("td11_cells_of_orders", lambda s, d: TD.assign_cells(*_columns(s, d)), "SELECT doc_id, page_no, line_no, place AS column_index, text, bold FROM w")
-add("td04_candidates_of_orders", lambda s, d: TD.candidates(TD.to_lines(orders(s, d))).select("doc_id", "page_no", "table_id", "line_no", "row_no", F.size("columns").alias("n_columns")), "SELECT w.doc_id, 1 AS page_no, 0 AS table_id, line_no, line_no AS row_no, 4 AS n_columns FROM w JOIN n ON n.doc_id = w.doc_id WHERE items >= 2 GROUP BY 1, line_no")
-add("td06_td07_plausible_orders", lambda s, d: TD.plausible(TD.candidate_cells(orders(s, d)), TABLE), "SELECT doc_id, 1 AS page_no, 0 AS table_id, TRUE AS is_table, FALSE AS marker_column FROM n WHERE items >= 2")
-add("td08_td09_headers_of_orders", lambda s, d: TD.headers(TD.candidate_cells(orders(s, d)), TABLE), "SELECT doc_id, 1 AS page_no, 0 AS table_id, TRUE AS header_row, doc_id % 3 = 0 AS header_column FROM n WHERE items >= 2")
+add("td04_candidates_of_orders", lambda s, d: TD.lined_candidates(orders(s, d)).select("doc_id", "page_no", "table_id", "line_no", "row_no", F.size("columns").alias("n_columns")), "SELECT w.doc_id, 1 AS page_no, 0 AS table_id, line_no, line_no AS row_no, 4 AS n_columns FROM w JOIN n ON n.doc_id = w.doc_id WHERE items >= 2 GROUP BY 1, line_no")
+add("td06_td07_plausible_orders", lambda s, d: TD.plausible_tables(TD.candidate_tables(orders(s, d)), TABLE), "SELECT doc_id, 1 AS page_no, 0 AS table_id, TRUE AS is_table, FALSE AS marker_column FROM n WHERE items >= 2")
+add("td08_td09_headers_of_orders", lambda s, d: TD.headers_of_tables(TD.candidate_tables(orders(s, d)), TABLE), "SELECT doc_id, 1 AS page_no, 0 AS table_id, TRUE AS header_row, doc_id % 3 = 0 AS header_column FROM n WHERE items >= 2")
 add("td_detected_tables_of_orders", lambda s, d: TD.detect(orders(s, d)), "SELECT doc_id, 1 AS page_no, 0 AS table_id, items + 1 AS n_rows, 4 AS n_columns, TRUE AS header_row, doc_id % 3 = 0 AS header_column FROM n WHERE items >= 2")
 
 

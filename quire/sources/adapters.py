@@ -72,10 +72,11 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("annotation_id"), before.alias("in_reply_to"), F.col("role").alias("author"), "text")
 
 
-def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as table cells: a table an order, a row an item, four columns. (l_orderkey, l_linenumber) isn't a key, so rows are numbered over all columns."""
+def order_cells(spark: SparkSession, sf_dir: str, key: str = "bigint") -> DataFrame:
+    """Line items as table cells: a table an order, a row an item, four columns. (l_orderkey, l_linenumber) isn't a key, so rows are numbered over all columns. key: type of table_id, by which the rows are dealt."""
     li = read(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy(*(c for c in li.columns if c != "l_orderkey"))
+    order = Window.partitionBy("table_id").orderBy(*(c for c in li.columns if c != "l_orderkey"))
+    li = li.withColumn("table_id", F.col("l_orderkey").cast(key))
     r = li.withColumn("row_no", F.row_number().over(order))
     cells = F.array(*(F.struct(F.lit(i).alias("column_index"), F.col(c).cast("string").alias("text")) for i, c in enumerate(("l_partkey", "l_returnflag", "l_linestatus", "l_suppkey"))))
-    return r.select(F.col("l_orderkey").alias("table_id"), "row_no", F.inline(cells))
+    return r.select("table_id", "row_no", F.inline(cells))

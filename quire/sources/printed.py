@@ -44,9 +44,10 @@ COLUMNS, HEADS, ROW = (60.0, 180.0, 300.0, 420.0), ("Part", "Flag", "Status", "S
 def printed_orders(cells: DataFrame) -> DataFrame:
     """Orders as printed tables, a page each: a bold head, and a row an item; of every third order the flag stands first. cells: table_id, row_no (from 1), column_index, text. Gives doc_id, page_no, word_ord, text, l, b, r, t, bold, line_no, place."""
     c = F.col
-    body = cells.select("table_id", "row_no", "column_index", "text")
-    heads = cells.select("table_id").distinct().select("table_id", F.lit(0).alias("row_no"), F.posexplode(F.array(*map(F.lit, HEADS))).alias("column_index", "text"))
-    w = body.unionByName(heads)
+    # The head goes along with the first row, so that no second pass looks for the tables.
+    head = F.struct(F.lit(0).alias("row_no"), F.get(F.array(*map(F.lit, HEADS)), c("column_index")).alias("text"))
+    own = F.struct(c("row_no").cast("int").alias("row_no"), c("text").alias("text"))
+    w = cells.select("table_id", "column_index", F.inline(F.when(c("row_no") == 1, F.array(own, head)).otherwise(F.array(own))))
     swapped = F.when(c("column_index") == 0, 1).when(c("column_index") == 1, 0).otherwise(c("column_index"))
     place = F.when(c("table_id") % 3 == 0, swapped).otherwise(c("column_index"))
     x = F.get(F.array(*map(F.lit, COLUMNS)), place.cast("int"))
