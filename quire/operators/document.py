@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.runtime import dealt
 
 CHUNK = 256
 #: Places before and behind all elements.
@@ -108,9 +109,9 @@ def rows(tree: DataFrame) -> DataFrame:
     tables = by_row.select("doc_id", F.col("table_id").alias("row_id")).distinct().withColumn("has_rows", F.lit(True))
     fields = t.filter((k == "FormField") & (F.col("id") != "")).groupBy("doc_id", F.col("id").alias("for")).agg(F.min("element_id").alias("for_field"))
     of = F.when(k == "TableCell", F.col("parent_id")).when(k == "TableRow", F.col("element_id"))
-    t = t.drop("table_id").withColumn("row_id", of).join(by_row.drop("table_id"), ["doc_id", "row_id"], "left").drop("row_id")
-    t = t.withColumn("row_id", F.when(k == "Table", F.col("element_id"))).join(tables, ["doc_id", "row_id"], "left").drop("row_id")
-    t = t.withColumn("for", F.when(k == "Label", F.col("for"))).join(fields, ["doc_id", "for"], "left")
+    t = t.drop("table_id").withColumn("row_id", of).join(dealt(by_row.drop("table_id")), ["doc_id", "row_id"], "left").drop("row_id")
+    t = t.withColumn("row_id", F.when(k == "Table", F.col("element_id"))).join(dealt(tables), ["doc_id", "row_id"], "left").drop("row_id")
+    t = t.withColumn("for", F.when(k == "Label", F.col("for"))).join(dealt(fields), ["doc_id", "for"], "left")
     return t.na.fill({"has_rows": False})
 
 

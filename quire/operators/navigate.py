@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.runtime import dealt
+
 READABLE = ("Paragraph", "Heading", "ListItem", "BlockQuote", "Code", "Caption", "TableCell", "Figure")
 #: Names of the units in boundary messages.
 UNITS = {"Heading": "headings", "List": "lists", "ListItem": "list items", "Table": "tables", "TableCell": "cells", "Figure": "figures", "Link": "links", "FormField": "form fields", "UnfilledFormField": "form fields still to fill in", "Annotation": "comments", "Paragraph": "paragraphs"}
@@ -84,11 +86,11 @@ def position(walked: DataFrame, pairs: DataFrame, described: DataFrame) -> DataF
 
     walked, pairs: a tree's elements with reading_order, kind, text, page_no, and its ancestors (see tree). described: doc_id, element_id, full (detailed words), brief (terse words).
     """
-    above = described.join(walked.filter(F.col("kind").isin(*CONTAINERS)).select("doc_id", "element_id"), ["doc_id", "element_id"]).select("doc_id", F.col("element_id").alias("ancestor_id"), "brief")
-    inside = pairs.join(above, ["doc_id", "ancestor_id"]).groupBy("doc_id", "element_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "brief"))), 1, MOST_CONTAINERS).alias("c"))
+    above = described.join(dealt(walked.filter(F.col("kind").isin(*CONTAINERS)).select("doc_id", "element_id")), ["doc_id", "element_id"]).select("doc_id", F.col("element_id").alias("ancestor_id"), "brief")
+    inside = pairs.join(dealt(above), ["doc_id", "ancestor_id"]).groupBy("doc_id", "element_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "brief"))), 1, MOST_CONTAINERS).alias("c"))
     w = Window.partitionBy("doc_id").orderBy("reading_order").rowsBetween(Window.unboundedPreceding, -1)
     e = walked.withColumn("head", F.last(F.when(F.col("kind") == "Heading", F.coalesce("text", F.lit(""))), ignorenulls=True).over(w)).withColumn("pages", F.max("page_no").over(Window.partitionBy("doc_id")))
-    e = e.join(described, ["doc_id", "element_id"]).join(inside, ["doc_id", "element_id"], "left")
+    e = e.join(dealt(described), ["doc_id", "element_id"]).join(dealt(inside), ["doc_id", "element_id"], "left")
     around = F.when(F.size("c") > 0, F.concat(F.lit("inside "), F.array_join(F.transform("c", lambda x: x["brief"]), ", inside ")))
     under = F.when(F.col("head").isNotNull(), F.concat(F.lit('under the heading "'), F.col("head"), F.lit('"')))
     page = F.when(F.col("page_no") > 0, F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(" of "), F.col("pages").cast("string")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import layout as L
 from quire.functions import text as T
+from quire.runtime import dealt
 
 #: Pages that the passes over a document look at, and the bands where furniture stands.
 BODY_PAGES, MARGIN_PAGES, FURNITURE_PAGES, LEAST_PAGES, TOP_BAND, BOTTOM_BAND = 12, 8, 30, 4, 0.88, 0.12
@@ -72,15 +73,15 @@ def furniture(units: DataFrame, pages: DataFrame) -> DataFrame:
     """Normalised texts that stand in the top or bottom band on most pages. units: words or lines."""
     first = pages.filter(F.col("page_no") <= FURNITURE_PAGES)
     n = first.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
-    u = units.join(first.select("doc_id", "page_no", "height"), ["doc_id", "page_no"]).filter((F.col("b") >= TOP_BAND * F.col("height")) | (F.col("b") <= BOTTOM_BAND * F.col("height")))
+    u = units.join(dealt(first.select("doc_id", "page_no", "height")), ["doc_id", "page_no"]).filter((F.col("b") >= TOP_BAND * F.col("height")) | (F.col("b") <= BOTTOM_BAND * F.col("height")))
     keys = u.select("doc_id", "page_no", T.furniture_key("text").alias("key")).filter(F.length("key") >= 2).distinct()
-    seen = keys.groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(n, "doc_id")
+    seen = keys.groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(dealt(n), "doc_id")
     return seen.filter((F.col("n_pages") >= LEAST_PAGES) & (F.col("n") >= F.greatest(F.lit(3), F.floor(2 * F.col("n_pages") / 3)))).select("doc_id", "key", "n")
 
 
 def mark_furniture(elements: DataFrame, found: DataFrame, pages: DataFrame) -> DataFrame:
     """C14: text elements whose normalised text is furniture become artifacts of the band that they stand in."""
-    e = elements.withColumn("key", T.furniture_key("text")).join(found.select("doc_id", "key", F.lit(True).alias("hit")), ["doc_id", "key"], "left").join(pages.select("doc_id", "page_no", "height"), ["doc_id", "page_no"], "left")
+    e = elements.withColumn("key", T.furniture_key("text")).join(dealt(found.select("doc_id", "key", F.lit(True).alias("hit"))), ["doc_id", "key"], "left").join(dealt(pages.select("doc_id", "page_no", "height")), ["doc_id", "page_no"], "left")
     place = F.when(F.col("b") > 0.85 * F.col("height"), "header").when(F.col("t") < 0.15 * F.col("height"), "footer").otherwise("page furniture")
     return e.withColumn("artifact_type", F.when(F.col("hit"), place)).drop("key", "hit", "height")
 
@@ -139,9 +140,12 @@ def insert_before(tables: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def without_empty(elements: DataFrame) -> DataFrame:
     """Elements with children, text, or that are figures or fields."""
-    parents = elements.filter("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("element_id"), F.lit(True).alias("has_children")).distinct()
-    e = elements.join(parents, ["doc_id", "element_id"], "left")
-    return e.filter(F.coalesce("has_children", F.lit(False)) | (F.trim(F.coalesce("text", F.lit(""))) != "") | F.col("kind").isin("Figure", "FormField")).drop("has_children")
+    # Every element stands at its own number and, bare, at its parent's, so the rows are read once and nothing is joined.
+    one = lambda at, own: F.struct(F.col(at).alias("_at"), own.alias("_row"))
+    row = F.struct(*elements.columns)
+    both = elements.select("doc_id", F.inline(F.array(one("element_id", row), one("parent_id", F.when(F.lit(False), row))))).filter("_row IS NOT NULL OR _at IS NOT NULL")
+    e = both.withColumn("_children", F.max(F.col("_row").isNull()).over(Window.partitionBy("doc_id", "_at"))).filter("_row IS NOT NULL").select("_row.*", "_children")
+    return e.filter(F.col("_children") | (F.trim(F.coalesce("text", F.lit(""))) != "") | F.col("kind").isin("Figure", "FormField")).drop("_children")
 
 
 def strategy(marked: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.runtime import ship
+from quire.runtime import dealt, ship
 
-from .fold import fold
+from .fold import ARROW, fold
 
 #: Fixed value: names of form fields are read to this depth.
 FIELD_DEPTH = 32
@@ -90,43 +90,41 @@ def paths(spark: SparkSession, elements: DataFrame, most_depth: int | None = Non
 
 
 def descendants(walked: DataFrame) -> DataFrame:
-    """TR3, TR4: every element with each of its ancestors: doc_id, ancestor_id, element_id, distance. One row for each pair that exists, found from the path's own prefixes."""
-    steps = F.sequence(F.lit(0), F.col("depth") - 1)
-    up = walked.filter("depth > 0").select("doc_id", "element_id", "depth", "path", F.explode(steps).alias("level"))
-    up = up.withColumn("above", F.substring("path", F.lit(1), F.col("level") * 9 + 8))
-    there = walked.select("doc_id", F.col("path").alias("above"), F.col("element_id").alias("ancestor_id"))
-    return up.join(there, ["doc_id", "above"]).select("doc_id", "ancestor_id", "element_id", (F.col("depth") - F.col("level")).alias("distance"))
+    """TR3, TR4: every element with each of its ancestors: doc_id, ancestor_id, element_id, distance. One row for each pair that exists, found from the stretches of reading_order."""
+    return interval_pairs(walked, "reading_order", "last_order")
 
 
-def interval_pairs(tree: DataFrame) -> DataFrame:
-    """TR3, TR4 of trees whose element_ids ascend in document order, with last_id the highest below each: doc_id, ancestor_id, element_id, distance.
+def interval_pairs(tree: DataFrame, at: str = "element_id", last: str = "last_id") -> DataFrame:
+    """TR3, TR4 of trees with a number that ascends in document order (``at``) and the highest one below each element (``last``): doc_id, ancestor_id, element_id, distance.
 
     A document's rows stream past a stack of the elements that still hold what follows, so a task holds one chain of ancestors, and pairs go out as they are found.
     """
     ship(tree.sparkSession)
+    kinds = [tree.schema[n].dataType.simpleString() for n in ("doc_id", "element_id")]
+    types = (ARROW[kinds[0]], ARROW[kinds[1]], ARROW[kinds[1]], pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, stack = None, []
         out: list[tuple] = []
-        names, types = ("doc_id", "ancestor_id", "element_id", "distance"), (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        names = ("doc_id", "ancestor_id", "element_id", "distance")
         packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         for batch in batches:
-            for doc, element, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, place, element, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc != now:
                     now, stack = doc, []
-                while stack and stack[-1][1] < element:
+                while stack and stack[-1][1] < place:
                     stack.pop()
                 for distance, (above, _) in enumerate(reversed(stack), 1):
                     out.append((doc, above, element, distance))
                     if len(out) >= 10_000:
                         yield packed(out)
                         out = []
-                stack.append((element, last))
+                stack.append((element, end))
         if out:
             yield packed(out)
 
-    rows = tree.select("doc_id", "element_id", "last_id").repartition("doc_id").sortWithinPartitions("doc_id", "element_id")
-    return rows.mapInArrow(run, "doc_id long, ancestor_id int, element_id int, distance int")
+    rows = tree.select("doc_id", F.col(at).alias("_at"), "element_id", F.col(last).alias("_last")).repartition("doc_id").sortWithinPartitions("doc_id", "_at")
+    return rows.mapInArrow(run, f"doc_id {kinds[0]}, ancestor_id {kinds[1]}, element_id {kinds[1]}, distance int")
 
 
 def heading_parents(headings: DataFrame) -> DataFrame:
@@ -139,7 +137,7 @@ def heading_parents(headings: DataFrame) -> DataFrame:
 def full_text(walked: DataFrame, pairs: DataFrame) -> DataFrame:
     """An element's own text and that of its descendants in order, empty ones left out."""
     own = walked.select("doc_id", F.col("element_id").alias("ancestor_id"), "reading_order", "text")
-    below = pairs.join(walked.select("doc_id", "element_id", "reading_order", "text"), ["doc_id", "element_id"]).select("doc_id", "ancestor_id", "reading_order", "text")
+    below = pairs.join(dealt(walked.select("doc_id", "element_id", "reading_order", "text")), ["doc_id", "element_id"]).select("doc_id", "ancestor_id", "reading_order", "text")
     parts = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.struct("reading_order", F.trim("text").alias("text")))
     g = own.unionByName(below).groupBy("doc_id", "ancestor_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda s: s["text"]), " ").alias("full_text"))
     return g.withColumnRenamed("ancestor_id", "element_id")
@@ -148,8 +146,8 @@ def full_text(walked: DataFrame, pairs: DataFrame) -> DataFrame:
 def rolled_bounds(walked: DataFrame, pairs: DataFrame) -> DataFrame:
     """An element without an extent gets the union of its descendants'."""
     solid = walked.filter("r > l AND t > b").select("doc_id", "element_id", "l", "b", "r", "t")
-    below = pairs.join(solid, ["doc_id", "element_id"]).groupBy("doc_id", "ancestor_id").agg(F.min("l").alias("l2"), F.min("b").alias("b2"), F.max("r").alias("r2"), F.max("t").alias("t2"))
-    j = walked.join(below.withColumnRenamed("ancestor_id", "element_id"), ["doc_id", "element_id"], "left")
+    below = pairs.join(dealt(solid), ["doc_id", "element_id"]).groupBy("doc_id", "ancestor_id").agg(F.min("l").alias("l2"), F.min("b").alias("b2"), F.max("r").alias("r2"), F.max("t").alias("t2"))
+    j = walked.join(dealt(below.withColumnRenamed("ancestor_id", "element_id")), ["doc_id", "element_id"], "left")
     empty = (F.col("r") <= F.col("l")) | (F.col("t") <= F.col("b"))
     return j.select("doc_id", "element_id", *(F.when(empty & F.col(f"{c}2").isNotNull(), F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in "lbrt"))
 
@@ -157,15 +155,15 @@ def rolled_bounds(walked: DataFrame, pairs: DataFrame) -> DataFrame:
 def heading_levels(walked: DataFrame, pairs: DataFrame) -> DataFrame:
     """An unnumbered heading's level is the number of sections and documents around it, from 1 to 6."""
     kinds = walked.select("doc_id", F.col("element_id").alias("ancestor_id"), F.col("kind").alias("above"))
-    n = pairs.join(kinds, ["doc_id", "ancestor_id"]).filter(F.col("above").isin("Section", "Document")).groupBy("doc_id", "element_id").agg(F.count("*").alias("n"))
-    h = walked.filter("kind = 'Heading'").join(n, ["doc_id", "element_id"], "left")
+    n = pairs.join(dealt(kinds), ["doc_id", "ancestor_id"]).filter(F.col("above").isin("Section", "Document")).groupBy("doc_id", "element_id").agg(F.count("*").alias("n"))
+    h = walked.filter("kind = 'Heading'").join(dealt(n), ["doc_id", "element_id"], "left")
     return h.select("doc_id", "element_id", F.coalesce("level", F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce("n", F.lit(0)))).cast("int")).alias("level"))
 
 
 def nearest(walked: DataFrame, pairs: DataFrame, kind: str) -> DataFrame:
     """TR4: the nearest ancestor of a kind."""
     k = walked.filter(F.col("kind") == kind).select("doc_id", F.col("element_id").alias("ancestor_id"))
-    return pairs.join(k, ["doc_id", "ancestor_id"]).groupBy("doc_id", "element_id").agg(F.min_by("ancestor_id", "distance").alias("ancestor_id"))
+    return pairs.join(dealt(k), ["doc_id", "ancestor_id"]).groupBy("doc_id", "element_id").agg(F.min_by("ancestor_id", "distance").alias("ancestor_id"))
 
 
 def sibling_index(elements: DataFrame) -> DataFrame:
@@ -176,7 +174,7 @@ def sibling_index(elements: DataFrame) -> DataFrame:
 
 def move(elements: DataFrame, moves: DataFrame) -> DataFrame:
     """TR2: moves children to a place among their siblings, held within bounds. moves: doc_id, element_id, place."""
-    now = elements.join(sibling_index(elements), ["doc_id", "element_id"]).join(moves, ["doc_id", "element_id"], "left")
+    now = elements.join(dealt(sibling_index(elements)), ["doc_id", "element_id"]).join(dealt(moves), ["doc_id", "element_id"], "left")
     n = F.count("*").over(Window.partitionBy("doc_id", "parent_id"))
     target = F.greatest(F.lit(0), F.least(F.col("place"), n - 1))
     key = F.when(F.col("place").isNull(), F.col("sibling_index") * 2.0).otherwise(target * 2 + F.when(target > F.col("sibling_index"), 1).otherwise(-1))
@@ -191,7 +189,7 @@ LEAVES = ("Link", "Figure", "Artifact", "Annotation")
 def refused(elements: DataFrame) -> DataFrame:
     """TR1: children whose parent takes none, or isn't there."""
     p = elements.select("doc_id", F.col("element_id").alias("parent_id"), F.col("kind").alias("parent_kind"))
-    j = elements.filter("parent_id IS NOT NULL").join(p, ["doc_id", "parent_id"], "left")
+    j = elements.filter("parent_id IS NOT NULL").join(dealt(p), ["doc_id", "parent_id"], "left")
     return j.filter(F.col("parent_kind").isNull() | F.col("parent_kind").isin(*LEAVES)).select("doc_id", "element_id", F.when(F.col("parent_kind").isNull(), "no parent").otherwise("takes no children").alias("reason"))
 
 
@@ -210,13 +208,13 @@ def structure_tree(walked: DataFrame, pairs: DataFrame, marks: DataFrame) -> Dat
     """
     t = walked.drop("parent_tag", "m").withColumn("tag", tag("kind", "level", "role"))
     own = marks.groupBy("doc_id", "element_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "mcid"))).alias("m"))
-    t = t.join(own, ["doc_id", "element_id"], "left")
+    t = t.join(dealt(own), ["doc_id", "element_id"], "left")
     written = t.filter("tag IS NOT NULL AND m IS NOT NULL").select("doc_id", "element_id")
-    alive = written.union(pairs.join(written, ["doc_id", "element_id"]).select("doc_id", F.col("ancestor_id").alias("element_id"))).distinct()
-    live = t.filter("tag IS NOT NULL").join(alive, ["doc_id", "element_id"], "left_semi")
-    up = pairs.join(live.select("doc_id", F.col("element_id").alias("ancestor_id")), ["doc_id", "ancestor_id"]).groupBy("doc_id", "element_id").agg(F.min_by("ancestor_id", "distance").alias("parent_tag"))
+    alive = written.union(pairs.join(dealt(written), ["doc_id", "element_id"]).select("doc_id", F.col("ancestor_id").alias("element_id"))).distinct()
+    live = t.filter("tag IS NOT NULL").join(dealt(alive), ["doc_id", "element_id"], "left_semi")
+    up = pairs.join(dealt(live.select("doc_id", F.col("element_id").alias("ancestor_id"))), ["doc_id", "ancestor_id"]).groupBy("doc_id", "element_id").agg(F.min_by("ancestor_id", "distance").alias("parent_tag"))
     ids = F.array_join(F.transform("m", lambda x: F.concat(x["page_no"].cast("string"), F.lit(":"), x["mcid"].cast("string"))), ",")
-    return live.join(up, ["doc_id", "element_id"], "left").select("doc_id", "element_id", "tag", "parent_tag", "reading_order", F.coalesce(ids, F.lit("")).alias("mcids"))
+    return live.join(dealt(up), ["doc_id", "element_id"], "left").select("doc_id", "element_id", "tag", "parent_tag", "reading_order", F.coalesce(ids, F.lit("")).alias("mcids"))
 
 
 def dense_marks(marks: DataFrame) -> DataFrame:
@@ -238,21 +236,21 @@ def comment_place(elements: DataFrame, anchors: DataFrame) -> DataFrame:
     # The next sibling that is no comment ends the run.
     stop = F.first(F.when(~note, F.col("sibling_ord")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     last = F.max("sibling_ord").over(Window.partitionBy("doc_id", "parent_id"))
-    return elements.withColumn("place", F.coalesce(stop, last + 1)).join(anchors, ["doc_id", "element_id"], "left_semi").select("doc_id", "element_id", "place")
+    return elements.withColumn("place", F.coalesce(stop, last + 1)).join(dealt(anchors), ["doc_id", "element_id"], "left_semi").select("doc_id", "element_id", "place")
 
 
 def as_artifacts(elements: DataFrame, targets: DataFrame) -> DataFrame:
     """TR7: the elements become artifacts in the same place, with bounds and text kept. targets: doc_id, element_id, artifact_type."""
-    j = elements.drop("artifact_type").join(targets, ["doc_id", "element_id"], "left")
+    j = elements.drop("artifact_type").join(dealt(targets), ["doc_id", "element_id"], "left")
     return j.withColumn("kind", F.when(F.col("artifact_type").isNotNull(), "Artifact").otherwise(F.col("kind")))
 
 
 def nesting(walked: DataFrame, pairs: DataFrame) -> DataFrame:
     """Items of each list and how many lists it lies in, itself included."""
     lists = walked.filter("kind = 'List'").select("doc_id", "element_id")
-    above = pairs.join(lists.withColumnRenamed("element_id", "ancestor_id"), ["doc_id", "ancestor_id"]).groupBy("doc_id", "element_id").agg(F.count("*").alias("n"))
+    above = pairs.join(dealt(lists.withColumnRenamed("element_id", "ancestor_id")), ["doc_id", "ancestor_id"]).groupBy("doc_id", "element_id").agg(F.count("*").alias("n"))
     items = walked.filter("kind = 'ListItem'").groupBy("doc_id", F.col("parent_id").alias("element_id")).agg(F.count("*").alias("items"))
-    return lists.join(above, ["doc_id", "element_id"], "left").join(items, ["doc_id", "element_id"], "left").select("doc_id", "element_id", F.coalesce("items", F.lit(0)).alias("items"), (F.coalesce("n", F.lit(0)) + 1).alias("level"))
+    return lists.join(dealt(above), ["doc_id", "element_id"], "left").join(dealt(items), ["doc_id", "element_id"], "left").select("doc_id", "element_id", F.coalesce("items", F.lit(0)).alias("items"), (F.coalesce("n", F.lit(0)) + 1).alias("level"))
 
 
 def resolved_names(names: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,6 +25,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext.applicationId)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that is dealt out by key, never sent whole to the driver and every task. What is read out of pages is many times larger than the files, from whose sizes Spark reckons, and would be broadcast as if it were small."""
+    return df.hint("merge")
+
+
 _local: list[str] = []
 
 
