@@ -14,6 +14,12 @@ def _boxes(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
     return df.select(*PAGE, *(F.col(c).alias(f"{prefix}{c}") for c in ("l", "b", "r", "t")), *(F.col(c).alias(f"{prefix}{c}") for c in keep))
 
 
+def _hits(x: DataFrame, y: DataFrame, hit: Column) -> DataFrame:
+    """Rows of x with those of y on the same page that they hit, or with none; x's rows stay dealt by page."""
+    y = y.withColumnsRenamed({"doc_id": "_doc", "page_no": "_page"})
+    return x.join(y, (F.col("doc_id") == F.col("_doc")) & (F.col("page_no") == F.col("_page")) & hit, "left")
+
+
 def _same_line(tolerance: float) -> Column:
     """Boxes x and y share a line."""
     least = F.least(F.col("xt") - F.col("xb"), F.col("yt") - F.col("yb"))
@@ -32,9 +38,7 @@ def nearest_labels(fields: DataFrame, texts: DataFrame) -> DataFrame:
     beside = _same_line(0.3) & left.between(F.lit(0.0), 12 * height)
     over = (F.col("yl") < F.col("xr")) & (F.col("yr") > F.col("xl")) & above.between(F.lit(0.0), 3 * height)
     near = F.when(beside, F.struct(F.lit(1).alias("phase"), left.alias("gap"), "yord", "ytext")).when(over, F.struct(F.lit(2).alias("phase"), above.alias("gap"), "yord", "ytext"))
-    j = x.join(y, PAGE).withColumn("near", near).filter("near IS NOT NULL")
-    best = j.groupBy(*PAGE, "xfield_id").agg(F.min("near").alias("near"))
-    out = fields.select(*PAGE, "field_id").join(best.withColumnRenamed("xfield_id", "field_id"), [*PAGE, "field_id"], "left")
+    out = _hits(x, y, near.isNotNull()).groupBy(*PAGE, F.col("xfield_id").alias("field_id")).agg(F.min(near).alias("near"))
     return out.select(*PAGE, "field_id", F.col("near.phase").alias("phase"), T.tidy_label("near.ytext").alias("label"))
 
 
@@ -44,9 +48,9 @@ def option_labels(options: DataFrame, texts: DataFrame) -> DataFrame:
     y = _boxes(texts.filter((F.col("kind") != "Artifact") & (F.trim("text") != "")), "y", "ord", "text")
     gap = F.col("yl") - F.col("xr")
     reach = 14 * F.greatest(F.col("xt") - F.col("xb"), F.lit(8.0))
-    j = x.join(y, PAGE).filter(_same_line(0.3) & gap.between(F.lit(0.0), reach))
-    best = j.groupBy(*PAGE, "xoption_id").agg(F.min(F.struct(gap.alias("gap"), "yord", "ytext")).alias("near"))
-    return options.select(*PAGE, "option_id").join(best.withColumnRenamed("xoption_id", "option_id"), [*PAGE, "option_id"], "left").select(*PAGE, "option_id", T.tidy_label("near.ytext").alias("label"))
+    hit = _same_line(0.3) & gap.between(F.lit(0.0), reach)
+    near = F.when(F.col("_doc").isNotNull(), F.struct(gap.alias("gap"), "yord", "ytext"))
+    return _hits(x, y, hit).groupBy(*PAGE, F.col("xoption_id").alias("option_id")).agg(F.min(near).alias("near")).select(*PAGE, "option_id", T.tidy_label("near.ytext").alias("label"))
 
 
 def words_in(regions: DataFrame, words: DataFrame, most: int = 60) -> DataFrame:
@@ -72,10 +76,10 @@ def smallest_enclosing(points: DataFrame, elements: DataFrame, tolerance: float
     """The smallest element round a point, give or take ``tolerance``; the first of equals."""
     y = _boxes(elements, "y", "element_id", "ord")
     near = lambda p, low, high: (F.col(p) >= F.col(low) - tolerance) & (F.col(p) <= F.col(high) + tolerance)
-    j = points.select(*PAGE, "point_id", "x", "y").join(y, PAGE).filter(near("x", "yl", "yr") & near("y", "yb", "yt"))
+    inside = near("x", "yl", "yr") & near("y", "yb", "yt")
     area = F.greatest(F.col("yr") - F.col("yl"), F.lit(1.0)) * F.greatest(F.col("yt") - F.col("yb"), F.lit(1.0))
-    best = j.groupBy(*PAGE, "point_id").agg(F.min(F.struct(area.alias("area"), "yord", "yelement_id")).alias("m"))
-    return points.select(*PAGE, "point_id").join(best, [*PAGE, "point_id"], "left").select(*PAGE, "point_id", F.col("m.yelement_id").alias("element_id"))
+    best = F.min(F.when(F.col("_doc").isNotNull(), F.struct(area.alias("area"), "yord", "yelement_id")))
+    return _hits(points.select(*PAGE, "point_id", "x", "y"), y, inside).groupBy(*PAGE, "point_id").agg(best.alias("m")).select(*PAGE, "point_id", F.col("m.yelement_id").alias("element_id"))
 
 
 def span_at(positions: DataFrame, spans: DataFrame) -> DataFrame:
