@@ -1,16 +1,17 @@
 """Blocks and reading order of positioned words, by recursive cuts of a page.
 
 A page's words are cut at the widest empty strip that runs through all of them, across or down, if it is wide enough for the text's size; the parts are cut in turn. What can't be cut is a block. Parts of a cut across follow from the top, those of
-a cut down from the left. A page is one call; its words are all that it holds.
+a cut down from the left. Whole pages pass, several at a time; each is cut for itself.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quire.runtime import ship
+from .tables import _by_page, _floats, _line_starts, _pages
 
 #: Strips count from so many times the median height of the words: down between columns, across between blocks.
 DOWN, ACROSS = 1.5, 1.1
@@ -52,25 +53,22 @@ def cut(l: np.ndarray, b: np.ndarray, r: np.ndarray, t: np.ndarray, down: float
 def to_blocks(words: DataFrame, down: float = DOWN, across: float = ACROSS) -> DataFrame:
     """words: doc_id, page_no, word_ord, text, l, b, r, t. Adds block_no (reading order of the blocks) and place (reading order of the words: block, line from the top, left edge). Equal places are ordered by word_ord."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("word_ord", kind="stable").reset_index(drop=True)
-        page["block_no"] = cut(*(page[c].to_numpy(dtype=float) for c in ("l", "b", "r", "t")), down, across)
-        line = pd.Series(0, index=page.index)
-        for _, block in page.groupby("block_no"):
-            # Words share a line while they overlap the line's band by more than half of their height.
-            ordered = block.sort_values(["t", "l", "word_ord"], ascending=[False, True, True], kind="stable")
-            n, bottom, top = 0, None, None
-            for i, t, b in zip(ordered.index, ordered["t"], ordered["b"], strict=True):
-                if bottom is not None and min(top, t) - max(bottom, b) > 0.5 * min(top - bottom, t - b):
-                    bottom, top = min(bottom, b), max(top, t)
-                else:
-                    n, bottom, top = n + 1, b, t
-                line[i] = n
-        page["_line"] = line
-        order = page.sort_values(["block_no", "_line", "l", "word_ord"], kind="stable").index
-        page.loc[order, "place"] = np.arange(len(page))
-        return page.astype({"place": "int32"})[["doc_id", "page_no", "word_ord", "text", "l", "b", "r", "t", "block_no", "place"]]
+    kept = ("word_ord", "text", "l", "b", "r", "t")
 
-    ship(words.sparkSession)
-    schema = f"doc_id {words.schema['doc_id'].dataType.simpleString()}, page_no int, word_ord int, text string, l double, b double, r double, t double, block_no int, place int"
-    return words.select("doc_id", "page_no", "word_ord", "text", "l", "b", "r", "t").groupBy("doc_id", "page_no").applyInPandas(run, schema)
+    def run(table: pa.Table) -> pa.Table:
+        page = _pages(table)
+        l, b, r, t, word_ord = _floats(table, "l", "b", "r", "t", "word_ord")  # noqa: E741
+        at = np.flatnonzero(np.append(True, page[1:] != page[:-1]))
+        block = np.concatenate([cut(l[i:j], b[i:j], r[i:j], t[i:j], down, across) for i, j in zip(at, np.append(at[1:], len(page)), strict=True)])
+        # Words of a block share a line while they overlap the line's band by more than half of the lower height.
+        swept = np.lexsort((word_ord, l, -t, block, page))
+        page, block = page[swept], block[swept]
+        group = np.cumsum(np.append(True, (page[1:] != page[:-1]) | (block[1:] != block[:-1]))) - 1
+        line = np.cumsum(_line_starts(group, b[swept], t[swept]))
+        read = np.lexsort((word_ord[swept], l[swept], line))
+        place = np.arange(len(page)) - at[page]
+        out = table.take(pa.array(swept[read])).select(["doc_id", "page_no", *kept])
+        return out.append_column("block_no", pa.array(block[read], pa.int32())).append_column("place", pa.array(place, pa.int32()))
+
+    rows = words.select("doc_id", *(F.col(c).cast("int").alias(c) for c in ("page_no", "word_ord")), "text", *(F.col(c).cast("double").alias(c) for c in "lbrt"))
+    return _by_page(rows, ["word_ord"], run, "page_no int, word_ord int, text string, l double, b double, r double, t double, block_no int, place int")

@@ -16,7 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def printed_words(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Gives doc_id, page_no, true_ord, part (0 head, 1 and 2 the columns), line_no, word_ord, text (cut to LONGEST characters), l, b, r, t, size, bold."""
-    w = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("true_ord", "text"))
+    # Texts are dealt out, not their words: what is done within a document afterwards stays where it is.
+    w = docs.repartition("doc_id").select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("true_ord", "text"))
     c = F.col
     w = w.withColumn("text", F.substring("text", 1, LONGEST)).withColumn("page_no", (F.floor(c("true_ord") / PER_PAGE) + 1).cast("int")).withColumn("_n", c("true_ord") % PER_PAGE)
     w = w.withColumn("part", F.when(c("_n") < HEAD, 0).when(c("_n") < HEAD + LINES * PER_LINE, 1).otherwise(2))
