@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from quire.runtime import ship
 
@@ -33,7 +34,7 @@ def fold(df: DataFrame, key: str, order: list[str], schema: str, step: Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, open_, out = None, None, False, []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
             keys = columns.pop(at)
             for k, row in zip(keys, zip(*columns, strict=True), strict=True):
                 if open_ and k != now:
@@ -51,5 +52,6 @@ def fold(df: DataFrame, key: str, order: list[str], schema: str, step: Callable[
         if out:
             yield packed(out)
 
-    sorted_ = df.repartition(key).sortWithinPartitions(key, *order)
+    # Numbering is what deals and sorts the rows: those that are dealt by the key already are not dealt again.
+    sorted_ = df.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return sorted_.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {schema}")

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.runtime import ship
+from quire.runtime import dealt, ship
 
 #: Fixed values of the detection.
 TOLERANCE, AGREEMENT, LEAST_ROWS, LEAST_COLUMNS, GAP, LINE_GAP, LONGEST_CELL, LONGEST_OF_TWO = 4.0, 0.75, 3, 2, 0.9, 3.0, 55, 40
@@ -115,42 +115,77 @@ def to_lines(words: DataFrame) -> DataFrame:
     return _by_page(_swept(words), _SWEEP, lambda table: _with_lines(table).select(names), "page_no int, word_ord int, text string, l double, b double, r double, t double, bold boolean, line_no int")
 
 
-def group_starts(lines: DataFrame) -> DataFrame:
-    """TD2: left edges of the first word of each line and of every word behind a wide gap."""
+def _starting(lines: DataFrame) -> DataFrame:
+    """Adds _start: whether a word is the first of its line or stands behind a wide gap."""
     w = Window.partitionBy("doc_id", "page_no", "line_no").orderBy("l", "word_ord")
     all_ = Window.partitionBy("doc_id", "page_no", "line_no")
     height = F.greatest(F.lit(1.0), F.max("t").over(all_) - F.min("b").over(all_))
     gap = F.col("l") - F.lag("r").over(w)
-    return lines.withColumn("_gap", gap).withColumn("_h", height).filter(F.col("_gap").isNull() | (F.col("_gap") > GAP * F.col("_h"))).select("doc_id", "page_no", "line_no", F.col("l").alias("start"))
+    return lines.withColumn("_gap", gap).withColumn("_h", height).withColumn("_start", F.col("_gap").isNull() | (F.col("_gap") > GAP * F.col("_h"))).drop("_gap", "_h")
+
+
+def group_starts(lines: DataFrame) -> DataFrame:
+    """TD2: left edges of the first word of each line and of every word behind a wide gap."""
+    return _starting(lines).filter("_start").select("doc_id", "page_no", "line_no", F.col("l").alias("start"))
+
+
+def _with_columns(rows: DataFrame, keys: list[str], start: str) -> DataFrame:
+    """Adds columns: sorted means of the clusters of _start rows that most lines have a start at. All by windows within the keys, so rows that are dealt by one of them stay where they are.
+
+    A start that is no further than the tolerance from a cluster's mean is in that cluster, for others are further than that from all of its starts.
+    """
+    w = Window.partitionBy(*keys, "_start").orderBy(start)
+    r = rows.withColumn("_new", F.coalesce((F.col(start) - F.lag(start).over(w) > TOLERANCE).cast("int"), F.lit(1)))
+    r = r.withColumn("_c", F.when(F.col("_start"), F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    own, page = Window.partitionBy(*keys, "_c"), Window.partitionBy(*keys)
+    r = r.withColumn("_x", F.avg(start).over(own))
+    r = r.withColumn("_agreeing", F.size(F.collect_set(F.when(F.abs(F.col(start) - F.col("_x")) <= TOLERANCE, F.col("line_no"))).over(own)))
+    r = r.withColumn("_n", F.size(F.collect_set(F.when(F.col("_start"), F.col("line_no"))).over(page)))
+    column = F.when(F.col("_start") & (F.col("_agreeing") >= F.greatest(F.lit(2), F.ceil(F.col("_n") * AGREEMENT))), F.col("_x"))
+    return r.withColumn("columns", F.array_sort(F.collect_set(column).over(page))).drop("_new", "_c", "_x", "_agreeing", "_n", "_start")
 
 
 def find_columns(starts: DataFrame, keys: list[str]) -> DataFrame:
     """TD3: clusters of starts no further apart than the tolerance; those whose mean most lines have a start at are columns."""
-    w = Window.partitionBy(*keys).orderBy("start")
-    c = starts.withColumn("_new", F.coalesce((F.col("start") - F.lag("start").over(w) > TOLERANCE).cast("int"), F.lit(1)))
-    c = c.withColumn("_c", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    means = c.groupBy(*keys, "_c").agg(F.avg("start").alias("x"))
-    n = starts.groupBy(*keys).agg(F.countDistinct("line_no").alias("n"))
-    near = starts.join(means, keys).filter(F.abs(F.col("start") - F.col("x")) <= TOLERANCE)
-    agree = near.groupBy(*keys, "x").agg(F.countDistinct("line_no").alias("agreeing")).join(n, keys)
-    out = agree.filter(F.col("agreeing") >= F.greatest(F.lit(2), F.ceil(F.col("n") * AGREEMENT))).select(*keys, "x")
-    order = Window.partitionBy(*keys).orderBy("x")
-    return out.withColumn("column_index", F.row_number().over(order) - 1).withColumn("next_x", F.lead("x").over(order))
+    c = _with_columns(starts.withColumn("_start", F.lit(True)), keys, "start").groupBy(*keys).agg(F.first("columns").alias("columns"))
+    return c.select(*keys, "columns", F.posexplode("columns").alias("column_index", "x")).select(*keys, "x", "column_index", F.get("columns", F.col("column_index") + 1).alias("next_x"))
+
+
+def with_columns_of_page(words: DataFrame) -> DataFrame:
+    """TD2, TD3: words with their page's columns."""
+    return _with_columns(_starting(words), ["doc_id", "page_no"], "l")
+
+
+def _joined_columns(words: DataFrame, columns: DataFrame) -> DataFrame:
+    by_page = columns.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list("x")).alias("columns"))
+    return words.join(dealt(by_page), ["doc_id", "page_no"])
+
+
+#: The number of the column, from 1, whose stretch a word's left edge lies in; 0 before the first.
+_PLACE = f"size(filter(columns, x -> l >= x - {TOLERANCE}D))"
+
+
+def respecting(columned: DataFrame) -> DataFrame:
+    """TD5 over words with their page's columns."""
+    over = F.coalesce(F.when(F.col("_place") > 0, F.col("r") > F.get("columns", F.col("_place"))), F.lit(False))
+    return columned.filter(F.size("columns") > 1).withColumn("_place", F.expr(_PLACE)).groupBy("doc_id", "page_no", "line_no").agg((F.count_if(over) == 0).alias("respects"))
 
 
 def row_respects(words: DataFrame, columns: DataFrame) -> DataFrame:
     """TD5: lines in which no word that starts in a column runs past the next one's start."""
-    j = words.join(columns.filter("next_x IS NOT NULL"), ["doc_id", "page_no"])
-    inside = (F.col("l") >= F.col("x") - TOLERANCE) & (F.col("l") < F.col("next_x") - TOLERANCE)
-    return j.groupBy("doc_id", "page_no", "line_no").agg((F.count_if(inside & (F.col("r") > F.col("next_x"))) == 0).alias("respects"))
+    return respecting(_joined_columns(words, columns))
+
+
+def celled(columned: DataFrame) -> DataFrame:
+    """TD11 over words with their page's columns."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l", "word_ord", "text"))), lambda s: s["text"]), " ")
+    c = columned.withColumn("column_index", F.expr(_PLACE) - 1).filter("column_index >= 0")
+    return c.groupBy("doc_id", "page_no", "line_no", "column_index").agg(text.alias("text"), F.bool_and("bold").alias("bold"))
 
 
 def assign_cells(words: DataFrame, columns: DataFrame) -> DataFrame:
     """TD11: words go to the column whose stretch their left edge lies in, joined by spaces; a cell is bold if all its words are."""
-    inside = (F.col("l") >= F.col("x") - TOLERANCE) & (F.col("next_x").isNull() | (F.col("l") < F.col("next_x") - TOLERANCE))
-    j = words.join(columns, ["doc_id", "page_no"]).filter(inside)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l", "word_ord", "text"))), lambda s: s["text"]), " ")
-    return j.groupBy("doc_id", "page_no", "line_no", "column_index").agg(text.alias("text"), F.bool_and("bold").alias("bold"))
+    return celled(_joined_columns(words, columns))
 
 
 def _columns(lines: list[tuple[tuple[float, ...], int]]) -> tuple[float, ...]:

@@ -53,8 +53,7 @@ def placed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spanned_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spanned_cells(spark, sf_dir)
-    return S.cell_headers(c.join(S.placed(c), ["table_id", "row_no", "cell_ord"]))
+    return S.cell_headers(S.placed(spanned_cells(spark, sf_dir), "col_span", "row_span", "text", "role"))
 
 
 HEADERS = """p AS (SELECT c.*, s.x AS column_index FROM c JOIN st s ON s.table_id = c.table_id AND s.k = c.k), sl AS (SELECT *, row_no + dy AS y, column_index + dx AS x FROM (SELECT *, unnest(range(0, row_span)) AS dy FROM p), unnest(range(0, col_span)) AS u(dx)),
@@ -99,9 +98,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.printed_orders(A.order_cells(spark, sf_dir, "int"))
 
 
-def _columns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = orders(spark, sf_dir)
-    return lines, TD.find_columns(TD.group_starts(lines), PAGE)
+def _columned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TD.with_columns_of_page(orders(spark, sf_dir))
 
 
 def add(name: str, query, sql: str) -> None:
@@ -111,9 +109,9 @@ def add(name: str, query, sql: str) -> None:
 add("td01_lines_of_orders", lambda s, d: TD.to_lines(orders(s, d)).select("doc_id", "page_no", "line_no", "word_ord", "text"), "SELECT doc_id, page_no, line_no, word_ord, text FROM w")
 add("td02_starts_of_orders", lambda s, d: TD.group_starts(orders(s, d)), "SELECT doc_id, page_no, line_no, l AS start FROM w")
 X = f"[{', '.join(map(str, P.COLUMNS))}]"
-add("td03_columns_of_orders", lambda s, d: _columns(s, d)[1], f"SELECT doc_id, 1 AS page_no, {X}[i] AS x, CAST(i - 1 AS INTEGER) AS column_index, {X}[i + 1] AS next_x FROM n, unnest(range(1, 5)) AS u(i)")
-add("td05_rows_of_orders", lambda s, d: TD.row_respects(*_columns(s, d)), "SELECT doc_id, page_no, line_no, bool_and(r <= [180.0, 300.0, 420.0, 1e9][place + 1]) AS respects FROM w WHERE place < 3 GROUP BY 1, 2, 3")
-add("td11_cells_of_orders", lambda s, d: TD.assign_cells(*_columns(s, d)), "SELECT doc_id, page_no, line_no, place AS column_index, text, bold FROM w")
+add("td03_columns_of_orders", lambda s, d: TD.find_columns(TD.group_starts(orders(s, d)), PAGE), f"SELECT doc_id, 1 AS page_no, {X}[i] AS x, CAST(i - 1 AS INTEGER) AS column_index, {X}[i + 1] AS next_x FROM n, unnest(range(1, 5)) AS u(i)")
+add("td05_rows_of_orders", lambda s, d: TD.respecting(_columned(s, d)), "SELECT doc_id, page_no, line_no, bool_and(r <= [180.0, 300.0, 420.0, 1e9][place + 1]) AS respects FROM w WHERE place < 3 GROUP BY 1, 2, 3")
+add("td11_cells_of_orders", lambda s, d: TD.celled(_columned(s, d)), "SELECT doc_id, page_no, line_no, place AS column_index, text, bold FROM w")
 add("td04_candidates_of_orders", lambda s, d: TD.lined_candidates(orders(s, d)).select("doc_id", "page_no", "table_id", "line_no", "row_no", F.size("columns").alias("n_columns")), "SELECT w.doc_id, 1 AS page_no, 0 AS table_id, line_no, line_no AS row_no, 4 AS n_columns FROM w JOIN n ON n.doc_id = w.doc_id WHERE items >= 2 GROUP BY 1, line_no")
 add("td06_td07_plausible_orders", lambda s, d: TD.plausible_tables(TD.candidate_tables(orders(s, d)), TABLE), "SELECT doc_id, 1 AS page_no, 0 AS table_id, TRUE AS is_table, FALSE AS marker_column FROM n WHERE items >= 2")
 add("td08_td09_headers_of_orders", lambda s, d: TD.headers_of_tables(TD.candidate_tables(orders(s, d)), TABLE), "SELECT doc_id, 1 AS page_no, 0 AS table_id, TRUE AS header_row, doc_id % 3 = 0 AS header_column FROM n WHERE items >= 2")
