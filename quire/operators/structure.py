@@ -73,7 +73,7 @@ def furniture(units: DataFrame, pages: DataFrame) -> DataFrame:
     """Normalised texts that stand in the top or bottom band on most pages. units: words or lines."""
     first = pages.filter(F.col("page_no") <= FURNITURE_PAGES)
     n = first.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
-    u = units.join(dealt(first.select("doc_id", "page_no", "height")), ["doc_id", "page_no"]).filter((F.col("b") >= TOP_BAND * F.col("height")) | (F.col("b") <= BOTTOM_BAND * F.col("height")))
+    u = units.filter(F.col("page_no") <= FURNITURE_PAGES).join(dealt(first.select("doc_id", "page_no", "height")), ["doc_id", "page_no"]).filter((F.col("b") >= TOP_BAND * F.col("height")) | (F.col("b") <= BOTTOM_BAND * F.col("height")))
     keys = u.select("doc_id", "page_no", T.furniture_key("text").alias("key")).filter(F.length("key") >= 2).distinct()
     seen = keys.groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(dealt(n), "doc_id")
     return seen.filter((F.col("n_pages") >= LEAST_PAGES) & (F.col("n") >= F.greatest(F.lit(3), F.floor(2 * F.col("n_pages") / 3)))).select("doc_id", "key", "n")
@@ -81,9 +81,12 @@ def furniture(units: DataFrame, pages: DataFrame) -> DataFrame:
 
 def mark_furniture(elements: DataFrame, found: DataFrame, pages: DataFrame) -> DataFrame:
     """C14: text elements whose normalised text is furniture become artifacts of the band that they stand in."""
-    e = elements.withColumn("key", T.furniture_key("text")).join(dealt(found.select("doc_id", "key", F.lit(True).alias("hit"))), ["doc_id", "key"], "left").join(dealt(pages.select("doc_id", "page_no", "height")), ["doc_id", "page_no"], "left")
+    # A document has few such texts: they come as one list a document, so elements that are dealt by it stay where they are.
+    keys = found.groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
+    e = elements.join(dealt(keys), "doc_id", "left").withColumn("hit", F.array_contains("_keys", T.furniture_key("text"))).drop("_keys")
+    e = e.join(dealt(pages.select("doc_id", "page_no", "height")), ["doc_id", "page_no"], "left")
     place = F.when(F.col("b") > 0.85 * F.col("height"), "header").when(F.col("t") < 0.15 * F.col("height"), "footer").otherwise("page furniture")
-    return e.withColumn("artifact_type", F.when(F.col("hit"), place)).drop("key", "hit", "height")
+    return e.withColumn("artifact_type", F.when(F.col("hit"), place)).drop("hit", "height")
 
 
 def runs(df: DataFrame, keys: list[str], order: str, flag: Column, name: str = "run") -> DataFrame:

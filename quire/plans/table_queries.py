@@ -136,8 +136,10 @@ _FOOT = "SELECT doc_id, page_no, 200 + k AS word_ord, CASE k WHEN 0 THEN 'Page'
 def _with_feet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The printed words with a page number at the foot of each page."""
     w = _words(spark, sf_dir)
-    feet = w.select("doc_id", "page_no").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr(*_split(_FOOT.removeprefix("SELECT ")))
-    return w.select(*feet.columns).unionByName(feet)
+    # The foot goes along with a page's first word, so that the words are made once.
+    w = w.withColumn("k", F.explode(F.when(F.col("word_ord") == 0, F.array(*map(F.lit, (-1, 0, 1)))).otherwise(F.array(F.lit(-1)))))
+    feet = {(c.split(" AS ")[-1]).strip(): F.expr(c) for c in _split(_FOOT.removeprefix("SELECT "))}
+    return w.select(*(F.when(F.col("k") < 0, F.col(n)).otherwise(c).alias(n) for n, c in feet.items()))
 
 
 FEET = Source(f"SELECT doc_id, page_no, word_ord, text, l, b, r, t, font, size, bold, italic FROM ({WORDS.sql}) UNION ALL {_FOOT.replace(' AS STRING)', ' AS VARCHAR)')} FROM (SELECT DISTINCT doc_id, page_no FROM {P.PRINTED_SQL}), unnest([0, 1]) AS q(k)", _with_feet)
