@@ -23,23 +23,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, documents, small_batches, table
-from .tokens import TEXT_BYTES, Encoder, default_tokenizer, gathered
+from .tokens import Encoder, default_tokenizer, gathered
 
 KEY = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long"
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
 #: So many ledgers are read by a delete at most, and so often a commit is tried while other writers come first.
 LEDGERS, TRIES = 8, 20
+#: Bytes of text that a worker counts together, and pieces that it remembers in each of two generations: that much is held beside a JVM that is not small.
+COUNTED_BYTES, REMEMBERED = 1 << 21, 150_000
 
 
 def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
     """One count a document with the tokenizer at ``path``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
-        for batch in gathered(batches, 3, TEXT_BYTES):
-            _, n = encoder.encode(batch.column(3))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n)], ["doc_id", "source", "lang", "tokens"])
+        encoder = Encoder.of(path, REMEMBERED)
+        for batch in gathered(batches, 3, COUNTED_BYTES):
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(encoder.count(batch.column(3)))], ["doc_id", "source", "lang", "tokens"])
 
     d = documents(docs, "source", "lang").select("doc_id", "source", "lang", "text")
     d = d.mapInArrow(count, "doc_id long, source string, lang string, tokens long")

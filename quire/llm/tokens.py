@@ -36,6 +36,8 @@ from .common import Scratch, documents, small_batches
 #: Bytes of text of a file at most, on average; the sizes in a file's index are 32-bit.
 FILE_BYTES = 1 << 30
 FRAME_IDS, LEVEL, PIECES, TEXT_BYTES = 1 << 16, 3, 700_000, 1 << 23
+#: So many new pieces are given to the tokenizer at a time at most; what it returns takes many times their bytes.
+LEARN = 20_000
 SKIPPABLE, SEEKABLE, WITH_SUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 #: White space other than spaces and newlines, and those next to each other: there, pieces can't be told apart simply.
@@ -50,14 +52,15 @@ class Encoder:
     A byte-level tokenizer that splits by its regular expression never joins what stands before a space that a word follows with what comes after it, nor across a single newline,
     nor letters or digits with the signs that follow; so a piece has the same ids in every text. The distinct pieces of many texts are looked up among those seen before; new ones are
     encoded together. Texts with other white space, or with the text of one of the tokenizer's added tokens, are encoded at once, as are all texts with another kind of tokenizer. What is
-    remembered comes in two generations of PIECES at most: a full one becomes the older, and what is used again moves to the younger.
+    remembered comes in two generations of ``most`` pieces each (PIECES, if not said) and those of one call: a full one becomes the older, and what is used again moves to the younger.
     """
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, int | None], Encoder] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int | None = None) -> None:
         from tokenizers import Tokenizer
 
+        self.most = most
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
@@ -71,10 +74,10 @@ class Encoder:
         self.tails: dict[bytes, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, most: int | None = None) -> Encoder:
+        if (path, most) not in cls._made:
+            cls._made[path, most] = cls(path, most)
+        return cls._made[path, most]
 
     def _ids(self, texts: list[bytes]) -> np.ndarray:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
@@ -92,9 +95,11 @@ class Encoder:
             missing = [x for x in missing if x not in again]
         return out, missing
 
-    def _learn(self, new: list[bytes], into: dict[bytes, bytes]) -> None:
-        if not new:
-            return
+    def _learn(self, pieces: list[bytes], into: dict[bytes, bytes]) -> None:
+        for k in range(0, len(pieces), LEARN):
+            self._learn_some(pieces[k : k + LEARN], into)
+
+    def _learn_some(self, new: list[bytes], into: dict[bytes, bytes]) -> None:
         ids = self._ids([b"".join(new[i : i + 200]) for i in range(0, len(new), 200)])
         starts = np.flatnonzero(self.starts[ids])
         if len(starts) != len(new):
@@ -111,7 +116,7 @@ class Encoder:
 
     def _known(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each of ``pieces``, which are distinct and begin with a space or newline."""
-        if len(self.young) > PIECES:
+        if len(self.young) > (self.most or PIECES):
             self.old, self.young = self.young, {}
         out, missing = self._recall(pieces)
         cut, whole = [], []
@@ -129,16 +134,23 @@ class Encoder:
         out.update(joined)
         return list(map(out.__getitem__, pieces))
 
-    def _pieced(self, flat: bytes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and numbers of ids of even texts; flat holds them one after another with a newline before each, counts their bytes with it."""
+    def _pieces(self, flat: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Where each piece of ``flat`` begins, which of the distinct ones it is, and the ids of these."""
         t = np.frombuffer(flat, dtype=np.uint8)
         at = np.flatnonzero((t == 32) | (t == 10))
         offsets = np.append(at, len(t)).astype(np.int32)
         array = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
-        known = self._known(array.dictionary.to_pylist())
-        which = array.indices.to_numpy()
+        return at, array.indices.to_numpy(), self._known(array.dictionary.to_pylist())
+
+    @staticmethod
+    def _sizes(known: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+
+    def _pieced(self, flat: bytes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of even texts; flat holds them one after another with a newline before each, counts their bytes with it."""
+        at, which, known = self._pieces(flat)
         ids = np.frombuffer(b"".join(known), dtype="<u4")
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        sizes = self._sizes(known)
         begins = np.cumsum(sizes) - sizes
         n = sizes[which]
         upto = np.cumsum(n)
@@ -148,14 +160,30 @@ class Encoder:
         keep[upto[first] - n[first]] = False  # the newline that was put before the text
         return ids[np.repeat(begins[which] - (upto - n), n) + np.arange(int(upto[-1]))][keep], of_text - 1
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each has; null texts have none."""
+    def _parted(self, texts: pa.Array) -> tuple[list[bytes], list[bool], bytes]:
+        """The texts' bytes, whether each is even and has any, and the even ones one after another with a newline before each."""
         parts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
         flat = b"\n".join([b"", *filter(None, parts)])
         even = [bool(p) for p in parts]
         if not self.splits or any(x in flat for x in self.odd) or flat[-1:] in (b" ", b"\n"):
             even = [bool(p) and self.splits and p[0] not in b" \n" and p[-1] not in b" \n" and not any(x in p for x in self.odd) for p in parts]
             flat = b"\n".join([b"", *(p for p, e in zip(parts, even, strict=True) if e)])
+        return parts, even, flat
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has; they are not put together."""
+        parts, even, flat = self._parted(texts)
+        counts = np.array([0 if e or not p else len(self._ids([p])) for p, e in zip(parts, even, strict=True)], dtype=np.int64)
+        if any(even):
+            at, which, known = self._pieces(flat)
+            sizes = np.array([len(p) + 1 for p, e in zip(parts, even, strict=True) if e])
+            first = np.searchsorted(at, np.cumsum(sizes) - sizes)  # each text's first piece
+            counts[even] = np.add.reduceat(self._sizes(known)[which], first) - 1  # without the newline that was put before the text
+        return counts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has; null texts have none."""
+        parts, even, flat = self._parted(texts)
         counts = np.zeros(len(parts), dtype=np.int64)
         ids = np.zeros(0, dtype="<u4")
         if any(even):

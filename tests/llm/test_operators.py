@@ -51,6 +51,23 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     assert both(texts) == whole_ids(texts)
 
 
+def test_counts_of_ever_new_words_hold_little(monkeypatch):
+    """op3: what a worker remembers of pieces and gives to the tokenizer at once is bounded, and each text counts as when it is encoded whole."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "LEARN", 500)
+    encoder, given = tokens.Encoder(tokens.default_tokenizer(), 1000), []
+    ids = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: given.append(sum(map(len, texts))) or ids(texts))
+    odd = ["a b  c", "né, né. «né», 9% a's?", None, "", "\n", "x\ny z.\nw", " lead", "a <|endoftext|> x", "one"]
+    for i in range(20):
+        texts = [*odd, " ".join(f"w{2000 * i + k}" for k in range(2000)), *odd[:3]]
+        assert encoder.count(pa.array(texts, pa.string())).tolist() == [len(x) // 4 for x in whole_ids(texts)]
+        assert len(encoder.young) + len(encoder.old) < 3 * (1000 + 2000)
+    assert max(given) <= 500 * 8
+    assert encoder.count(pa.array([None, ""], pa.string())).tolist() == [0, 0] and encoder.count(pa.array([], pa.string())).tolist() == []
+
+
 def test_token_shards(spark, docs, rows):
     got = sorted(map(tuple, tokens.op1(spark, docs).select("start", "doc_id", "n_tokens", "ids_crc32").collect()))
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
