@@ -59,8 +59,8 @@ def go_to_page(requests: DataFrame, landings: DataFrame) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """N4."""
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    """A blank text has none. White space is listed, since engines differ on whether a vertical tab is in its class."""
+    return F.filter(F.split(text, r"[ \t\n\f\r]+"), lambda x: x != "")
 
 
 def sentences(text: Column) -> Column:

@@ -106,7 +106,7 @@ R.add("n01_next_links_of_documents", headings_of_documents, _links_sql(LINES, ["
 R.add("n03_page_landings", lambda s, d: N.page_landings(A.text_elements(s, d)), f"SELECT doc_id, page_no, CAST(coalesce(min(reading_order) FILTER (WHERE kind IN ({', '.join(map(sql_literal, N.READABLE))}) AND trim(text) <> ''), min(reading_order)) AS INTEGER) AS landing FROM {LINES} GROUP BY 1, 2")
 ASK = Fixture("ask", "doc_id int, page int", ((0, 1), (0, 0), (0, 99), (2, -3)))
 R.add("n03_go_to_page", lambda s, d: N.go_to_page(ASK.df(s).withColumn("doc_id", F.col("doc_id").cast("long")), N.page_landings(A.text_elements(s, d))), f"WITH l AS (SELECT doc_id, page_no, min(reading_order) AS landing FROM {LINES} WHERE trim(text) <> '' GROUP BY 1, 2), n AS (SELECT doc_id, max(page_no) AS pages FROM l GROUP BY 1) SELECT CAST(a.doc_id AS BIGINT) AS doc_id, a.page, CAST(greatest(1, least(page, pages)) AS INTEGER) AS page_no, CAST(l.landing AS INTEGER) AS landing, CASE WHEN page < 1 THEN 'first page' WHEN page > pages THEN 'last page' END AS note FROM {ASK.sql()} a JOIN n ON n.doc_id = a.doc_id LEFT JOIN l ON l.doc_id = a.doc_id AND l.page_no = greatest(1, least(page, pages))")
-R.add("n04_words", lambda s, d: A.read(s, d, "documents").select("doc_id", F.size(N.words(F.col("text"))).cast("long").alias("n"), F.element_at(N.words(F.col("text")), -1).alias("last")), r"SELECT doc_id, len(w) AS n, w[-1] AS last FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
+R.add("n04_words", lambda s, d: A.read(s, d, "documents").select("doc_id", F.size(N.words(F.col("text"))).cast("long").alias("n"), F.try_element_at(N.words(F.col("text")), F.lit(-1)).alias("last")), r"SELECT doc_id, len(w) AS n, w[-1] AS last FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
 SENT = r"'(?s)\S.*?(?:[.!?][\"'')\]”’]*(?:\s|$)|$)'"
 SENTENCES = Fixture("sents", "id int, x string", ((0, "One. Two! Three? Four"), (1, 'He said "stop." Then left.'), (2, "No end"), (3, "Version 2.5 is out. (Really!) Yes."), (4, ""), (5, "Trailing.  ")))
 R.add("n04_sentences", lambda s, d: SENTENCES.df(s).select("id", F.array_join(N.sentences(F.col("x")), "|").alias("y")), f"SELECT id, coalesce(array_to_string(list_transform(regexp_extract_all(x, {SENT}), lambda q: trim(q)), '|'), '') AS y FROM {SENTENCES.sql()}")
