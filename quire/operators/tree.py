@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -143,6 +144,21 @@ def full_text(walked: DataFrame, pairs: DataFrame) -> DataFrame:
     return g.withColumnRenamed("ancestor_id", "element_id")
 
 
+def full_texts(rows: Sequence[Sequence]) -> Iterator[tuple[int, str]]:
+    """T3 of a page at hand (rows of markup.tree): element_id and full_text of each element. Runs, artifacts and images have text of their own, so that a text stands once in what it is part of."""
+    at, said = [], []
+    for r in rows:
+        if r[5] == "#text" or r[6] in ("Artifact", "Figure"):
+            text = r[8].strip(" ")
+            if text:
+                at.append(r[0])
+                said.append(text)
+    for r in rows:
+        if r[6] != "Run":
+            first = bisect_left(at, r[0])
+            yield r[0], " ".join(said[first : bisect_right(at, r[3], first)])
+
+
 def rolled_bounds(walked: DataFrame, pairs: DataFrame) -> DataFrame:
     """An element without an extent gets the union of its descendants'."""
     solid = walked.filter("r > l AND t > b").select("doc_id", "element_id", "l", "b", "r", "t")
@@ -217,6 +233,29 @@ def structure_tree(walked: DataFrame, pairs: DataFrame, marks: DataFrame) -> Dat
     return live.join(dealt(up), ["doc_id", "element_id"], "left").select("doc_id", "element_id", "tag", "parent_tag", "reading_order", F.coalesce(ids, F.lit("")).alias("mcids"))
 
 
+def structure_of(rows: Sequence[Sequence], marks: Mapping[int, Sequence[str]]) -> list[tuple]:
+    """G9, K4 of a page at hand (rows of markup.tree): element_id, tag, parent_tag, reading_order, mcids. marks: those of each element, in order.
+
+    What is written makes all tagged elements around it be written, so the nearest tagged one is the parent.
+    """
+    found, nearest_tag, written = [], {}, set()
+    for r in rows:
+        element, kind = r[0], r[6]
+        if kind != "Run":
+            tagged = "H" + r[5][1] if kind == "Heading" else ("TH" if r[5] == "th" else "TD") if kind == "TableCell" else TAGS.get(kind)
+            above = nearest_tag.get(r[1])
+            nearest_tag[element] = above if tagged is None else element
+            found.append((element, tagged, above, r[1]))
+    out = []
+    for element, tagged, above, parent in reversed(found):
+        own = marks.get(element)
+        if element in written or (tagged is not None and own):
+            written.add(parent)
+            if tagged is not None:
+                out.append((element, tagged, above, element, ",".join(own) if own else ""))
+    return out
+
+
 def dense_marks(marks: DataFrame) -> DataFrame:
     """The elements of each page's marks as an array from 0, with nulls where a number is missing."""
     g = marks.groupBy("doc_id", "page_no").agg(F.map_from_entries(F.collect_list(F.struct("mcid", "element_id"))).alias("m"), F.max("mcid").alias("top"))
