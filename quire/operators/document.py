@@ -6,13 +6,18 @@ CHUNK openings and closings: no aggregate holds a document. What an element open
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.runtime import dealt
+from quire.runtime import dealt, ship
 
 CHUNK = 256
+#: Characters of markup after which a task gives out what it has.
+FLUSH = 2_000_000
 #: Places before and behind all elements.
 FIRST, LAST = -1, (1 << 31) - 1
 POLICY = "<meta http-equiv=\"Content-Security-Policy\" content=\"default-src 'none'; img-src data:\">"
@@ -85,8 +90,8 @@ HEAD = joined(
 FOOT = "'</section></main></body></html>'"
 
 
-def rows(tree: DataFrame) -> DataFrame:
-    """The columns that markup is made of. tree: as markup.page_tree gives it, runs included."""
+def own_columns(tree: DataFrame, *more: str) -> DataFrame:
+    """The columns of markup that an element's own row tells. tree: as markup.page_tree gives it, runs included. more: further columns to be kept."""
     a = lambda name: F.try_element_at("attrs", F.lit(name))
     has = lambda name: a(name).isNotNull()
     some = lambda c: F.nullif(F.trim(c), F.lit(""))
@@ -94,14 +99,20 @@ def rows(tree: DataFrame) -> DataFrame:
     type_ = F.lower(F.coalesce(F.nullif(a("type"), F.lit("")), F.when(F.col("tag") == "button", "button").otherwise("text")))
     named, near, partial = F.coalesce(some(a("aria-label")), some(a("title"))), some(T.tidy_label(a("#before"))), a("name")
     source = F.when(some(a("#label")).isNotNull(), "own").otherwise(T.label_source(named, near, partial))
-    t = tree.select(
+    return tree.select(
         "doc_id", "element_id", "last_id", "parent_id", "tag", "kind", "text", "parent_tag", F.when(k == "Heading", F.substring("tag", 2, 1).cast("int")).alias("level"), a("lang").alias("lang"), a("href").alias("href"), a("alt").alias("alt"), F.coalesce(a("alt") == "", F.lit(False)).alias("decorative"),
         a("type").alias("kind_of"), a("name").alias("name"), a("value").alias("value"), has("required").alias("required"), (has("readonly") | has("disabled")).alias("read_only"), has("disabled").alias("disabled"), has("checked").alias("checked"), has("selected").alias("selected"), has("multiple").alias("several"),
         F.coalesce(a("aria-invalid") == "true", F.lit(False)).alias("invalid"), a("placeholder").alias("guidance"), F.coalesce(a("colspan").try_cast("int"), F.lit(1)).alias("col_span"), F.coalesce(a("rowspan").try_cast("int"), F.lit(1)).alias("row_span"),
         F.when(F.col("tag") == "td", "Data").when(a("scope") == "row", "RowHeader").when(a("scope") == "col", "ColumnHeader").otherwise("Header").alias("role"),
         F.when(F.col("tag") == "select", "ChoiceList").when(type_.isin("submit", "button", "reset", "image"), "PushButton").when(type_ == "checkbox", "CheckBox").when(type_ == "radio", "RadioGroup").otherwise("Text").alias("field_kind"),
-        source.alias("source"), T.label(named, near, partial).alias("label"), a("#table").try_cast("int").alias("table_id"), a("id").alias("id"), a("for").alias("for"),
+        source.alias("source"), T.label(named, near, partial).alias("label"), a("#table").try_cast("int").alias("table_id"), a("id").alias("id"), a("for").alias("for"), *more,
     )
+
+
+def rows(tree: DataFrame) -> DataFrame:
+    """The columns that markup is made of. tree: as markup.page_tree gives it, runs included."""
+    k = F.col("kind")
+    t = own_columns(tree)
     # A row is a head if all its cells are headers and it is its table's first; both need one small grouping of the cells.
     by_row = t.filter((k == "TableCell") & (F.col("parent_tag") == "tr")).groupBy("doc_id", "table_id", F.col("parent_id").alias("row_id")).agg(F.bool_and(F.col("role") != "Data").alias("all_heads"))
     first = F.min("row_id").over(Window.partitionBy("doc_id", "table_id")) == F.col("row_id")
@@ -136,6 +147,85 @@ def html_of(tree: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return serialised(inner.unionByName(ends), chunk)
 
 
+#: What placed() gives, with its types.
+PLACED = "element_id int, last_id int, parent_id int, tag string, kind string, attrs map<string,string>, text string, parent_tag string, row_place string, has_rows boolean, for_field int"
+
+
+def placed(tree: Sequence[Sequence]) -> list[tuple]:
+    """A page's rows (those of markup.tree) with what their markup takes from other rows, behind one of the page itself (kind #page) that has its title as text and its language."""
+    if not tree:
+        return []
+    titles, langs, heads, tables, fields = [], [], {}, {}, {}
+    for element, parent, _, _, _, tag, kind, attrs, text, parent_tag in tree:
+        if kind == "TableCell":
+            if parent_tag == "tr":
+                table = attrs["#table"]
+                heads[parent] = heads.get(parent, True) and tag != "td"
+                tables[table] = min(tables.get(table, parent), parent)
+        elif kind == "FormField":
+            if attrs.get("id"):
+                fields.setdefault(attrs["id"], element)
+        elif kind == "Title":
+            titles.append(text)
+        elif tag == "html" and "lang" in attrs:
+            langs.append(attrs["lang"])
+    firsts, with_rows = set(tables.values()), {int(t) for t in tables if t}
+    out = [(FIRST, LAST, None, "", "#page", {"lang": max(langs)} if langs else {}, titles[0] if titles else None, None, None, False, None)]
+    for element, parent, _, last, _, tag, kind, attrs, text, parent_tag in tree:
+        row = parent if kind == "TableCell" else element if kind == "TableRow" else None
+        place = None if row not in heads else "other" if row not in firsts else "head" if heads[row] else "first"
+        out.append((element, last, parent, tag, kind, attrs, text, parent_tag, place, kind == "Table" and element in with_rows, fields.get(attrs.get("for")) if kind == "Label" else None))
+    return out
+
+
+def html_of_placed(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """K1 of pages as placed() gives them, whose rows come together and in order: the same chunks without an exchange. Openings and closings stream past a stack of the elements that are open; a task holds these and one chunk."""
+    ship(rows.sparkSession)
+    page = F.col("kind") == "#page"
+    t = own_columns(rows, "row_place", "has_rows", "for_field").withColumn("title", F.col("text"))
+    t = t.select("doc_id", "element_id", "last_id", F.when(page, F.expr(HEAD)).otherwise(F.expr(OPEN)).alias("open"), F.when(page, F.expr(FOOT)).otherwise(F.expr(CLOSE)).alias("close"))
+
+    def events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, str]]:
+        now, stack = None, []
+        for batch in batches:
+            for doc, element, last, opening, closing in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                while stack and (element == FIRST or stack[-1][0] < element):
+                    yield now, False, stack.pop()[1]
+                now = doc
+                if opening:
+                    yield doc, element == FIRST, opening
+                if closing:
+                    stack.append((last, closing))
+        while stack:
+            yield now, False, stack.pop()[1]
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, str]]:
+        now, nth, parts = None, 0, []
+        for doc, first, markup in events(batches):
+            if parts and (first or len(parts) == chunk):
+                yield now, nth, "".join(parts)
+                nth, parts = nth + 1, []
+            if first:
+                now, nth = doc, 0
+            parts.append(markup)
+        if parts:
+            yield now, nth, "".join(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], ["doc_id", "chunk_no", "html"])
+        out, size = [], 0
+        for row in chunks(batches):
+            out.append(row)
+            size += len(row[2])
+            if size >= FLUSH:
+                yield packed(out)
+                out, size = [], 0
+        if out:
+            yield packed(out)
+
+    return t.mapInArrow(run, "doc_id long, chunk_no int, html string")
+
+
 #: A comment with what it is about and what can be done, without its end: replies stand inside (H9). Columns: element_id, author, text, anchored.
 COMMENT = joined(
     "'<aside class=\"comment\"'", _ID, "' tabindex=\"-1\" aria-label=\"Comment\"><p>'", f"CASE WHEN trim(coalesce(author, '')) <> '' THEN {joined(escaped('author'), quoted(': '))} ELSE '' END", escaped("text"), "'</p>'",

@@ -222,7 +222,7 @@ def text_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The issues of the given pages and of those made from customers."""
-    given = markup_issues(A.read(spark, sf_dir, "pages", "page_id", "html")).withColumn("corpus", F.lit("pages"))
+    given = markup_issues(A.given_pages(spark, sf_dir)).withColumn("corpus", F.lit("pages"))
     return given.unionByName(markup_issues(A.customer_pages(spark, sf_dir)).withColumn("corpus", F.lit("customers")))
 
 

@@ -29,9 +29,14 @@ def text_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(spark, sf_dir).select("doc_id", "lang", "reading_order", "page_no", "kind", "text")
 
 
+def given_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, html, dealt out: a file may keep all its pages in one row group, which one task would read alone."""
+    return read(spark, sf_dir, "pages", "page_id", "html").repartition(spark.sparkContext.defaultParallelism)
+
+
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of the HTML pages in order: doc_id, reading_order, tag, kind, level, text, href."""
-    e = M.page_tree(read(spark, sf_dir, "pages", "page_id", "html")).filter("kind <> 'Run'")
+    e = M.page_tree(given_pages(spark, sf_dir)).filter("kind <> 'Run'")
     level = F.when(F.col("kind") == "Heading", F.substring("tag", 2, 1).cast("int"))
     return e.select("doc_id", F.col("element_id").alias("reading_order"), "tag", "text", "kind", level.alias("level"), F.nullif(F.try_element_at("attrs", F.lit("href")), F.lit("")).alias("href"))
 
