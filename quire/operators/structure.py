@@ -69,22 +69,31 @@ def lines_of(words: DataFrame) -> DataFrame:
     return lines.withColumn("line_no", F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy(F.col("base").desc())))
 
 
+def _sizes(pages: DataFrame, name: str) -> DataFrame:
+    """The pages of each document as one list, so that elements that are dealt by document stay where they are."""
+    return pages.groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "height")).alias(name))
+
+
+def _height(name: str) -> Column:
+    """The height of an element's page in the list of _sizes."""
+    return F.get(F.col(name)["height"], (F.array_position(F.col(name)["page_no"], F.col("page_no")) - 1).cast("int"))
+
+
 def furniture(units: DataFrame, pages: DataFrame) -> DataFrame:
-    """Normalised texts that stand in the top or bottom band on most pages. units: words or lines."""
-    first = pages.filter(F.col("page_no") <= FURNITURE_PAGES)
-    n = first.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
-    u = units.filter(F.col("page_no") <= FURNITURE_PAGES).join(dealt(first.select("doc_id", "page_no", "height")), ["doc_id", "page_no"]).filter((F.col("b") >= TOP_BAND * F.col("height")) | (F.col("b") <= BOTTOM_BAND * F.col("height")))
-    keys = u.select("doc_id", "page_no", T.furniture_key("text").alias("key")).filter(F.length("key") >= 2).distinct()
-    seen = keys.groupBy("doc_id", "key").agg(F.count("*").alias("n")).join(dealt(n), "doc_id")
+    """Normalised texts that stand in the top or bottom band on most pages. units: words or lines. pages: each once."""
+    first = _sizes(pages.filter(F.col("page_no") <= FURNITURE_PAGES), "_pages")
+    u = units.filter(F.col("page_no") <= FURNITURE_PAGES).join(dealt(first), "doc_id").withColumn("height", _height("_pages")).filter((F.col("b") >= TOP_BAND * F.col("height")) | (F.col("b") <= BOTTOM_BAND * F.col("height")))
+    keys = u.select("doc_id", F.size("_pages").alias("n_pages"), "page_no", T.furniture_key("text").alias("key")).filter(F.length("key") >= 2).distinct()
+    seen = keys.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.max("n_pages").alias("n_pages"))
     return seen.filter((F.col("n_pages") >= LEAST_PAGES) & (F.col("n") >= F.greatest(F.lit(3), F.floor(2 * F.col("n_pages") / 3)))).select("doc_id", "key", "n")
 
 
 def mark_furniture(elements: DataFrame, found: DataFrame, pages: DataFrame) -> DataFrame:
-    """C14: text elements whose normalised text is furniture become artifacts of the band that they stand in."""
-    # A document has few such texts: they come as one list a document, so elements that are dealt by it stay where they are.
+    """C14: text elements whose normalised text is furniture become artifacts of the band that they stand in. pages: each once."""
+    # A document has few such texts: they come as one list a document with its pages, so elements that are dealt by it stay where they are.
     keys = found.groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
-    e = elements.join(dealt(keys), "doc_id", "left").withColumn("hit", F.array_contains("_keys", T.furniture_key("text"))).drop("_keys")
-    e = e.join(dealt(pages.select("doc_id", "page_no", "height")), ["doc_id", "page_no"], "left")
+    marks = keys.join(dealt(_sizes(pages, "_pages")), "doc_id", "left")
+    e = elements.join(dealt(marks), "doc_id", "left").withColumn("hit", F.array_contains("_keys", T.furniture_key("text"))).withColumn("height", F.when(F.col("hit"), _height("_pages"))).drop("_keys", "_pages")
     place = F.when(F.col("b") > 0.85 * F.col("height"), "header").when(F.col("t") < 0.15 * F.col("height"), "footer").otherwise("page furniture")
     return e.withColumn("artifact_type", F.when(F.col("hit"), place)).drop("hit", "height")
 

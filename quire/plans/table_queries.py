@@ -118,13 +118,18 @@ def _split(columns: str) -> list[str]:
     return [*out, now]
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Numbers have the type that fixtures cast them to before texts are dealt out by them: a cast afterwards would have all words dealt out again.
+    return A.read(spark, sf_dir, "documents", F.col("doc_id").cast("int").alias("doc_id"), "text")
+
+
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = P.printed_words(A.read(spark, sf_dir, "documents", "doc_id", "text"))
+    w = P.printed_words(_documents(spark, sf_dir))
     return w.withColumns({"word_ord": F.col("true_ord") % P.PER_PAGE, "font": F.when(F.col("part") == 0, "Arial-Bold").otherwise("Times"), "italic": F.col("true_ord") % 7 < 4})
 
 
 def _page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.lit(P.WIDTH).alias("width"), F.lit(P.HEIGHT).alias("height"))
+    return P.printed_pages(_documents(spark, sf_dir)).select("doc_id", "page_no", F.lit(P.WIDTH).alias("width"), F.lit(P.HEIGHT).alias("height"))
 
 
 WORDS = Source(f"SELECT *, true_ord % {P.PER_PAGE} AS word_ord, CASE WHEN part = 0 THEN 'Arial-Bold' ELSE 'Times' END AS font, true_ord % 7 < 4 AS italic FROM {P.PRINTED_SQL}", _words)

@@ -5,7 +5,9 @@ A page has a head line of HEAD words across both columns and two columns of LINE
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD, LINES, PER_LINE = 4, 20, 4
@@ -17,20 +19,34 @@ WORD = r"[^\x20\x09-\x0D]+"
 def printed_words(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Gives doc_id, page_no, true_ord, part (0 head, 1 and 2 the columns), line_no, word_ord, text (cut to LONGEST characters), l, b, r, t, size, bold."""
     # Texts are dealt out, not their words: what is done within a document afterwards stays where it is.
-    w = docs.repartition("doc_id").select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("true_ord", "text"))
+    t = docs.repartition("doc_id").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("_0"))
     c = F.col
-    w = w.withColumn("text", F.substring("text", 1, LONGEST)).withColumn("page_no", (F.floor(c("true_ord") / PER_PAGE) + 1).cast("int")).withColumn("_n", c("true_ord") % PER_PAGE)
+    # Each word comes with the few that may stand before it in its line, so that no sort is needed to sum up their widths. Behind the last word these go on for a few rows without one.
+    back = range(1, max(HEAD, PER_LINE))
+    t = t.withColumns({f"_{k}": F.concat(F.array_repeat(F.lit(""), k), "_0") for k in back})
+    w = t.select("doc_id", F.posexplode(F.arrays_zip("_0", *(f"_{k}" for k in back))).alias("true_ord", "_w")).filter("_w._0 IS NOT NULL")
+    in_part = lambda n: n - F.when(n < HEAD, 0).when(n < HEAD + LINES * PER_LINE, HEAD).otherwise(HEAD + LINES * PER_LINE)
+    nth = in_part(c("true_ord") % PER_PAGE) % PER_LINE
+    before = reduce(Column.__add__, (F.when(nth >= k, F.least(F.length(f"_w._{k}"), F.lit(LONGEST)) + 1).otherwise(0) for k in back))
+    w = w.select("doc_id", "true_ord", c("_w._0").alias("text"), before.alias("_before")).withColumn("text", F.substring("text", 1, LONGEST))
+    w = w.withColumn("page_no", (F.floor(c("true_ord") / PER_PAGE) + 1).cast("int")).withColumn("_n", c("true_ord") % PER_PAGE)
     w = w.withColumn("part", F.when(c("_n") < HEAD, 0).when(c("_n") < HEAD + LINES * PER_LINE, 1).otherwise(2))
-    in_part = c("_n") - F.when(c("part") == 0, 0).when(c("part") == 1, HEAD).otherwise(HEAD + LINES * PER_LINE)
-    w = w.withColumn("line_no", F.when(c("part") == 0, 0).otherwise(F.floor(in_part / PER_LINE)).cast("int"))
-    before = Window.partitionBy("doc_id", "page_no", "part", "line_no").orderBy("true_ord").rowsBetween(Window.unboundedPreceding, -1)  # a line
-    x = F.when(c("part") == 2, LEFT + COLUMN + GUTTER).otherwise(LEFT) + CHAR * F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
+    w = w.withColumn("line_no", F.when(c("part") == 0, 0).otherwise(F.floor(in_part(c("_n")) / PER_LINE)).cast("int"))
+    x = F.when(c("part") == 2, LEFT + COLUMN + GUTTER).otherwise(LEFT) + CHAR * c("_before")
     top = F.when(c("part") == 0, F.lit(TOP)).otherwise(TOP - 3 * LEADING - LEADING * c("line_no"))
     out = w.withColumn("l", x).withColumn("r", c("l") + CHAR * F.length("text")).withColumn("t", top).withColumn("b", top - SIZE)
     size, bold = F.when(c("part") == 0, 16.0).otherwise(SIZE), c("part") == 0
     return out.select("doc_id", "page_no", "true_ord", "part", "line_no", F.pmod(F.xxhash64("doc_id", "true_ord"), F.lit(1 << 30)).cast("int").alias("word_ord"), "text", "l", "b", "r", "t", size.alias("size"), bold.alias("bold"))
 
 
+def printed_pages(docs: DataFrame) -> DataFrame:
+    """doc_id and page_no of all pages of printed_words(docs), each once, from the numbers of words; dealt out as these are."""
+    t = docs.repartition("doc_id").select("doc_id", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).alias("_n"))
+    # No filter of documents without words, which would come before the dealing and keep it from serving both the pages and the words.
+    pages = F.when(F.col("_n") > 0, F.sequence(F.lit(1), F.ceil(F.col("_n") / PER_PAGE).cast("int")))
+    return t.groupBy("doc_id").agg(F.max("_n").alias("_n")).select("doc_id", F.explode(pages).alias("page_no"))
+
+
 #: The same in DuckDB, without word_ord.
 PRINTED_SQL = f"""(SELECT doc_id, page_no, true_ord, part, line_no, text, l, t - {SIZE} AS b, l + {CHAR} * length(text) AS r, t, CASE WHEN part = 0 THEN 16.0 ELSE {SIZE} END AS size, part = 0 AS bold FROM (
 SELECT *, CASE WHEN part = 2 THEN {LEFT + COLUMN + GUTTER} ELSE {LEFT} END + {CHAR} * coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, page_no, part, line_no ORDER BY true_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l, CASE WHEN part = 0 THEN {TOP} ELSE {TOP - 3 * LEADING} - {LEADING} * line_no END AS t FROM (
